@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality_rules, token_counts, warc, word_bpe
+from . import media, near_dup, packing, preference_format, quality_fm, quality_rules, token_counts, warc, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format.preference_format(_table(spark, sf_dir, "conversations"))
+
+
 def op5_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,7 +58,7 @@ def op10_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op5_token_histogram, op7_warc_round_trip, op8_bpe_round_trip, op9_host_rules, op10_wav_fingerprints)
+    f.__name__: f for f in (op1_quality_fm, op2_best_fit_packing, op3_minhash_near_dup, op4_preference_format, op5_token_histogram, op7_warc_round_trip, op8_bpe_round_trip, op9_host_rules, op10_wav_fingerprints)
 }
 
 OP7_SQL = """
@@ -88,4 +100,22 @@ verdict AS (
 
 OP9_SQL = f"WITH {_RULE_STATISTICS} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"
 
-SQL: dict[str, str] = {"op7_warc_round_trip": OP7_SQL, "op9_host_rules": OP9_SQL}
+OP4_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+last AS (SELECT conv_id, max(i) AS i, arg_max(text, i) AS reply FROM t WHERE role = 'assistant' GROUP BY conv_id),
+j AS (SELECT t.*, last.i AS last, d.reply FROM t JOIN last USING (conv_id) LEFT JOIN last AS d ON d.conv_id = xor(t.conv_id, 1)),
+n AS (SELECT conv_id, CASE WHEN any_value(reply) IS NOT NULL AND bool_or(i = last AND text = reply) THEN max(i) ELSE any_value(last) - 1 END AS n FROM j GROUP BY conv_id),
+r AS (SELECT conv_id, i, role, text, 'c' AS side FROM j UNION ALL
+  SELECT conv_id, i, role, CASE WHEN i = last THEN reply ELSE text END, 'r' FROM j WHERE i != last OR reply IS NOT NULL),
+x AS (SELECT r.*, n.n, CASE WHEN i <= n THEN 'p' ELSE side END AS part, '<|' || role || '|>' || chr(10) || text || chr(10) AS seg FROM r JOIN n USING (conv_id) WHERE side = 'c' OR i > n.n),
+y AS (SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY conv_id, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 5 AS a FROM x)
+SELECT conv_id, any_value(n)::BIGINT AS prompt_turns, coalesce(string_agg(seg, '' ORDER BY i) FILTER (part = 'p'), '') AS prompt,
+  coalesce(string_agg(seg, '' ORDER BY i) FILTER (part = 'c'), '') AS chosen, coalesce(string_agg(seg, '' ORDER BY i) FILTER (part = 'r'), '') AS rejected,
+  coalesce(string_agg(a::BIGINT || ':' || (a + length(text))::BIGINT, ',' ORDER BY i) FILTER (part = 'c' AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(a::BIGINT || ':' || (a + length(text))::BIGINT, ',' ORDER BY i) FILTER (part = 'r' AND role = 'assistant'), '') AS rejected_mask
+FROM y GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op4_preference_format": OP4_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_rules": OP9_SQL}

@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame
 
 from ._common import map_arrow, record_batch, runs, texts_of
 
-_CHUNKS = 300_000  # cached chunks of one worker, for each form
-_NONE = 1 << 62
+_CHUNKS = 600_000  # cached chunks of one worker
+_WORDS_KEPT = 300_000
+_NONE = 1 << 40
+_EMPTY = np.zeros(0, "<u4")
 _LONG = 200  # chunks beyond this length aren't cached
 _NOT_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the pattern below
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -42,6 +44,7 @@ _SPACES = regex.compile(rf"[{_SPACE}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: Lower case of letters that Unicode gained in version 16, later than this Python's tables: fixed values.
 _NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+_HAS_NEWER = re.compile("[" + "".join(map(chr, _NEWER)) + "]")
 _GAP = "\u0400"  # between words; no symbol has it
 
 
@@ -96,6 +99,10 @@ class WordBpe:
         self._ranks = np.fromiter(self._merge.values(), np.int64, len(keys))[order] // n
         inner = {i: inside(t) for t, i in vocab.items()}
         self._symbol = {s: i for i, s in inner.items() if len(s) == 1}
+        self._by_symbol = np.full(512, -1, np.int64)
+        for c, i in self._symbol.items():
+            self._by_symbol[ord(c)] = i
+        self._made = np.array([vocab[a + b] for a, b in merges], np.int64)
         valid = np.ones(n, bool)
         if sound:
             made = np.argsort(self.rank)[(self.rank < 0).sum() :]
@@ -108,6 +115,9 @@ class WordBpe:
                 self._match.add_word(s, (i, len(s)))
         self._match.make_automaton()
         self._chunks: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
+        self._seen: set[str] = set()  # characters outside ASCII texts, and those of them that Python's tables lack
+        self._odd: set[str] = set()
         #: Words proposed and words merged exactly, for tests and reports.
         self.proposed = self.merged = 0
 
@@ -135,24 +145,58 @@ class WordBpe:
             a, b = np.where(down, self.right[a], a), np.where(down, b, self.left[b])
         return ok
 
-    def exact(self, word: str) -> list[int]:
-        """Merge by rank, leftmost first."""
-        ids = [self._symbol[c] for c in word]
-        return self._few(ids) if len(ids) <= 64 else self._many(ids)
-
-    def _few(self, ids: list[int]) -> list[int]:
-        merge, n = self._merge.get, self.size
-        keys = [merge(a * n + b, _NONE) for a, b in zip(ids, ids[1:])]
-        while keys and (best := min(keys)) != _NONE:
-            i = keys.index(best)
-            z = best % n
-            ids[i : i + 2] = [z]
-            del keys[i]
-            if i:
-                keys[i - 1] = merge(ids[i - 1] * n + z, _NONE)
-            if i < len(keys):
-                keys[i] = merge(z * n + ids[i + 1], _NONE)
-        return ids
+    def exact(self, words: list[str]) -> list[np.ndarray]:
+        """Merge by rank, leftmost first: all words of about a length at once, long ones by a heap."""
+        out: list[np.ndarray] = [_EMPTY] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        order = order[: np.searchsorted(sizes[order], 64, side="right")]
+        for part in np.array_split(order, max(1, len(order) // 4000)):
+            if len(part):
+                for i, ids in zip(part.tolist(), self._together([words[i] for i in part.tolist()], int(sizes[part].max()))):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes > 64).tolist():
+            out[i] = np.array(self._many([self._symbol[c] for c in words[i]]), "<u4")
+        return out
+
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pairs' merges; ``_NONE`` where there is none or an id is -1."""
+        key = a * self.size + b
+        i = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[i] == key) & (a >= 0) & (b >= 0), self._ranks[i], _NONE)
+
+    def _together(self, words: list[str], width: int) -> list[np.ndarray]:
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = self._by_symbol[np.frombuffer("".join(words).encode("utf-16-le"), "<u2")]
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < sizes[:, None]] = flat
+        ranks = self._rank_of(ids[:, :-1], ids[:, 1:])
+        done = np.full_like(ids, -1)
+        rows, columns = np.arange(len(words)), np.arange(width)
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            each = np.arange(len(rows))
+            best = ranks[each, at]
+            if (best == _NONE).any():  # these words are done
+                over = best == _NONE
+                done[rows[over], : ids.shape[1]] = ids[over]
+                rows, ids, ranks, at, best = rows[~over], ids[~over], ranks[~over], at[~over], best[~over]
+                each = np.arange(len(rows))
+                if not len(rows):
+                    break
+            ids[each, at] = self._made[best]
+            after = columns[: ids.shape[1] - 1] + (columns[: ids.shape[1] - 1] > at[:, None])
+            ids = np.take_along_axis(ids, after, axis=1)  # without the right part of the merge
+            ranks = np.take_along_axis(ranks, np.minimum(after[:, :-1] + (after[:, :-1] == at[:, None]), ranks.shape[1] - 1), axis=1)
+            if not ranks.shape[1]:
+                done[rows, : ids.shape[1]] = ids
+                break
+            inside = at < ranks.shape[1]
+            ranks[each[inside], at[inside]] = self._rank_of(ids[each[inside], at[inside]], ids[each[inside], at[inside] + 1])
+            left = at > 0
+            ranks[each[left], at[left] - 1] = self._rank_of(ids[each[left], at[left] - 1], ids[each[left], at[left]])
+        flat = done[done >= 0].astype("<u4")
+        return np.split(flat, np.cumsum((done >= 0).sum(axis=1))[:-1])
 
     def _many(self, ids: list[int]) -> list[int]:
         """For long words: a heap over a linked list."""
@@ -182,7 +226,7 @@ class WordBpe:
         self.proposed += len(words)
         if not self.sound:
             self.merged += len(words)
-            return [np.array(self.exact(s), np.uint32) for s in raw]
+            return self.exact(raw)
         ends = np.cumsum([len(s) + 1 for s in raw])
         found = [(end, i) for end, (i, _) in self._match.iter_long(_GAP.join(raw))]
         end, ids = np.array([e for e, _ in found], np.int64), np.array([i for _, i in found], np.int64)
@@ -194,24 +238,36 @@ class WordBpe:
         failing[word[1:][inner][~self._compatible(distinct // self.size, distinct % self.size)[back]]] = True
         parts = np.split(ids.astype("<u4"), np.searchsorted(word, np.arange(1, len(words))))
         self.merged += int(failing.sum())
-        for i in np.flatnonzero(failing).tolist():
-            parts[i] = np.array(self.exact(raw[i]), "<u4")
+        wrong = np.flatnonzero(failing).tolist()
+        for i, own in zip(wrong, self.exact([raw[i] for i in wrong])):
+            parts[i] = own
         return parts
 
-    @staticmethod
-    def _words(chunk: str) -> list[str]:
+    def _words(self, chunk: str) -> list[str]:
         """The pattern's matches; characters that Python's tables don't have yet count as symbols."""
-        if chunk.isascii() or all(unicodedata.category(c) != "Cn" for c in chunk):
+        if not self._odd or self._odd.isdisjoint(chunk):
             return _WORDS.findall(chunk)
-        known = "".join(["\u2603" if unicodedata.category(c) == "Cn" else c for c in chunk])
+        known = "".join(["\u2603" if c in self._odd else c for c in chunk])
         return [chunk[m.start() : m.end()] for m in _WORDS.finditer(known)]
 
+    def _note(self, text: str) -> None:
+        new = set(text) - self._seen
+        if new:
+            self._seen |= new
+            self._odd |= {c for c in new if unicodedata.category(c) == "Cn"}
+
     def _resolve(self, chunks: list[str]) -> None:
         split = [self._words(c) for c in chunks]
-        words = list({w for ws in split for w in ws})
-        ids = {w: x.tobytes() for w, x in zip(words, self.encode_words(words))}
+        known = self._known
+        if len(known) > _WORDS_KEPT:
+            known.clear()
+        words = list(set().union(*split) - known.keys())
+        known.update(zip(words, [x.tobytes() for x in self.encode_words(words)]))
         for c, ws in zip(chunks, split):
-            self._chunks[c] = b"".join([ids[w] for w in ws])
+            self._chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+        for w in words:
+            if len(w) > _LONG:
+                del known[w]
 
     def _pieces_of(self, text: str) -> list[str | int]:
         """Chunks without white space, and the ids of special tokens that the text spells out."""
@@ -221,7 +277,10 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().translate(_NEWER)
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                if _HAS_NEWER.search(part):
+                    part = part.translate(_NEWER)
+                self._note(part)
             else:
                 part = part.lower()
             out += [c for c in _SPACES.split(part) if c] if _NOT_SPACE.search(part) else part.split()
