@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, near_dup, packing, preference_format, quality_fm, quality_rules, token_counts, warc, word_bpe
+from . import media, near_dup, packing, preference_format, quality_fm, quality_rules, suffix_dedup, token_counts, warc, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,7 +62,7 @@ def op10_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_fm, op2_best_fit_packing, op3_minhash_near_dup, op4_preference_format, op5_token_histogram, op7_warc_round_trip, op8_bpe_round_trip, op9_host_rules, op10_wav_fingerprints)
+    f.__name__: f for f in (op1_quality_fm, op2_best_fit_packing, op3_minhash_near_dup, op4_preference_format, op5_token_histogram, op6_suffix_dedup, op7_warc_round_trip, op8_bpe_round_trip, op9_host_rules, op10_wav_fingerprints)
 }
 
 OP7_SQL = """
