@@ -46,7 +46,7 @@ from ._common import free_name, record_batch, stored, texts_of
 LENGTH = 50
 GRAM = 20
 MANY = 64
-OVER = 4096  # distinct strings of a key that a bucket compares as strings
+OVER = 65_536  # distinct strings of a key that a bucket compares as strings
 RUN = 64  # windows in a string at most
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
