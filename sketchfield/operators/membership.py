@@ -71,8 +71,8 @@ def _probe_bitmap(df: DataFrame, key: Column | str, words: DataFrame, spec: Spec
 
     @F.pandas_udf("boolean")
     def test(*h: pd.Series) -> pd.Series:
-        null = h[0].isna().to_numpy()
-        a = [x.fillna(0).to_numpy().astype(np.int64) for x in h]
+        a = [x.to_numpy() for x in h]
+        null = a[0] < 0
         w, ok = bits.value, ~null
         g = np.zeros(len(null), np.int64)
         if layout in ("block", "sharded"):
@@ -95,7 +95,8 @@ def _probe_bitmap(df: DataFrame, key: Column | str, words: DataFrame, spec: Spec
             ok &= (w[g * stride + pos // 64] >> (pos % 64)) & 1 == 1
         return pd.Series(ok)
 
-    return df.withColumn(out, test(*first(_key(key))))
+    # a null would make doubles of the batch's numbers, so it goes as -1
+    return df.withColumn(out, test(*(F.coalesce(h, F.lit(-1).cast("long")) for h in first(_key(key)))))
 
 
 def matching(keys: DataFrame, key: str, words: DataFrame, spec: Spec, by: Sequence[str] = ("filter_id",)) -> DataFrame:
@@ -112,7 +113,7 @@ def matching(keys: DataFrame, key: str, words: DataFrame, spec: Spec, by: Sequen
 
 
 def _probe_join(df: DataFrame, key: Column | str, words: DataFrame, out: str, spec: Spec) -> DataFrame:
-    own = df.withColumn("_probe", _key(key).cast("string"))
+    own = df.withColumn("_probe", _key(key))
     hits = matching(own, "_probe", words, spec, by=()).withColumn(out, F.lit(True))
     return own.join(hits, "_probe", "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("_probe")
 
