@@ -209,10 +209,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     joined = components(links)
 
     home = group.join(joined, "node", "left").select("node", "g", F.coalesce("component", "node").alias("c"))
-    posts = posts.join(home, "node").join(found.select("node", "toks"), "node").select("b", "node", "g", "c", "toks", (F.col("g") != -F.col("hub.neg")).alias("visits"))
+    posts = posts.join(home, "node").join(found.select("node", "toks", "prefix"), "node").select("b", "node", "g", "c", "toks", "prefix", (F.col("g") != -F.col("hub.neg")).alias("visits"))
     x, y = posts.where("visits").alias("x"), posts.alias("y")
     enough = F.size(F.array_intersect(F.col("x.toks"), F.col("y.toks"))) >= matches
-    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & enough)
+    once = F.array_min(F.array_intersect(F.col("x.prefix"), F.col("y.prefix"))) == F.col("x.b")  # of the values where a pair meets, at one
+    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & enough & once)
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = stored(_confirmed(pairs, texts, percent, size), "links")
     # rows of one doc_id with different sets are one document
