@@ -347,7 +347,7 @@ def _strings(docs: DataFrame, keys: DataFrame, length: int, k: int, many: int) -
     return joined.mapInArrow(cut, _FOUND)
 
 
-def _compared(found: DataFrame, length: int) -> DataFrame:
+def _compared(found: DataFrame, length: int, over: int) -> DataFrame:
     """What meeting by minimizer decides: spans to remove, and windows of marked keys."""
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,7 @@ def _compared(found: DataFrame, length: int) -> DataFrame:
         part: list[bytes] = []
         size = 0
         for key, own in of_key.items():
-            if key in marked or len(own) > OVER:
+            if key in marked or len(own) > over:
                 for s in own:
                     windows.add_windows(s, table.of[s][1], table.of[s][2], length)
             elif len(own) > 1 and len({table.of[s][1] for s in own}) > 1:
@@ -401,7 +401,7 @@ def _met_windows(windows: DataFrame, length: int) -> DataFrame:
     return windows.repartition("key").mapInArrow(meet, _FOUND)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY, over: int = OVER) -> DataFrame:
     """(doc, spans): a list of packed (start, stop) pairs for each document with repeats."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -415,7 +415,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: i
     keys = stored(_gathered(docs.select(F.xxhash64("text").alias("doc_id"), "text"), length, k, parts), "minimizers")
     keys = keys.join(first.select("short", "first"), F.col("doc") == F.col("short")).select(F.col("first").alias("doc"), "keys")
     found = stored(_strings(docs, keys, length, k, many), "strings")
-    compared = stored(_compared(found, length), "spans")
+    compared = stored(_compared(found, length, over), "spans")
     windows = _met_windows(found.union(compared).where(f"kind = {_WINDOW}"), length)
     removed = found.union(compared).where(f"kind = {_REMOVE}").union(windows).select("doc", "at", F.lit(None).cast("struct<a:bigint,z:bigint>").alias("whole"))
     removed = removed.union(whole.select("doc", F.lit(None).cast("binary").alias("at"), "whole"))
@@ -434,10 +434,10 @@ def _kept_bytes(text: str | None, spans: dict | None) -> tuple[bytes, bytes, np.
     return raw, b"".join([raw[a:z] for a, z in zip(edges[::2], edges[1::2])]), runs
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY, over: int = OVER) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
     narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    spans = repeated_spans(docs, length, k, many)
+    spans = repeated_spans(docs, length, k, many, over)
     joined = narrow.join(spans, narrow["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,9 +452,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MA
     return joined.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY, over: int = OVER) -> DataFrame:
     """The documents with all columns, and texts without their repeats; texts without any stay as they are."""
-    spans = repeated_spans(docs, length, k, many)
+    spans = repeated_spans(docs, length, k, many, over)
     doc, own = free_name(docs, "doc"), free_name(docs, "spans")
     spans = spans.toDF(doc, own)
     joined = docs.join(spans, docs["doc_id"].cast("long") == spans[doc], "left").drop(doc)
