@@ -7,11 +7,11 @@ form of a delete is the net count, floored at zero and capped at the counters' l
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import CounterOverflow, InvalidParameters
 from ..plans.sizing import Spec
+from .growing import ranked
 from .membership import positions
 
 #: Largest counts of 4, 8 and 16-bit counters.
@@ -63,7 +63,7 @@ def contains(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> DataFr
 def first_failure(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec) -> DataFrame:
     """Of deletes in an order, how many precede the first key that isn't there; null if all are there."""
     known = contains(df, key, counters, spec)
-    numbered = df.select(key, F.row_number().over(W.orderBy(order)).alias("n"))
+    numbered = ranked(df.select(*dict.fromkeys([key, order])), [order], "n").select(key, "n")
     return numbered.join(known, key, "left").where(~F.coalesce("maybe", F.lit(False))).agg((F.min("n") - 1).cast("long").alias("deleted_before_failure"))
 
 

@@ -7,6 +7,7 @@ then inside each range, so no task sorts the whole input.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,16 +16,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import CapacityExceeded
-from ..plans.slices import Slice
+from ..functions.hashing import place
+from ..plans.sizing import standard
+from ..plans.slices import LEAST_RATE, Slice, next_ratio
 from . import membership
 
 
-def ranked(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """``df`` with each row's rank, from 1, in a total order."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", ranges: int = 200) -> DataFrame:
+    """``df`` with each row's rank, from 1, in a total order; the first column must be a number or a time.
+
+    Ranges are cut at quantiles that are literals of the plan, so a repeated task deals rows alike.
+    """
+    kind = df.schema[order[0]].dataType.typeName()
+    lead = (F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(order[0])).cast("double")
+    bounds = sorted(set(df.select(lead.alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.002)))
+    part = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: b < lead)) if bounds else F.lit(0)
+    parts = df.withColumn("_part", F.when(lead.isNull(), F.lit(-1)).otherwise(part))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    parts = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     return parts.join(starts, "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
@@ -41,17 +51,36 @@ def assigned(df: DataFrame, order: Sequence[str], plan: list[Slice], strict: boo
     return out.withColumn("slice", slice_of(F.col("_rank"), plan)).drop("_rank")
 
 
+def _slots(hashes: Column, s: Slice) -> Column:
+    """The positions of a key in a slice, with the slice: an array of structs."""
+    _, second = place(s.spec)
+    return F.array(*(F.struct(F.lit(s.number).alias("slice"), p.cast("long").alias("pos")) for _, p in second([hashes[0], hashes[1]])))
+
+
+def _hashed(df: DataFrame, key: str, plan: list[Slice], *more: str) -> DataFrame:
+    first, _ = place(plan[0].spec)
+    return df.where(F.col(key).isNotNull()).select(*more, F.array(*first(F.col(key))).alias("_h"))
+
+
+_BIT = "shiftleft(1L, CAST(p.pos % 64 AS INT))"
+
+
 def build(df: DataFrame, key: str, plan: list[Slice]) -> DataFrame:
-    """Words of all slices, slice as filter_id, of rows that have a slice."""
-    parts = [membership.build(df.where(F.col("slice") == s.number), key, s.spec).withColumn("filter_id", F.lit(str(s.number))) for s in plan]
-    return reduce(DataFrame.unionByName, parts)
+    """Words of all slices, slice as filter_id, of rows that have a slice: one pass over the rows."""
+    own = reduce(lambda found, s: F.when(F.col("slice") == s.number, _slots(F.col("_h"), s)).otherwise(found), plan[1:], _slots(F.col("_h"), plan[0]))
+    at = _hashed(df, key, plan, "slice").select(F.explode(own).alias("p"))
+    words = at.groupBy(F.col("p.slice").cast("string").alias("filter_id"), F.expr("p.pos div 64").alias("word")).agg(F.bit_or(F.expr(_BIT)).alias("bits"))
+    return words.select("filter_id", F.lit(0).cast("long").alias("grp"), "word", "bits")
 
 
 def matches(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
-    """(key, slice) for each slice that a distinct key may be in."""
-    keys = df.select(key).distinct()
-    parts = [membership.matching(keys, key, words.where(F.col("filter_id") == str(s.number)), s.spec, by=()).withColumn("slice", F.lit(s.number)) for s in plan]
-    return reduce(DataFrame.unionByName, parts)
+    """(key, slice) for each slice that a distinct key may be in: one lookup of all slices' words."""
+    keys = df.select(F.col(key).alias("k")).where("k is not null").distinct()
+    at = _hashed(keys, "k", plan, "k").select("k", F.explode(F.concat(*(_slots(F.col("_h"), s) for s in plan))).alias("p"))
+    need = at.groupBy("k", "p.slice", F.expr("p.pos div 64").alias("word")).agg(F.bit_or(F.expr(_BIT)).alias("need"))
+    have = words.select(F.col("filter_id").cast("int").alias("slice"), "word", "bits")
+    found = need.join(have, ["slice", "word"], "left").groupBy("k", "slice").agg(F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"), F.lit(False))).alias("hit"))
+    return found.where("hit").select(F.col("k").alias(key), "slice")
 
 
 def provenance(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], newest_first: bool = False) -> DataFrame:
@@ -77,3 +106,31 @@ def growth_health(stats: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("slices"), F.sum("capacity").alias("total_capacity"), F.sum("set_bits").alias("set_bits"), (F.sum("set_bits") / F.sum("m")).alias("aggregate_fill"),
         (1 - F.exp(F.sum(F.log1p(-F.col("estimated_fpr"))))).alias("compound_fpr"), F.sum("estimated_fpr").alias("max_fpr"), F.max_by("fill_rate", "slice").alias("current_fill"),
     )
+
+
+def traced(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
+    """(key, trace): for each distinct key the slices in order, with whether they match, their hashes and fill."""
+    fills = {r["slice"]: r["fill_rate"] for r in slice_statistics(words, plan).collect()}  # a row for each slice
+    found = matches(df, key, words, plan).groupBy(key).agg(F.collect_set("slice").alias("_slices"))
+    none = F.array().cast("array<int>")
+    steps = F.array(*(F.struct(F.lit(s.number).alias("slice"), F.array_contains("_slices", s.number).alias("matched"), F.lit(s.spec.k).alias("hashes"), F.lit(float(fills[s.number])).alias("fill_rate")) for s in plan))
+    return df.select(key).distinct().join(found, key, "left").withColumn("_slices", F.coalesce("_slices", none)).select(key, steps.alias("trace"))
+
+
+def adaptive_build(df: DataFrame, key: str, order: Sequence[str], capacity: int, rate: float, ratio: float = 0.5, fill: float = 0.5, max_slices: int = 64) -> tuple[DataFrame, list[Slice]]:
+    """Slices whose rates tighten by how full the one before became: a job for each slice."""
+    rows = ranked(df, order, "_rank")
+    total, plan, parts, first, p = rows.count(), [], [], 1, rate
+    for i in range(max_slices):
+        own = capacity * 2**i
+        take = max(1, math.ceil(own * fill))
+        last = first + take - 1 if i + 1 < max_slices else total
+        spec = standard(own, p)
+        plan.append(Slice(i, own, p, spec, take, first))
+        parts.append(membership.build(rows.where(F.col("_rank").between(first, last)), key, spec).withColumn("filter_id", F.lit(str(i))))
+        first += take
+        if first > total:
+            break
+        ratio = next_ratio(ratio, membership.statistics(parts[-1], spec).first()["fill_rate"])
+        p = max(LEAST_RATE, p * ratio)
+    return reduce(DataFrame.unionByName, parts), plan

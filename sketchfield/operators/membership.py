@@ -9,6 +9,7 @@ words up in a join.  Null keys are not built in and probe to false.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -218,3 +219,11 @@ def health(words: DataFrame, spec: Spec, levels: tuple[float, float] = (0.5, 0.7
     ratio = F.col("estimated_fpr") / spec.target_fpr if spec.target_fpr else F.lit(1.0)
     state = F.when((F.col("fill_rate") < levels[0]) & (ratio < 2), "Healthy").when((F.col("fill_rate") < levels[1]) & (ratio < 5), "Degraded").otherwise("Critical")
     return s.select("*", ratio.alias("fpr_ratio"), state.alias("state"))
+
+
+def item_estimates(words: DataFrame, spec: Spec, items: int) -> DataFrame:
+    """One row: the rate by item count with and without collisions of groups, and the item estimate, exact while the fill is under 1 %."""
+    by_bits, by_group = (1 - exp(-spec.k * items / spec.bits)) ** spec.k, (1 - exp(-items / spec.m)) ** spec.k
+    s = statistics(words, spec)
+    guess = F.when(F.col("fill_rate") < 0.01, F.lit(items).cast("long")).otherwise(F.col("estimated_items"))
+    return s.select(F.lit(by_bits).alias("fpr_by_items"), F.lit(by_group).alias("fpr_by_partition"), guess.alias("estimated_items"), (F.col("fill_rate") > 0.7).alias("should_resize"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,3 +65,23 @@ def compare_profiles(df: DataFrame, key: str) -> list[tuple[str, float]]:
         return time.perf_counter() - began
 
     return sorted(((name, timed(make)) for name, make in PROFILES.items()), key=lambda x: x[1])
+
+
+class Metrics:
+    """Counts rows, hits and seconds of operations as they run, by an observation of each."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self.seconds: dict[str, float] = {}
+
+    def run(self, name: str, df: DataFrame, write: Callable[[DataFrame], None], hit: Column | None = None) -> None:
+        seen = Observation()
+        began = time.perf_counter()
+        write(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum((F.lit(True) if hit is None else hit).cast("long")), F.lit(0)).alias("hits")))
+        self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+        for k, v in seen.get.items():
+            self.counts[f"{name}_{k}"] = self.counts.get(f"{name}_{k}", 0) + v
+
+    def snapshot(self) -> dict[str, float]:
+        rates = {f"{n}_rows_per_second": self.counts.get(f"{n}_rows", 0) / s for n, s in self.seconds.items() if s}
+        return self.counts | {f"{n}_seconds": s for n, s in self.seconds.items()} | rates

@@ -408,7 +408,7 @@ def _matches_sql() -> str:
 
 @query(f"WITH {_SLICES_SQL}, {_all_slices_sql()}, {_matches_sql()} SELECT k, min(slice) AS slice, count(*) AS n_slices FROM m GROUP BY k")
 def scalable_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sliced(spark, sf_dir).cache()
+    rows = _sliced(spark, sf_dir)
     return growing.provenance(rows, "k", growing.build(rows, "k", GROWN), GROWN)
 
 
@@ -419,16 +419,52 @@ e AS (SELECT *, set_bits / m AS fill_rate, pow(set_bits / m, k) AS estimated_fpr
 
 @query(f"WITH {_BREAKDOWN_SQL} SELECT slice, capacity, rate, m, k, set_bits, round(fill_rate, 9) AS fill_rate, round(estimated_fpr, 9) AS estimated_fpr, round(estimated_fpr / sum(estimated_fpr) OVER (), 6) AS share FROM e")
 def scalable_fpr_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = growing.slice_statistics(growing.build(_sliced(spark, sf_dir).cache(), "k", GROWN), GROWN)
+    stats = growing.slice_statistics(growing.build(_sliced(spark, sf_dir), "k", GROWN), GROWN)
     return _rounded(stats, "fill_rate", "estimated_fpr").withColumn("share", F.round("share", 6))
 
 
 @query(f"WITH {_BREAKDOWN_SQL} SELECT count(*) AS slices, sum(capacity) AS total_capacity, sum(set_bits) AS set_bits, round(sum(set_bits) / sum(m), 9) AS aggregate_fill, round(1 - exp(sum(ln(1 - estimated_fpr))), 9) AS compound_fpr, round(sum(estimated_fpr), 9) AS max_fpr, round(arg_max(fill_rate, slice), 9) AS current_fill FROM e")
 def scalable_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = growing.slice_statistics(growing.build(_sliced(spark, sf_dir).cache(), "k", GROWN), GROWN)
+    stats = growing.slice_statistics(growing.build(_sliced(spark, sf_dir), "k", GROWN), GROWN)
     return _rounded(growing.growth_health(stats), "aggregate_fill", "compound_fpr", "max_fpr", "current_fill")
 
 
+CONCURRENT = slice_plan(333, 0.01, 200_000, floor=True)
+
+
+@query(f"""
+WITH plan(slice, first) AS (VALUES {", ".join(f"({s.number}, {s.first})" for s in CONCURRENT)}), r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rank FROM events)
+SELECT event_id, (SELECT max(slice) FROM plan WHERE first <= rank) AS slice FROM r
+""")
+def concurrent_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices that open after an insert fills the last one, at half of the capacity rounded down."""
+    return growing.assigned(_t(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], CONCURRENT).select("event_id", "slice")
+
+
+@query(f"""
+WITH {_SLICES_SQL}, {_all_slices_sql()}, {_matches_sql()}, n AS (SELECT DISTINCT k FROM s), g(slice) AS (VALUES {", ".join(f"({s.number})" for s in GROWN)})
+SELECT n.k, string_agg(CASE WHEN m.k IS NULL THEN '0' ELSE '1' END, '' ORDER BY g.slice) AS trace FROM n CROSS JOIN g LEFT JOIN m ON m.k = n.k AND m.slice = g.slice GROUP BY n.k
+""")
+def scalable_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sliced(spark, sf_dir)
+    steps = growing.traced(rows, "k", growing.build(rows, "k", GROWN), GROWN)
+    return steps.select("k", F.array_join(F.transform("trace", lambda t: F.when(t["matched"], "1").otherwise("0")), "").alias("trace"))
+
+
+_PARTED = LAYOUTS["partitioned"]
+_PARTED_SQL = _filter_sql("f", "SELECT p_name AS k, '' AS o FROM part", _PARTED)
+
+
+@query(f"""
+WITH {_PARTED_SQL}, s AS ({_stats_sql('f', _PARTED)})
+SELECT round(pow(1 - exp(-{_PARTED.k} * 2000 / {_PARTED.bits}), {_PARTED.k}), 9) AS fpr_by_items, round(pow(1 - exp(-2000 / {_PARTED.m}), {_PARTED.k}), 9) AS fpr_by_partition,
+  CASE WHEN fill_rate < 0.01 THEN 2000 ELSE estimated_items END AS estimated_items, fill_rate > 0.7 AS should_resize FROM s
+""")
+def partitioned_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = membership.build(_t(spark, sf_dir, "part"), "p_name", _PARTED)
+    return _rounded(membership.item_estimates(words, _PARTED, 2_000), "fpr_by_items", "fpr_by_partition")
+
+
 _GROWTHS = {"constant": Growth("constant"), "geometric": Growth(), "bounded": Growth("bounded", 2.0, 4_000)}
 
 

@@ -173,3 +173,14 @@ def test_reports(spark):
     assert reports.to_json(spark.range(1)).first()["json"] == '{"id":0}'
     assert {n for n, _ in reports.compare_profiles(spark.range(10), "id")} >= {"portable", "fast"}
     assert reports.log_histogram(spark.createDataFrame([(0.5,), (1e9,)], "v double"), "v").agg(F.sum("n")).first()[0] == 2
+
+
+def test_metrics_and_adaptive_growth(spark):
+    counted = reports.Metrics()
+    counted.run("probe", spark.range(10), lambda df: df.write.format("noop").mode("overwrite").save(), F.col("id") < 4)
+    assert counted.snapshot()["probe_rows"] == 10 and counted.snapshot()["probe_hits"] == 4
+    rows = spark.range(300)
+    words, plan = growing.adaptive_build(rows, "id", ["id"], 100, 0.01)
+    assert [s.first for s in plan] == [1, 51, 151] and plan[1].rate < plan[0].rate
+    assert growing.provenance(rows, "id", words, plan).where("slice is null").count() == 0
+    assert growing.traced(rows, "id", words, plan).where("id = 0").first()["trace"][0]["matched"]
