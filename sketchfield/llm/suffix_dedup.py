@@ -14,9 +14,9 @@ smaller doc_id, judged on the texts as they came.
    intervals of common prefix length l, one step derives those of l + 1, and the expansion
    stops at ``LENGTH``.  What one interval then holds are the equal windows, whose smallest
    document decides.
-4. A minimizer with more than ``MANY`` distinct strings in one batch, or ``OVER`` in all (at the edges of a passage that a
-   large part of the corpus shares) is not gathered in a bucket: its windows are keyed one by one
-   by a 128-bit hash of their own.
+4. A minimizer with more than ``OVER`` distinct strings, or in one batch more than its share of them
+   (at the edges of a passage that a large part of the corpus shares), is not gathered in a bucket:
+   its windows are keyed one by one by a 128-bit hash of their own.
 
 Every shuffled key is combined in each batch before: what meets in a task is bounded by the number of
 batches, not of documents.  Nothing is dropped for it: what a batch decides alone is final.
@@ -45,7 +45,6 @@ from ._common import free_name, record_batch, stored, texts_of
 
 LENGTH = 50
 GRAM = 20
-MANY = 64
 OVER = 65_536  # distinct strings of a key that a bucket compares as strings
 RUN = 64  # windows in a string at most
 
@@ -113,20 +112,21 @@ def intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     bwt = symbols[sa - 1]  # the symbol before each suffix, the last one before the first
     order = np.argsort(bwt.astype(np.uint16) if bwt.max() < 1 << 16 else bwt, kind="stable")  # order[LF(i)] = i
     column = bwt[order]
-    lcp = np.full(n, length, np.int64)
+    lcp = np.full(n, length, np.int16)
+    order = order.astype(np.int32)
     fresh = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
     lcp[fresh] = 0
-    block, ends = fresh, np.append(fresh[1:], n)
+    wide = np.flatnonzero(np.diff(np.append(fresh, n)) > 1)  # symbols that occur once, the separators, have no more boundaries
+    block, ends = fresh[wide].tolist(), np.append(fresh[1:], n)[wide].tolist()
     for level in range(1, length):
         if not len(fresh):
             break
-        if len(fresh) * len(block) * 4 > n:  # all intervals at once
-            group = np.cumsum(lcp < level)
-            g = group[order]
-            at = np.flatnonzero(np.concatenate([[False], g[1:] != g[:-1]]))
+        if len(fresh) * len(block) > n:  # all intervals at once
+            g = np.cumsum(lcp < level, dtype=np.int32)[order]
+            at = np.flatnonzero(g[1:] != g[:-1]) + 1
         else:
-            at = np.concatenate([a + np.searchsorted(order[a:z], fresh) for a, z in zip(block.tolist(), ends.tolist())])
-            at = np.unique(at[at < n])
+            at = np.concatenate([(a + i)[a + i < z] for a, z in zip(block, ends) for i in (np.searchsorted(order[a:z], fresh),)] or [fresh[:0]])
+            at = np.unique(at)
         fresh = at[lcp[at] > level]
         lcp[fresh] = level
     return sa, lcp
@@ -144,9 +144,9 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, length: int) -> lis
     start = sa - np.concatenate([[0], ends[:-1] + 1])[own]
     group = np.cumsum(lcp < length) - 1
     whole = start + length <= sizes[own]
-    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group[whole], docs[own[whole]])
-    hit = whole & (least[group] < docs[own])
+    of = np.where(whole, docs[own], np.iinfo(np.int64).max)
+    least = np.minimum.reduceat(of, np.flatnonzero(lcp < length))
+    hit = whole & (least[group] < of)
     own, start = own[hit], start[hit]
     at = np.lexsort((start, own))
     own, start = own[at], start[at]
@@ -256,7 +256,7 @@ def _gathered(docs: DataFrame, length: int, k: int, parts: int) -> DataFrame:
 _FOUND = "kind int, key long, doc long, at binary, string binary"
 #: Kinds of rows: spans of a document to remove; a string; a mark that its key goes window by window; a window.
 _REMOVE, _STRING, _MARK, _WINDOW = range(4)
-_TEXT = 1_000_000  # bytes of strings in one transform
+_TEXT = 400_000  # bytes of strings in one transform
 
 
 def _rows(kind: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -401,10 +401,11 @@ def _met_windows(windows: DataFrame, length: int) -> DataFrame:
     return windows.repartition("key").mapInArrow(meet, _FOUND)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY, over: int = OVER) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int | None = None, over: int = OVER) -> DataFrame:
     """(doc, spans): a list of packed (start, stop) pairs for each document with repeats."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * batches
     docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").where(f"doc_id is not null and octet_length(text) >= {length}")
     # equal texts: one of them goes on, all but the smallest go whole
     content = F.sha2("text", 256)
@@ -412,6 +413,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: i
     marked = stored(marked, "contents")
     first = marked.groupBy("content").agg(F.min("doc_id").alias("first"), F.min("short").alias("short"))
     whole = marked.join(first.select("content", "first"), "content").where("doc_id > first").select(F.col("doc_id").alias("doc"), F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("z")).alias("whole"))
+    # a key's strings from all batches stay in one bucket only if they are OVER at most, nearly
+    many = max(4, over // batches) if many is None else many
     keys = stored(_gathered(docs.select(F.xxhash64("text").alias("doc_id"), "text"), length, k, parts), "minimizers")
     keys = keys.join(first.select("short", "first"), F.col("doc") == F.col("short")).select(F.col("first").alias("doc"), "keys")
     found = stored(_strings(docs, keys, length, k, many), "strings")
@@ -434,7 +437,7 @@ def _kept_bytes(text: str | None, spans: dict | None) -> tuple[bytes, bytes, np.
     return raw, b"".join([raw[a:z] for a, z in zip(edges[::2], edges[1::2])]), runs
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY, over: int = OVER) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int | None = None, over: int = OVER) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
     narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     spans = repeated_spans(docs, length, k, many, over)
@@ -452,7 +455,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MA
     return joined.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int = MANY, over: int = OVER) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, many: int | None = None, over: int = OVER) -> DataFrame:
     """The documents with all columns, and texts without their repeats; texts without any stay as they are."""
     spans = repeated_spans(docs, length, k, many, over)
     doc, own = free_name(docs, "doc"), free_name(docs, "spans")
