@@ -2,8 +2,8 @@
 
 Documents are encoded, ended with a separator id and, only if longer than the capacity, cut into
 full pieces and a shorter last one.  Pieces are dealt by a hash of their place to tasks of about
-``rows_per_task`` documents; each task packs its pieces in a fixed order (so a repeated task
-gives the same result) into a fixed number of open bins.  An integer serves as a bitset with
+``rows_per_task`` documents; there they arrive longest first, in a fixed order (so a repeated task
+gives the same result), and are packed online into a fixed number of open bins.  An integer serves as a bitset with
 a bit for each amount of free space that some open bin has: the best bin for a piece is at the
 lowest set bit not below the piece's length, and when too many bins are open, the one at the
 lowest bit, the fullest, closes.
@@ -29,7 +29,7 @@ from ._common import map_arrow, record_batch, runs, texts_of
 from .word_bpe import load
 
 CAPACITY = 2048
-OPEN_BINS = 4096
+OPEN_BINS = 65_536  # more than a task's documents, so it binds only where tasks are larger
 ROWS_PER_TASK = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -121,7 +121,7 @@ def best_fit(found: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([base + n for n, _ in where], pa.int64()), pa.array([at for _, at in where], pa.int64())], names=[*names, "sequence_id", "offset"])
 
     place = F.xxhash64("doc_id", "piece")
-    dealt = found.repartition(tasks, place).sortWithinPartitions(place, "doc_id", "piece", "length", "ids_crc32")
+    dealt = found.repartition(tasks, place).sortWithinPartitions(F.desc("length"), place, "doc_id", "piece", "ids_crc32")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
     return dealt.mapInArrow(pack, f"{fields}, sequence_id long, offset long")
 
