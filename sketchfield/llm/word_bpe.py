@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from ._common import map_arrow, record_batch, runs, texts_of
 
-_CHUNKS = 600_000  # cached chunks of one worker
+_CHUNKS = 900_000  # cached chunks of one worker
 _WORDS_KEPT = 300_000
 _NONE = 1 << 40
 _EMPTY = np.zeros(0, "<u4")
@@ -289,11 +289,12 @@ class WordBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split = [self._pieces_of(t) for t in texts]
-        if len(self._chunks) > _CHUNKS:
-            self._chunks.clear()
+        used = set().union(*split)
+        if len(self._chunks) > _CHUNKS:  # what these texts use stays
+            self._chunks = {c: self._chunks[c] for c in used & self._chunks.keys()}
         for i in self.special.values():
             self._chunks[i] = np.array([i], "<u4").tobytes()  # type: ignore[index]
-        missing = list(set().union(*split) - self._chunks.keys())
+        missing = list(used - self._chunks.keys())
         self._resolve(missing)
         out = [b"".join([self._chunks[c] for c in chunks]) for chunks in split]
         for c in missing:
