@@ -178,7 +178,7 @@ def set_range(words: DataFrame, m: int, start: int, stop: int, value: bool = Tru
         raise InvalidRange(f"[{start}, {stop}) is not in [0, {m})")
     w = F.col("id")
     low, high = F.greatest(F.lit(start) - w * 64, F.lit(0)), F.least(F.lit(stop) - w * 64, F.lit(64))
-    ones = lambda n: F.when(n >= 64, F.lit(-1).cast("long")).otherwise(F.expr("1L").alias("one") * 0 + F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1)
+    ones = lambda n: F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - n).cast("int")))
     mask = words.sparkSession.range(start // 64, max(start // 64, -(-stop // 64))).where(high > low).select(F.lit("").alias("filter_id"), F.lit(0).cast("long").alias("grp"), w.alias("word"), ones(high).bitwiseXOR(ones(low)).alias("mask"))
     both = words.join(mask, _WORD, "full").select(*_WORD, F.coalesce("bits", F.lit(0).cast("long")).alias("b"), F.coalesce("mask", F.lit(0).cast("long")).alias("k"))
     changed = F.col("b").bitwiseOR(F.col("k")) if value else F.col("b").bitwiseAND(F.bitwise_not(F.col("k")))

@@ -71,6 +71,9 @@ def test_algebra(spark):
 def test_bit_ranges(spark):
     words = membership.set_range(membership.build(spark.range(0), "id", SPECS["standard"]), 300, 60, 200)
     assert sorted(r["pos"] for r in membership.set_positions(words).collect()) == list(range(60, 200))
+    for start, stop in ((63, 64), (0, 63), (64, 127), (5, 5)):
+        own = membership.set_range(membership.empty(words), 300, start, stop)
+        assert sorted(r["pos"] for r in membership.set_positions(own).collect()) == list(range(start, stop))
     assert membership.get_bit(words, 300, 63).first()["bit"] and not membership.get_bit(words, 300, 200).first()["bit"]
     with pytest.raises(errors.IndexOutOfBounds):
         membership.get_bit(words, 300, 300)
