@@ -45,7 +45,7 @@ MATCHES = 5
 BLOCK_DOCS = 128
 BLOCK_SHINGLES = 100_000
 
-_CACHE = 400_000
+_CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "little") for k in range(64)], np.uint64)
 

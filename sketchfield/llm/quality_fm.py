@@ -45,7 +45,7 @@ SIZE = WORD_BUCKETS + _BINS * len(_STATISTICS)
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         b = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
         return b

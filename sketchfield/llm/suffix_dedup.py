@@ -190,7 +190,7 @@ def _gathered(docs: DataFrame, length: int, k: int, parts: int) -> DataFrame:
     """(doc, keys): minimizers that occur in two documents, for each of them."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 2_500) for whole in batches for at in range(0, whole.num_rows, 2_500)):
             ids, found, own = batch.column(0).to_numpy(), [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 b = _bytes_of(text)

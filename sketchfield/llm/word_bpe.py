@@ -24,6 +24,7 @@ import heapq
 import json
 import re
 import unicodedata
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,21 +34,25 @@ from pyspark.sql import DataFrame
 
 from ._common import map_arrow, record_batch, runs, texts_of
 
-_CHUNKS = 900_000  # cached chunks of one worker
-_WORDS_KEPT = 300_000
+_CHUNKS = 400_000  # cached chunks of one worker
+_WORDS_KEPT = 200_000
 _NONE = 1 << 40
-_EMPTY = np.zeros(0, "<u4")
 _LONG = 200  # chunks beyond this length aren't cached
-_NOT_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the pattern below
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the pattern below
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _SPACES = regex.compile(rf"[{_SPACE}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: Lower case of letters that Unicode gained in version 16, later than this Python's tables: fixed values.
 _NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
-_HAS_NEWER = re.compile("[" + "".join(map(chr, _NEWER)) + "]")
 _GAP = "\u0400"  # between words; no symbol has it
 
 
+def _cut(ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Ids between edges, packed."""
+    raw, at = ids.astype("<u4").tobytes(), (4 * edges).tolist()
+    return [raw[a:z] for a, z in zip(at, at[1:])]
+
+
 def byte_symbols() -> dict[str, int]:
     """The usual printable stand-in of each byte, and the byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -112,12 +117,13 @@ class WordBpe:
         self._match = ahocorasick.Automaton()
         for i, s in inner.items():
             if valid[i]:
-                self._match.add_word(s, (i, len(s)))
+                self._match.add_word(s, i)
         self._match.make_automaton()
         self._chunks: dict[str, bytes] = {}
         self._known: dict[str, bytes] = {}
         self._seen: set[str] = set()  # characters outside ASCII texts, and those of them that Python's tables lack
         self._odd: set[str] = set()
+        self._newer = False
         #: Words proposed and words merged exactly, for tests and reports.
         self.proposed = self.merged = 0
 
@@ -145,9 +151,9 @@ class WordBpe:
             a, b = np.where(down, self.right[a], a), np.where(down, b, self.left[b])
         return ok
 
-    def exact(self, words: list[str]) -> list[np.ndarray]:
+    def exact(self, words: list[str]) -> list[bytes]:
         """Merge by rank, leftmost first: all words of about a length at once, long ones by a heap."""
-        out: list[np.ndarray] = [_EMPTY] * len(words)
+        out: list[bytes] = [b""] * len(words)
         sizes = np.array([len(w) for w in words], np.int64)
         order = np.argsort(sizes, kind="stable")
         order = order[: np.searchsorted(sizes[order], 64, side="right")]
@@ -156,7 +162,7 @@ class WordBpe:
                 for i, ids in zip(part.tolist(), self._together([words[i] for i in part.tolist()], int(sizes[part].max()))):
                     out[i] = ids
         for i in np.flatnonzero(sizes > 64).tolist():
-            out[i] = np.array(self._many([self._symbol[c] for c in words[i]]), "<u4")
+            out[i] = np.array(self._many([self._symbol[c] for c in words[i]]), "<u4").tobytes()
         return out
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,7 +171,7 @@ class WordBpe:
         i = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where((self._keys[i] == key) & (a >= 0) & (b >= 0), self._ranks[i], _NONE)
 
-    def _together(self, words: list[str], width: int) -> list[np.ndarray]:
+    def _together(self, words: list[str], width: int) -> list[bytes]:
         sizes = np.array([len(w) for w in words], np.int64)
         flat = self._by_symbol[np.frombuffer("".join(words).encode("utf-16-le"), "<u2")]
         ids = np.full((len(words), width + 1), -1, np.int64)
@@ -195,8 +201,7 @@ class WordBpe:
             ranks[each[inside], at[inside]] = self._rank_of(ids[each[inside], at[inside]], ids[each[inside], at[inside] + 1])
             left = at > 0
             ranks[each[left], at[left] - 1] = self._rank_of(ids[each[left], at[left] - 1], ids[each[left], at[left]])
-        flat = done[done >= 0].astype("<u4")
-        return np.split(flat, np.cumsum((done >= 0).sum(axis=1))[:-1])
+        return _cut(done[done >= 0], np.concatenate([[0], np.cumsum((done >= 0).sum(axis=1))]))
 
     def _many(self, ids: list[int]) -> list[int]:
         """For long words: a heap over a linked list."""
@@ -217,7 +222,7 @@ class WordBpe:
                     heapq.heappush(heap, (key, x))
         return [i for i in ids if i >= 0]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word; a word is a non-empty string without white space, in lower case."""
         if not words:
             return []
@@ -228,15 +233,15 @@ class WordBpe:
             self.merged += len(words)
             return self.exact(raw)
         ends = np.cumsum([len(s) + 1 for s in raw])
-        found = [(end, i) for end, (i, _) in self._match.iter_long(_GAP.join(raw))]
-        end, ids = np.array([e for e, _ in found], np.int64), np.array([i for _, i in found], np.int64)
+        found = np.fromiter(chain.from_iterable(self._match.iter_long(_GAP.join(raw))), np.int64)
+        end, ids = found[::2], found[1::2]
         word = np.searchsorted(ends, end, side="right")
         failing = np.zeros(len(words), bool)
         inner = word[1:] == word[:-1]
         pairs = ids[:-1][inner] * self.size + ids[1:][inner]
         distinct, back = np.unique(pairs, return_inverse=True)
         failing[word[1:][inner][~self._compatible(distinct // self.size, distinct % self.size)[back]]] = True
-        parts = np.split(ids.astype("<u4"), np.searchsorted(word, np.arange(1, len(words))))
+        parts = _cut(ids, np.searchsorted(word, np.arange(len(words) + 1)))
         self.merged += int(failing.sum())
         wrong = np.flatnonzero(failing).tolist()
         for i, own in zip(wrong, self.exact([raw[i] for i in wrong])):
@@ -245,6 +250,8 @@ class WordBpe:
 
     def _words(self, chunk: str) -> list[str]:
         """The pattern's matches; characters that Python's tables don't have yet count as symbols."""
+        if chunk.isalpha() and not self._odd:
+            return [chunk]
         if not self._odd or self._odd.isdisjoint(chunk):
             return _WORDS.findall(chunk)
         known = "".join(["\u2603" if c in self._odd else c for c in chunk])
@@ -254,6 +261,7 @@ class WordBpe:
         new = set(text) - self._seen
         if new:
             self._seen |= new
+            self._newer = self._newer or not _NEWER.keys().isdisjoint(map(ord, new))
             self._odd |= {c for c in new if unicodedata.category(c) == "Cn"}
 
     def _resolve(self, chunks: list[str]) -> None:
@@ -262,7 +270,7 @@ class WordBpe:
         if len(known) > _WORDS_KEPT:
             known.clear()
         words = list(set().union(*split) - known.keys())
-        known.update(zip(words, [x.tobytes() for x in self.encode_words(words)]))
+        known.update(zip(words, self.encode_words(words)))
         for c, ws in zip(chunks, split):
             self._chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
         for w in words:
@@ -272,18 +280,19 @@ class WordBpe:
     def _pieces_of(self, text: str) -> list[str | int]:
         """Chunks without white space, and the ids of special tokens that the text spells out."""
         out: list[str | int] = []
-        for k, part in enumerate(self._special.split(text) if self._special else [text]):
+        for k, part in enumerate(self._special.split(text) if any(t in text for t in self.special) else [text]):
             if k % 2:
                 out.append(self.special[part])
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                if _HAS_NEWER.search(part):
-                    part = part.translate(_NEWER)
                 self._note(part)
+                if self._newer:
+                    part = part.translate(_NEWER)
+                    self._note(part)
             else:
                 part = part.lower()
-            out += [c for c in _SPACES.split(part) if c] if _NOT_SPACE.search(part) else part.split()
+            out += [c for c in _SPACES.split(part) if c] if any(c in part for c in _NOT_SPACE) else part.split()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -296,7 +305,8 @@ class WordBpe:
             self._chunks[i] = np.array([i], "<u4").tobytes()  # type: ignore[index]
         missing = list(used - self._chunks.keys())
         self._resolve(missing)
-        out = [b"".join([self._chunks[c] for c in chunks]) for chunks in split]
+        get = self._chunks.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in split]
         for c in missing:
             if len(c) > _LONG:
                 del self._chunks[c]
