@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,18 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Python's search for garbage cycles is off inside: it would walk large tables that hold none again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The column's strings, null as the empty string."""
     return ["" if x is None else x for x in column.to_pylist()]

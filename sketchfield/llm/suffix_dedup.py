@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, record_batch, stored, texts_of
+from ._common import free_name, record_batch, stored, without_cycle_search
 
 LENGTH = 50
 GRAM = 20
@@ -316,6 +316,10 @@ def _strings(docs: DataFrame, keys: DataFrame, length: int, k: int, many: int) -
     joined = docs.join(keys.groupBy("doc").agg(F.collect_list("keys").alias("keys")), docs["doc_id"] == F.col("doc")).select("doc_id", "text", "keys")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with without_cycle_search():
+            yield from each(batches)
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table, windows, marks = _Table(), _Table(), []
             for doc, text, own in zip(*(c.to_pylist() for c in batch.columns)):
@@ -351,6 +355,10 @@ def _compared(found: DataFrame, length: int, over: int) -> DataFrame:
     """What meeting by minimizer decides: spans to remove, and windows of marked keys."""
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with without_cycle_search():
+            yield from together(batches)
+
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, windows, marked = _Table(), _Table(), set()
         for batch in batches:
             for kind, key, doc, at, string in zip(*(c.to_pylist() for c in batch.columns)):

@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import map_arrow, record_batch, runs, texts_of
+from ._common import map_arrow, record_batch, runs, texts_of, without_cycle_search
 
 _CHUNKS = 400_000  # cached chunks of one worker
 _WORDS_KEPT = 200_000
@@ -297,6 +297,10 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
+        with without_cycle_search():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces_of(t) for t in texts]
         used = set().union(*split)
         if len(self._chunks) > _CHUNKS:  # what these texts use stays
