@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.hashing import composite, place
 from .operators import cardinality, chains, counting, growing, membership, reports, trees
 from .plans import sizing
-from .plans.slices import Growth, TreePlan, predict_fpr, slice_plan
+from .plans.slices import Growth, Slice, TreePlan, predict_fpr, slice_plan
 from .plans.sizing import Spec
 from .sources import store
 
@@ -386,14 +386,21 @@ _SLICES_SQL = f"""plan(slice, first) AS (VALUES {_FIRST}), r AS (SELECT event_id
 s AS (SELECT event_id, k, (SELECT max(slice) FROM plan WHERE first <= rank) AS slice FROM r)"""
 
 
-def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grown(plan: list[Slice], arrivals: int, floor: bool = False) -> list[Slice]:
+    """``plan``, or the longer one that so many arrivals open."""
+    longer = slice_plan(plan[0].capacity, plan[0].rate, arrivals, floor=floor)
+    return longer if len(longer) > len(plan) else plan
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Slice]]:
     events = _t(spark, sf_dir, "events").select("event_id", "ts", F.expr("user_id * 7919 + event_id % 50").alias("k"))
-    return growing.assigned(events, ["ts", "event_id"], GROWN)
+    plan = _grown(GROWN, events.count())
+    return growing.assigned(events, ["ts", "event_id"], plan), plan
 
 
 @query(f"WITH {_SLICES_SQL} SELECT event_id, slice FROM s")
 def scalable_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sliced(spark, sf_dir).select("event_id", "slice")
+    return _sliced(spark, sf_dir)[0].select("event_id", "slice")
 
 
 def _all_slices_sql() -> str:
@@ -408,8 +415,8 @@ def _matches_sql() -> str:
 
 @query(f"WITH {_SLICES_SQL}, {_all_slices_sql()}, {_matches_sql()} SELECT k, min(slice) AS slice, count(*) AS n_slices FROM m GROUP BY k")
 def scalable_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sliced(spark, sf_dir)
-    return growing.provenance(rows, "k", growing.build(rows, "k", GROWN), GROWN)
+    rows, plan = _sliced(spark, sf_dir)
+    return growing.provenance(rows, "k", growing.build(rows, "k", plan), plan)
 
 
 _BREAKDOWN_SQL = f"""{_SLICES_SQL}, {_all_slices_sql()}, plan2(slice, capacity, rate, m, k) AS (VALUES {", ".join(f"({s.number}, {s.capacity}, {s.rate}::DOUBLE, {s.spec.m}, {s.spec.k})" for s in GROWN)}),
@@ -419,13 +426,15 @@ e AS (SELECT *, set_bits / m AS fill_rate, pow(set_bits / m, k) AS estimated_fpr
 
 @query(f"WITH {_BREAKDOWN_SQL} SELECT slice, capacity, rate, m, k, set_bits, round(fill_rate, 9) AS fill_rate, round(estimated_fpr, 9) AS estimated_fpr, round(estimated_fpr / sum(estimated_fpr) OVER (), 6) AS share FROM e")
 def scalable_fpr_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = growing.slice_statistics(growing.build(_sliced(spark, sf_dir), "k", GROWN), GROWN)
+    rows, plan = _sliced(spark, sf_dir)
+    stats = growing.slice_statistics(growing.build(rows, "k", plan), plan)
     return _rounded(stats, "fill_rate", "estimated_fpr").withColumn("share", F.round("share", 6))
 
 
 @query(f"WITH {_BREAKDOWN_SQL} SELECT count(*) AS slices, sum(capacity) AS total_capacity, sum(set_bits) AS set_bits, round(sum(set_bits) / sum(m), 9) AS aggregate_fill, round(1 - exp(sum(ln(1 - estimated_fpr))), 9) AS compound_fpr, round(sum(estimated_fpr), 9) AS max_fpr, round(arg_max(fill_rate, slice), 9) AS current_fill FROM e")
 def scalable_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = growing.slice_statistics(growing.build(_sliced(spark, sf_dir), "k", GROWN), GROWN)
+    rows, plan = _sliced(spark, sf_dir)
+    stats = growing.slice_statistics(growing.build(rows, "k", plan), plan)
     return _rounded(growing.growth_health(stats), "aggregate_fill", "compound_fpr", "max_fpr", "current_fill")
 
 
@@ -438,7 +447,8 @@ SELECT event_id, (SELECT max(slice) FROM plan WHERE first <= rank) AS slice FROM
 """)
 def concurrent_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices that open after an insert fills the last one, at half of the capacity rounded down."""
-    return growing.assigned(_t(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], CONCURRENT).select("event_id", "slice")
+    events = _t(spark, sf_dir, "events").select("event_id", "ts")
+    return growing.assigned(events, ["ts", "event_id"], _grown(CONCURRENT, events.count(), floor=True)).select("event_id", "slice")
 
 
 @query(f"""
@@ -446,8 +456,8 @@ WITH {_SLICES_SQL}, {_all_slices_sql()}, {_matches_sql()}, n AS (SELECT DISTINCT
 SELECT n.k, string_agg(CASE WHEN m.k IS NULL THEN '0' ELSE '1' END, '' ORDER BY g.slice) AS trace FROM n CROSS JOIN g LEFT JOIN m ON m.k = n.k AND m.slice = g.slice GROUP BY n.k
 """)
 def scalable_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sliced(spark, sf_dir)
-    steps = growing.traced(rows, "k", growing.build(rows, "k", GROWN), GROWN)
+    rows, plan = _sliced(spark, sf_dir)
+    steps = growing.traced(rows, "k", growing.build(rows, "k", plan), plan)
     return steps.select("k", F.array_join(F.transform("trace", lambda t: F.when(t["matched"], "1").otherwise("0")), "").alias("trace"))
 
 
