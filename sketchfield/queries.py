@@ -32,6 +32,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sized(keys: DataFrame, key: str, least: Spec) -> Spec:
+    """``least``, or a filter of the same rate for as many rows as have a key."""
+    n = keys.where(F.col(key).isNotNull()).count()
+    return least if n <= least.expected_items else sizing.standard(n, least.target_fpr)
+
+
 def _h(key: str, number: int = 1) -> str:
     text = f"CAST({key} AS VARCHAR)"
     if number == 3:
@@ -93,31 +99,33 @@ _URGENT_SQL = _filter_sql("f", "SELECT o_orderkey AS k, '' AS o FROM orders WHER
 _LINES_SQL = "SELECT l_orderkey AS k FROM lineitem"
 
 
-def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership.build(_t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), "o_orderkey", URGENT)
+def _urgent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Spec]:
+    orders = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    spec = _sized(orders, "o_orderkey", URGENT)
+    return membership.build(orders, "o_orderkey", spec), spec
 
 
 @query(f"WITH {_URGENT_SQL} SELECT pos // 64 AS word, count(*) AS set_bits FROM f GROUP BY 1")
 def std_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _urgent(spark, sf_dir).select("word", F.bit_count("bits").cast("long").alias("set_bits"))
+    return _urgent(spark, sf_dir)[0].select("word", F.bit_count("bits").cast("long").alias("set_bits"))
 
 
 @query(f"WITH {_URGENT_SQL}, {_probe_sql('m', _LINES_SQL, 'f', URGENT)} SELECT l_returnflag, count(*) AS n_rows, sum(l_quantity) AS quantity FROM lineitem JOIN m ON k = l_orderkey WHERE maybe GROUP BY 1")
 def std_contains_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = membership.semi_join(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity"), "l_orderkey", _urgent(spark, sf_dir), URGENT)
+    hit = membership.semi_join(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity"), "l_orderkey", *_urgent(spark, sf_dir))
     return hit.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
 
 
 @query(f"WITH {_URGENT_SQL}, {_probe_sql('m', _LINES_SQL, 'f', URGENT)} SELECT l_orderkey, l_linenumber FROM lineitem JOIN m ON k = l_orderkey WHERE NOT maybe")
 def std_not_contains_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership.anti_join(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", _urgent(spark, sf_dir), URGENT)
+    return membership.anti_join(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", *_urgent(spark, sf_dir))
 
 
 @query(f"WITH {_URGENT_SQL}, {_probe_sql('m', _LINES_SQL, 'f', URGENT)} SELECT k AS l_orderkey FROM m WHERE maybe")
 def std_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probe by joins, as for filters that are too large to broadcast."""
     keys = _t(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
-    return membership.probe(keys, "l_orderkey", _urgent(spark, sf_dir), URGENT, broadcast_bytes=0).where("maybe").select("l_orderkey")
+    return membership.probe(keys, "l_orderkey", *_urgent(spark, sf_dir), broadcast_bytes=0).where("maybe").select("l_orderkey")
 
 
 NAMES = sizing.standard(1_500, 0.01)
@@ -126,13 +134,14 @@ NAMES = sizing.standard(1_500, 0.01)
 @query(f"WITH {_filter_sql('f', '''SELECT c_name AS k, '' AS o FROM customer WHERE c_acctbal > 0''', NAMES)}, {_probe_sql('m', 'SELECT c_name AS k FROM customer', 'f', NAMES)} SELECT c_custkey, maybe FROM customer JOIN m ON k = c_name")
 def std_contains_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = _t(spark, sf_dir, "customer")
-    words = membership.build(customer.where("c_acctbal > 0"), "c_name", NAMES)
-    return membership.probe(customer, "c_name", words, NAMES).select("c_custkey", "maybe")
+    known = customer.where("c_acctbal > 0")
+    spec = _sized(known, "c_name", NAMES)
+    return membership.probe(customer, "c_name", membership.build(known, "c_name", spec), spec).select("c_custkey", "maybe")
 
 
 @query(f"WITH {_URGENT_SQL}, {_probe_sql('m', 'SELECT o_orderkey AS k FROM orders', 'f', URGENT)} SELECT o_custkey, bool_and(maybe) AS contains_all, bool_or(maybe) AS contains_any FROM orders JOIN m ON k = o_orderkey GROUP BY 1")
 def contains_all_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probed = membership.probe(_t(spark, sf_dir, "orders"), "o_orderkey", _urgent(spark, sf_dir), URGENT)
+    probed = membership.probe(_t(spark, sf_dir, "orders"), "o_orderkey", *_urgent(spark, sf_dir))
     return probed.groupBy("o_custkey").agg(F.bool_and("maybe").alias("contains_all"), F.bool_or("maybe").alias("contains_any"))
 
 
@@ -150,10 +159,16 @@ TEXTS = sizing.standard(1_000, 0.01)
 _TEXTS_SQL = _filter_sql("f", "SELECT text AS k, '' AS o FROM documents", TEXTS)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Spec]:
+    docs = _t(spark, sf_dir, "documents")
+    spec = _sized(docs, "text", TEXTS)
+    return membership.build(docs, "text", spec), spec
+
+
 @query(f"WITH {_TEXTS_SQL} {_stats_sql('f', TEXTS)}")
 def fill_fpr_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = membership.build(_t(spark, sf_dir, "documents"), "text", TEXTS)
-    return _rounded(membership.statistics(words, TEXTS), "fill_rate", "estimated_fpr")
+    words, spec = _texts(spark, sf_dir)
+    return _rounded(membership.statistics(words, spec), "fill_rate", "estimated_fpr")
 
 
 @query(f"""
@@ -161,8 +176,8 @@ WITH {_TEXTS_SQL}, s AS ({_stats_sql('f', TEXTS)}) SELECT *, round(estimated_fpr
 CASE WHEN fill_rate < 0.5 AND estimated_fpr / 0.01 < 2 THEN 'Healthy' WHEN fill_rate < 0.7 AND estimated_fpr / 0.01 < 5 THEN 'Degraded' ELSE 'Critical' END AS state FROM s
 """)
 def health_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = membership.build(_t(spark, sf_dir, "documents"), "text", TEXTS)
-    return _rounded(membership.health(words, TEXTS), "fill_rate", "estimated_fpr").withColumn("fpr_ratio", F.round("fpr_ratio", 6))
+    words, spec = _texts(spark, sf_dir)
+    return _rounded(membership.health(words, spec), "fill_rate", "estimated_fpr").withColumn("fpr_ratio", F.round("fpr_ratio", 6))
 
 
 # algebra --------------------------------------------------------------------------------------
@@ -223,8 +238,9 @@ def grouped_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_URGENT_SQL}, s AS (SELECT pos FROM f UNION SELECT unnest(range(1000, 1500))) SELECT pos FROM s WHERE NOT pos BETWEEN 2000 AND 2129")
 def bit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = membership.set_range(_urgent(spark, sf_dir), URGENT.m, 1000, 1500)
-    return membership.set_positions(membership.set_range(words, URGENT.m, 2000, 2130, value=False)).select("pos")
+    words, spec = _urgent(spark, sf_dir)
+    words = membership.set_range(words, spec.m, 1000, 1500)
+    return membership.set_positions(membership.set_range(words, spec.m, 2000, 2130, value=False)).select("pos")
 
 
 # index strategies and layouts -----------------------------------------------------------------
@@ -351,14 +367,15 @@ _NET_SQL = f"""i AS ({_hits_sql("SELECT o_orderkey AS k, '' AS o FROM orders", O
 net AS (SELECT i.pos, greatest(least(least(i.hits, 255) - coalesce(d.hits, 0), 255), 0) AS cnt FROM i LEFT JOIN d USING (pos))"""
 
 
-def _net(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Spec]:
     orders = _t(spark, sf_dir, "orders")
-    return counting.apply(counting.build(orders, "o_orderkey", ORDERS, 8), orders.where("o_orderstatus = 'F'"), "o_orderkey", ORDERS, 8, delete=True)
+    spec = _sized(orders, "o_orderkey", ORDERS)
+    return counting.apply(counting.build(orders, "o_orderkey", spec, 8), orders.where("o_orderstatus = 'F'"), "o_orderkey", spec, 8, delete=True), spec
 
 
 @query(f"WITH {_NET_SQL} SELECT pos, cnt FROM net WHERE cnt > 0")
 def counting_delete_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _net(spark, sf_dir)
+    return _net(spark, sf_dir)[0]
 
 
 @query(f"""
@@ -366,7 +383,7 @@ WITH {_NET_SQL}, p AS ({_positions_sql("SELECT DISTINCT o_orderkey AS k, '' AS o
 SELECT k AS o_orderkey, min(coalesce(cnt, 0)) > 0 AS maybe, min(coalesce(cnt, 0)) AS least FROM p LEFT JOIN net USING (pos) GROUP BY k
 """)
 def counting_contains_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.contains(_t(spark, sf_dir, "orders"), "o_orderkey", _net(spark, sf_dir), ORDERS)
+    return counting.contains(_t(spark, sf_dir, "orders"), "o_orderkey", *_net(spark, sf_dir))
 
 
 @query(f"""
@@ -375,7 +392,7 @@ r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM order
 """)
 def counting_delete_until_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _t(spark, sf_dir, "orders").where("o_custkey < 100")
-    return counting.first_failure(orders, "o_orderkey", "o_orderkey", _net(spark, sf_dir), ORDERS)
+    return counting.first_failure(orders, "o_orderkey", "o_orderkey", *_net(spark, sf_dir))
 
 
 # growing --------------------------------------------------------------------------------------
@@ -625,7 +642,7 @@ _LABELLED = f"WITH {_URGENT_SQL}, {_probe_sql('m', 'SELECT o_orderkey AS k FROM
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership.probe(_t(spark, sf_dir, "orders"), "o_orderkey", _urgent(spark, sf_dir), URGENT).withColumn("actual", F.col("o_orderpriority") == "1-URGENT")
+    return membership.probe(_t(spark, sf_dir, "orders"), "o_orderkey", *_urgent(spark, sf_dir)).withColumn("actual", F.col("o_orderpriority") == "1-URGENT")
 
 
 @query(f"""
@@ -650,7 +667,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stats_as_prometheus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.to_prometheus(membership.statistics(_urgent(spark, sf_dir), URGENT).drop("saturated"), "filter")
+    return reports.to_prometheus(membership.statistics(*_urgent(spark, sf_dir)).drop("saturated"), "filter")
 
 
 @query(f"WITH {_FLAGS_SQL} SELECT o AS filter_id, pos FROM f")
@@ -681,4 +698,6 @@ URLS = sizing.standard(5_000, 0.005)
 def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a crawl which has seen every second one still has to fetch."""
     pages = _t(spark, sf_dir, "pages").select("page_id", "url")
-    return membership.anti_join(pages, "url", membership.build(pages.where("page_id % 2 = 0"), "url", URLS), URLS).select("page_id")
+    seen = pages.where("page_id % 2 = 0")
+    spec = _sized(seen, "url", URLS)
+    return membership.anti_join(pages, "url", membership.build(seen, "url", spec), spec).select("page_id")
