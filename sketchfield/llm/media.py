@@ -4,7 +4,10 @@ A text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64, become 8-bit
 The stored bytes are read back, a short-time Fourier transform gives a magnitude spectrogram,
 its strongest bins in each frame are peaks, and each peak is paired with the peaks of the next
 frames: a fingerprint is the pair of frequencies and their distance in time, with the time of
-the first peak, packed in one 64-bit number, so the array is time-coded.
+the first peak, packed in one 64-bit number, so the array is time-coded.  Frames overlap: each
+starts a quarter of a frame after the one before, the first with its last quarter on the samples,
+and what a frame has beyond either end is silence.  Every sample is in four frames, so the
+shortest payload, of 64 bytes, has four frames and fingerprints like any other.
 
 A null or empty text has 64 bytes 0: silence, which has no peaks.  Ties between bins of equal
 magnitude go to the lower frequency.  Equal texts give equal values, so repeated rows give
@@ -28,7 +31,7 @@ from ._common import map_arrow, record_batch, runs, texts_of
 UNIT = 64
 RATE = 8000
 FRAME = 256
-HOP = 256
+HOP = FRAME // 4
 PEAKS = 2  # in each frame
 FAN = 2  # later frames that a peak is paired with
 _BLOCK = 4096  # frames transformed at once
@@ -58,15 +61,24 @@ def from_wav(stored: bytes) -> bytes:
 def peaks(samples: bytes) -> np.ndarray:
     """Frequencies of the strongest bins in each frame, rising; -1 in silent frames."""
     x = np.frombuffer(samples, np.uint8)
-    n = max(1, -(-len(x) // HOP))
+    lead = FRAME - HOP  # silence before the samples
+    n = max(1, -(-(lead + len(x)) // HOP))
     out = np.full((n, PEAKS), -1, np.int64)
     for start in range(0, n, _BLOCK):
         stop = min(n, start + _BLOCK)
         part = np.zeros((stop - start - 1) * HOP + FRAME, np.float32)
-        own = x[start * HOP : start * HOP + len(part)].astype(np.float32)
-        part[: len(own)] = own
+        at = start * HOP - lead  # of the first frame, in the samples
+        own = x[max(0, at) : max(0, at + len(part))]
+        part[max(0, -at) : max(0, -at) + len(own)] = own
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
-        frames = (frames - frames.mean(axis=1, keepdims=True)) * _WINDOW
+        first = at + HOP * np.arange(len(frames))
+        a, z = np.clip(-first, 0, FRAME), np.clip(len(x) - first, 0, FRAME)
+        mean = frames.sum(axis=1) / np.maximum(z - a, 1)
+        frames = frames - mean[:, None].astype(np.float32)
+        for i in np.flatnonzero((a > 0) | (z < FRAME)):  # at either end: silence is the mean of the samples
+            frames[i, : a[i]] = 0
+            frames[i, z[i] :] = 0
+        frames *= _WINDOW
         size = np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32)[:, 1:]
         loud = size.max(axis=1) > 1e-3
         best = np.empty((stop - start, PEAKS), np.int64)

@@ -67,6 +67,42 @@ def test_tones_are_peaks():
     assert (np.diff(f >> 24) >= 0).all() and set((f & 255).tolist()) == {1, 2}
 
 
+def _plain_peaks(samples):
+    out = []
+    for first in range(media.HOP - media.FRAME, len(samples), media.HOP):
+        own = [(i, samples[first + i]) for i in range(media.FRAME) if 0 <= first + i < len(samples)]
+        mean, x = sum(v for _, v in own) / len(own), np.zeros(media.FRAME)
+        for i, v in own:
+            x[i] = (v - mean) * (0.5 - 0.5 * np.cos(2 * np.pi * i / (media.FRAME - 1)))
+        size = np.abs(np.fft.rfft(x))[1:]
+        out.append(sorted(1 + np.argsort(-size)[: media.PEAKS]) if size.max() > 1e-3 else [-1] * media.PEAKS)
+    return out
+
+
+def test_frames_overlap():
+    rng = np.random.default_rng(5)
+    long = rng.integers(1, 255, media._BLOCK * media.HOP + 64 * 9, np.uint8).tobytes()
+    for samples in (media.payload_of("a short text"), long[:256], long[:1984]):
+        assert media.peaks(samples).tolist() == _plain_peaks(samples)
+    got = media.peaks(long)
+    assert len(got) == len(long) // media.HOP + media.FRAME // media.HOP - 1 and got[-20:].tolist() == _plain_peaks(long[-64 * 40 :])[-20:]
+    noise, changed = long[: 33 * 256], {}
+    for at in (0, 128):  # where frames of 256 without overlap would meet, and their middles
+        prints = []
+        for p in (k + at + e for k in range(256, 8_192, 256) for e in (-1, 0)):
+            other = bytearray(noise)
+            other[p] ^= 128
+            prints.append(media.fingerprints(bytes(other)))
+        changed[at] = sum(not np.array_equal(media.fingerprints(noise), x) for x in prints)
+    assert changed[0] > 0.7 * changed[128] > 0
+
+
+def test_short_texts_have_fingerprints():
+    prints = {media.fingerprints(media.payload_of(t)).tobytes() for t in ("x", "short", "a short text", "y" * 64 + "z", "words " * 40)}
+    assert len(prints) == 5 and b"" not in prints
+    assert len(media.fingerprints(media.payload_of(""))) == len(media.fingerprints(media.payload_of(None))) == 0
+
+
 def test_pipeline(spark, data, tokenizer):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{data}/documents.parquet")
