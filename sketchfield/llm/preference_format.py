@@ -6,7 +6,8 @@ spans of characters, of assistant turns, that a loss counts.
 
 ``last_reply_pairs`` makes pairs of a table of single conversations: chosen is the conversation,
 rejected is the same with its last assistant turn replaced by that of its neighbour (the id that
-differs in the lowest bit), or taken away if the neighbour has none.
+differs in the lowest bit), or taken away if the neighbour has none.  A conversation without an
+assistant turn has no reply to prefer and makes no pair, so it has no row.
 
 Turns are ordered by number, then role and text; repeated rows of a turn stay.  Null roles and
 texts are empty strings.  Rows with a null conversation or turn number belong to none and are

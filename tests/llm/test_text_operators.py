@@ -193,6 +193,15 @@ def test_preferences_share_a_prompt_once(spark):
     assert same["prompt_turns"] == 3 and same["chosen"] == same["rejected"] == ""
 
 
+def test_only_conversations_without_a_reply_have_no_pair(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet")
+    said = {}
+    for r in turns.where("conv_id is not null and turn is not null").collect():
+        said.setdefault(r["conv_id"], set()).add(r["role"])
+    got = [r["conv_id"] for r in queries.QUERIES["op4_preference_format"](spark, data).collect()]
+    assert sorted(got) == sorted(i for i, roles in said.items() if "assistant" in roles) and len(said) - len(got) == 4
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, data, name):
     con = duckdb.connect()
