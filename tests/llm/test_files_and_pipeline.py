@@ -6,10 +6,11 @@ import base64
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from sketchfield.llm import media, packing, quality_rules, warc
+from sketchfield.llm import media, packing, quality_fm, quality_rules, queries, warc
 from sketchfield.llm.word_bpe import load
 
 
@@ -124,3 +125,78 @@ def test_pipeline(spark, data, tokenizer):
     bpe = load(tokenizer)
     assert sum(r["length"] for r in rows) == sum(len(x) // 4 + 1 for x in bpe.encode(list(after.values())))
     assert {r["doc_id"] for r in rows} == after.keys() and max(r["offset"] + r["length"] for r in rows) <= packing.CAPACITY
+
+
+def _scored_by_pairs(fm, text, n_chars):
+    at, x = quality_fm.features(text or "", n_chars)
+    v = fm.v[at].astype(np.float64) * x[:, None]
+    z = fm.w0 + float(fm.w[at].astype(np.float64) @ x) + np.triu(v @ v.T, 1).sum()
+    return 1 / (1 + np.exp(-z))
+
+
+def _one_of_each_group(texts):
+    sets = {}
+    for i, t in texts.items():
+        words = t.encode().lower().split()
+        n = min(5, len(words))
+        sets[i] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+    return {i: t for i, t in texts.items() if group[i] == i}
+
+
+def _without_repeats(texts, length=50):
+    first, out = {}, {}
+    for i in sorted(texts):
+        b = texts[i].encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
+    for i, t in texts.items():
+        b, gone = t.encode(), set()
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                gone.update(range(p, p + length))
+        out[i] = bytes(c for p, c in enumerate(b) if p not in gone).decode("utf-8", "ignore")
+    return out
+
+
+def test_pipeline_against_brute_force(spark, data, tokenizer):
+    """Each stage, on the rows that the one before gave, keeps what a plain version keeps: no more and no less."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    own = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    text, n_chars = docs.columns.index("text"), docs.columns.index("n_chars")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = {r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.OP9_SQL}) WHERE kept").fetchall()}
+    now, lost = docs, {}
+    for name, stage in pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: tuple(r) for r in now.collect()}
+        if name == "quality_classifier":
+            fm = quality_fm.train(now, spark.read.parquet(f"{data}/labels.parquet"))
+            scores = {i: _scored_by_pairs(fm, r[text], r[n_chars]) for i, r in before.items()}
+            assert min(abs(x - quality_fm.THRESHOLD) for x in scores.values()) > 1e-5
+            want = {i for i, x in scores.items() if x >= quality_fm.THRESHOLD}
+        elif name == "near_dedup":
+            want = _one_of_each_group({i: r[text] for i, r in before.items()}).keys()
+        rows = stage(spark, now, data).collect()
+        after = {r["doc_id"]: tuple(r) for r in rows}
+        assert len(after) == len(rows)
+        if name == "suffix_dedup":
+            texts = _without_repeats({i: r[text] for i, r in before.items()})
+            assert after == {i: (*r[:text], texts[i], *r[text + 1 :]) for i, r in before.items()}
+            lost[name] = sum(after[i] != before[i] for i in before)
+        else:
+            assert after == {i: own[i] for i in want}, name
+            lost[name] = len(before) - len(after)
+        now = spark.createDataFrame(rows, docs.schema)
+    assert all(lost.values()), lost
+    bpe, at = load(tokenizer), {}
+    packed = pipeline.STAGES[-1][1](spark, now, data).collect()
+    for r in packed:
+        at[r["doc_id"]] = at.get(r["doc_id"], 0) + r["length"]
+    assert at == {i: len(x) // 4 + 1 for i, x in zip(after, bpe.encode([r[text] for r in after.values()]))}
