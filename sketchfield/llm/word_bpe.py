@@ -4,6 +4,10 @@ Words are proposed a segmentation by greedy longest match, every adjacent pair o
 tokens is tested for compatibility in one vectorised pass, and only the words with a failing
 pair are merged exactly.
 
+Texts are normalised and split by Python's and ``regex``'s tables.  A text with a character that
+Python's tables don't have yet, or that the tokenizers library normalises otherwise (it knows
+Unicode versions of its own), is normalised and split by that library.
+
 Why the test decides: let every merge have a higher rank than the merges that made its parts
 (true of trained vocabularies and checked on loading).  Then a token made by merge ``r`` exists
 from the moment of rank ``r`` until its parent is made.  A segmentation into tokens that each
@@ -34,16 +38,14 @@ from pyspark.sql import DataFrame
 
 from ._common import map_arrow, record_batch, runs, texts_of, without_cycle_search
 
-_CHUNKS = 400_000  # cached chunks of one worker
-_WORDS_KEPT = 200_000
+_CHUNKS = 250_000  # cached chunks of one worker
+_WORDS_KEPT = 100_000
 _NONE = 1 << 40
 _LONG = 200  # chunks beyond this length aren't cached
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the pattern below
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = regex.compile(rf"[{_SPACE}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
-#: Lower case of letters that Unicode gained in version 16, later than this Python's tables: fixed values.
-_NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
 _GAP = "\u0400"  # between words; no symbol has it
 
 
@@ -53,6 +55,26 @@ def _cut(ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
     return [raw[a:z] for a, z in zip(at, at[1:])]
 
 
+def normalised_otherwise() -> set[str]:
+    """Characters in whose presence the library's NFC isn't Python's.
+
+    Classes and decompositions never change once a version has them, so it is enough to see whether a
+    mark moves past one of another class, and whether a composed character falls apart.
+    """
+    from tokenizers import normalizers
+
+    nfc, nfd, out = normalizers.NFC().normalize_str, normalizers.NFD().normalize_str, set()
+    for c in map(chr, range(0x80, 0x110000)):
+        mark = unicodedata.combining(c)
+        if mark:
+            probe = f"a{c}\u0334" if mark > 1 else f"a\u0301{c}"
+            if nfc(probe) != unicodedata.normalize("NFC", probe):
+                out.add(c)
+        if unicodedata.decomposition(c) and nfd(c) != (parts := unicodedata.normalize("NFD", c)):
+            out |= {c, *parts}
+    return out
+
+
 def byte_symbols() -> dict[str, int]:
     """The usual printable stand-in of each byte, and the byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -78,7 +100,7 @@ class WordBpe:
             self.pieces[i] = token
         self.decimals = [str(i) for i in range(len(self.pieces))]
         self._special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        byte = byte_symbols()
+        byte = self._byte = byte_symbols()
 
         def inside(token: str) -> str:
             if token.endswith(suffix) and len(token) > len(suffix):
@@ -121,9 +143,10 @@ class WordBpe:
         self._match.make_automaton()
         self._chunks: dict[str, bytes] = {}
         self._known: dict[str, bytes] = {}
-        self._seen: set[str] = set()  # characters outside ASCII texts, and those of them that Python's tables lack
-        self._odd: set[str] = set()
-        self._newer = False
+        self._path = path
+        self._library = None  # the tokenizers library's, once a text needs it
+        self._seen: set[str] = set()  # characters outside ASCII texts, and those that the library has to see to
+        self._odd = normalised_otherwise()
         #: Words proposed and words merged exactly, for tests and reports.
         self.proposed = self.merged = 0
 
@@ -249,20 +272,31 @@ class WordBpe:
         return parts
 
     def _words(self, chunk: str) -> list[str]:
-        """The pattern's matches; characters that Python's tables don't have yet count as symbols."""
-        if chunk.isalpha() and not self._odd:
+        """The pattern's matches; a chunk with a character that the library sees to is a match already."""
+        if not self._odd.isdisjoint(chunk):
             return [chunk]
-        if not self._odd or self._odd.isdisjoint(chunk):
-            return _WORDS.findall(chunk)
-        known = "".join(["\u2603" if c in self._odd else c for c in chunk])
-        return [chunk[m.start() : m.end()] for m in _WORDS.finditer(known)]
+        return [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
 
-    def _note(self, text: str) -> None:
-        new = set(text) - self._seen
+    def _is_odd(self, text: str) -> bool:
+        """Whether the library has to see to one of the characters."""
+        own = set(text)
+        new = own - self._seen
         if new:
             self._seen |= new
-            self._newer = self._newer or not _NEWER.keys().isdisjoint(map(ord, new))
             self._odd |= {c for c in new if unicodedata.category(c) == "Cn"}
+        return not self._odd.isdisjoint(own)
+
+    def _by_library(self, text: str) -> list[str]:
+        """The words of a text, as the library has them."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        words = [bytes([self._byte[c] for c in w]).decode("utf-8") for w, _ in words]
+        for w in words:
+            self._is_odd(w)
+        return words
 
     def _resolve(self, chunks: list[str]) -> None:
         split = [self._words(c) for c in chunks]
@@ -285,11 +319,10 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             if not part.isascii():
+                if self._is_odd(part):
+                    out += self._by_library(part)
+                    continue
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                self._note(part)
-                if self._newer:
-                    part = part.translate(_NEWER)
-                    self._note(part)
             else:
                 part = part.lower()
             out += [c for c in _SPACES.split(part) if c] if any(c in part for c in _NOT_SPACE) else part.split()
