@@ -7,11 +7,12 @@ spans of characters, of assistant turns, that a loss counts.
 ``last_reply_pairs`` makes pairs of a table of single conversations: chosen is the conversation,
 rejected is the same with its last assistant turn replaced by that of its neighbour (the id that
 differs in the lowest bit), or taken away if the neighbour has none.  A conversation without an
-assistant turn has no reply to prefer and makes no pair, so it has no row.
+assistant turn has no reply to prefer: it is all prompt, and both its completions are empty.
+Neighbours are gathered together, so the table is read and shuffled once.
 
 Turns are ordered by number, then role and text; repeated rows of a turn stay.  Null roles and
-texts are empty strings.  Rows with a null conversation or turn number belong to none and are
-left out.  Equal conversations have empty completions and empty masks; a pair with one side only has the
+texts are empty strings.  Rows with a null conversation or turn number, or a
+conversation number that is no whole number, belong to none and are left out.  Equal conversations have empty completions and empty masks; a pair with one side only has the
 empty conversation at the other.  An empty table gives an empty table.  Columns besides the four
 are ignored.  A conversation, being one training example, is one row of the result.
 """
@@ -32,12 +33,16 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def last_reply_pairs(turns: DataFrame) -> DataFrame:
     """conv_id, chosen and rejected: arrays of turns."""
-    conv = conversations(turns)
-    replies = F.filter(F.transform("turns", lambda t, i: F.struct(i.alias("i"), t["role"].alias("role"), t["text"].alias("text"))), lambda t: t["role"] == ASSISTANT)
-    own = conv.withColumn("last", F.get(replies, F.size(replies) - 1)).where("last is not null")
-    donor = own.select(F.expr("conv_id ^ 1").alias("conv_id"), F.col("last.text").alias("reply"))
-    replaced = F.transform("turns", lambda t, i: F.when(i != F.col("last.i"), t).when(F.col("reply").isNotNull(), F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("reply").alias("text"))))
-    return own.join(donor, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), F.array_compact(replaced).alias("rejected"))
+    turn = F.struct(F.col("c").alias("conv_id"), F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    both = turns.withColumn("c", F.expr("try_cast(conv_id AS BIGINT)")).where("c is not null and c = conv_id and turn is not null")
+    both = both.select("c", turn.alias("t")).groupBy(F.expr("shiftright(c, 1)").alias("pair")).agg(F.sort_array(F.collect_list("t")).alias("all"), F.sort_array(F.collect_set("c")).alias("ids"))
+    each = both.select("all", F.explode("ids").alias("conv_id"))
+    of = lambda same: F.filter("all", lambda t: (t["conv_id"] == F.col("conv_id")) == same)
+    each = each.select("conv_id", of(True).alias("turns"), F.filter(of(False), lambda t: t["role"] == ASSISTANT).alias("replies"))
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == ASSISTANT, i)), lambda i: i.isNotNull())
+    each = each.withColumn("last", F.array_max(places)).withColumn("reply", F.get(F.col("replies.text"), F.size("replies") - 1))
+    replaced = F.transform("turns", lambda t, i: F.when(F.col("last").isNull() | (i != F.col("last")), t).when(F.col("reply").isNotNull(), F.struct(t["conv_id"].alias("conv_id"), t["turn"].alias("turn"), t["role"].alias("role"), F.col("reply").alias("text"))))
+    return each.select("conv_id", F.col("turns").alias("chosen"), F.array_compact(replaced).alias("rejected"))
 
 
 def _rendered(turns: Column) -> Column:
