@@ -6,7 +6,8 @@ written as revisits that refer to it and carry no payload.  An archive is a row
 archives to and from any store.  The reader decompresses incrementally, member by member,
 frames each record by its Content-Length and verifies its digests.
 
-A null or empty html is an empty payload.  Pages that repeat an id and a payload are all
+A null or empty html is an empty payload; a null url is written empty, and the characters of a url
+that can't be printed, such as line ends, are percent-encoded.  Pages that repeat an id and a payload are all
 responses if that id is the largest.  A null page_id is written without refers-to and is a
 response only if no other page has its payload.  Payloads of any length are written whole: an
 archive ends after the record that fills it.  An empty table gives an empty table.
@@ -18,6 +19,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +52,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     digest = f"sha1:{base32_sha1(payload)}"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if revisit else http + payload
-    safe = "".join(c for c in (url or "") if c.isprintable())
+    safe = "".join(c if c.isprintable() else quote(c.encode("utf-8", "surrogatepass")) for c in (url or ""))
     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", _EPOCH), ("WARC-Target-URI", safe)]
     if revisit:
         headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Payload-Length", str(len(payload)))]
