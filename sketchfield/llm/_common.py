@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -25,14 +26,56 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: No marker of success: a table is read once its write has returned, and by nobody else.
+_WRITE = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
-    This cuts the lineage at a table that outlives any executor.
+    This cuts the lineage at a table that outlives any executor.  ``release``: after large shuffles,
+    let their files go.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _stored(df, name, release)[0]
+
+
+def _stored(df: DataFrame, name: str, release: bool) -> tuple[DataFrame, str]:
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**_WRITE).parquet(path)
+    if release:  # Spark's cleaner deletes shuffle files when the driver collects the objects that stand for them
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables that an operator stores on its way, which go when it ends: ``with Scratch() as scratch``."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        table, path = _stored(df, name, release)
+        self._paths.append((df.sparkSession, path))
+        return table
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete the tables but for the last ``keep``."""
+        for _ in range(len(self._paths) - keep):
+            spark, path = self._paths.pop(0)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+    def take(self, other: Scratch) -> None:
+        """Answer for another's tables."""
+        self._paths += other._paths
+        other._paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop()
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -43,6 +86,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def give_back() -> None:
+    """Return what this process has freed to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function that ``make`` builds once in each task."""
 
@@ -50,8 +101,11 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         each = make()
         for batch in batches:
             out = each(batch)
+            del batch
             if out is not None and out.num_rows:
                 yield out
+            del out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
