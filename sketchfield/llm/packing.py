@@ -2,14 +2,15 @@
 
 Documents are encoded, ended with a separator id and, only if longer than the capacity, cut into
 full pieces and a shorter last one.  Pieces are dealt by a hash of their place to tasks of about
-``rows_per_task`` documents; there they arrive longest first, in a fixed order (so a repeated task
-gives the same result), and are packed online into a fixed number of open bins.  An integer serves as a bitset with
-a bit for each amount of free space that some open bin has: the best bin for a piece is at the
+``rows_per_task`` documents; there they arrive in the order of that hash (so a repeated task gives
+the same result), wait in a buffer of ``LOOKAHEAD`` arrivals, and leave it longest first.  Each is
+packed online into one of at most ``OPEN_BINS`` open bins.  An integer serves as a bitset with a
+bit for each amount of free space that some open bin has: the best bin for a piece is at the
 lowest set bit not below the piece's length, and when too many bins are open, the one at the
-lowest bit, the fullest, closes.
+lowest bit, the fullest, closes.  A full bin closes at once.
 
 Null and empty texts are documents of the separator alone.  Ties (equal lengths, equal free
-space) go by the order of arrival.  Repeated rows are packed once for each row; they may have
+space) go by the order of arrival; null doc_ids are dealt evenly.  Repeated rows are packed once for each row; they may have
 the same doc_id and piece.  A null doc_id is packed like any other.  Texts of any length are
 packed whole.  An empty table gives an empty table; columns other than doc_id and text are ignored.
 """
@@ -29,7 +30,8 @@ from ._common import map_arrow, record_batch, runs, texts_of
 from .word_bpe import load
 
 CAPACITY = 2048
-OPEN_BINS = 65_536  # more than a task's documents, so it binds only where tasks are larger
+OPEN_BINS = 1024
+LOOKAHEAD = 4096  # arrivals that are sorted before they are packed
 ROWS_PER_TASK = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,6 +47,7 @@ class BestFit:
         self._bits = 0
         self._open = 0
         self.bins = 0
+        self.closed = 0  # of these, closed for another one to open
 
     def _take(self, free: int) -> int:
         own = self._by_free[free]
@@ -66,6 +69,7 @@ class BestFit:
         if left:
             if self._open == self.open_bins:
                 self._take((self._bits & -self._bits).bit_length() - 1)
+                self.closed += 1
             own = self._by_free[left]
             if not own:
                 self._bits |= 1 << left
@@ -105,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     return map_arrow(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), make, PIECES + ", ids array<int>" * with_ids)
 
 
-def best_fit(found: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def best_fit(found: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Pack rows of ``pieces``; adds sequence_id and offset.
 
     ``tasks`` bounds how many rows meet in one task.  Sequence ids are unique over tasks.
@@ -117,11 +121,16 @@ def best_fit(found: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins:
 
         base, fit = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
         for batch in batches:
-            where = [fit.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([base + n for n, _ in where], pa.int64()), pa.array([at for _, at in where], pa.int64())], names=[*names, "sequence_id", "offset"])
-
-    place = F.xxhash64("doc_id", "piece")
-    dealt = found.repartition(tasks, place).sortWithinPartitions(F.desc("length"), place, "doc_id", "piece", "ids_crc32")
+            for first in range(0, batch.num_rows, lookahead):
+                waiting = batch.slice(first, lookahead)
+                length = waiting.column("length").to_numpy()
+                where = np.empty((len(length), 2), np.int64)
+                for i in np.argsort(-length, kind="stable").tolist():
+                    where[i] = fit.place(int(length[i]))
+                yield pa.RecordBatch.from_arrays([*(waiting.column(i) for i in range(len(names))), pa.array(base + where[:, 0]), pa.array(where[:, 1])], names=[*names, "sequence_id", "offset"])
+
+    place = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "piece")
+    dealt = found.repartition(tasks, place).sortWithinPartitions(F.xxhash64("doc_id", "piece", F.lit(1)), "doc_id", "piece", "ids_crc32", "length")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
     return dealt.mapInArrow(pack, f"{fields}, sequence_id long, offset long")
 
