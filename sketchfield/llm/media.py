@@ -1,16 +1,17 @@
 """Media columns: audio samples in WAV containers, read by the wave module, with fingerprints.
 
 A text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64, become 8-bit mono samples.
-The stored bytes are read back, a short-time Fourier transform gives a magnitude spectrogram,
-its strongest bins in each frame are peaks, and each peak is paired with the peaks of the next
-frames: a fingerprint is the pair of frequencies and their distance in time, with the time of
+They are stored as WAV files in a table of the shared folder, whose bytes are read back; a
+short-time Fourier transform gives a magnitude spectrogram, the strongest local maxima of each
+frame are its peaks, and each peak is paired with the peaks of the next frames: a fingerprint is the pair of frequencies and their distance in time, with the time of
 the first peak, packed in one 64-bit number, so the array is time-coded.  Frames overlap: each
 starts a quarter of a frame after the one before, the first with its last quarter on the samples,
 and what a frame has beyond either end is silence.  Every sample is in four frames, so the
 shortest payload, of 64 bytes, has four frames and fingerprints like any other.
 
-A null or empty text has 64 bytes 0: silence, which has no peaks.  Ties between bins of equal
-magnitude go to the lower frequency.  Equal texts give equal values, so repeated rows give
+A null or empty text has 64 bytes 0: silence, which has no peaks.  Of neighbouring
+bins of equal magnitude the lowest is the maximum, and ties between maxima go to the lower
+frequency.  A frame may have fewer maxima than peaks are wanted.  Equal texts give equal values, so repeated rows give
 repeated results.  Texts of any length are stored and transformed whole, in blocks of frames.
 An empty table gives an empty table.  Other columns are ignored.
 """
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import map_arrow, record_batch, runs, texts_of
+from ._common import map_arrow, record_batch, runs, stored, texts_of
 
 UNIT = 64
 RATE = 8000
@@ -59,7 +60,7 @@ def from_wav(stored: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """Frequencies of the strongest bins in each frame, rising; -1 in silent frames."""
+    """Frequencies of the strongest local maxima in each frame, rising; -1 where there is none."""
     x = np.frombuffer(samples, np.uint8)
     lead = FRAME - HOP  # silence before the samples
     n = max(1, -(-(lead + len(x)) // HOP))
@@ -80,13 +81,17 @@ def peaks(samples: bytes) -> np.ndarray:
             frames[i, z[i] :] = 0
         frames *= _WINDOW
         size = np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32)[:, 1:]
-        loud = size.max(axis=1) > 1e-3
+        top = np.ones(size.shape, bool)
+        top[:, 1:] &= size[:, 1:] > size[:, :-1]
+        top[:, :-1] &= size[:, :-1] >= size[:, 1:]
+        size[~top | (size <= 1e-3)] = 0
         best = np.empty((stop - start, PEAKS), np.int64)
         for k in range(PEAKS):  # argmax takes the lowest of equals
-            best[:, k] = size.argmax(axis=1)
-            size[np.arange(len(size)), best[:, k]] = -1
+            at = size.argmax(axis=1)
+            best[:, k] = np.where(size[np.arange(len(size)), at] > 0, at + 1, -1)
+            size[np.arange(len(size)), at] = 0
         best.sort(axis=1)
-        out[start:stop][loud] = best[loud] + 1
+        out[start:stop] = best
     return out
 
 
@@ -103,37 +108,46 @@ def fingerprints(samples: bytes) -> np.ndarray:
     return np.sort(np.concatenate([*out, np.zeros(0, np.int64)]))
 
 
-def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """Per document the stored form, its digests, and its fingerprints.
-
-    ``media`` (binary) and ``fingerprint`` (array of long) are left out unless ``with_media``;
-    ``feature`` is the fingerprint's size and digest.
-    """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def with_media(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_bytes and its payload as a WAV file."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, media, prints = [], [], []
-            for text in texts_of(batch.column(1)):
-                payload = payload_of(text)
-                stored = to_wav(payload)
-                back = from_wav(stored)
-                found = fingerprints(back)
-                n = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(found)}:{hashlib.sha256(found.astype('<i8').tobytes()).hexdigest()[:32]}"))
-                if with_media:
-                    media.append(stored)
-                    prints.append(found)
-            i64, s = pa.int64(), pa.string()
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            out = {"doc_id": (batch.column(0), i64)} | {c: ([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, (i64, i64, s, i64, i64, s, s)))}
-            return record_batch(out | ({"media": (media, pa.binary()), "fingerprint": (prints, pa.list_(i64))} if with_media else {}))
+            texts = texts_of(batch.column(1))
+            n = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            return record_batch({"doc_id": (batch.column(0), pa.int64()), "n_bytes": (n, pa.int64()), "media": ([to_wav(payload_of(t)) for t in texts], pa.binary())})
 
         def sliced(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch.column(1))
-            parts = [each(batch.slice(a, b - a)) for a, b in runs(texts, 16_000_000)]
+            parts = [each(batch.slice(a, z - a)) for a, z in runs(texts_of(batch.column(1)), 16_000_000)]
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else each(batch)
 
         return sliced
 
-    return map_arrow(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), make, schema + ", media binary, fingerprint array<long>" * with_media)
+    return map_arrow(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), make, "doc_id long, n_bytes long, media binary")
+
+
+def with_fingerprints(media: DataFrame) -> DataFrame:
+    """The stored files, their digests, and their fingerprints; ``feature`` is the fingerprint's size and digest."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, prints = [], []
+            for x in batch.column(2):
+                file = x.as_py()
+                back = from_wav(file)
+                found = fingerprints(back)
+                prints.append(found)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), f"{len(found)}:{hashlib.sha256(found.astype('<i8').tobytes()).hexdigest()[:32]}"))
+            i64, s = pa.int64(), pa.string()
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+            out = {"doc_id": (batch.column(0), i64), "n_bytes": (batch.column(1), i64)} | {c: ([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, (i64, s, i64, i64, s, s)))}
+            return record_batch(out | {"media": (batch.column(2), pa.binary()), "fingerprint": (prints, pa.list_(i64))})
+
+        return each
+
+    return map_arrow(media, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, fingerprint array<long>")
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Per document the stored form, its digests, and its fingerprints: the files are written first, and read again."""
+    return with_fingerprints(stored(with_media(docs), "media"))
