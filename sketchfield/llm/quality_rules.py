@@ -2,8 +2,10 @@
 
 Rules judge each document; failures are aggregated by host (the ``source`` column), each host's
 failure rate of each rule is shrunk towards the corpus by an empirical beta prior (fitted to
-the hosts' rates by the method of moments), and hosts with a shrunk rate above a threshold are
-rejected with all their documents.
+the hosts' rates, weighted by their documents and without the noise of counting, by the method of
+moments), and a host is rejected with all its documents if its posterior mean is above a threshold
+by ``DEVIATIONS`` posterior standard deviations.  The threshold is ``TIMES`` the corpus rate, but
+``LEAST_RATE`` at least and ``MOST_RATE`` at most.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Lines are separated by \\n.  A null text has no words and fails
 as too short; so does the empty text.  A null host is a host of its own.  A document with tied
@@ -31,7 +33,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_SYMBOL_PERCENT = 20
 MAX_DUP_LINE_PERCENT = 10
-HOST_THRESHOLD = 0.5
+TIMES, LEAST_RATE, MOST_RATE = 2.0, 0.2, 0.5
+DEVIATIONS = 2.0
 BROADCAST_HOSTS = 10_000
 
 RULES = ("too_short", "repetitive", "symbols", "dup_lines")
@@ -114,47 +117,55 @@ def base_failed(s: Column) -> Column:
     return failures["too_short"] | failures["repetitive"]
 
 
-def rejected_hosts(stats: DataFrame, host: str, out: str, threshold: float = HOST_THRESHOLD) -> DataFrame:
-    """One row ``host`` for each rejected host, of documents with a statistics struct ``out``.
+def rejected_hosts(flags: DataFrame, host: str) -> DataFrame:
+    """One row ``host`` for each rejected host, of documents with a boolean column for each rule.
 
-    A rule's prior is a beta distribution with the mean and variance of the hosts' rates; where
-    the rates don't vary (or vary more than a beta can) it weighs as one document.
+    Where the hosts' rates don't vary more than counting explains, all have the corpus rate and none
+    is rejected; where they vary more than a beta can, the prior weighs as one document.
     """
-    fails = rule_failures(F.col(out))
-    by_host = stats.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(fails[r].cast("long")).alias(r) for r in RULES))
-    priors = by_host.agg(*(x for r in RULES for x in (F.avg(F.col(r) / F.col("n")).alias(f"{r}_mean"), F.var_pop(F.col(r) / F.col("n")).alias(f"{r}_var"))))
-    shrunk = by_host.crossJoin(F.broadcast(priors))  # the priors are one row
+    by_host = flags.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
+    sums = by_host.agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("hosts"), *(x for r in RULES for x in (F.sum(r).alias(f"{r}_sum"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_squares"))))
+    shrunk = by_host.crossJoin(F.broadcast(sums))  # the sums are one row
     bad = F.lit(False)
     for r in RULES:
-        mean, var = F.col(f"{r}_mean"), F.col(f"{r}_var")
-        weight = F.when((var > 0) & (var < mean * (1 - mean)), mean * (1 - mean) / var - 1).otherwise(F.lit(1.0))
-        bad = bad | ((F.col(r) + mean * weight) / (F.col("n") + weight) > threshold)
+        p = F.col(f"{r}_sum") / F.col("docs")
+        noise = p * (1 - p)
+        between = F.col(f"{r}_squares") / F.col("docs") - p * p - noise * (F.col("hosts") - 1) / F.col("docs")
+        weight = F.when(between < noise, noise / between - 1).otherwise(F.lit(1.0))
+        mean = (F.col(r) + p * weight) / (F.col("n") + weight)
+        deviation = F.sqrt(mean * (1 - mean) / (F.col("n") + weight + 1))
+        limit = F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE), TIMES * p))
+        bad = bad | F.when(between > 0, mean - DEVIATIONS * deviation > limit).otherwise(F.lit(False))
     return shrunk.where(bad).select("host")
 
 
 def _in_rejected(df: DataFrame, host: str, bad: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join with the rejected hosts; they are broadcast only if few."""
+    """Left or anti join with the rejected hosts; they are broadcast only if few."""
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     return df.join(bad, df[host].eqNullSafe(bad["host"]), how)
 
 
-def verdicts(docs: DataFrame, threshold: float = HOST_THRESHOLD) -> DataFrame:
+def verdicts(docs: DataFrame) -> DataFrame:
     """Per document: the statistics, base_failed and kept. The statistics are stored, then joined with the hosts."""
     stats = stored(with_statistics(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "source"), "text", "s").select("doc_id", "source", "s"), "rules")
-    bad = stored(rejected_hosts(stats, "source", "s", threshold), "hosts").withColumn("rejected", F.lit(True))
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
+    flags = stats.select("source", *(c.alias(r) for r, c in rule_failures(F.col("s")).items()))
+    bad = stored(rejected_hosts(flags, "source"), "hosts").withColumn("rejected", F.lit(True))
     failed = base_failed(F.col("s"))
-    return stats.join(bad, stats["source"].eqNullSafe(bad["host"]), "left").select(
+    return _in_rejected(stats, "source", bad, "left").select(
         "doc_id", *(f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & F.col("rejected").isNull()).alias("kept")
     )
 
 
-def kept_documents(docs: DataFrame, threshold: float = HOST_THRESHOLD) -> DataFrame:
-    """The documents that neither fail a base rule nor come from a rejected host."""
-    s = free_name(docs, "statistics")
-    narrow = with_statistics(docs.select("text", "source"), "text", "s").select("source", "s")
-    bad = stored(rejected_hosts(narrow, "source", "s", threshold), "hosts")
-    good = with_statistics(docs, "text", s)
-    return _in_rejected(good.where(~base_failed(F.col(s))).drop(s), "source", bad, "left_anti")
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that neither fail a base rule nor come from a rejected host. They are stored with their failures, judged once."""
+    s, own = free_name(docs, "statistics"), free_name(docs, "rules")
+    judged = with_statistics(docs, "text", s)
+    failures = rule_failures(F.col(s))
+    judged = judged.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(*(c.alias(r) for r, c in failures.items())).alias(own))
+    judged = stored(judged, "judged")
+    bad = stored(rejected_hosts(judged.select("source", f"{own}.*"), "source"), "hosts").withColumnRenamed("host", free_name(docs, "host"))
+    host = bad.columns[0]
+    good = judged.where(~(F.col(f"{own}.too_short") | F.col(f"{own}.repetitive")))
+    few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    return good.join(F.broadcast(bad) if few else bad, good["source"].eqNullSafe(bad[host]), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

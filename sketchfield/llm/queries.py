@@ -58,7 +58,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(_table(spark, sf_dir, "documents"), with_media=False)
+    return media.media_columns(_table(spark, sf_dir, "documents")).drop("media")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -94,11 +94,13 @@ f AS (
     (100 * n_symbols > 20 * word_chars)::INT AS r3, (100 * n_dup_lines > 10 * n_lines)::INT AS r4 FROM s),
 h AS (SELECT source, count(*) AS n, sum(r1) AS r1, sum(r2) AS r2, sum(r3) AS r3, sum(r4) AS r4 FROM f GROUP BY source),
 m AS (SELECT source, n, unnest([r1, r2, r3, r4]) AS r, unnest([1, 2, 3, 4]) AS rule FROM h),
-q AS (SELECT rule, avg(r / n) AS mean, var_pop(r / n) AS var FROM m GROUP BY rule),
-z AS (SELECT source, r, n, mean, CASE WHEN var > 0 AND var < mean * (1 - mean) THEN mean * (1 - mean) / var - 1 ELSE 1.0 END AS weight FROM m JOIN q USING (rule)),
-bad AS (SELECT source, bool_or((r + mean * weight) / (n + weight) > 0.5) AS rejected FROM z GROUP BY source),
+q AS (SELECT rule, sum(r) / sum(n) AS p, sum(r * r / n) / sum(n) AS squares, (count(*) - 1) / sum(n) AS share FROM m GROUP BY rule),
+v AS (SELECT rule, p, p * (1 - p) AS noise, squares - p * p - p * (1 - p) * share AS between_hosts FROM q),
+z AS (SELECT source, r, n, p, between_hosts, CASE WHEN between_hosts < noise THEN noise / nullif(between_hosts, 0) - 1 ELSE 1.0 END AS weight FROM m JOIN v USING (rule)),
+y AS (SELECT source, p, between_hosts, n + weight AS docs, (r + p * weight) / (n + weight) AS mean FROM z),
+bad AS (SELECT source, bool_or(between_hosts > 0 AND mean - 2 * sqrt(greatest(mean * (1 - mean) / (docs + 1), 0)) > least(0.5, greatest(0.2, 2 * p))) AS rejected FROM y GROUP BY source),
 verdict AS (
-  SELECT f.*, (r1 + r2 > 0) AS base_failed, NOT (r1 + r2 > 0) AND NOT rejected AS kept
+  SELECT f.*, (r1 + r2 > 0) AS base_failed, NOT (r1 + r2 > 0) AND NOT coalesce(rejected, false) AS kept
   FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source)
 """
 
@@ -109,10 +111,10 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 last AS (SELECT conv_id, max(i) AS i, arg_max(text, i) AS reply FROM t WHERE role = 'assistant' GROUP BY conv_id),
-j AS (SELECT t.*, last.i AS last, d.reply FROM t JOIN last USING (conv_id) LEFT JOIN last AS d ON d.conv_id = xor(t.conv_id, 1)),
-n AS (SELECT conv_id, CASE WHEN any_value(reply) IS NOT NULL AND bool_or(i = last AND text = reply) THEN max(i) ELSE any_value(last) - 1 END AS n FROM j GROUP BY conv_id),
+j AS (SELECT t.*, last.i AS last, d.reply FROM t LEFT JOIN last USING (conv_id) LEFT JOIN last AS d ON d.conv_id = xor(t.conv_id, 1)),
+n AS (SELECT conv_id, CASE WHEN any_value(last) IS NULL OR any_value(reply) IS NOT NULL AND bool_or(i = last AND text = reply) THEN max(i) ELSE any_value(last) - 1 END AS n FROM j GROUP BY conv_id),
 r AS (SELECT conv_id, i, role, text, 'c' AS side FROM j UNION ALL
-  SELECT conv_id, i, role, CASE WHEN i = last THEN reply ELSE text END, 'r' FROM j WHERE i != last OR reply IS NOT NULL),
+  SELECT conv_id, i, role, CASE WHEN i = last THEN reply ELSE text END, 'r' FROM j WHERE i IS DISTINCT FROM last OR reply IS NOT NULL),
 x AS (SELECT r.*, n.n, CASE WHEN i <= n THEN 'p' ELSE side END AS part, '<|' || role || '|>' || chr(10) || text || chr(10) AS seg FROM r JOIN n USING (conv_id) WHERE side = 'c' OR i > n.n),
 y AS (SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY conv_id, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 5 AS a FROM x)
 SELECT conv_id, any_value(n)::BIGINT AS prompt_turns, coalesce(string_agg(seg, '' ORDER BY i) FILTER (part = 'p'), '') AS prompt,
