@@ -13,7 +13,8 @@ are never features.  Labels of documents with ``crc32(doc_id) % 5 == 0`` are hel
 
 A null text is the empty text, which has a score of its own like any other.  Documents with
 several labels count as the worst of them; labels that are null or neither 0 nor 1 are ignored.
-Without labels every score is 0.5.  A null doc_id counts as held out.  Repeated rows get
+A labelled doc_id whose rows have different texts is learnt from the one with the least features
+(compared as bytes).  Without labels every score is 0.5.  A null doc_id counts as held out.  Repeated rows get
 repeated scores.  Texts of any length are read whole.  An empty table gives an empty table.
 ``kept_documents`` returns the input's columns, whatever their names.
 """
@@ -94,14 +95,16 @@ class FactorisationMachine:
         z = self.w0 + np.add.reduceat(self.w[at] * x, starts) + 0.5 * ((s * s).sum(axis=1) - q)
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, seed: int = 11) -> None:
-        """AdaGrad on the log loss of dense rows."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, seed: int = 11) -> None:
+        """AdaGrad on the log loss of sparse rows, which are dense for the time of their batch."""
         if not len(y):
             return
         rng, g0, gw, gv = np.random.default_rng(seed), 1e-6, np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-                b = x[part]
+                b = np.zeros((len(part), len(self.w)), np.float32)
+                for i, k in enumerate(part.tolist()):
+                    b[i, rows[k][0]] = rows[k][1]
                 s = b @ self.v
                 sq = b * b
                 z = self.w0 + b @ self.w + 0.5 * ((s * s).sum(axis=1) - sq @ (self.v * self.v).sum(axis=1))
@@ -132,12 +135,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [features(t, n) for t, n in zip(texts_of(batch.column(1)), batch.column(2).to_pylist())]
-            return record_batch({"doc_id": (batch.column(0), pa.int64()), "at": ([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), "x": ([f[1] for f in found], pa.list_(pa.float32()))})
+            return record_batch({"doc_id": (batch.column(0), pa.int64()), "at": ([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), "x": ([f[1].tobytes() for f in found], pa.binary())})
 
         return each
 
-    got = map_arrow(rows, make, "doc_id long, at array<int>, x array<float>").dropDuplicates(["doc_id"]).collect()
-    return [(np.array(r["at"], np.int64), np.array(r["x"], np.float32), label[r["doc_id"]]) for r in sorted(got, key=lambda r: r["doc_id"])]
+    got = map_arrow(rows, make, "doc_id long, at binary, x binary").groupBy("doc_id").agg(F.min(F.struct("at", "x")).alias("f")).collect()
+    return [(np.frombuffer(r["f"]["at"], np.int32).astype(np.int64), np.frombuffer(r["f"]["x"], np.float32), label[r["doc_id"]]) for r in sorted(got, key=lambda r: r["doc_id"])]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FactorisationMachine:
@@ -146,10 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fac
     if not rows:
         fm.v[:] = 0
         return fm
-    x, y = np.zeros((len(rows), SIZE), np.float32), np.array([r[2] for r in rows], np.float32)
-    for i, (at, value, _) in enumerate(rows):
-        x[i, at] = value
-    fm.fit(x, y)
+    fm.fit([r[:2] for r in rows], np.array([r[2] for r in rows], np.float32))
     return fm
 
 
