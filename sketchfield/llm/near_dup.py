@@ -3,15 +3,19 @@
 1. Each document's set of 3-word shingles gives a MinHash signature of ``COORDS`` values.
    Documents with equal sets are one class, which its smallest doc_id stands for.
 2. A class is posted under each (coordinate, value).  Postings of a value that occurs once can't
-   collide and go.  Two sets with a similarity of 0.85 agree on fewer than ``MATCHES`` of the 16
-   coordinates with a probability of 1.2e-7, so a class left with fewer postings has no partner,
-   and by the prefix principle a pair with enough collisions meets under one of the rarest
-   ``size - MATCHES + 1`` values of either: only these prefixes are merged, the frequent rest is
-   skipped and serves to count collisions of the pairs found.
+   collide and go.  ``matches_for`` gives the match threshold: the most collisions that two sets
+   at the similarity fall short of with a probability of at most ``MISS`` (of 32 coordinates, 16
+   at 0.85 and 13 at 0.8).  A class left with fewer postings has no partner, and by the prefix
+   principle a pair with enough collisions meets under one of the rarest ``size - matches + 1``
+   values of either: only these prefixes are merged; the frequent rest is skipped and serves to
+   count collisions of the pairs found.
 3. Pairs aren't listed: under each value the class with the most frequent values is the hub, and a
-   class joins the group of its heaviest hub.  A group is dealt in blocks, and each task compares
-   two blocks exactly, by products of incidence matrices, and returns a spanning forest of the links.
-4. Two classes under one value but in different groups that no link connects yet are compared
+   class joins the group of its heaviest hub.  A group is dealt in blocks, each with its hub.  A
+   task counts the collisions in its block and compares pairs that reach the threshold exactly,
+   the most collisions first, as long as nothing connects them: a spanning forest of the links.
+   A group of n classes makes n rows and one more for each block.
+4. Classes of a group that are not connected with most of it go once more, to every block of it.
+5. Two classes under one value but in different groups that no link connects yet are compared
    if they collide often enough.  One of them is not in the group of that value's hub, so only
    those visitors are joined with the value's classes.
 
@@ -27,27 +31,42 @@ table.  Columns other than doc_id and text are ignored; ``kept_documents`` retur
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, map_arrow, record_batch, stored, texts_of
+from ._common import Scratch, free_name, map_arrow, record_batch, runs, stored, texts_of
 from .components import components
 
 SHINGLE = 3
 PERCENT = 85
-COORDS = 16
-MATCHES = 5
+COORDS = 32
+MISS = 1e-6  # probability of fewer collisions than the threshold, at the similarity
 BLOCK_DOCS = 128
 BLOCK_SHINGLES = 100_000
+CROWD = 64  # blocks whose visitors come to another block at once
 
-_CACHE = 200_000
+_CACHE = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "little") for k in range(64)], np.uint64)
+_SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=16).digest()[:8], "little") for k in range(256)], np.uint64)
+_FACTORS = np.array([int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=16).digest()[8:], "little") | 1 for k in range(256)], np.uint64)
+
+
+def matches_for(percent: int, coords: int, miss: float = MISS) -> int:
+    """The largest number of collisions that a pair at the similarity falls short of with at most that probability."""
+    s = percent / 100
+    most, tail = 0, 0.0
+    for m in range(1, coords):
+        tail += comb(coords, m - 1) * s ** (m - 1) * (1 - s) ** (coords - m + 1)
+        if tail > miss:
+            break
+        most = m
+    return max(1, most)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,10 +99,13 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def minhash(s: np.ndarray, coords: int = COORDS) -> np.ndarray:
-    out = np.empty(coords, np.uint64)
-    for k in range(coords):
-        out[k] = _mix(s ^ _SEEDS[k]).min()
+def minhashes(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
+    """A row of values for each set; none of them is empty."""
+    out = np.empty((len(sets), coords), np.uint64)
+    if sets:
+        flat, starts = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
+        for k in range(coords):
+            out[:, k] = np.minimum.reduceat((flat ^ _SEEDS[k]) * _FACTORS[k], starts)
     return out.view(np.int64)
 
 
@@ -92,12 +114,13 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coords: int = COORDS) -> Da
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, key, sig = [], [], []
-            for text in texts_of(batch.column(1)):
-                s = shingles(text, size)
-                n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-                sig.append(minhash(s, coords) if len(s) else None)
+            texts, n, key, sig = texts_of(batch.column(1)), [], [], []
+            for a, z in runs(texts, 1_000_000):
+                sets = [shingles(t, size) for t in texts[a:z]]
+                values = iter(minhashes([s for s in sets if len(s)], coords))
+                n += map(len, sets)
+                key += [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+                sig += [next(values) if len(s) else None for s in sets]
             return record_batch({"doc_id": (batch.column(0), pa.int64()), "n_shingles": (n, pa.int64()), "set_key": (key, pa.string()), "sig": (sig, pa.list_(pa.int64()))})
 
         return each
@@ -105,70 +128,103 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coords: int = COORDS) -> Da
     return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, set_key string, sig array<long>")
 
 
-def candidates(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """node, n_shingles, weight, toks (values that others have too) and prefix, of classes that may have a partner."""
+def candidates(reps: DataFrame, matches: int) -> DataFrame:
+    """node, n_shingles, weight and toks (values that others have too, the rarest first), of classes that may have a partner."""
     posts = reps.select("node", "n_shingles", F.posexplode("sig").alias("k", "v")).select("node", "n_shingles", F.xxhash64("k", "v").alias("b"))
     common = posts.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = posts.join(common, "b").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "b"))).alias("toks"), F.sum("n").alias("weight"), F.max("n_shingles").alias("n_shingles"))
     own = own.where(F.size("toks") >= matches)
-    return own.select("node", "n_shingles", "weight", F.col("toks.b").alias("toks"), F.slice("toks.b", 1, F.size("toks") - (matches - 1)).alias("prefix"))
-
-
-def _linked(sets: list[np.ndarray], percent: int, rows: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (i, j), i < j, of sets that reach the similarity, by products of incidence matrices."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes)
-    shared = counts > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = row[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((n, n), np.float32)
-    width = max(64, 2_000_000 // max(1, n))
-    total = int(shared.sum())
-    for start in range(0, total, width):
-        a, b = np.searchsorted(column, (start, start + width))
-        m = np.zeros((n, min(width, total - start)), np.float32)
-        m[row[a:b], column[a:b] - start] = 1
-        common += m @ m.T
-    common = common.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - common
-    return np.argwhere(np.triu((100 * common >= percent * union) & (sizes[:, None] > 0) & (sizes[None, :] > 0), 1))
-
-
-def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that connect what the pairs connect."""
-    root = list(range(n))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    return own.select("node", "n_shingles", "weight", F.col("toks.b").alias("toks"))
+
+
+def _prefix(toks: str, matches: int) -> Column:
+    return F.slice(toks, 1, F.size(toks) - (matches - 1))
+
+
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sets reach the similarity."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = np.concatenate([s, t])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and 100 * common >= percent * (len(both) - common)
+
+
+def _colliding(toks: list[np.ndarray], mine: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of ``mine``, j) of classes with enough tokens in common, each once, the most collisions first."""
+    value = np.unique(np.concatenate([toks[i] for i in mine.tolist()]))
+    own = np.zeros(len(toks), bool)
+    own[mine] = True
+
+    def incidence(which: np.ndarray) -> np.ndarray:
+        has = np.zeros((len(which), len(value)), np.float32)
+        flat = np.concatenate([toks[i] for i in which.tolist()])
+        row, column = np.repeat(np.arange(len(which)), [len(toks[i]) for i in which.tolist()]), np.minimum(np.searchsorted(value, flat), len(value) - 1)
+        there = value[column] == flat
+        has[row[there], column[there]] = 1
+        return has
+
+    has, found = incidence(mine), []
+    for a in range(0, len(toks), 1_000):
+        count = has @ incidence(np.arange(a, min(len(toks), a + 1_000))).T
+        i, j = np.nonzero(count >= matches)
+        n, i, j = count[i, j], mine[i], j + a
+        once = (i < j) | ~own[j]
+        found.append((n[once], i[once], j[once]))
+    n, i, j = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.argsort(-n, kind="stable")
+    return i[order], j[order]
+
+
+def _block_links(nodes: list[int], labels: list[int], toks: list[np.ndarray], texts: list[str], mine: np.ndarray, percent: int, size: int, matches: int) -> list[tuple[int, int]]:
+    """Links between the block's own classes and all that came, among pairs with enough collisions that nothing connects yet.
+
+    Classes of one label are connected already.
+    """
+    if not len(mine):
+        return []
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    sets: dict[int, np.ndarray] = {}
     out = []
-    for i, j in pairs.tolist():
-        a, b = top(i), top(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
+    for x, y in zip(*(z.tolist() for z in _colliding(toks, mine, matches))):
+        c, d = top(labels[x]), top(labels[y])
+        if c == d or nodes[x] == nodes[y]:
+            continue
+        for z in (x, y):
+            if z not in sets:
+                sets[z] = shingles(texts[z] or "", size)
+        if similar(sets[x], sets[y], percent):
+            root[max(c, d)] = min(c, d)
+            out.append((nodes[x], nodes[y]))
     return out
 
 
-def _links_in_groups(members: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links between members (node, g, n_shingles, text) of a group: blocks, two in each task."""
-    blocks = members.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total")).where("rows > 1").select("g", F.ceil(F.col("rows") / BLOCK_DOCS + F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb"))
-    dealt = members.join(blocks, "g").withColumn("own", F.expr("pmod(xxhash64(node, 7), nb)"))
-    dealt = dealt.select("g", "node", "text", F.col("own").cast("int").alias("own"), F.explode(F.expr("sequence(0, nb - 1)")).alias("other"))
-    dealt = dealt.select("node", "text", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+def links_in_groups(members: DataFrame, percent: int, size: int, matches: int, visitors: int = 0) -> DataFrame:
+    """Links between members (node, g, c, every, n_shingles, toks, text) of a group that ``c`` doesn't connect.
+
+    Each member is in one block of its group; with ``every``, it visits all others too.  With
+    ``visitors``, those of so many blocks come at once, and a block is dealt once for each such crowd.
+    """
+    blocks = members.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total"), F.min("c").alias("least"), F.max("c").alias("most")).where("rows > 1 and least != most")
+    blocks = blocks.select("g", F.ceil(F.col("rows") / BLOCK_DOCS + F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb"))
+    crowd, crowds = (F.expr(f"CAST(own div {visitors} AS INT)"), F.expr(f"sequence(0, CAST((nb - 1) div {visitors} AS INT))")) if visitors else (F.lit(0), F.array(F.lit(0)))
+    dealt = members.join(blocks, "g").withColumn("own", F.expr("CAST(pmod(xxhash64(node, 7), nb) AS INT)"))
+    home = F.transform(crowds, lambda v: F.struct(F.col("own").alias("at"), v.alias("crowd"), F.lit(True).alias("mine")))
+    away = F.transform(F.filter(F.expr("sequence(0, nb - 1)"), lambda at: at != F.col("own")), lambda at: F.struct(at.alias("at"), crowd.alias("crowd"), F.lit(False).alias("mine")))
+    dealt = dealt.withColumn("to", F.explode(F.when(F.col("every"), F.concat(home, away)).otherwise(home)))
+    dealt = dealt.select("node", "c", "toks", "text", "to.mine", F.xxhash64("g", "to.at", "to.crowd").alias("task"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf["node"].tolist()
-        pairs = _forest(_linked([shingles(t or "", size) for t in pdf["text"]], percent), len(nodes)) if len(nodes) > 1 else []
-        return pd.DataFrame({"a": np.array([nodes[i] for i, _ in pairs], np.int64), "b": np.array([nodes[j] for _, j in pairs], np.int64)})
+        pairs = _block_links(pdf["node"].tolist(), pdf["c"].tolist(), pdf["toks"].tolist(), pdf["text"].tolist(), np.flatnonzero(pdf["mine"].to_numpy()), percent, size, matches)
+        return pd.DataFrame({"a": np.array([a for a, _ in pairs], np.int64), "b": np.array([b for _, b in pairs], np.int64)})
 
     return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
 
@@ -178,12 +234,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> D
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def make():
+        seen: dict[str, np.ndarray] = {}  # sets of the last texts; a class comes with many partners
+
+        def set_of(text: str) -> np.ndarray:
+            if text not in seen:
+                if len(seen) > 500:
+                    seen.clear()
+                seen[text] = shingles(text, size)
+            return seen[text]
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ok = []
-            for x, y in zip(texts_of(batch.column(2)), texts_of(batch.column(3))):
-                s, t = shingles(x, size), shingles(y, size)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * common >= percent * (len(s) + len(t) - common))
+            ok = [similar(set_of(x), set_of(y), percent) for x, y in zip(texts_of(batch.column(2)), texts_of(batch.column(3)))]
             return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return each
@@ -191,37 +252,54 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> D
     return map_arrow(both.select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, coords: int = COORDS, matches: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept."""
+    matches = matches_for(percent, coords) if matches is None else matches
     docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     sigs = stored(signatures(docs, size, coords), "signatures")
-    reps = sigs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    found = stored(candidates(reps, matches), "candidates")
-
-    posts = found.select("node", "weight", F.explode("prefix").alias("b"))
-    hubs = posts.groupBy("b").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    posts = stored(posts.join(hubs.select("b", "hub"), "b").select("b", "node", "hub"), "postings")
-    group = stored(posts.groupBy("node").agg(F.max("hub").alias("hub")).select("node", (-F.col("hub.neg")).alias("g")), "groups")
-
-    texts = stored(docs.join(group.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text"), "texts")
-    members = texts.join(group.join(found.select("node", "n_shingles"), "node"), "node")
-    links = stored(_links_in_groups(members, percent, size), "links")
-    joined = components(links)
-
-    home = group.join(joined, "node", "left").select("node", "g", F.coalesce("component", "node").alias("c"))
-    posts = posts.join(home, "node").join(found.select("node", "toks", "prefix"), "node").select("b", "node", "g", "c", "toks", "prefix", (F.col("g") != -F.col("hub.neg")).alias("visits"))
-    x, y = posts.where("visits").alias("x"), posts.alias("y")
-    enough = F.size(F.array_intersect(F.col("x.toks"), F.col("y.toks"))) >= matches
-    once = F.array_min(F.array_intersect(F.col("x.prefix"), F.col("y.prefix"))) == F.col("x.b")  # of the values where a pair meets, at one
-    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & enough & once)
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = stored(_confirmed(pairs, texts, percent, size), "links")
-    # rows of one doc_id with different sets are one document
-    same = sigs.where("set_key is not null and doc_id is not null").join(reps.select("set_key", "node"), "set_key").where("doc_id != node").select("doc_id", "node")
-    joined = components(links.union(more).union(same))
-
-    out = sigs.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    with Scratch() as scratch:
+        known = sigs.where("set_key is not null and doc_id is not null")
+        reps = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+        found = scratch.stored(candidates(reps, matches), "candidates")
+
+        posts = found.select("node", "weight", F.explode(_prefix("toks", matches)).alias("b"))
+        hubs = posts.groupBy("b").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        posts = posts.join(hubs.select("b", "hub"), "b")
+        groups = posts.groupBy("node").agg(F.max("hub").alias("hub")).select("node", (-F.col("hub.neg")).alias("g"))
+        groups = scratch.stored(groups.join(found.select("node", "n_shingles", "toks"), "node"), "groups")
+        texts = scratch.stored(docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text"), "texts", release=True)
+
+        # each group's blocks, with the hub in all of them
+        away = groups.select(F.col("g").alias("node")).distinct().join(groups.where("g != node"), "node").select("node", F.col("node").alias("g"), "n_shingles", "toks")
+        dealt = groups.select("node", "g", "n_shingles", "toks").union(away).withColumn("c", F.col("node")).withColumn("every", F.col("node") == F.col("g"))
+        links = scratch.stored(links_in_groups(dealt.join(texts, "node"), percent, size, matches), "links", release=True)
+        joined = components(links, scratch)
+
+        # what is not connected with the hub visits all blocks
+        home = groups.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        of_hub = home.select(F.col("node").alias("g"), F.col("c").alias("hub_c"))
+        home = scratch.stored(home.join(of_hub, "g"), "homes")
+        loose = home.where("c != hub_c").select("g").distinct()
+        again = home.join(loose, "g", "left_semi").select("node", "g", "c", (F.col("c") != F.col("hub_c")).alias("every"), "n_shingles", "toks")
+        more = links_in_groups(again.join(texts, "node"), percent, size, matches, CROWD)
+
+        # pairs of different groups
+        posts = home.select("node", "g", "c", "toks", F.explode(_prefix("toks", matches)).alias("b")).join(hubs.select("b", (-F.col("hub.neg")).alias("h")), "b")
+        x, y = posts.where("g != h").alias("x"), posts.alias("y")
+        enough = F.size(F.array_intersect(F.col("x.toks"), F.col("y.toks"))) >= matches
+        once = F.array_min(F.array_intersect(_prefix("x.toks", matches), _prefix("y.toks", matches))) == F.col("x.b")  # of the values where a pair meets, at one
+        pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & enough & once)
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        more = more.union(_confirmed(pairs, texts, percent, size))
+        # rows of one doc_id with different sets are one document
+        several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+        same = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(reps.select("set_key", "node"), "set_key").where("node != doc_id").select("node", "doc_id")
+        more = scratch.stored(more.union(same), "links")
+        joined = components(joined.select("component", "node").union(more))
+
+    classes = reps.select("set_key", "node", "copies").join(joined, "node", "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "node").alias("class"))
+    component = F.coalesce("class", "doc_id")
+    out = sigs.withColumn("set_key", F.when(F.col("doc_id").isNotNull(), F.col("set_key"))).join(classes, "set_key", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
