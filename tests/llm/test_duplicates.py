@@ -70,6 +70,45 @@ def test_near_duplicates_against_brute_force(spark, data):
     assert sum(r["kept"] for r in got) < len(rows) - 200
 
 
+def test_groups_of_blocks_that_a_hub_does_not_connect(spark, monkeypatch):
+    """Families whose members are near some others only, in many small blocks with crowds of visitors."""
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(near_dup, "CROWD", 2)
+    random.seed(6)
+    base, rows = [f"word{random.randrange(900)}" for _ in range(120)], []
+    for i in range(90):
+        own = list(base)
+        for k in range(random.choice((1, 3, 4, 5, 6))):
+            own[random.randrange(120)] = f"new{i}x{k}"
+        rows.append((i, " ".join(own)))
+    got = _check_near(spark, rows)
+    assert 1 < sum(r["kept"] for r in got) < 80
+
+
+def test_near_copies_make_rows_in_proportion(spark):
+    random.seed(7)
+    base = [f"word{i}" for i in range(200)]
+
+    def rows_of(n):
+        found = []
+        for i in range(n):
+            own = list(base)
+            own[random.randrange(200)] = f"new{i}"
+            found.append((i, 0, i, i == 0, 198, [1, 2, 3], " ".join(own)))
+        members = spark.createDataFrame(found, "node long, g long, c long, every boolean, n_shingles long, toks array<long>, text string")
+        plan = near_dup.links_in_groups(members, 85, 3, 3)
+        return plan, n
+
+    for n in (400, 1_600):
+        plan, _ = rows_of(n)
+        links = plan.collect()
+        assert len({x for r in links for x in r}) == n and len(links) <= n + n // 100 * 10
+
+
+def test_match_thresholds():
+    assert near_dup.matches_for(85, 32) == 16 and near_dup.matches_for(80, 32) == 13
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()] + [(50, "two words"), (51, "TWO  words"), (52, "two"), (53, "words two")]
     _check_near(spark, rows)
@@ -98,24 +137,36 @@ def _repeats(rows, length=50):
     return sorted(out, key=repr)
 
 
-def test_intervals_against_plain_prefixes():
+@pytest.mark.parametrize(("letters", "most"), [("ab", 30), ("abcdefgh", 200), ("a", 60)])
+def test_intervals_against_plain_prefixes(letters, most):
     random.seed(3)
-    strings = ["".join(random.choices("ab", k=random.randint(1, 30))).encode() for _ in range(40)]
-    n = len(strings)
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + n
-    text[np.cumsum([len(s) + 1 for s in strings]) - 1] = np.arange(n)
-    sa, lcp = suffix_dedup.intervals(text, 5)
-    suffix = [text[i:].tolist() for i in range(len(text))]
-    assert sa.tolist() == sorted(range(len(text)), key=lambda i: suffix[i])
-    for k in range(1, len(sa)):
-        a, b = suffix[sa[k - 1]], suffix[sa[k]]
-        common = next(i for i, (x, y) in enumerate(zip(a, b)) if x != y)
-        assert lcp[k] == min(common, 5)
+    strings = sorted({"".join(random.choices(letters, k=random.randint(1, most))).encode() for _ in range(40)})
+    random.shuffle(strings)
+    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16)
+    for length in (5, 50):
+        sa, lcp = suffix_dedup.intervals(text, length)
+        assert sorted(sa.tolist()) == list(range(len(text)))
+        prefix = [np.roll(text, -i)[:length].tolist() for i in sa.tolist()]
+        assert prefix == sorted(prefix)
+        for k in range(1, len(sa)):
+            assert lcp[k] == next((i for i, (x, y) in enumerate(zip(prefix[k - 1], prefix[k])) if x != y), length)
+
+
+def test_windows_of_strings_against_plain_search():
+    random.seed(8)
+    strings = list({bytes(random.choices(range(3), k=random.randint(1, 40))) for _ in range(300)})
+    docs = np.array([random.randrange(20) for _ in strings])
+    first = {}
+    for s, d in zip(strings, docs.tolist()):
+        for i in range(len(s) - 5):
+            first[s[i : i + 6]] = min(d, first.get(s[i : i + 6], d))
+    want = [(k, i) for k, (s, d) in enumerate(zip(strings, docs.tolist())) for i in range(len(s) - 5) if first[s[i : i + 6]] < d]
+    assert list(zip(*(x.tolist() for x in suffix_dedup.repeated_windows(strings, docs, 6)))) == want
 
 
 @pytest.mark.parametrize(("many", "over"), [(None, 65_536), (2, 65_536), (64, 2)])
 def test_repeats_against_brute_force(spark, data, many, over):
-    rows = [(r["doc_id"], r["text"][:3_000]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     passage = " ".join(f"shared{i}" for i in range(20))
     rows += [(1_000 + i, f"start {i} {i * 7} {passage} end {i * i} " + "la " * (i % 40)) for i in range(60)]
     got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), many=many, over=over)
@@ -123,7 +174,7 @@ def test_repeats_against_brute_force(spark, data, many, over):
 
 
 def test_repeats_of_odd_rows(spark, odd, none):
-    rows = [tuple(r) for r in odd.select("doc_id", "text").collect() if r["doc_id"] not in (6, 7)] + [(70, "ab" * 3_000), (71, "ab" * 2_000 + "c" * 60), (72, "é" * 100), (73, "x" + "é" * 60)]
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()] + [(2, "another text of document two: " + "word " * 30), (60, "word " * 20 + "another text of document two: "), (70, "ab" * 3_000), (71, "ab" * 2_000 + "c" * 60), (72, "é" * 100), (73, "x" + "é" * 60)]
     got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == _repeats(rows)
     assert suffix_dedup.repeats(none).count() == 0

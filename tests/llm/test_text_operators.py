@@ -29,6 +29,17 @@ def test_bpe_equals_the_library(tokenizer):
     assert 0 < ours.merged < ours.proposed
 
 
+def test_bpe_equals_the_library_on_every_code_point(tokenizer):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs, ours = tokenizers.Tokenizer.from_file(str(tokenizer)), word_bpe.WordBpe(str(tokenizer))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}B {chr(c)}" for c in points[a : a + 200]) for a in range(0, len(points), 200)]
+    texts += [f"a{chr(c)}B {chr(c)}\u0301" for c in [*range(0x80, 0x3100), 0x1C89, 0xA7CC, 0xA7CE, 0x105C0, 0x105D2, 0x11382]]
+    for a in range(0, len(texts), 500):
+        want = [x.ids for x in theirs.encode_batch(texts[a : a + 500], add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts[a : a + 500])] == want
+
+
 def test_bpe_column_of_odd_rows(spark, odd, none, tokenizer):
     got = word_bpe.digests(odd, tokenizer).collect()
     assert len(got) == odd.count() and {r["n_tokens"] for r in got if r["doc_id"] in (3, 4, 5)} == {0}
@@ -181,7 +192,8 @@ def test_preferences_share_a_prompt_once(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "bye"), (1, 0, "user", "x"), (1, 1, "assistant", "no"), (2, 0, "user", None), (2, 1, "assistant", "alone"), (3, 0, "user", "none"), (None, 0, "user", "lost"), (4, None, "user", "lost")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in preference_format.preference_format(turns).collect()}
-    assert got.keys() == {0, 1, 2}
+    assert got.keys() == {0, 1, 2, 3}
+    assert tuple(got[3])[1:] == (1, "<|user|>\nnone\n", "", "", "", "")
     r = got[0]
     assert r["prompt"] == "<|user|>\nhi\n" and r["chosen"] == "<|assistant|>\nyes\n<|user|>\nbye\n" and r["rejected"] == "<|assistant|>\nno\n<|user|>\nbye\n"
     a, z = map(int, r["rejected_mask"].split(":"))
@@ -193,13 +205,15 @@ def test_preferences_share_a_prompt_once(spark):
     assert same["prompt_turns"] == 3 and same["chosen"] == same["rejected"] == ""
 
 
-def test_only_conversations_without_a_reply_have_no_pair(spark, data):
+def test_conversations_without_a_reply_are_all_prompt(spark, data):
     turns = spark.read.parquet(f"{data}/conversations.parquet")
     said = {}
     for r in turns.where("conv_id is not null and turn is not null").collect():
         said.setdefault(r["conv_id"], set()).add(r["role"])
-    got = [r["conv_id"] for r in queries.QUERIES["op4_preference_format"](spark, data).collect()]
-    assert sorted(got) == sorted(i for i, roles in said.items() if "assistant" in roles) and len(said) - len(got) == 4
+    got = {r["conv_id"]: r for r in queries.QUERIES["op4_preference_format"](spark, data).collect()}
+    mute = {i for i, roles in said.items() if "assistant" not in roles}
+    assert got.keys() == said.keys() and len(mute) == 4
+    assert mute == {i for i, r in got.items() if r["chosen"] == r["rejected"] == "" and "<|assistant|>" not in r["prompt"]}
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -210,3 +224,90 @@ def test_queries_equal_their_sql(spark, data, name):
     result = con.execute(queries.SQL[name])
     columns = [c[0] for c in result.description]
     assert sorted(map(tuple, queries.QUERIES[name](spark, data).select(*columns).collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+def _plain_preferences(rows):
+    """By plain lists of turns."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None and turn is not None:
+            convs[c].append((turn, role or "", text or ""))
+    last = {c: max((i for i, t in enumerate(sorted(ts)) if t[1] == "assistant"), default=None) for c, ts in convs.items()}
+    out = {}
+    for c, ts in convs.items():
+        chosen, at, other = sorted(ts), last[c], last.get(c ^ 1)
+        rejected = list(chosen)
+        if at is not None:
+            rejected[at : at + 1] = [] if other is None else [(*chosen[at][:2], sorted(convs[c ^ 1])[other][2])]
+        n = 0
+        while n < min(len(chosen), len(rejected)) and chosen[n][1:] == rejected[n][1:]:
+            n += 1
+
+        def side(turns):
+            text, spans = "", []
+            for _, role, own in turns:
+                text += f"<|{role}|>\n"
+                if role == "assistant":
+                    spans.append(f"{len(text)}:{len(text) + len(own)}")
+                text += own + "\n"
+            return text, ",".join(spans)
+
+        (a, x), (b, y) = side(chosen[n:]), side(rejected[n:])
+        out[c] = (c, n, side(chosen[:n])[0], a, b, x, y)
+    return out
+
+
+def test_preferences_against_plain_lists(spark, data):
+    """Ties, repeated rows, nulls, long texts, ids with a fraction, an empty table, and columns whose names the operator uses."""
+    table = spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = [tuple(r) for r in table.collect()]
+    rows += [(900_000, 0, "user", "long " * 50_000), (900_000, 1, "assistant", "x" * 200_000), (900_001, 0, "user", "long " * 50_000), (900_001, 1, "assistant", "y")]
+    rows += [(900_010, 1, "assistant", "b"), (900_010, 1, "assistant", "a"), (900_010, 1, "assistant", "b"), (900_011, 5, None, None), (900_011, 6, "assistant", None), (-4, 0, "user", "u"), (-3, 0, "assistant", "v"), (None, 1, "user", "w"), (900_012, None, "user", "w")]
+    frame = spark.createDataFrame([(*r, 1, "z", None, 0.5) for r in rows], "conv_id long, turn long, role string, text string, pair int, c string, `all` string, t double")
+    got = {r["conv_id"]: tuple(r) for r in preference_format.preference_format(frame).collect()}
+    assert got == _plain_preferences(rows)
+    assert preference_format.preference_format(frame.limit(0)).count() == 0
+    fractions = spark.createDataFrame([(1.5, 0, "user", "a"), (2.0, 0, "user", "b")], "conv_id double, turn long, role string, text string")
+    assert [r["conv_id"] for r in preference_format.preference_format(fractions).collect()] == [2]
+
+
+def test_host_verdicts_against_sql(spark, tmp_path):
+    """On a table where hosts are rejected, one of them by each rule."""
+    good = " ".join(f"word{i}" for i in range(40))
+    bad = {"short": "a b", "repeats": "one two three four five six seven eight " * 5, "symbols": "## || ** " * 8 + " ".join(f"x{i}" for i in range(20)), "lines": "\n".join(["a line that is there again " + str(i % 3) for i in range(30)]) + good}
+    random.seed(9)
+    rows, i = [], 0
+    for host, share in [*((h, 0.8) for h in bad), *((f"fine{k}", 0.02) for k in range(30)), ("border", 0.3), ("tiny", 1.0), (None, 0.1)]:
+        for _ in range(2 if host == "tiny" else 200):
+            kind = host if host in bad else random.choice(list(bad))
+            rows.append((i, bad[kind] if random.random() < share else good, host))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = quality_rules.verdicts(docs)
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({queries.OP9_SQL})").fetchall())
+    lost = {rows[r["doc_id"]][2] for r in got.where("not kept and not base_failed").collect()}
+    assert lost == set(bad)
+    assert {r["doc_id"] for r in quality_rules.kept_documents(docs).collect()} == {r["doc_id"] for r in got.where("kept").collect()}
+
+
+def test_packing_bound_and_lookahead(spark):
+    random.seed(12)
+    lengths = [random.choice((2048, random.randint(1, 2048), random.randint(1, 300))) for _ in range(9_000)]
+    found = spark.createDataFrame([(i, 0, 0, n, i % 7) for i, n in enumerate(lengths)], packing.PIECES)
+    least = -(-sum(lengths) // 2048)
+    used = {}
+    for bins, ahead in ((1024, 4096), (64, 4096), (64, 1)):
+        rows = packing.best_fit(found, 1, open_bins=bins, lookahead=ahead).collect()
+        assert sorted(r["length"] for r in rows) == sorted(lengths)
+        used[bins, ahead] = _packing_is_sound(rows, 2048)
+    assert least <= used[1024, 4096] <= 1.005 * least and used[64, 1] <= 1.05 * least and used[64, 4096] > used[1024, 4096]
+
+
+def test_packing_deals_null_ids_evenly(spark, tokenizer):
+    docs = spark.range(4_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'same' AS text")
+    rows = packing.packed(docs, tokenizer, rows_per_task=500).groupBy(F.expr("sequence_id >> 40")).count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 1_000
