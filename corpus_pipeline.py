@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sketchfield.llm import near_dup, packing, quality_fm, quality_rules, queries, suffix_dedup
-from sketchfield.llm._common import stored
+from sketchfield.llm._common import Scratch, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,8 +32,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeat in ones of smaller doc_id."""
-    return suffix_dedup.without_repeats(docs)
+    """Documents without the bytes that repeat in ones of smaller doc_id, and ``n_chars`` of what is left."""
+    return suffix_dedup.without_repeats(docs, count="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    with Scratch() as scratch:
+        for name, stage in STAGES[:-2]:
+            docs = scratch.stored(stage(spark, docs, sf_dir), name)
+            scratch.drop(keep=1)
+        name, stage = STAGES[-2]
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
