@@ -1,18 +1,21 @@
 """Counting filters: counters for positions, so keys can be taken out again.
 
-A table of counters (pos, cnt) without zeros.  Repeated positions of a key count twice.  The batch
-form of a delete is the net count, floored at zero and capped at the counters' largest value.
+A table of counters (pos, cnt) without zeros.  Repeated positions of a key count twice.  ``apply`` is the
+unchecked batch: the net count, floored at zero and capped at the counters' largest value.  Inserts and
+deletes one after the other, in an order without ties, are ``rejected``, ``delete_batch`` and ``first_failure``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import CounterOverflow, InvalidParameters
+from ..errors import CapacityExceeded, CounterUnderflow, InvalidFilterSize, InvalidParameters
 from ..plans.sizing import Spec
 from .growing import ranked
 from .membership import positions
+from .scratch import checkpointed
 
 #: Largest counts of 4, 8 and 16-bit counters.
 SIZES = {4: 15, 8: 255, 16: 65535}
@@ -36,12 +39,29 @@ def build(df: DataFrame, key: Column | str, spec: Spec, bits: int = 4) -> DataFr
     return hits(df, key, spec).select("pos", F.least("hits", F.lit(most)).cast("long").alias("cnt"), F.greatest(F.col("hits") - most, F.lit(0)).cast("long").alias("overflow"))
 
 
-def build_checked(df: DataFrame, key: Column | str, spec: Spec, bits: int = 4) -> DataFrame:
-    """``build`` that raises if a counter overflows."""
-    made = build(df, key, spec, bits)
-    if made.where("overflow > 0").limit(1).count():
-        raise CounterOverflow("a counter is saturated")
-    return made
+def rejected(df: DataFrame, key: str, order: str, spec: Spec, bits: int = 4, counters: DataFrame | None = None) -> DataFrame:
+    """(order, key) of inserts, in an order without ties, that come when all counters of their key are saturated.
+
+    A counter that starts at c is saturated by the (most - c)-th hit.  A rejected insert changes nothing, as
+    all its counters are saturated, so hits of all earlier inserts count.
+    """
+    most = SIZES[bits]
+    at = positions(df.where(F.col(order).isNotNull()), key, spec, [F.col(key).alias("_k"), F.col(order).alias("_n")])
+    hit = at.withColumn("_i", F.row_number().over(W.partitionBy("pos").orderBy("_n"))).where(f"_i <= {most}")  # limited before the shuffle
+    started = counters.select("pos", F.col("cnt").alias("_c")) if counters is not None else None
+    hit = hit.join(started, "pos", "left") if started is not None else hit.withColumn("_c", F.lit(0))
+    full = hit.where(F.col("_i") == most - F.coalesce("_c", F.lit(0))).select("pos", F.col("_n").alias("_since"))
+    if started is not None:
+        full = full.select("pos", F.col("_since").cast("double")).union(started.where(f"_c >= {most}").select("pos", F.lit(float("-inf"))))
+    late = at.join(full, "pos", "left").groupBy("_n", "_k").agg(F.bool_and(F.coalesce(F.col("_since") < F.col("_n"), F.lit(False))).alias("_full"))
+    return late.where("_full").select(F.col("_n").alias(order), F.col("_k").alias(key))
+
+
+def build_checked(df: DataFrame, key: str, order: str, spec: Spec, bits: int = 4) -> DataFrame:
+    """``build`` that raises if an insert comes when all counters of its key are saturated."""
+    if rejected(df, key, order, spec, bits).limit(1).count():
+        raise CapacityExceeded("all counters of a key are saturated")
+    return build(df, key, spec, bits)
 
 
 def apply(counters: DataFrame, df: DataFrame, key: Column | str, spec: Spec, bits: int = 4, delete: bool = False) -> DataFrame:
@@ -60,11 +80,97 @@ def contains(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> DataFr
     return at.groupBy("k").agg(least.alias("least")).select(F.col("k").alias(key), (F.col("least") > 0).alias("maybe"), "least")
 
 
-def first_failure(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec) -> DataFrame:
-    """Of deletes in an order, how many precede the first key that isn't there; null if all are there."""
-    known = contains(df, key, counters, spec)
-    numbered = ranked(df.select(*dict.fromkeys([key, order])), [order], "n").select(key, "n")
-    return numbered.join(known, key, "left").where(~F.coalesce("maybe", F.lit(False))).agg((F.min("n") - 1).cast("long").alias("deleted_before_failure"))
+def _nth_hits(at: DataFrame, counters: DataFrame, bits: int) -> DataFrame:
+    """(pos, _n) of the deletes (pos, _n; a row for each decrement) that take a counter below zero if all before succeed."""
+    numbered = at.select("pos", "_n").withColumn("_i", F.row_number().over(W.partitionBy("pos").orderBy("_n"))).where(f"_i <= {SIZES[bits] + 1}")  # limited before the shuffle
+    return numbered.join(counters.select("pos", "cnt"), "pos", "left").where(F.col("_i") == F.coalesce("cnt", F.lit(0)) + 1).select("pos", "_n")
+
+
+def first_failure(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8) -> DataFrame:
+    """One row: of deletes in an order, how many precede the first that fails; null if none does.
+
+    All deletes before the first failure succeed, so a counter of c fails at its (c + 1)-th decrement.  A
+    key's repeated deletes, and its repeated positions, count each.
+    """
+    numbered = ranked(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order])), list(dict.fromkeys([order, key])), "_n")
+    at = positions(numbered, key, spec, ["_n"])
+    return _nth_hits(at, counters, bits).agg((F.min("_n") - 1).cast("long").alias("deleted_before_failure"))
+
+
+def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8, rounds: int = 50) -> DataFrame:
+    """(order, key, deleted): verified deletes one after the other; one that fails changes nothing.
+
+    Which deletes succeed is enclosed from both sides: with all earlier ones that may succeed applied, a
+    delete that still finds its counters succeeds; with those only that surely succeed, one that does not
+    find them fails.  Each round decides the first open delete of every counter at least.
+    """
+    rows = ranked(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order])), list(dict.fromkeys([order, key])), "_n")
+    most = SIZES[bits]
+    have = counters.select("pos", F.col("cnt").alias("_c"))
+    at = positions(rows, key, spec, ["_n"]).groupBy("_n", "pos").agg(F.count(F.lit(1)).alias("_w")).join(have, "pos", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    # a counter of zero fails at once; one with more than all its decrements never does
+    total = at.groupBy("pos").agg(F.sum("_w").alias("_all"))
+    at = at.join(total, "pos")
+    state = at.groupBy("_n").agg(F.when(F.bool_and(F.col("_all") <= F.col("_c")), F.lit(True)).when(F.bool_or(F.col("_c") < F.col("_w")), F.lit(False)).alias("_ok"))
+    state = checkpointed(state)
+    for _ in range(rounds):
+        if not state.where("_ok is null").limit(1).count():
+            break
+        now = at.join(state, "_n")
+        earlier = W.partitionBy("pos").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
+        taken = lambda counted: F.least(F.coalesce(F.sum(F.when(counted, F.col("_w")).otherwise(0)).over(earlier), F.lit(0)), F.lit(most + 1))
+        now = now.withColumn("_high", taken(F.coalesce("_ok", F.lit(True)))).withColumn("_low", taken(F.coalesce("_ok", F.lit(False))))
+        found = now.groupBy("_n").agg(F.first("_ok").alias("_ok"), F.bool_and(F.col("_c") - F.col("_high") >= F.col("_w")).alias("_sure"), F.bool_or(F.col("_c") - F.col("_low") < F.col("_w")).alias("_lost"))
+        state = checkpointed(found.select("_n", F.coalesce("_ok", F.when(F.col("_sure"), True).when(F.col("_lost"), False)).alias("_ok")))
+    return rows.join(state, "_n").select(order, key, F.col("_ok").alias("deleted"))
+
+
+def can_remove(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> DataFrame:
+    """(key, can_remove) of the distinct keys, each judged alone."""
+    return contains(df, key, counters, spec).select(key, F.col("maybe").alias("can_remove"))
+
+
+def remove(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8) -> DataFrame:
+    """Counters after deletes that must all succeed, one after the other."""
+    if first_failure(df, key, order, counters, spec, bits).first()[0] is not None:
+        raise CounterUnderflow("an item is not in the filter, or a counter would fall below zero")
+    return apply(counters, df, key, spec, bits, delete=True)
+
+
+def raw_counters(counters: DataFrame, spec: Spec, bits: int = 4, chunk: int = 1 << 20) -> DataFrame:
+    """(chunk, bytes): all counters in order, as bytes, or as little-endian pairs if they have 16 bits; a row for each ``chunk`` positions."""
+    width = 2 if bits == 16 else 1
+    digits = 2 * width
+    value = F.lpad(F.hex(F.coalesce("cnt", F.lit(0).cast("long"))), digits, "0")
+    if width == 2:
+        value = F.concat(F.substring(value, 3, 2), F.substring(value, 1, 2))
+    every = counters.sparkSession.range(spec.m).withColumnRenamed("id", "pos").join(counters.select("pos", "cnt"), "pos", "left")
+    cells = every.select((F.expr(f"pos div {chunk}")).alias("chunk"), F.struct("pos", value.alias("v")).alias("x"))
+    return cells.groupBy("chunk").agg(F.unhex(F.array_join(F.sort_array(F.collect_list("x")).getField("v"), "")).alias("bytes"))
+
+
+def from_raw(raw: DataFrame, spec: Spec, bits: int = 4, chunk: int = 1 << 20) -> DataFrame:
+    """Counters of ``raw_counters``, with lengths and values checked; items and overflows count from zero again."""
+    width = 2 if bits == 16 else 1
+    length = raw.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    if length != spec.m * width:
+        raise InvalidFilterSize(f"{length} bytes are not {spec.m} counters of {bits} bits")
+    digits = raw.select("chunk", F.hex("bytes").alias("h"))
+    cells = digits.select("chunk", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"length(h) div {2 * width}") - 1), lambda i: F.substring(F.col("h"), i * 2 * width + 1, F.lit(2 * width)))).alias("i", "v"))
+    value = F.concat(F.substring("v", 3, 2), F.substring("v", 1, 2)) if width == 2 else F.col("v")
+    cnt = F.conv(value, 16, 10).cast("long")
+    checked = F.when(cnt > SIZES[bits], F.raise_error(F.lit("a counter is beyond its size")).cast("long")).otherwise(cnt)
+    return cells.select((F.col("chunk") * chunk + F.col("i")).cast("long").alias("pos"), checked.alias("cnt")).where("cnt > 0")
+
+
+def cleared(counters: DataFrame) -> DataFrame:
+    return counters.limit(0)
+
+
+def equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two tables have the same counters."""
+    both = a.select("pos", F.col("cnt").alias("x")).join(b.select("pos", F.col("cnt").alias("y")), "pos", "full")
+    return both.agg((F.count(F.when(F.coalesce("x", F.lit(0)) != F.coalesce("y", F.lit(0)), 1)) == 0).alias("equal"))
 
 
 def histogram(counters: DataFrame, spec: Spec, bits: int = 4) -> DataFrame:
@@ -89,6 +195,22 @@ def distribution(counters: DataFrame, spec: Spec, bits: int = 4) -> DataFrame:
     )
 
 
+def health(counters: DataFrame, spec: Spec, items: int, overflows: int = 0, bits: int = 4) -> DataFrame:
+    """One row of eighteen fields; the four of the distribution have a column each.
+
+    A filter of ``items`` items; a sum of overflows is not in the counters, so it is given.
+    """
+    d = distribution(counters, spec, bits)
+    fill = F.col("nonzero") / F.lit(float(spec.m))
+    return d.select(
+        fill.alias("fill_rate"), F.lit(estimated_fpr(items, spec)).alias("estimated_fpr"), F.lit(spec.target_fpr or 0.0).alias("target_fpr"), F.col("max_count").alias("max_counter_value"), F.col("avg_nonzero").alias("avg_counter_value"),
+        F.col("saturated").alias("saturated_count"), F.lit(overflows).cast("long").alias("overflow_events"), "overflow_risk", F.lit(-(-spec.m * bits // 8)).cast("long").alias("memory_bytes"), F.col("nonzero").alias("active_counters"),
+        F.lit(spec.m).cast("long").alias("total_counters"), F.lit(items / spec.expected_items if spec.expected_items else 0.0).alias("load_factor"), F.lit(items).cast("long").alias("estimated_item_count"),
+        (F.col("saturated") / F.lit(float(spec.m))).alias("saturation_rate"), F.col("compression_ratio").alias("memory_overhead"), F.col("min_count").alias("distribution_min"), F.col("max_count").alias("distribution_max"),
+        F.col("mean").alias("distribution_mean"), F.col("stddev").alias("distribution_stddev"), (1 - fill).alias("zero_rate"), "fragmentation",
+    )
+
+
 def hotspots(counters: DataFrame, n: int) -> DataFrame:
     """The n largest counters, ties by position."""
     return counters.orderBy(F.desc("cnt"), "pos").select("pos", "cnt").limit(n)

@@ -1,7 +1,7 @@
 """Filters that grow in slices, by order of arrival.
 
 Which slice an arrival goes to depends only on its rank, so a batch is assigned by comparing ranks
-with the slices' first ranks.  Ranks are counted in two levels, in ranges of the order column and
+with the slices' first ranks.  Ranks are counted in two levels, in ranges of the order columns and
 then inside each range, so no task sorts the whole input.
 """
 
@@ -11,31 +11,67 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import CapacityExceeded
+from ..errors import InvalidParameters, MaxFiltersExceeded
 from ..functions.hashing import place
 from ..plans.sizing import standard
-from ..plans.slices import LEAST_RATE, Slice, next_ratio
-from . import membership
+from ..plans.slices import LEAST_RATE, MAX_SLICES, Growth, Slice, next_ratio, slice_plan
+from . import cardinality, membership
 
+RANGE_ROWS = 500_000  # about so many rows are ranked in a task
+MOST_RANGES = 10_000
+_SAMPLES = 40  # for each range
 
-def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", ranges: int = 200) -> DataFrame:
-    """``df`` with each row's rank, from 1, in a total order; the first column must be a number or a time.
 
-    Ranges are cut at quantiles that are literals of the plan, so a repeated task deals rows alike.
+def _ordered(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order columns as one value; times as numbers, so that a sampled one can be a literal."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    own = [F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") or kinds[c] == "date" else F.col(c) for c in order]
+    return F.struct(*(x.alias(f"o{i}") for i, x in enumerate(own)))
+
+
+def _literal(row: object, kind: str) -> Column:
+    return F.struct(*(F.lit(x) for x in row)).cast(kind)  # type: ignore[attr-defined]
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int | None = None) -> DataFrame:
+    """``df`` with each row's rank, from 1, in a total order of the columns, nulls first.
+
+    Ranges are cut at sampled values of all order columns, which are literals of the plan, so a repeated
+    task deals rows alike.  Their number follows the number of rows; the sample is a fixed share for each.
+    A row finds its range in two steps, so a plan of n ranges makes about 2 sqrt(n) comparisons for it.
     """
-    kind = df.schema[order[0]].dataType.typeName()
-    lead = (F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(order[0])).cast("double")
-    bounds = sorted(set(df.select(lead.alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.002)))
-    part = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: b < lead)) if bounds else F.lit(0)
-    parts = df.withColumn("_part", F.when(lead.isNull(), F.lit(-1)).otherwise(part))
+    rows = df.count() if rows is None else rows
+    ranges = min(MOST_RANGES, -(-rows // RANGE_ROWS))
+    key = _ordered(df, order)
+    if ranges > 1:
+        share = min(1.0, ranges * _SAMPLES / rows)
+        chosen = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        kind = chosen.schema["k"].dataType.simpleString()
+        values = [r["k"] for r in chosen.orderBy("k").collect()]  # about _SAMPLES * MOST_RANGES rows at most
+        cuts = list(dict.fromkeys(values[i * len(values) // ranges] for i in range(1, ranges))) if values else []
+        width = max(1, math.isqrt(len(cuts)))
+        groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    else:
+        groups = []
+    if groups:
+        lead = F.array(*(_literal(g[0], kind) for g in groups))
+        inner = F.array(*(F.array(*(_literal(x, kind) for x in g)) for g in groups))
+        below = lambda cut: cut <= key
+        at = F.size(F.filter(lead, below))
+        part = F.when(at == 0, F.lit(0)).otherwise((at - 1) * width + F.size(F.filter(F.get(inner, at - 1), below)))
+    else:
+        part = F.lit(0)
+    parts = df.withColumn("_part", part.cast("int"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     parts = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return parts.join(starts, "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")  # MOST_RANGES rows at most
 
 
 def slice_of(rank: Column, plan: list[Slice]) -> Column:
@@ -43,18 +79,24 @@ def slice_of(rank: Column, plan: list[Slice]) -> Column:
     return reduce(lambda found, s: F.when(rank >= s.first, F.lit(s.number)).otherwise(found), plan, F.lit(0))
 
 
-def assigned(df: DataFrame, order: Sequence[str], plan: list[Slice], strict: bool = False) -> DataFrame:
+def assigned(df: DataFrame, order: Sequence[str], plan: list[Slice], strict: bool = False, rows: int | None = None) -> DataFrame:
     """``df`` with its slice. ``strict``: more arrivals than the plan holds are an error."""
-    out = ranked(df, order, "_rank")
+    out = ranked(df, order, "_rank", rows)
     if strict and out.where(F.col("_rank") >= plan[-1].first + plan[-1].threshold).limit(1).count():
-        raise CapacityExceeded("more arrivals than the slices hold")
+        raise MaxFiltersExceeded("more arrivals than the slices hold")
     return out.withColumn("slice", slice_of(F.col("_rank"), plan)).drop("_rank")
 
 
 def _slots(hashes: Column, s: Slice) -> Column:
-    """The positions of a key in a slice, with the slice: an array of structs."""
+    """The positions of a key in a slice, shard after shard, with the slice: an array of structs."""
     _, second = place(s.spec)
-    return F.array(*(F.struct(F.lit(s.number).alias("slice"), p.cast("long").alias("pos")) for _, p in second([hashes[0], hashes[1]])))
+    wide = 64 * _stride(s)
+    return F.array(*(F.struct(F.lit(s.number).alias("slice"), (g * wide + p).cast("long").alias("pos")) for g, p in second([hashes[0], hashes[1]])))
+
+
+def _stride(s: Slice) -> int:
+    """Words of a shard."""
+    return -(-s.spec.m // 64)
 
 
 def _hashed(df: DataFrame, key: str, plan: list[Slice], *more: str) -> DataFrame:
@@ -73,6 +115,45 @@ def build(df: DataFrame, key: str, plan: list[Slice]) -> DataFrame:
     return words.select("filter_id", F.lit(0).cast("long").alias("grp"), "word", "bits")
 
 
+def masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "mask") -> DataFrame:
+    """``df`` with a number whose bit i says that the key may be in slice i; null keys are in none.
+
+    All slices are one broadcast bitmap if they are small, as the plan tells; else they are joined.
+    """
+    if max(s.number for s in plan) >= MAX_SLICES:
+        raise MaxFiltersExceeded(f"a plan has at most {MAX_SLICES} slices")
+    stride = [s.spec.groups * _stride(s) for s in plan]
+    if 8 * sum(stride) > membership.BROADCAST_BYTES:
+        bit = F.expr("shiftleft(1L, slice)")
+        own = matches(df, key, words, plan).groupBy(F.col(key).alias("_k")).agg(F.bit_or(bit).alias(out))
+        return df.join(own, df[key] == own["_k"], "left").drop("_k").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+    start = np.concatenate([[0], np.cumsum(stride)]).tolist()
+    base = F.get(F.array(*(F.lit(x).cast("long") for x in _by_number(plan, start))), F.col("filter_id").cast("int"))
+    bits = df.sparkSession.sparkContext.broadcast(membership.bitmap(words, start[-1], base + F.col("word")))
+    first, _ = place(plan[0].spec)
+
+    @F.pandas_udf("long")
+    def test(*h: pd.Series) -> pd.Series:
+        a = [x.to_numpy() for x in h]
+        w, found = bits.value, np.zeros(len(a[0]), np.int64)
+        for s, at in zip(plan, start):
+            ok = a[0] >= 0
+            for g, pos in membership.slots(a, s.spec):
+                ok &= (w[at + g * _stride(s) + (pos >> 6)] >> (pos & 63)) & 1 == 1
+            found |= ok.astype(np.int64) << s.number
+        return pd.Series(found)
+
+    return df.withColumn(out, test(*(F.coalesce(h, F.lit(-1).cast("long")) for h in first(F.col(key)))))
+
+
+def _by_number(plan: list[Slice], start: list[int]) -> list[int]:
+    """Each slice's place in the bitmap, by its number."""
+    out = [0] * (max(s.number for s in plan) + 1)
+    for s, at in zip(plan, start):
+        out[s.number] = at
+    return out
+
+
 def matches(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
     """(key, slice) for each slice that a distinct key may be in: one lookup of all slices' words."""
     keys = df.select(F.col(key).alias("k")).where("k is not null").distinct()
@@ -83,16 +164,27 @@ def matches(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> Dat
     return found.where("hit").select(F.col("k").alias(key), "slice")
 
 
+def _bits(mask: Column, plan: list[Slice]) -> Column:
+    """The numbers of the slices in a mask, rising."""
+    return F.filter(F.array(*(F.when(F.getbit(mask, F.lit(s.number)) == 1, F.lit(s.number)) for s in plan)), lambda x: x.isNotNull())
+
+
 def provenance(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], newest_first: bool = False) -> DataFrame:
     """(key, slice): the first slice, or the last, that each distinct key may be in; null if none."""
-    found = matches(df, key, words, plan).groupBy(key).agg((F.max if newest_first else F.min)("slice").alias("slice"), F.count(F.lit(1)).alias("n_slices"))
-    return df.select(key).distinct().join(found, key, "left").select(key, "slice", F.coalesce("n_slices", F.lit(0)).cast("long").alias("n_slices"))
+    found = masks(df.select(key).distinct(), key, words, plan, "_mask")
+    own = _bits(F.col("_mask"), plan)
+    return found.select(key, (F.array_max(own) if newest_first else F.array_min(own)).alias("slice"), F.bit_count("_mask").cast("long").alias("n_slices"))
+
+
+def contains(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "maybe") -> DataFrame:
+    """``df`` with whether the key may be in any slice."""
+    return masks(df, key, words, plan, "_mask").withColumn(out, F.col("_mask") != 0).drop("_mask")
 
 
 def slice_statistics(words: DataFrame, plan: list[Slice]) -> DataFrame:
     """Per slice: set bits, fill, estimated rate and its share of the sum of rates."""
     spark = words.sparkSession
-    table = spark.createDataFrame([(str(s.number), s.number, s.capacity, s.rate, s.spec.m, s.spec.k) for s in plan], "filter_id string, slice int, capacity long, rate double, m long, k int")
+    table = spark.createDataFrame([(str(s.number), s.number, s.capacity, s.rate, s.spec.bits, s.spec.k) for s in plan], "filter_id string, slice int, capacity long, rate double, m long, k int")
     bits = words.groupBy("filter_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("set_bits"))
     out = table.join(bits, "filter_id", "left").withColumn("set_bits", F.coalesce("set_bits", F.lit(0).cast("long")))
     out = out.withColumn("fill_rate", F.col("set_bits") / F.col("m")).withColumn("estimated_fpr", F.pow("fill_rate", F.col("k").cast("double")))
@@ -100,6 +192,22 @@ def slice_statistics(words: DataFrame, plan: list[Slice]) -> DataFrame:
     return out.withColumn("share", F.when(total == 0, 0.0).otherwise(F.col("estimated_fpr") / total)).drop("filter_id")
 
 
+def shard_statistics(words: DataFrame, plan: list[Slice]) -> DataFrame:
+    """Per slice of shards: set bits, and the mean, least and largest rate of its shards."""
+    spark = words.sparkSession
+    table = spark.createDataFrame([(str(s.number), s.number, s.spec.m, s.spec.k, _stride(s), g) for s in plan for g in range(s.spec.groups)], "filter_id string, slice int, m long, k int, stride long, shard long")
+    shard = words.join(F.broadcast(table.where("shard = 0").drop("shard")), "filter_id").withColumn("shard", F.expr("word div stride"))
+    bits = shard.groupBy("filter_id", "shard").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
+    own = table.join(bits, ["filter_id", "shard"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    rate = F.pow(F.col("n") / F.col("m"), F.col("k").cast("double"))
+    return own.groupBy("slice").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("set_bits"), F.avg(rate).alias("estimated_fpr"), F.min(rate).alias("least_fpr"), F.max(rate).alias("largest_fpr"))
+
+
+def compound_fpr(stats: DataFrame) -> DataFrame:
+    """One row of the rates of slices: the compound one, accurate for tiny ones."""
+    return stats.agg((-F.expm1(F.sum(F.log1p(-F.col("estimated_fpr"))))).alias("compound_fpr"))
+
+
 def growth_health(stats: DataFrame) -> DataFrame:
     """One row over the slices: compound and largest rate, aggregate fill, capacity."""
     return stats.agg(
@@ -109,18 +217,66 @@ def growth_health(stats: DataFrame) -> DataFrame:
 
 
 def traced(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
-    """(key, trace): for each distinct key the slices in order, with whether they match, their hashes and fill."""
+    """(key, trace): for each distinct key the slices in order, with whether they match, hashes, bits and fill, and the bits tested until the first match."""
     fills = {r["slice"]: r["fill_rate"] for r in slice_statistics(words, plan).collect()}  # a row for each slice
-    found = matches(df, key, words, plan).groupBy(key).agg(F.collect_set("slice").alias("_slices"))
-    none = F.array().cast("array<int>")
-    steps = F.array(*(F.struct(F.lit(s.number).alias("slice"), F.array_contains("_slices", s.number).alias("matched"), F.lit(s.spec.k).alias("hashes"), F.lit(float(fills[s.number])).alias("fill_rate")) for s in plan))
-    return df.select(key).distinct().join(found, key, "left").withColumn("_slices", F.coalesce("_slices", none)).select(key, steps.alias("trace"))
+    found = masks(df.select(key).distinct(), key, words, plan, "_mask")
+    steps = F.array(*(F.struct(F.lit(s.number).alias("slice"), (F.getbit("_mask", F.lit(s.number)) == 1).alias("matched"), F.lit(s.spec.k).alias("hashes"), F.lit(s.spec.m).alias("bits"), F.lit(float(fills[s.number])).alias("fill_rate")) for s in plan))
+    return found.select(key, steps.alias("trace"))
+
+
+def unique_count(df: DataFrame, key: str, plan: list[Slice], total: int | None = None) -> DataFrame:
+    """The estimated number of distinct keys over all slices: their sketches, merged.
+
+    ``df`` has a slice for each row.  Without tracking, that is with ``total`` given, it is the number of insertions.
+    """
+    if total is not None:
+        return df.sparkSession.createDataFrame([(total,)], "estimate long")
+    own = cardinality.registers(df, key, "slice")
+    return cardinality.estimate(cardinality.merge(own)).select("estimate")
+
+
+def grow(plan: list[Slice], capacity: int, rate: float, growth: Growth = Growth(), ratio: float = 0.5, fill: float = 0.5, arrivals: int | None = None, max_slices: int = MAX_SLICES) -> list[Slice]:
+    """The plan with one slice more, which takes arrivals from now on: after ``arrivals``, or where the last one is full."""
+    if len(plan) >= max_slices:
+        raise MaxFiltersExceeded(f"{max_slices} slices are open already")
+    last = plan[-1]
+    first = last.first + last.threshold if arrivals is None else arrivals + 1
+    if not last.first <= first <= last.first + last.threshold:
+        raise InvalidParameters(f"{arrivals} arrivals are not in the last slice")
+    new = slice_plan(capacity, rate, 1 << 62, growth, ratio, fill, max_slices=len(plan) + 1)[-1]
+    closed = Slice(last.number, last.capacity, last.rate, last.spec, max(1, first - last.first), last.first)
+    return [*plan[:-1], closed, Slice(new.number, new.capacity, new.rate, new.spec, new.threshold, first)]
+
+
+def cleared(words: DataFrame, plan: list[Slice]) -> tuple[DataFrame, list[Slice]]:
+    """Without a bit, and back to the first slice at its initial rate."""
+    return membership.empty(words), plan[:1]
+
+
+def with_threshold(plan: list[Slice], fill: float) -> list[Slice]:
+    """A fill threshold for slices that open from now on: all but the last keep theirs."""
+    if not 0.45 <= fill < 1:
+        raise InvalidParameters("a fill threshold that is set later is in [0.45, 1)")
+    last = plan[-1]
+    return [*plan[:-1], Slice(last.number, last.capacity, last.rate, last.spec, max(1, math.ceil(last.capacity * fill)), last.first)]
+
+
+def health(words: DataFrame, plan: list[Slice], arrivals: int, target: float, growth: Growth = Growth(), unique: int | None = None) -> DataFrame:
+    """One row: thirteen fields over the slices."""
+    row = growth_health(slice_statistics(words, plan))
+    last = plan[-1]
+    room = max(0, last.first + last.threshold - 1 - arrivals)
+    return row.select(
+        "slices", "total_capacity", F.lit(arrivals).cast("long").alias("items"), F.lit(arrivals if unique is None else unique).cast("long").alias("unique_items"), "set_bits", "aggregate_fill", "current_fill",
+        "compound_fpr", "max_fpr", F.lit(target).alias("target_fpr"), (F.col("compound_fpr") / target).alias("fpr_ratio"), F.lit(room).cast("long").alias("room_before_growth"), F.lit(growth.kind).alias("growth"),
+    )
 
 
 def adaptive_build(df: DataFrame, key: str, order: Sequence[str], capacity: int, rate: float, ratio: float = 0.5, fill: float = 0.5, max_slices: int = 64) -> tuple[DataFrame, list[Slice]]:
     """Slices whose rates tighten by how full the one before became: a job for each slice."""
-    rows = ranked(df, order, "_rank")
-    total, plan, parts, first, p = rows.count(), [], [], 1, rate
+    total = df.count()
+    rows = ranked(df, order, "_rank", total)
+    plan, parts, first, p = [], [], 1, rate
     for i in range(max_slices):
         own = capacity * 2**i
         take = max(1, math.ceil(own * fill))
@@ -131,6 +287,6 @@ def adaptive_build(df: DataFrame, key: str, order: Sequence[str], capacity: int,
         first += take
         if first > total:
             break
-        ratio = next_ratio(ratio, membership.statistics(parts[-1], spec).first()["fill_rate"])
+        ratio = next_ratio(ratio, threshold=fill, fill=membership.statistics(parts[-1], spec).first()["fill_rate"])
         p = max(LEAST_RATE, p * ratio)
     return reduce(DataFrame.unionByName, parts), plan

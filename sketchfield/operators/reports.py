@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import PROFILES
+from .growing import ranked
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99, 0.999)
 SAMPLES = 100  # that an observed rate needs
@@ -25,22 +27,40 @@ def fp_tracker(labelled: DataFrame, expected: float) -> DataFrame:
     return row.select("*", fdr.alias("discovery_rate"), fpr.alias("fpr"), ((fpr - expected) / expected * 100).alias("deviation_percent"), (F.col("probes") >= SAMPLES).alias("enough"), (fpr > 1.5 * expected).alias("alert"))
 
 
-def sliding_fpr(labelled: DataFrame, order: str, by: str, width: int) -> DataFrame:
-    """The rate of false positives over the last ``width`` absent keys, within each value of ``by``."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(1 - width, 0)
-    return labelled.where("not actual").withColumn("window_fpr", F.avg(F.col("maybe").cast("double")).over(w))
+def sliding_fpr(labelled: DataFrame, order: str, width: int, block: int = 100_000) -> DataFrame:
+    """The rate of false positives over the last ``width`` absent keys in an order without ties.
 
+    Rows are numbered in ranges of the order and averaged in blocks; each block gets the last rows of the one before.
+    """
+    absent = ranked(labelled.where("not actual"), [order], "_n").withColumn("_own", F.expr(f"(_n - 1) div {max(block, width)}"))
+    late = F.pmod(F.col("_n") - 1, F.lit(max(block, width))) >= max(block, width) - (width - 1)
+    both = absent.withColumn("_block", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = W.partitionBy("_block").orderBy("_n").rowsBetween(1 - width, 0)
+    out = both.withColumn("window_fpr", F.avg(F.col("maybe").cast("double")).over(w))
+    return out.where("_block = _own").drop("_block", "_own", "_n")
 
-def latency(df: DataFrame, value: Column | str) -> DataFrame:
-    """Count, extremes, mean and exact percentiles."""
+
+def latency(df: DataFrame, value: Column | str, accuracy: int = 10_000) -> DataFrame:
+    """Count, extremes, mean and percentiles; these are values of the table, their ranks exact to one in ``accuracy``.
+
+    Sketches of bounded size are merged, so no task holds the values.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    return df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), *(F.percentile(v, p).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in PERCENTILES))
+    return df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), *(F.percentile_approx(v, p, accuracy).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in PERCENTILES))
+
+
+def from_histogram(hist: DataFrame, buckets: int = 64, low: float = 1e-9, high: float = 60.0) -> DataFrame:
+    """Percentiles of a ``log_histogram``, interpolated in the bucket's logarithm."""
+    step = (math.log(high) - math.log(low)) / buckets
+    before = W.partitionBy().orderBy("bucket")  # a row for each bucket
+    h = hist.select("bucket", "n", F.sum("n").over(before.rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(W.partitionBy()).alias("total"))
+    inside = lambda p: F.exp(math.log(low) + (F.col("bucket") + (p * F.col("total") - (F.col("upto") - F.col("n"))) / F.col("n")) * step)
+    at = lambda p: F.min(F.when((F.col("upto") >= p * F.col("total")) & (F.col("upto") - F.col("n") < p * F.col("total")), inside(p)))
+    return h.agg(F.coalesce(F.max("total"), F.lit(0)).alias("n"), *(at(p).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in PERCENTILES))
 
 
 def log_histogram(df: DataFrame, value: str, buckets: int = 64, low: float = 1e-9, high: float = 60.0) -> DataFrame:
     """(bucket, n) in buckets that are equal in the logarithm."""
-    import math
-
     x = F.ln(F.greatest(F.least(F.col(value).cast("double"), F.lit(high)), F.lit(low)))
     at = F.least(F.floor((x - math.log(low)) / (math.log(high) - math.log(low)) * buckets), F.lit(buckets - 1))
     return df.where(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

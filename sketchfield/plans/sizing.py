@@ -152,6 +152,41 @@ def sharded(n: int, p: float, shards: int, **more: object) -> Spec:
     return Spec("sharded", m, k, groups=shards, expected_items=n, target_fpr=p, **more)
 
 
+def stripe_count(cores: int) -> int:
+    """Stripes for so many writers: a power of two from 16 to 4096."""
+    return min(4096, next_power_of_two(max(16, 4 * cores)))
+
+
+def next_power_of_two(n: int) -> int:
+    return 1 << max(0, n - 1).bit_length()
+
+
+def previous_power_of_two(n: int) -> int:
+    if n < 1:
+        raise InvalidParameters(f"no power of two is at most {n}")
+    return 1 << (n.bit_length() - 1)
+
+
+def rounded_up(n: int, unit: int) -> int:
+    return -(-n // unit) * unit
+
+
+def implied_items(spec: Spec) -> int:
+    """Items that fill half of a filter's bits, for filters made of bits and hashes."""
+    return math.floor(spec.bits * math.log(2) / spec.k)
+
+
+def advised_partitions(spec: Spec, rows: int, row_bytes: int = 16, partition_bytes: int = 128 << 20) -> int:
+    """Partitions for building a filter of so many keys: of about ``partition_bytes`` of hashes, and not more than the words can fill."""
+    by_keys = -(-rows * row_bytes // partition_bytes)
+    return max(1, min(by_keys, -(-spec.memory_bytes * 24 // 8 // (1 << 20)) + by_keys // 2))
+
+
+def recommended_profile(portable: bool = False) -> str:
+    """The fastest hash family, unless other engines must find the same bits."""
+    return "portable" if portable else "fast"
+
+
 def adaptive_shards(n: int, cores: int) -> int:
     return max(1, min(2 * cores, n // 10_000, 256))
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
 from ..errors import InvalidParameters, InvalidRange
-from .sizing import Spec, check_items, check_rate, filter_params, standard
+from .sizing import Spec, check_items, check_rate, filter_params, sharded, standard
 
 MAX_SLICES = 64
 LEAST_RATE = 1e-15
@@ -50,8 +50,8 @@ def slice_plan(capacity: int, rate: float, arrivals: int, growth: Growth = Growt
     """The slices that so many arrivals open. ``floor``: thresholds round down, as the concurrent form has them."""
     check_items(capacity)
     check_rate(rate)
-    if not 0 < ratio < 1 or not 0 < fill <= 1:
-        raise InvalidParameters("a ratio is in (0, 1) and a fill threshold in (0, 1]")
+    if not 0 < ratio < 1 or not 0.45 <= fill < 1:
+        raise InvalidParameters("a ratio is in (0, 1) and a fill threshold in [0.45, 1)")
     out, first = [], 1
     for i in range(max_slices):
         own = growth.capacity(capacity, i)
@@ -64,13 +64,15 @@ def slice_plan(capacity: int, rate: float, arrivals: int, growth: Growth = Growt
     return out
 
 
-def next_ratio(ratio: float, fill: float, least: float = 0.3, most: float = 0.9) -> float:
-    """Adaptive tightening after a slice was filled so far."""
-    return max(0.9 * ratio, least) if fill > 0.6 else min(1.1 * ratio, most) if fill < 0.4 else ratio
+def next_ratio(ratio: float, fill: float, least: float = 0.3, most: float = 0.9, threshold: float = 0.5) -> float:
+    """Adaptive tightening after a slice was filled so far, if that is over a fifth off the threshold."""
+    return max(0.9 * ratio, least) if fill > 1.2 * threshold else min(1.1 * ratio, most) if fill < 0.8 * threshold else ratio
 
 
-def predict_fpr(capacity: int, rate: float, n: int, growth: Growth = Growth(), ratio: float = 0.5, fill: float = 0.5) -> float:
-    """The compound rate with the slices that n items open."""
+def predict_fpr(capacity: int, rate: float, n: int, growth: Growth = Growth(), ratio: float = 0.5, fill: float = 0.5, items: int = 0, current: float = 0.0) -> float:
+    """The compound rate with the slices that n items open; the current one if a filter has so many items already."""
+    if n <= items:
+        return current
     slices = slice_plan(capacity, rate, n, growth, ratio, fill, floor=True)
     return 1 - math.prod(1 - s.rate for s in slices)
 
@@ -87,6 +89,73 @@ def slices_for_capacity(capacity: int, total: int, growth: Growth = Growth()) ->
     return n
 
 
+def next_slice(plan: list[Slice], capacity: int, rate: float, growth: Growth = Growth(), ratio: float = 0.5) -> tuple[int, float]:
+    """Capacity and rate of the slice that opens after a plan's last one."""
+    i = len(plan)
+    return growth.capacity(capacity, i), max(LEAST_RATE, rate * ratio**i)
+
+
+def growing_shards(threads: int) -> int:
+    return max(1, min(16, threads))
+
+
+def sharded_plan(plan: list[Slice], shards: int) -> list[Slice]:
+    """The same slices, each dealt to so many shards."""
+    return [replace(s, spec=sharded(s.capacity, s.rate, shards)) for s in plan]
+
+
+@dataclass(frozen=True)
+class ScalableBuilder:
+    """Collects what a growing filter needs; every step validates."""
+
+    first: int = 1_000
+    rate: float = 0.01
+    factor: float = 2.0
+    ratio: float = 0.5
+    fill: float = 0.5
+
+    def initial_capacity(self, n: int) -> ScalableBuilder:
+        check_items(n)
+        return replace(self, first=n)
+
+    def false_positive_rate(self, p: float) -> ScalableBuilder:
+        check_rate(p)
+        return replace(self, rate=p)
+
+    def growth_factor(self, factor: float) -> ScalableBuilder:
+        if not 1 < factor <= 10:
+            raise InvalidParameters(f"a growth factor is in (1, 10], not {factor}")
+        return replace(self, factor=factor)
+
+    def tightening_ratio(self, ratio: float) -> ScalableBuilder:
+        if not 0 < ratio < 1:
+            raise InvalidParameters(f"a ratio is in (0, 1), not {ratio}")
+        return replace(self, ratio=ratio)
+
+    @property
+    def growth(self) -> Growth:
+        return Growth("geometric", self.factor)
+
+    @property
+    def rate_bound(self) -> float:
+        return union_bound(self.rate, self.ratio)
+
+    def slice_capacity(self, i: int) -> int:
+        return self.growth.capacity(self.first, i)
+
+    def slice_rate(self, i: int) -> float:
+        return max(LEAST_RATE, self.rate * self.ratio**i)
+
+    def total_capacity(self, slices: int) -> int:
+        return sum(map(self.slice_capacity, range(slices)))
+
+    def slices_for(self, total: int) -> int:
+        return slices_for_capacity(self.first, total, self.growth)
+
+    def build(self, arrivals: int) -> list[Slice]:
+        return slice_plan(self.first, self.rate, arrivals, self.growth, self.ratio, self.fill)
+
+
 @dataclass(frozen=True)
 class TreePlan:
     """A tree of filters: a node at level l holds what its leaves may hold."""

@@ -4,7 +4,7 @@ import pytest
 
 from sketchfield import errors
 from sketchfield.operators import counting
-from sketchfield.plans import sizing
+from sketchfield.plans import sizing, slices
 from sketchfield.plans.slices import Growth, TreePlan, next_ratio, predict_fpr, slice_plan, slices_for_capacity
 
 
@@ -54,3 +54,23 @@ def test_tree_plan():
     plan = TreePlan(10, 0.01, (2, 3))
     assert (plan.nodes, plan.leaves, plan.depth) == (9, 6, 2) and plan.spec(0).m > plan.spec(1).m > plan.spec(2).m
     assert "9 nodes" in plan.report()
+
+
+def test_builder_of_growing_filters():
+    b = slices.ScalableBuilder().initial_capacity(100).false_positive_rate(0.02).growth_factor(3).tightening_ratio(0.8)
+    assert (b.slice_capacity(2), b.total_capacity(3), b.slices_for(1_000)) == (900, 1_300, 3)
+    assert abs(b.rate_bound - 0.1) < 1e-12 and abs(b.slice_rate(1) - 0.016) < 1e-12 and len(b.build(400)) == 3
+    for wrong in (lambda: b.growth_factor(1), lambda: b.growth_factor(11), lambda: b.tightening_ratio(1), lambda: b.initial_capacity(0), lambda: b.false_positive_rate(1)):
+        with pytest.raises(errors.InvalidParameters):
+            wrong()
+    assert slices.next_slice(b.build(1), 100, 0.02, b.growth, 0.8) == (300, 0.016) and slices.growing_shards(99) == 16
+    assert slices.predict_fpr(100, 0.01, 5, items=7, current=0.3) == 0.3
+
+
+def test_advice():
+    assert [sizing.next_power_of_two(n) for n in (0, 1, 5, 64)] == [1, 1, 8, 64] and sizing.previous_power_of_two(100) == 64 and sizing.rounded_up(5, 4) == 8
+    assert sizing.stripe_count(1) == 16 and sizing.stripe_count(10) == 64 and sizing.stripe_count(5_000) == 4096
+    assert sizing.recommended_profile() == "fast" and sizing.recommended_profile(portable=True) == "portable"
+    assert sizing.implied_items(sizing.with_params(1_000, 7)) == 99
+    spec = sizing.standard(10**9, 0.01)
+    assert sizing.advised_partitions(spec, 100) == 1 and 1 < sizing.advised_partitions(spec, 10**9) <= 120
