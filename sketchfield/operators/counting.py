@@ -110,18 +110,20 @@ def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec:
     at = positions(rows, key, spec, ["_n"]).groupBy("_n", "pos").agg(F.count(F.lit(1)).alias("_w")).join(have, "pos", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
     # a counter of zero fails at once; one with more than all its decrements never does
     total = at.groupBy("pos").agg(F.sum("_w").alias("_all"))
-    at = at.join(total, "pos")
+    at = checkpointed(at.join(total, "pos"))
     state = at.groupBy("_n").agg(F.when(F.bool_and(F.col("_all") <= F.col("_c")), F.lit(True)).when(F.bool_or(F.col("_c") < F.col("_w")), F.lit(False)).alias("_ok"))
     state = checkpointed(state)
     for _ in range(rounds):
         if not state.where("_ok is null").limit(1).count():
             break
         now = at.join(state, "_n")
+        now = now.join(now.where("_ok is null").select("pos").distinct(), "pos", "left_semi")  # counters that an open delete asks for
         earlier = W.partitionBy("pos").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
         taken = lambda counted: F.least(F.coalesce(F.sum(F.when(counted, F.col("_w")).otherwise(0)).over(earlier), F.lit(0)), F.lit(most + 1))
         now = now.withColumn("_high", taken(F.coalesce("_ok", F.lit(True)))).withColumn("_low", taken(F.coalesce("_ok", F.lit(False))))
         found = now.groupBy("_n").agg(F.first("_ok").alias("_ok"), F.bool_and(F.col("_c") - F.col("_high") >= F.col("_w")).alias("_sure"), F.bool_or(F.col("_c") - F.col("_low") < F.col("_w")).alias("_lost"))
-        state = checkpointed(found.select("_n", F.coalesce("_ok", F.when(F.col("_sure"), True).when(F.col("_lost"), False)).alias("_ok")))
+        new = found.where("_ok is null").select("_n", F.when(F.col("_sure"), True).when(F.col("_lost"), False).alias("_new"))
+        state = checkpointed(state.join(new, "_n", "left").select("_n", F.coalesce("_ok", "_new").alias("_ok")))
     return rows.join(state, "_n").select(order, key, F.col("_ok").alias("deleted"))
 
 

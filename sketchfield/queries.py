@@ -197,7 +197,7 @@ CASE WHEN fill_rate < 0.5 AND estimated_fpr / 0.01 < 2 THEN 'Healthy' WHEN fill_
 """)
 def health_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, spec = _texts(spark, sf_dir)
-    return _rounded(membership.health(words, spec), "fill_rate", "estimated_fpr").withColumn("fpr_ratio", F.round("fpr_ratio", 6))
+    return _rounded(membership.health(words, spec), "fill_rate", "estimated_fpr").withColumn("fpr_ratio", F.round(F.col("estimated_fpr") / 0.01, 6))
 
 
 # algebra: part keys by the quantity ordered, of which any two share some ---------------------------

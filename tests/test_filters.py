@@ -428,7 +428,7 @@ def test_percentiles(spark):
     row = reports.latency(values, "v").first()
     assert abs(row["p50"] - 5) < 0.01 and abs(row["p99_9"] - 9.99) < 0.01 and row["n"] == 10_000
     own = reports.from_histogram(reports.log_histogram(values, "v", 256), 256).first()
-    assert abs(own["p50"] - 5) < 0.3 and abs(own["p99"] - 9.9) < 0.3
+    assert abs(own["p50"] - 5) < 0.3 and abs(own["p99"] - 9.9) < 0.7  # a bucket is a tenth wide
     assert reports.from_histogram(reports.log_histogram(values.limit(0), "v")).first()["n"] == 0
 
 
