@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, free_name, map_arrow, record_batch, runs, stored, texts_of
+from ._common import Scratch, apart, free_name, map_arrow, record_batch, runs, stored, texts_of
 from .components import components
 
 SHINGLE = 3
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coords: int = COORDS) -> Da
 def candidates(reps: DataFrame, matches: int) -> DataFrame:
     """node, n_shingles, weight and toks (values that others have too, the rarest first), of classes that may have a partner."""
     posts = reps.select("node", "n_shingles", F.posexplode("sig").alias("k", "v")).select("node", "n_shingles", F.xxhash64("k", "v").alias("b"))
-    common = posts.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = posts.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(apart(F.col("b")).alias("b"), "n")
     own = posts.join(common, "b").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "b"))).alias("toks"), F.sum("n").alias("weight"), F.max("n_shingles").alias("n_shingles"))
     own = own.where(F.size("toks") >= matches)
     return own.select("node", "n_shingles", "weight", F.col("toks.b").alias("toks"))
@@ -207,8 +207,10 @@ def _block_links(nodes: list[int], labels: list[int], toks: list[np.ndarray], te
     return out
 
 
-def links_in_groups(members: DataFrame, percent: int, size: int, matches: int, visitors: int = 0) -> DataFrame:
-    """Links between members (node, g, c, every, n_shingles, toks, text) of a group that ``c`` doesn't connect.
+def links_in_groups(members: DataFrame, texts: DataFrame, percent: int, size: int, matches: int, visitors: int = 0) -> DataFrame:
+    """Links between members (node, g, c, every, n_shingles) of a group that ``c`` doesn't connect; ``texts`` has node, toks and text.
+
+    Groups are dealt before texts come to it, so no text is shuffled by its group.
 
     Each member is in one block of its group; with ``every``, it visits all others too.  With
     ``visitors``, those of so many blocks come at once, and a block is dealt once for each such crowd.
@@ -216,11 +218,11 @@ def links_in_groups(members: DataFrame, percent: int, size: int, matches: int, v
     blocks = members.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total"), F.min("c").alias("least"), F.max("c").alias("most")).where("rows > 1 and least != most")
     blocks = blocks.select("g", F.ceil(F.col("rows") / BLOCK_DOCS + F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb"))
     crowd, crowds = (F.expr(f"CAST(own div {visitors} AS INT)"), F.expr(f"sequence(0, CAST((nb - 1) div {visitors} AS INT))")) if visitors else (F.lit(0), F.array(F.lit(0)))
-    dealt = members.join(blocks, "g").withColumn("own", F.expr("CAST(pmod(xxhash64(node, 7), nb) AS INT)"))
+    dealt = members.join(blocks.withColumn("g", apart(F.col("g"))), "g").withColumn("own", F.expr("CAST(pmod(xxhash64(node, 7), nb) AS INT)"))
     home = F.transform(crowds, lambda v: F.struct(F.col("own").alias("at"), v.alias("crowd"), F.lit(True).alias("mine")))
     away = F.transform(F.filter(F.expr("sequence(0, nb - 1)"), lambda at: at != F.col("own")), lambda at: F.struct(at.alias("at"), crowd.alias("crowd"), F.lit(False).alias("mine")))
     dealt = dealt.withColumn("to", F.explode(F.when(F.col("every"), F.concat(home, away)).otherwise(home)))
-    dealt = dealt.select("node", "c", "toks", "text", "to.mine", F.xxhash64("g", "to.at", "to.crowd").alias("task"))
+    dealt = dealt.select("node", "c", "to.mine", F.xxhash64("g", "to.at", "to.crowd").alias("task")).join(texts, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = _block_links(pdf["node"].tolist(), pdf["c"].tolist(), pdf["toks"].tolist(), pdf["text"].tolist(), np.flatnonzero(pdf["mine"].to_numpy()), percent, size, matches)
@@ -264,24 +266,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
         posts = found.select("node", "weight", F.explode(_prefix("toks", matches)).alias("b"))
         hubs = posts.groupBy("b").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        posts = posts.join(hubs.select("b", "hub"), "b")
+        hubs = hubs.select(apart(F.col("b")).alias("b"), "hub")
+        posts = posts.join(hubs, "b")
         groups = posts.groupBy("node").agg(F.max("hub").alias("hub")).select("node", (-F.col("hub.neg")).alias("g"))
         groups = scratch.stored(groups.join(found.select("node", "n_shingles", "toks"), "node"), "groups")
-        texts = scratch.stored(docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text"), "texts", release=True)
+        texts = scratch.stored(docs.join(groups.select(F.col("node").alias("doc_id"), "toks"), "doc_id").select(F.col("doc_id").alias("node"), "toks", "text"), "texts", release=True)
 
         # each group's blocks, with the hub in all of them
-        away = groups.select(F.col("g").alias("node")).distinct().join(groups.where("g != node"), "node").select("node", F.col("node").alias("g"), "n_shingles", "toks")
-        dealt = groups.select("node", "g", "n_shingles", "toks").union(away).withColumn("c", F.col("node")).withColumn("every", F.col("node") == F.col("g"))
-        links = scratch.stored(links_in_groups(dealt.join(texts, "node"), percent, size, matches), "links", release=True)
+        away = groups.select(F.col("g").alias("node")).distinct().join(groups.where("g != node"), "node").select("node", F.col("node").alias("g"), "n_shingles")
+        dealt = groups.select("node", "g", "n_shingles").union(away).withColumn("c", F.col("node")).withColumn("every", F.col("node") == F.col("g"))
+        links = scratch.stored(links_in_groups(dealt, texts, percent, size, matches), "links", release=True)
         joined = components(links, scratch)
 
         # what is not connected with the hub visits all blocks
         home = groups.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         of_hub = home.select(F.col("node").alias("g"), F.col("c").alias("hub_c"))
-        home = scratch.stored(home.join(of_hub, "g"), "homes")
+        home = scratch.stored(home.join(of_hub.withColumn("g", apart(F.col("g"))), "g"), "homes")
         loose = home.where("c != hub_c").select("g").distinct()
-        again = home.join(loose, "g", "left_semi").select("node", "g", "c", (F.col("c") != F.col("hub_c")).alias("every"), "n_shingles", "toks")
-        more = links_in_groups(again.join(texts, "node"), percent, size, matches, CROWD)
+        again = home.join(loose, "g", "left_semi").select("node", "g", "c", (F.col("c") != F.col("hub_c")).alias("every"), "n_shingles")
+        more = links_in_groups(again, texts, percent, size, matches, CROWD)
 
         # pairs of different groups
         posts = home.select("node", "g", "c", "toks", F.explode(_prefix("toks", matches)).alias("b")).join(hubs.select("b", (-F.col("hub.neg")).alias("h")), "b")
@@ -290,14 +293,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         once = F.array_min(F.array_intersect(_prefix("x.toks", matches), _prefix("y.toks", matches))) == F.col("x.b")  # of the values where a pair meets, at one
         pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & enough & once)
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        more = more.union(_confirmed(pairs, texts, percent, size))
+        more = more.union(_confirmed(pairs, texts.select("node", "text"), percent, size))
         # rows of one doc_id with different sets are one document
         several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
         same = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(reps.select("set_key", "node"), "set_key").where("node != doc_id").select("node", "doc_id")
         more = scratch.stored(more.union(same), "links")
         joined = components(joined.select("component", "node").union(more))
 
-    classes = reps.select("set_key", "node", "copies").join(joined, "node", "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "node").alias("class"))
+    classes = reps.select("set_key", "node", "copies").join(joined, "node", "left").where("copies > 1 or component is not null").select(apart(F.col("set_key"), "string").alias("set_key"), F.coalesce("component", "node").alias("class"))
     component = F.coalesce("class", "doc_id")
     out = sigs.withColumn("set_key", F.when(F.col("doc_id").isNotNull(), F.col("set_key"))).join(classes, "set_key", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

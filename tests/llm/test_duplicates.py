@@ -96,7 +96,8 @@ def test_near_copies_make_rows_in_proportion(spark):
             own[random.randrange(200)] = f"new{i}"
             found.append((i, 0, i, i == 0, 198, [1, 2, 3], " ".join(own)))
         members = spark.createDataFrame(found, "node long, g long, c long, every boolean, n_shingles long, toks array<long>, text string")
-        plan = near_dup.links_in_groups(members, 85, 3, 3)
+        texts = members.select("node", "toks", "text")
+        plan = near_dup.links_in_groups(members.drop("toks", "text"), texts, 85, 3, 3)
         return plan, n
 
     for n in (400, 1_600):
@@ -173,6 +174,15 @@ def test_repeats_against_brute_force(spark, data, many, over):
     assert sorted(map(tuple, got.collect()), key=repr) == _repeats(rows)
 
 
+def test_a_larger_table_against_brute_force(spark, data):
+    """All documents of the next size, whole."""
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert len(rows) == 1_000
+    assert sorted(map(tuple, suffix_dedup.repeats(docs).collect()), key=repr) == _repeats(rows)
+    _check_near(spark, rows)
+
+
 def test_repeats_of_odd_rows(spark, odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()] + [(2, "another text of document two: " + "word " * 30), (60, "word " * 20 + "another text of document two: "), (70, "ab" * 3_000), (71, "ab" * 2_000 + "c" * 60), (72, "é" * 100), (73, "x" + "é" * 60)]
     got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
