@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -78,6 +79,14 @@ class Scratch:
         self.drop()
 
 
+def apart(column: Column, kind: str = "long") -> Column:
+    """The same value, in an expression that hides how an aggregation has dealt it.
+
+    A join on it shuffles the aggregated side by itself, and only then can Spark split the other side's busy keys.
+    """
+    return F.concat(column, F.lit("")) if kind == "string" else F.bitwise_not(F.bitwise_not(column))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

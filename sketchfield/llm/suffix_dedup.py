@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, free_name, give_back, record_batch, runs, stored, without_cycle_search
+from ._common import Scratch, apart, free_name, give_back, record_batch, runs, stored, without_cycle_search
 
 LENGTH = 50
 GRAM = 20
@@ -488,7 +488,8 @@ def removals(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = G
     # equal texts: one of them goes on, all but the smallest go whole
     marked = scratch.stored(docs.select("doc", "id", F.sha2("text", 256).alias("content"), F.octet_length("text").cast("long").alias("n")), "contents")
     first = marked.groupBy("content").agg(F.min("doc").alias("first"), F.min("id").alias("id"))
-    whole = marked.select("doc", "id", "content").distinct().join(first.select("content", "first"), "content").where("doc > first").select("doc", "id")
+    copied = marked.groupBy("content").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(apart(F.col("content"), "string").alias("content"), "first")
+    whole = marked.select("doc", "id", "content").distinct().join(copied, "content").where("doc > first").select("doc", "id")
     total = marked.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     posted = _map(docs.select("id", "text"), _posted, _ROW, length, k, tasks)
