@@ -45,7 +45,8 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """Totals for every limit, in two levels: sums inside blocks of lengths, and over the blocks.
 
-    No task holds more than the lengths of one block or the sums of the blocks.
+    No task holds more than the lengths of one block, or the sums of the blocks, of which there is
+    one for each BLOCK tokens of the longest text.
     """
     h = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     after = W.partitionBy().orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)

@@ -226,3 +226,19 @@ def test_pipeline_against_brute_force(spark, data, tokenizer):
     for r in packed:
         at[r["doc_id"]] = at.get(r["doc_id"], 0) + r["length"]
     assert at == {i: len(x) // 4 + 1 for i, x in zip(after, bpe.encode([r[text] for r in after.values()]))}
+
+
+def test_pipeline_of_odd_and_of_no_rows(spark, odd, data, tmp_path, tokenizer):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    good = spark.read.parquet(f"{data}/documents.parquet").limit(30)
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    for name, docs, known in (("odd", odd.select(columns).unionByName(good), labels), ("unlabelled", odd.select(columns), labels.limit(0)), ("none", good.limit(0), labels.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        known.write.parquet(f"{folder}/labels.parquet")
+        rows = pipeline.run(spark, folder).collect()
+        assert (len(rows) == 0) == (name == "none")
+        assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect()}
+        if name == "unlabelled":  # every score is 0.5; the two texts without a doc_id are one too short and one kept
+            assert {r["doc_id"] for r in rows} <= {1, 6, 7, 9, -5, None} and {6} <= {r["doc_id"] for r in rows}

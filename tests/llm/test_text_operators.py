@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -48,6 +49,38 @@ def test_bpe_column_of_odd_rows(spark, odd, none, tokenizer):
     assert word_bpe.digests(none, tokenizer).count() == 0
 
 
+def test_bpe_of_odd_rows_equals_the_library(odd, tokenizer):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(str(tokenizer))
+    want = []
+    for r in odd.collect():
+        ids = theirs.encode(r["text"] or "", add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, word_bpe.digests(odd, tokenizer).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_counts_and_rules_ignore_clashing_columns(odd, tokenizer):
+    clashing = odd.withColumnsRenamed({"kept": "n_tokens", "spans": "n_docs", "s": "block", "words": "hosts", "t": "rejected", "score": "host"})
+    counts = lambda df: sorted(map(tuple, token_counts.token_counts(df, tokenizer).collect()))
+    assert counts(clashing) == counts(odd.select("text"))
+    rules = lambda df: sorted(map(tuple, quality_rules.verdicts(df).collect()), key=repr)
+    assert rules(clashing) == rules(odd.select("doc_id", "text", "source"))
+    kept = quality_rules.kept_documents(clashing)
+    assert kept.columns == clashing.columns and kept.count() == quality_rules.kept_documents(odd).count()
+
+
+def test_training_rows_of_a_repeated_id(spark):
+    texts = {i: ["good words here " * 9, "bad | stuff # " * 9][i % 2] for i in range(40)}
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in texts], "doc_id long, quality int")
+    rows = [(i, t, len(t)) for i, t in texts.items()] + [(i, "another text of this id", 23) for i in range(0, 40, 3)]
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n_chars long").repartition(3)
+        found.append([(a.tolist(), x.tolist(), y) for a, x, y in quality_fm.training_rows(docs, labels)])
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
 def test_best_fit_against_a_plain_search():
     random.seed(2)
     fit, free, closed = packing.BestFit(50, 4), {}, set()
