@@ -31,7 +31,12 @@ def components(links: DataFrame, keeper: Scratch | None = None) -> DataFrame:
     The result's table goes with ``keeper``, if there is one.
     """
     a, b = (F.col(c) for c in links.columns)
-    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), a.alias("a"), b.alias("b")).where("a is not null and b is not null and u > v").select("u", "v").distinct()
+    links = links.select(
+        F.greatest(a, b).alias("u"),
+        F.least(a, b).alias("v"),
+        a.alias("a"),
+        b.alias("b"),
+    ).where("a is not null and b is not null and u > v").select("u", "v").distinct()
     scratch = Scratch()
     now, state = _round(links, scratch)
     while state[0]:

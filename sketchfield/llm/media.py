@@ -115,7 +115,9 @@ def with_media(docs: DataFrame) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch.column(1))
             n = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            return record_batch({"doc_id": (batch.column(0), pa.int64()), "n_bytes": (n, pa.int64()), "media": ([to_wav(payload_of(t)) for t in texts], pa.binary())})
+            return record_batch(
+                {"doc_id": (batch.column(0), pa.int64()), "n_bytes": (n, pa.int64()), "media": ([to_wav(payload_of(t)) for t in texts], pa.binary())}
+            )
 
         def sliced(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts = [each(batch.slice(a, z - a)) for a, z in runs(texts_of(batch.column(1)), 16_000_000)]
@@ -137,7 +139,16 @@ def with_fingerprints(media: DataFrame) -> DataFrame:
                 back = from_wav(file)
                 found = fingerprints(back)
                 prints.append(found)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), f"{len(found)}:{hashlib.sha256(found.astype('<i8').tobytes()).hexdigest()[:32]}"))
+                rows.append(
+                    (
+                        len(back),
+                        hashlib.sha256(back).hexdigest(),
+                        zlib.crc32(back[-UNIT:]),
+                        len(file),
+                        hashlib.sha256(file).hexdigest(),
+                        f"{len(found)}:{hashlib.sha256(found.astype('<i8').tobytes()).hexdigest()[:32]}",
+                    )
+                )
             i64, s = pa.int64(), pa.string()
             names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
             out = {"doc_id": (batch.column(0), i64), "n_bytes": (batch.column(1), i64)} | {c: ([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, (i64, s, i64, i64, s, s)))}
@@ -145,7 +156,11 @@ def with_fingerprints(media: DataFrame) -> DataFrame:
 
         return each
 
-    return map_arrow(media, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, fingerprint array<long>")
+    return map_arrow(
+        media,
+        make,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, fingerprint array<long>",
+    )
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -121,7 +121,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coords: int = COORDS) -> Da
                 n += map(len, sets)
                 key += [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
                 sig += [next(values) if len(s) else None for s in sets]
-            return record_batch({"doc_id": (batch.column(0), pa.int64()), "n_shingles": (n, pa.int64()), "set_key": (key, pa.string()), "sig": (sig, pa.list_(pa.int64()))})
+            return record_batch(
+                {"doc_id": (batch.column(0), pa.int64()), "n_shingles": (n, pa.int64()), "set_key": (key, pa.string()), "sig": (sig, pa.list_(pa.int64()))}
+            )
 
         return each
 
@@ -132,7 +134,11 @@ def candidates(reps: DataFrame, matches: int) -> DataFrame:
     """node, n_shingles, weight and toks (values that others have too, the rarest first), of classes that may have a partner."""
     posts = reps.select("node", "n_shingles", F.posexplode("sig").alias("k", "v")).select("node", "n_shingles", F.xxhash64("k", "v").alias("b"))
     common = posts.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(apart(F.col("b")).alias("b"), "n")
-    own = posts.join(common, "b").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "b"))).alias("toks"), F.sum("n").alias("weight"), F.max("n_shingles").alias("n_shingles"))
+    own = posts.join(common, "b").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("n", "b"))).alias("toks"),
+        F.sum("n").alias("weight"),
+        F.max("n_shingles").alias("n_shingles"),
+    )
     own = own.where(F.size("toks") >= matches)
     return own.select("node", "n_shingles", "weight", F.col("toks.b").alias("toks"))
 
@@ -177,7 +183,16 @@ def _colliding(toks: list[np.ndarray], mine: np.ndarray, matches: int) -> tuple[
     return i[order], j[order]
 
 
-def _block_links(nodes: list[int], labels: list[int], toks: list[np.ndarray], texts: list[str], mine: np.ndarray, percent: int, size: int, matches: int) -> list[tuple[int, int]]:
+def _block_links(
+    nodes: list[int],
+    labels: list[int],
+    toks: list[np.ndarray],
+    texts: list[str],
+    mine: np.ndarray,
+    percent: int,
+    size: int,
+    matches: int,
+) -> list[tuple[int, int]]:
     """Links between the block's own classes and all that came, among pairs with enough collisions that nothing connects yet.
 
     Classes of one label are connected already.
@@ -215,17 +230,37 @@ def links_in_groups(members: DataFrame, texts: DataFrame, percent: int, size: in
     Each member is in one block of its group; with ``every``, it visits all others too.  With
     ``visitors``, those of so many blocks come at once, and a block is dealt once for each such crowd.
     """
-    blocks = members.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total"), F.min("c").alias("least"), F.max("c").alias("most")).where("rows > 1 and least != most")
+    blocks = members.groupBy("g").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("n_shingles").alias("total"),
+        F.min("c").alias("least"),
+        F.max("c").alias("most"),
+    ).where("rows > 1 and least != most")
     blocks = blocks.select("g", F.ceil(F.col("rows") / BLOCK_DOCS + F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb"))
-    crowd, crowds = (F.expr(f"CAST(own div {visitors} AS INT)"), F.expr(f"sequence(0, CAST((nb - 1) div {visitors} AS INT))")) if visitors else (F.lit(0), F.array(F.lit(0)))
+    crowd, crowds = (
+        F.expr(f"CAST(own div {visitors} AS INT)"),
+        F.expr(f"sequence(0, CAST((nb - 1) div {visitors} AS INT))"),
+    ) if visitors else (F.lit(0), F.array(F.lit(0)))
     dealt = members.join(blocks.withColumn("g", apart(F.col("g"))), "g").withColumn("own", F.expr("CAST(pmod(xxhash64(node, 7), nb) AS INT)"))
     home = F.transform(crowds, lambda v: F.struct(F.col("own").alias("at"), v.alias("crowd"), F.lit(True).alias("mine")))
-    away = F.transform(F.filter(F.expr("sequence(0, nb - 1)"), lambda at: at != F.col("own")), lambda at: F.struct(at.alias("at"), crowd.alias("crowd"), F.lit(False).alias("mine")))
+    away = F.transform(
+        F.filter(F.expr("sequence(0, nb - 1)"), lambda at: at != F.col("own")),
+        lambda at: F.struct(at.alias("at"), crowd.alias("crowd"), F.lit(False).alias("mine")),
+    )
     dealt = dealt.withColumn("to", F.explode(F.when(F.col("every"), F.concat(home, away)).otherwise(home)))
     dealt = dealt.select("node", "c", "to.mine", F.xxhash64("g", "to.at", "to.crowd").alias("task")).join(texts, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = _block_links(pdf["node"].tolist(), pdf["c"].tolist(), pdf["toks"].tolist(), pdf["text"].tolist(), np.flatnonzero(pdf["mine"].to_numpy()), percent, size, matches)
+        pairs = _block_links(
+            pdf["node"].tolist(),
+            pdf["c"].tolist(),
+            pdf["toks"].tolist(),
+            pdf["text"].tolist(),
+            np.flatnonzero(pdf["mine"].to_numpy()),
+            percent,
+            size,
+            matches,
+        )
         return pd.DataFrame({"a": np.array([a for a, _ in pairs], np.int64), "b": np.array([b for _, b in pairs], np.int64)})
 
     return dealt.groupBy("task").applyInPandas(compare, "a long, b long")
@@ -261,7 +296,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     sigs = stored(signatures(docs, size, coords), "signatures")
     with Scratch() as scratch:
         known = sigs.where("set_key is not null and doc_id is not null")
-        reps = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+        reps = known.groupBy("set_key").agg(
+            F.min("doc_id").alias("node"),
+            F.max("n_shingles").alias("n_shingles"),
+            F.min("sig").alias("sig"),
+            F.count(F.lit(1)).alias("copies"),
+        )
         found = scratch.stored(candidates(reps, matches), "candidates")
 
         posts = found.select("node", "weight", F.explode(_prefix("toks", matches)).alias("b"))
@@ -270,7 +310,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         posts = posts.join(hubs, "b")
         groups = posts.groupBy("node").agg(F.max("hub").alias("hub")).select("node", (-F.col("hub.neg")).alias("g"))
         groups = scratch.stored(groups.join(found.select("node", "n_shingles", "toks"), "node"), "groups")
-        texts = scratch.stored(docs.join(groups.select(F.col("node").alias("doc_id"), "toks"), "doc_id").select(F.col("doc_id").alias("node"), "toks", "text"), "texts", release=True)
+        texts = scratch.stored(
+            docs.join(groups.select(F.col("node").alias("doc_id"), "toks"), "doc_id").select(F.col("doc_id").alias("node"), "toks", "text"),
+            "texts",
+            release=True,
+        )
 
         # each group's blocks, with the hub in all of them
         away = groups.select(F.col("g").alias("node")).distinct().join(groups.where("g != node"), "node").select("node", F.col("node").alias("g"), "n_shingles")
@@ -287,20 +331,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         more = links_in_groups(again, texts, percent, size, matches, CROWD)
 
         # pairs of different groups
-        posts = home.select("node", "g", "c", "toks", F.explode(_prefix("toks", matches)).alias("b")).join(hubs.select("b", (-F.col("hub.neg")).alias("h")), "b")
+        posts = home.select(
+            "node",
+            "g",
+            "c",
+            "toks",
+            F.explode(_prefix("toks", matches)).alias("b"),
+        ).join(hubs.select("b", (-F.col("hub.neg")).alias("h")), "b")
         x, y = posts.where("g != h").alias("x"), posts.alias("y")
         enough = F.size(F.array_intersect(F.col("x.toks"), F.col("y.toks"))) >= matches
-        once = F.array_min(F.array_intersect(_prefix("x.toks", matches), _prefix("y.toks", matches))) == F.col("x.b")  # of the values where a pair meets, at one
+        # of the values where a pair meets, at one
+        once = F.array_min(F.array_intersect(_prefix("x.toks", matches), _prefix("y.toks", matches))) == F.col("x.b")
         pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & enough & once)
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         more = more.union(_confirmed(pairs, texts.select("node", "text"), percent, size))
         # rows of one doc_id with different sets are one document
         several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-        same = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(reps.select("set_key", "node"), "set_key").where("node != doc_id").select("node", "doc_id")
+        same = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(
+            reps.select("set_key", "node"),
+            "set_key",
+        ).where("node != doc_id").select("node", "doc_id")
         more = scratch.stored(more.union(same), "links")
         joined = components(joined.select("component", "node").union(more))
 
-    classes = reps.select("set_key", "node", "copies").join(joined, "node", "left").where("copies > 1 or component is not null").select(apart(F.col("set_key"), "string").alias("set_key"), F.coalesce("component", "node").alias("class"))
+    classes = reps.select("set_key", "node", "copies").join(joined, "node", "left").where("copies > 1 or component is not null").select(
+        apart(F.col("set_key"), "string").alias("set_key"),
+        F.coalesce("component", "node").alias("class"),
+    )
     component = F.coalesce("class", "doc_id")
     out = sigs.withColumn("set_key", F.when(F.col("doc_id").isNotNull(), F.col("set_key"))).join(classes, "set_key", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

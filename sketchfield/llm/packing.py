@@ -101,7 +101,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
                         if with_ids:
                             ids.append(np.frombuffer(part, "<u4").astype(np.int32))
                     i += 1
-            columns = {"doc_id": (batch.column(0).take(pa.array(row, pa.int64())), pa.int64()), "piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64())}
+            columns = {
+                "doc_id": (batch.column(0).take(pa.array(row, pa.int64())), pa.int64()),
+                "piece": (piece, pa.int32()),
+                "start": (start, pa.int64()),
+                "length": (length, pa.int64()),
+                "ids_crc32": (crc, pa.int64()),
+            }
             return record_batch(columns | ({"ids": (ids, pa.list_(pa.int32()))} if with_ids else {}))
 
         return each
@@ -127,7 +133,10 @@ def best_fit(found: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins:
                 where = np.empty((len(length), 2), np.int64)
                 for i in np.argsort(-length, kind="stable").tolist():
                     where[i] = fit.place(int(length[i]))
-                yield pa.RecordBatch.from_arrays([*(waiting.column(i) for i in range(len(names))), pa.array(base + where[:, 0]), pa.array(where[:, 1])], names=[*names, "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(waiting.column(i) for i in range(len(names))), pa.array(base + where[:, 0]), pa.array(where[:, 1])],
+                    names=[*names, "sequence_id", "offset"],
+                )
 
     place = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "piece")
     dealt = found.repartition(tasks, place).sortWithinPartitions(F.xxhash64("doc_id", "piece", F.lit(1)), "doc_id", "piece", "ids_crc32", "length")
@@ -135,7 +144,14 @@ def best_fit(found: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins:
     return dealt.mapInArrow(pack, f"{fields}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, rows_per_task: int = ROWS_PER_TASK, with_ids: bool = False) -> DataFrame:
+def packed(
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = CAPACITY,
+    open_bins: int = OPEN_BINS,
+    rows_per_task: int = ROWS_PER_TASK,
+    with_ids: bool = False,
+) -> DataFrame:
     """Pack whole documents; with ids, the rows of a sequence in order of offset make it up."""
     tasks = max(1, -(-docs.select("doc_id").count() // rows_per_task))
     return best_fit(pieces(docs, tokenizer, capacity, 0, with_ids), tasks, capacity, open_bins)

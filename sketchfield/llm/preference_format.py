@@ -33,15 +33,29 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def last_reply_pairs(turns: DataFrame) -> DataFrame:
     """conv_id, chosen and rejected: arrays of turns."""
-    turn = F.struct(F.col("c").alias("conv_id"), F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    turn = F.struct(
+        F.col("c").alias("conv_id"),
+        F.col("turn"),
+        F.coalesce(F.col("role"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    )
     both = turns.withColumn("c", F.expr("try_cast(conv_id AS BIGINT)")).where("c is not null and c = conv_id and turn is not null")
-    both = both.select("c", turn.alias("t")).groupBy(F.expr("shiftright(c, 1)").alias("pair")).agg(F.sort_array(F.collect_list("t")).alias("all"), F.sort_array(F.collect_set("c")).alias("ids"))
+    both = both.select("c", turn.alias("t")).groupBy(F.expr("shiftright(c, 1)").alias("pair")).agg(
+        F.sort_array(F.collect_list("t")).alias("all"),
+        F.sort_array(F.collect_set("c")).alias("ids"),
+    )
     each = both.select("all", F.explode("ids").alias("conv_id"))
     of = lambda same: F.filter("all", lambda t: (t["conv_id"] == F.col("conv_id")) == same)
     each = each.select("conv_id", of(True).alias("turns"), F.filter(of(False), lambda t: t["role"] == ASSISTANT).alias("replies"))
     places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == ASSISTANT, i)), lambda i: i.isNotNull())
     each = each.withColumn("last", F.array_max(places)).withColumn("reply", F.get(F.col("replies.text"), F.size("replies") - 1))
-    replaced = F.transform("turns", lambda t, i: F.when(F.col("last").isNull() | (i != F.col("last")), t).when(F.col("reply").isNotNull(), F.struct(t["conv_id"].alias("conv_id"), t["turn"].alias("turn"), t["role"].alias("role"), F.col("reply").alias("text"))))
+    replaced = F.transform(
+        "turns",
+        lambda t, i: F.when(F.col("last").isNull() | (i != F.col("last")), t).when(
+            F.col("reply").isNotNull(),
+            F.struct(t["conv_id"].alias("conv_id"), t["turn"].alias("turn"), t["role"].alias("role"), F.col("reply").alias("text")),
+        ),
+    )
     return each.select("conv_id", F.col("turns").alias("chosen"), F.array_compact(replaced).alias("rejected"))
 
 
@@ -58,7 +72,10 @@ def _mask(turns: Column) -> Column:
     start = lambda sofar, t: sofar["at"] + F.length(t["role"]) + 5
     step = lambda sofar, t: F.struct(
         (sofar["at"] + F.length(_one(t))).alias("at"),
-        F.when(t["role"] == ASSISTANT, F.concat(sofar["spans"], F.array(F.concat(start(sofar, t).cast("string"), F.lit(":"), (start(sofar, t) + F.length(t["text"])).cast("string"))))).otherwise(sofar["spans"]).alias("spans"),
+        F.when(
+            t["role"] == ASSISTANT,
+            F.concat(sofar["spans"], F.array(F.concat(start(sofar, t).cast("string"), F.lit(":"), (start(sofar, t) + F.length(t["text"])).cast("string")))),
+        ).otherwise(sofar["spans"]).alias("spans"),
     )
     return F.array_join(F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans")), step, lambda end: end["spans"]), ",")
 
@@ -71,8 +88,22 @@ def formatted(pairs: DataFrame) -> DataFrame:
     at = F.array_position(differs, True)
     staged = pairs.select("conv_id", c.alias("c"), r.alias("r"), F.when(at > 0, at - 1).otherwise(F.size(c)).cast("int").alias("n"))
     rest = lambda x: F.slice(x, F.col("n") + 1, F.size(x))
-    staged = staged.select("conv_id", F.col("n").alias("prompt_turns"), F.slice("c", F.lit(1), F.col("n")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
-    return staged.select("conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), _rendered(F.col("p")).alias("prompt"), _rendered(F.col("c")).alias("chosen"), _rendered(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
+    staged = staged.select(
+        "conv_id",
+        F.col("n").alias("prompt_turns"),
+        F.slice("c", F.lit(1), F.col("n")).alias("p"),
+        rest("c").alias("c"),
+        rest("r").alias("r"),
+    )
+    return staged.select(
+        "conv_id",
+        F.col("prompt_turns").cast("long").alias("prompt_turns"),
+        _rendered(F.col("p")).alias("prompt"),
+        _rendered(F.col("c")).alias("chosen"),
+        _rendered(F.col("r")).alias("rejected"),
+        _mask(F.col("c")).alias("chosen_mask"),
+        _mask(F.col("r")).alias("rejected_mask"),
+    )
 
 
 def preference_format(turns: DataFrame) -> DataFrame:

@@ -40,7 +40,21 @@ THRESHOLD = 0.3
 _BINS = 12
 #: Upper edges of the bins of ratios; those of sizes are powers of two.
 _RATIOS = np.array([0.0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.5, 0.8])
-_STATISTICS = ("upper", "digit", "symbol", "bar", "exclaim", "other_punctuation", "not_ascii", "line", "dup_line", "dup_word", "word_length", "words", "n_chars")
+_STATISTICS = (
+    "upper",
+    "digit",
+    "symbol",
+    "bar",
+    "exclaim",
+    "other_punctuation",
+    "not_ascii",
+    "line",
+    "dup_line",
+    "dup_word",
+    "word_length",
+    "words",
+    "n_chars",
+)
 SIZE = WORD_BUCKETS + _BINS * len(_STATISTICS)
 
 
@@ -54,7 +68,9 @@ class _Buckets(dict):
 
 _buckets = _Buckets()
 _CLASS = np.zeros(256, np.int64)
-for _k, _members in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>@^~_=+\\", b"|", b"!", b".,;:?'\"()[]{}-/`", bytes(range(128, 256)), b"\n")):
+for _k, _members in enumerate(
+    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>@^~_=+\\", b"|", b"!", b".,;:?'\"()[]{}-/`", bytes(range(128, 256)), b"\n")
+):
     _CLASS[list(_members)] = _k + 1
 
 
@@ -95,7 +111,16 @@ class FactorisationMachine:
         z = self.w0 + np.add.reduceat(self.w[at] * x, starts) + 0.5 * ((s * s).sum(axis=1) - q)
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, seed: int = 11) -> None:
+    def fit(
+        self,
+        rows: list[tuple[np.ndarray, np.ndarray]],
+        y: np.ndarray,
+        epochs: int = EPOCHS,
+        rate: float = 0.1,
+        decay: float = 1e-4,
+        batch: int = 128,
+        seed: int = 11,
+    ) -> None:
         """AdaGrad on the log loss of sparse rows, which are dense for the time of their batch."""
         if not len(y):
             return
@@ -130,17 +155,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     chosen = known.where("quality = 0").orderBy(at).limit(per_class).union(known.where("quality = 1").orderBy(at).limit(per_class))
     label = dict((i, q) for i, q in chosen.collect())  # bounded by per_class
     ids = docs.sparkSession.createDataFrame([(i,) for i in label], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.col("n_chars").cast("long").alias("n_chars"),
+    ).join(F.broadcast(ids), "doc_id")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [features(t, n) for t, n in zip(texts_of(batch.column(1)), batch.column(2).to_pylist())]
-            return record_batch({"doc_id": (batch.column(0), pa.int64()), "at": ([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), "x": ([f[1].tobytes() for f in found], pa.binary())})
+            return record_batch(
+                {
+                    "doc_id": (batch.column(0), pa.int64()),
+                    "at": ([f[0].astype(np.int32).tobytes() for f in found], pa.binary()),
+                    "x": ([f[1].tobytes() for f in found], pa.binary()),
+                }
+            )
 
         return each
 
     got = map_arrow(rows, make, "doc_id long, at binary, x binary").groupBy("doc_id").agg(F.min(F.struct("at", "x")).alias("f")).collect()
-    return [(np.frombuffer(r["f"]["at"], np.int32).astype(np.int64), np.frombuffer(r["f"]["x"], np.float32), label[r["doc_id"]]) for r in sorted(got, key=lambda r: r["doc_id"])]
+    return [
+        (
+            np.frombuffer(r["f"]["at"], np.int32).astype(np.int64),
+            np.frombuffer(r["f"]["x"], np.float32),
+            label[r["doc_id"]],
+        ) for r in sorted(got, key=lambda r: r["doc_id"])
+    ]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FactorisationMachine:
@@ -183,7 +224,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per
         return each
 
     narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text", "CAST(n_chars AS BIGINT) AS n_chars")
-    return map_arrow(narrow, make, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return map_arrow(narrow, make, "doc_id long, score double").select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

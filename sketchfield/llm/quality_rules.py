@@ -84,7 +84,10 @@ def with_statistics(docs: DataFrame, text: str, out: str) -> DataFrame:
             "four": lambda c: _doubled(c["two"], 2),
             "all": lambda c: _doubled(c["four"], 4),
             "eight": lambda c: F.slice(c["all"], 1, F.size(c["all"]) - (WINDOW - 1)),
-            "order": lambda c: F.when(F.size(F.array_distinct(c["eight"])) < F.size(c["eight"]), F.sort_array(F.transform(c["eight"], lambda g, i: F.struct(g.alias("g"), i.alias("i"))))),
+            "order": lambda c: F.when(
+                F.size(F.array_distinct(c["eight"])) < F.size(c["eight"]),
+                F.sort_array(F.transform(c["eight"], lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
+            ),
             "hashes": lambda c: F.transform(c["order"], lambda x: x.g),
             "starts": lambda c: F.when(c["order"].isNotNull(), _starts(c["order"], c["hashes"])),
             "lines": lambda c: F.transform(F.filter(F.split(c["t"], "\n"), lambda x: F.btrim(x, space) != ""), lambda x: F.xxhash64(x)),
@@ -124,7 +127,11 @@ def rejected_hosts(flags: DataFrame, host: str) -> DataFrame:
     is rejected; where they vary more than a beta can, the prior weighs as one document.
     """
     by_host = flags.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
-    sums = by_host.agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("hosts"), *(x for r in RULES for x in (F.sum(r).alias(f"{r}_sum"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_squares"))))
+    sums = by_host.agg(
+        F.sum("n").alias("docs"),
+        F.count(F.lit(1)).alias("hosts"),
+        *(x for r in RULES for x in (F.sum(r).alias(f"{r}_sum"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_squares"))),
+    )
     shrunk = by_host.crossJoin(F.broadcast(sums))  # the sums are one row
     bad = F.lit(False)
     for r in RULES:
@@ -153,7 +160,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
     bad = stored(rejected_hosts(flags, "source"), "hosts").withColumn("rejected", F.lit(True))
     failed = base_failed(F.col("s"))
     return _in_rejected(stats, "source", bad, "left").select(
-        "doc_id", *(f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & F.col("rejected").isNull()).alias("kept")
+        "doc_id", *(
+            f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        ), failed.alias("base_failed"), (~failed & F.col("rejected").isNull()).alias("kept")
     )
 
 

@@ -62,7 +62,18 @@ def op10_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_fm, op2_best_fit_packing, op3_minhash_near_dup, op4_preference_format, op5_token_histogram, op6_suffix_dedup, op7_warc_round_trip, op8_bpe_round_trip, op9_host_rules, op10_wav_fingerprints)
+    f.__name__: f for f in (
+        op1_quality_fm,
+        op2_best_fit_packing,
+        op3_minhash_near_dup,
+        op4_preference_format,
+        op5_token_histogram,
+        op6_suffix_dedup,
+        op7_warc_round_trip,
+        op8_bpe_round_trip,
+        op9_host_rules,
+        op10_wav_fingerprints,
+    )
 }
 
 OP7_SQL = """

@@ -342,7 +342,12 @@ class _Table:
                 at.append(p)
                 size.append(0 if i else len(s))
         keys = np.array(key, np.int64)
-        yield from _packed(kind, _part(keys, parts), {"key": keys} | {c: np.array(x, np.int64) for c, x in (("doc", doc), ("id", own), ("a", at), ("z", size))}, strings)
+        yield from _packed(
+            kind,
+            _part(keys, parts),
+            {"key": keys} | {c: np.array(x, np.int64) for c, x in (("doc", doc), ("id", own), ("a", at), ("z", size))},
+            strings,
+        )
 
     def read(self, batch: pa.RecordBatch) -> None:
         """Add what ``rows`` gave."""
@@ -460,7 +465,13 @@ def _by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = np.append(np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])])), len(doc))
     for a in range(0, len(edges) - 1, 5_000):
         cut = edges[a : a + 5_001]
-        yield record_batch({"doc": (doc[cut[:-1]], pa.int64()), "id": (own[cut[:-1]], pa.int64()), "spans": (_cut_at(spans[cut[0] : cut[-1]].ravel(), 2 * (cut - cut[0])), pa.binary())})
+        yield record_batch(
+            {
+                "doc": (doc[cut[:-1]], pa.int64()),
+                "id": (own[cut[:-1]], pa.int64()),
+                "spans": (_cut_at(spans[cut[0] : cut[-1]].ravel(), 2 * (cut - cut[0])), pa.binary()),
+            }
+        )
 
 
 # the operator ---------------------------------------------------------------------------------
@@ -481,14 +492,27 @@ def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
     return rows.repartitionById(tasks, F.col("p"))
 
 
-def removals(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = GRAM, many: int | None = None, over: int = OVER) -> tuple[DataFrame, DataFrame, int]:
+def removals(
+    docs: DataFrame,
+    scratch: Scratch,
+    length: int = LENGTH,
+    k: int = GRAM,
+    many: int | None = None,
+    over: int = OVER,
+) -> tuple[DataFrame, DataFrame, int]:
     """Packed spans to remove, of kinds by what decided them; (doc, id) of the texts that go whole; and the number of destinations."""
     spark = docs.sparkSession
-    docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc", "CAST(text AS STRING) AS text").where(f"doc is not null and octet_length(text) >= {length}").withColumn("id", F.xxhash64("text"))
+    docs = docs.selectExpr(
+        "CAST(doc_id AS BIGINT) AS doc",
+        "CAST(text AS STRING) AS text",
+    ).where(f"doc is not null and octet_length(text) >= {length}").withColumn("id", F.xxhash64("text"))
     # equal texts: one of them goes on, all but the smallest go whole
     marked = scratch.stored(docs.select("doc", "id", F.sha2("text", 256).alias("content"), F.octet_length("text").cast("long").alias("n")), "contents")
     first = marked.groupBy("content").agg(F.min("doc").alias("first"), F.min("id").alias("id"))
-    copied = marked.groupBy("content").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(apart(F.col("content"), "string").alias("content"), "first")
+    copied = marked.groupBy("content").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        apart(F.col("content"), "string").alias("content"),
+        "first",
+    )
     whole = marked.select("doc", "id", "content").distinct().join(copied, "content").where("doc > first").select("doc", "id")
     total = marked.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
@@ -498,7 +522,11 @@ def removals(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = G
     keys = scratch.stored(keys.join(first.select(F.col("first").alias("doc"), "id"), "id"), "minimizers", release=True)
     # a key's strings from all chunks stay in one bucket only if they are OVER at most, nearly
     many = max(4, over // (1 + total // CHUNK)) if many is None else many
-    found = scratch.stored(_map(docs.join(keys, ["doc", "id"]).select("doc", "id", "text", "keys"), _cut, _ROW, length, k, many, tasks), "strings", release=True)
+    found = scratch.stored(
+        _map(docs.join(keys, ["doc", "id"]).select("doc", "id", "text", "keys"), _cut, _ROW, length, k, many, tasks),
+        "strings",
+        release=True,
+    )
     compared = scratch.stored(_map(_dealt(found.where(f"kind in ({_STRING}, {_MARK})"), tasks), _compared, _ROW, length, over, tasks), "spans", release=True)
     both = found.union(compared)
     windows = _map(_dealt(both.where(f"kind = {_WINDOW}"), tasks), _met_windows, _ROW, tasks)

@@ -52,7 +52,13 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     after = W.partitionBy().orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     every = W.partitionBy()
-    blocks = blocks.select("block", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t_after"), F.sum("d").over(every).alias("total_docs"), F.sum("t").over(every).alias("total_tokens"))
+    blocks = blocks.select(
+        "block",
+        F.coalesce(F.sum("d").over(after), F.lit(0)).alias("d_after"),
+        F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t_after"),
+        F.sum("d").over(every).alias("total_docs"),
+        F.sum("t").over(every).alias("total_tokens"),
+    )
     within = W.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
     out = h.withColumn("d_in", F.sum("n_docs").over(within)).withColumn("t_in", F.sum("tokens").over(within)).join(blocks, "block")
     docs_from, tokens_from = F.col("d_in") + F.col("d_after"), F.col("t_in") + F.col("t_after")
@@ -78,8 +84,16 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
         wanted.join(sums, F.col("n_tokens") > F.col("context_limit"), "left")
         .groupBy("context_limit")
         .agg(F.coalesce(F.max("docs_at_least"), F.lit(0)).alias("docs_cut"), F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("cut_docs_tokens"))
-        .crossJoin(F.broadcast(sums.agg(F.coalesce(F.max("total_docs"), F.lit(0)).alias("total_docs"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))))
-        .select("context_limit", (F.col("total_docs") - F.col("docs_cut")).alias("docs_fitting"), (F.col("total_tokens") - F.col("cut_docs_tokens") + F.col("docs_cut") * F.col("context_limit")).alias("truncated_total"))
+        .crossJoin(
+            F.broadcast(
+                sums.agg(F.coalesce(F.max("total_docs"), F.lit(0)).alias("total_docs"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
+            )
+        )
+        .select(
+            "context_limit",
+            (F.col("total_docs") - F.col("docs_cut")).alias("docs_fitting"),
+            (F.col("total_tokens") - F.col("cut_docs_tokens") + F.col("docs_cut") * F.col("context_limit")).alias("truncated_total"),
+        )
     )
 
 

@@ -53,9 +53,18 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if revisit else http + payload
     safe = "".join(c if c.isprintable() else quote(c.encode("utf-8", "surrogatepass")) for c in (url or ""))
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", _EPOCH), ("WARC-Target-URI", safe)]
+    headers = [
+        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Date", _EPOCH),
+        ("WARC-Target-URI", safe),
+    ]
     if revisit:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Payload-Length", str(len(payload)))]
+        headers += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", f"<urn:page:{refers_to}>"),
+            ("X-Payload-Length", str(len(payload))),
+        ]
     headers += [("WARC-Payload-Digest", digest), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", "application/http; msgtype=response")]
     return record(headers, block)
 
@@ -99,9 +108,18 @@ def with_references(pages: DataFrame) -> DataFrame:
 
     Only digests that occur twice come back to the pages; the pages' side of the join can be split.
     """
-    base = pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "CAST(url AS STRING) AS url", "coalesce(CAST(html AS STRING), '') AS html").withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    base = pages.selectExpr(
+        "CAST(page_id AS BIGINT) AS page_id",
+        "CAST(url AS STRING) AS url",
+        "coalesce(CAST(html AS STRING), '') AS html",
+    ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = base.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return base.join(first, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
+    return base.join(first, "digest", "left").select(
+        "page_id",
+        "url",
+        "html",
+        F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"),
+    )
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -139,7 +157,17 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 for headers, block in read_records(content.as_py()):
                     payload = block.partition(b"\r\n\r\n")[2]
                     revisit = headers["warc-type"] == "revisit"
-                    rows.append((number(headers["warc-record-id"]), headers["warc-target-uri"], int(headers["x-payload-length"]) if revisit else len(payload), headers["warc-payload-digest"].partition(":")[2], headers["warc-type"], number(headers["warc-refers-to"]) if revisit else None, None if revisit else payload))
+                    rows.append(
+                        (
+                            number(headers["warc-record-id"]),
+                            headers["warc-target-uri"],
+                            int(headers["x-payload-length"]) if revisit else len(payload),
+                            headers["warc-payload-digest"].partition(":")[2],
+                            headers["warc-type"],
+                            number(headers["warc-refers-to"]) if revisit else None,
+                            None if revisit else payload,
+                        )
+                    )
                 i64, s = pa.int64(), pa.string()
                 names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
                 yield record_batch({c: ([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, (i64, s, i64, s, s, i64, pa.binary()))) if with_payload or c != "payload"})

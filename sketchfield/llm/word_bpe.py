@@ -401,8 +401,19 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                     n.append(len(ids))
                     of_ids.append(sha(" ".join([bpe.decimals[i] for i in ids.tolist()])))
                     of_text.append(sha(bpe.decode(ids)))
-            return record_batch({"doc_id": (batch.column(0), pa.int64()), "n_tokens": (n, pa.int64()), "ids_sha256": (of_ids, pa.string()), "decoded_sha256": (of_text, pa.string())})
+            return record_batch(
+                {
+                    "doc_id": (batch.column(0), pa.int64()),
+                    "n_tokens": (n, pa.int64()),
+                    "ids_sha256": (of_ids, pa.string()),
+                    "decoded_sha256": (of_text, pa.string()),
+                }
+            )
 
         return each
 
-    return map_arrow(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(
+        docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"),
+        make,
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )
