@@ -32,11 +32,17 @@ def merge(registers: DataFrame) -> DataFrame:
 def estimate(registers: DataFrame, by: bool = False) -> DataFrame:
     """One row, or one for each filter_id: the registers used if these are few, linear counting for small numbers, and a correction for large ones."""
     m, alpha = float(REGISTERS), 0.7213 / (1 + 1.079 / REGISTERS)
-    used = registers.groupBy(*(["filter_id"] if by else [])).agg(F.count("rank").alias("used"), F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank").cast("double"))), F.lit(0.0)).alias("s"))
+    used = registers.groupBy(*(["filter_id"] if by else [])).agg(
+        F.count("rank").alias("used"),
+        F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank").cast("double"))), F.lit(0.0)).alias("s"),
+    )
     zeros = m - F.col("used")
     raw = alpha * m * m / (F.col("s") + zeros)
     large = F.when(raw < _LARGE, -_LARGE * F.ln(1 - raw / _LARGE)).otherwise(raw)
-    value = F.when(F.col("used") < _FEW, F.col("used").cast("double")).when((raw <= 2.5 * m) & (zeros > 0), m * F.ln(m / zeros)).when(raw > _LARGE / 30, large).otherwise(raw)
+    value = F.when(F.col("used") < _FEW, F.col("used").cast("double")).when(
+        (raw <= 2.5 * m) & (zeros > 0),
+        m * F.ln(m / zeros),
+    ).when(raw > _LARGE / 30, large).otherwise(raw)
     return used.select(*(["filter_id"] if by else []), "used", F.floor(value).cast("long").alias("estimate"))
 
 

@@ -22,7 +22,13 @@ def build(df: DataFrame, key: str, order: str, m: int, depth: int = DEPTH) -> Da
     """
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("arrivals"))
     slot = F.row_number().over(W.partitionBy("bucket").orderBy("_first", key))
-    return first.select(key, "_first", "arrivals", _bucket(key, m)).withColumn("slot", slot.cast("long")).select("bucket", key, "slot", "arrivals", (F.col("slot") <= depth).alias("kept"))
+    return first.select(key, "_first", "arrivals", _bucket(key, m)).withColumn("slot", slot.cast("long")).select(
+        "bucket",
+        key,
+        "slot",
+        "arrivals",
+        (F.col("slot") <= depth).alias("kept"),
+    )
 
 
 def contains(df: DataFrame, key: str, chains: DataFrame, m: int, depth: int = DEPTH) -> DataFrame:
@@ -37,8 +43,14 @@ def contains(df: DataFrame, key: str, chains: DataFrame, m: int, depth: int = DE
 
 def statistics(chains: DataFrame, m: int, depth: int = DEPTH) -> DataFrame:
     """One row: chain lengths, load, share of full buckets, discarded arrivals and whether they are too many."""
-    per = chains.groupBy("bucket").agg(F.sum(F.col("kept").cast("long")).alias("n"), F.sum(F.when(~F.col("kept"), F.col("arrivals")).otherwise(0)).alias("lost"), F.sum("arrivals").alias("arrivals"))
+    per = chains.groupBy("bucket").agg(
+        F.sum(F.col("kept").cast("long")).alias("n"),
+        F.sum(F.when(~F.col("kept"), F.col("arrivals")).otherwise(0)).alias("lost"),
+        F.sum("arrivals").alias("arrivals"),
+    )
     return per.agg(
-        F.sum("n").alias("stored"), F.avg("n").alias("avg_chain"), F.max("n").alias("max_chain"), (F.count(F.lit(1)) / m).alias("load_factor"), (F.sum((F.col("n") >= depth).cast("long")) / m).alias("estimated_fpr"),
+        F.sum("n").alias("stored"), F.avg("n").alias("avg_chain"), F.max("n").alias("max_chain"), (F.count(F.lit(1)) / m).alias("load_factor"), (
+            F.sum((F.col("n") >= depth).cast("long")) / m
+        ).alias("estimated_fpr"),
         F.sum("lost").alias("discarded"), (F.sum("lost") / F.sum("arrivals") > 0.2).alias("saturated"),
     )

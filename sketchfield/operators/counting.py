@@ -36,7 +36,11 @@ def hits(df: DataFrame, key: Column | str, spec: Spec) -> DataFrame:
 def build(df: DataFrame, key: Column | str, spec: Spec, bits: int = 4) -> DataFrame:
     """(pos, cnt, overflow): saturated counts and the increments that didn't count."""
     most = SIZES[bits]
-    return hits(df, key, spec).select("pos", F.least("hits", F.lit(most)).cast("long").alias("cnt"), F.greatest(F.col("hits") - most, F.lit(0)).cast("long").alias("overflow"))
+    return hits(df, key, spec).select(
+        "pos",
+        F.least("hits", F.lit(most)).cast("long").alias("cnt"),
+        F.greatest(F.col("hits") - most, F.lit(0)).cast("long").alias("overflow"),
+    )
 
 
 def rejected(df: DataFrame, key: str, order: str, spec: Spec, bits: int = 4, counters: DataFrame | None = None) -> DataFrame:
@@ -82,7 +86,8 @@ def contains(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> DataFr
 
 def _nth_hits(at: DataFrame, counters: DataFrame, bits: int) -> DataFrame:
     """(pos, _n) of the deletes (pos, _n; a row for each decrement) that take a counter below zero if all before succeed."""
-    numbered = at.select("pos", "_n").withColumn("_i", F.row_number().over(W.partitionBy("pos").orderBy("_n"))).where(f"_i <= {SIZES[bits] + 1}")  # limited before the shuffle
+    # limited before the shuffle
+    numbered = at.select("pos", "_n").withColumn("_i", F.row_number().over(W.partitionBy("pos").orderBy("_n"))).where(f"_i <= {SIZES[bits] + 1}")
     return numbered.join(counters.select("pos", "cnt"), "pos", "left").where(F.col("_i") == F.coalesce("cnt", F.lit(0)) + 1).select("pos", "_n")
 
 
@@ -107,11 +112,16 @@ def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec:
     rows = ranked(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order])), list(dict.fromkeys([order, key])), "_n")
     most = SIZES[bits]
     have = counters.select("pos", F.col("cnt").alias("_c"))
-    at = positions(rows, key, spec, ["_n"]).groupBy("_n", "pos").agg(F.count(F.lit(1)).alias("_w")).join(have, "pos", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    at = positions(rows, key, spec, ["_n"]).groupBy("_n", "pos").agg(F.count(F.lit(1)).alias("_w")).join(have, "pos", "left").withColumn(
+        "_c",
+        F.coalesce("_c", F.lit(0)),
+    )
     # a counter of zero fails at once; one with more than all its decrements never does
     total = at.groupBy("pos").agg(F.sum("_w").alias("_all"))
     at = checkpointed(at.join(total, "pos"))
-    state = at.groupBy("_n").agg(F.when(F.bool_and(F.col("_all") <= F.col("_c")), F.lit(True)).when(F.bool_or(F.col("_c") < F.col("_w")), F.lit(False)).alias("_ok"))
+    state = at.groupBy("_n").agg(
+        F.when(F.bool_and(F.col("_all") <= F.col("_c")), F.lit(True)).when(F.bool_or(F.col("_c") < F.col("_w")), F.lit(False)).alias("_ok")
+    )
     state = checkpointed(state)
     for _ in range(rounds):
         if not state.where("_ok is null").limit(1).count():
@@ -121,7 +131,11 @@ def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec:
         earlier = W.partitionBy("pos").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
         taken = lambda counted: F.least(F.coalesce(F.sum(F.when(counted, F.col("_w")).otherwise(0)).over(earlier), F.lit(0)), F.lit(most + 1))
         now = now.withColumn("_high", taken(F.coalesce("_ok", F.lit(True)))).withColumn("_low", taken(F.coalesce("_ok", F.lit(False))))
-        found = now.groupBy("_n").agg(F.first("_ok").alias("_ok"), F.bool_and(F.col("_c") - F.col("_high") >= F.col("_w")).alias("_sure"), F.bool_or(F.col("_c") - F.col("_low") < F.col("_w")).alias("_lost"))
+        found = now.groupBy("_n").agg(
+            F.first("_ok").alias("_ok"),
+            F.bool_and(F.col("_c") - F.col("_high") >= F.col("_w")).alias("_sure"),
+            F.bool_or(F.col("_c") - F.col("_low") < F.col("_w")).alias("_lost"),
+        )
         new = found.where("_ok is null").select("_n", F.when(F.col("_sure"), True).when(F.col("_lost"), False).alias("_new"))
         state = checkpointed(state.join(new, "_n", "left").select("_n", F.coalesce("_ok", "_new").alias("_ok")))
     return rows.join(state, "_n").select(order, key, F.col("_ok").alias("deleted"))
@@ -158,7 +172,12 @@ def from_raw(raw: DataFrame, spec: Spec, bits: int = 4, chunk: int = 1 << 20) ->
     if length != spec.m * width:
         raise InvalidFilterSize(f"{length} bytes are not {spec.m} counters of {bits} bits")
     digits = raw.select("chunk", F.hex("bytes").alias("h"))
-    cells = digits.select("chunk", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"length(h) div {2 * width}") - 1), lambda i: F.substring(F.col("h"), i * 2 * width + 1, F.lit(2 * width)))).alias("i", "v"))
+    cells = digits.select(
+        "chunk",
+        F.posexplode(
+            F.transform(F.sequence(F.lit(0), F.expr(f"length(h) div {2 * width}") - 1), lambda i: F.substring(F.col("h"), i * 2 * width + 1, F.lit(2 * width)))
+        ).alias("i", "v"),
+    )
     value = F.concat(F.substring("v", 3, 2), F.substring("v", 1, 2)) if width == 2 else F.col("v")
     cnt = F.conv(value, 16, 10).cast("long")
     checked = F.when(cnt > SIZES[bits], F.raise_error(F.lit("a counter is beyond its size")).cast("long")).otherwise(cnt)
@@ -190,9 +209,15 @@ def distribution(counters: DataFrame, spec: Spec, bits: int = 4) -> DataFrame:
     mean = F.col("total") / m
     sd = F.sqrt(F.greatest(F.col("squares") / m - mean * mean, F.lit(0.0)))
     return row.select(
-        "nonzero", F.when(F.col("nonzero") < m, F.lit(0).cast("long")).otherwise(F.col("least")).alias("min_count"), "max_count", mean.alias("mean"), sd.alias("stddev"),
+        "nonzero", F.when(
+            F.col("nonzero") < m,
+            F.lit(0).cast("long"),
+        ).otherwise(F.col("least")).alias("min_count"), "max_count", mean.alias("mean"), sd.alias("stddev"),
         F.when(F.col("nonzero") == 0, 0.0).otherwise(F.col("total") / F.col("nonzero")).alias("avg_nonzero"), "saturated",
-        F.pow(F.col("max_count") / F.lit(float(most)), F.lit(2.0)).alias("overflow_risk"), F.when(mean == 0, 0.0).otherwise(F.least(sd / mean, F.lit(1.0))).alias("fragmentation"),
+        F.pow(
+            F.col("max_count") / F.lit(float(most)),
+            F.lit(2.0),
+        ).alias("overflow_risk"), F.when(mean == 0, 0.0).otherwise(F.least(sd / mean, F.lit(1.0))).alias("fragmentation"),
         F.lit(spec.m * bits / 8 / (spec.m / 8)).alias("compression_ratio"),
     )
 
@@ -205,10 +230,18 @@ def health(counters: DataFrame, spec: Spec, items: int, overflows: int = 0, bits
     d = distribution(counters, spec, bits)
     fill = F.col("nonzero") / F.lit(float(spec.m))
     return d.select(
-        fill.alias("fill_rate"), F.lit(estimated_fpr(items, spec)).alias("estimated_fpr"), F.lit(spec.target_fpr or 0.0).alias("target_fpr"), F.col("max_count").alias("max_counter_value"), F.col("avg_nonzero").alias("avg_counter_value"),
-        F.col("saturated").alias("saturated_count"), F.lit(overflows).cast("long").alias("overflow_events"), "overflow_risk", F.lit(-(-spec.m * bits // 8)).cast("long").alias("memory_bytes"), F.col("nonzero").alias("active_counters"),
-        F.lit(spec.m).cast("long").alias("total_counters"), F.lit(items / spec.expected_items if spec.expected_items else 0.0).alias("load_factor"), F.lit(items).cast("long").alias("estimated_item_count"),
-        (F.col("saturated") / F.lit(float(spec.m))).alias("saturation_rate"), F.col("compression_ratio").alias("memory_overhead"), F.col("min_count").alias("distribution_min"), F.col("max_count").alias("distribution_max"),
+        fill.alias("fill_rate"), F.lit(
+            estimated_fpr(items, spec)
+        ).alias("estimated_fpr"), F.lit(spec.target_fpr or 0.0).alias("target_fpr"), F.col("max_count").alias("max_counter_value"), F.col("avg_nonzero").alias("avg_counter_value"),
+        F.col("saturated").alias("saturated_count"), F.lit(overflows).cast("long").alias("overflow_events"), "overflow_risk", F.lit(
+            -(-spec.m * bits // 8)
+        ).cast("long").alias("memory_bytes"), F.col("nonzero").alias("active_counters"),
+        F.lit(spec.m).cast("long").alias("total_counters"), F.lit(
+            items / spec.expected_items if spec.expected_items else 0.0
+        ).alias("load_factor"), F.lit(items).cast("long").alias("estimated_item_count"),
+        (
+            F.col("saturated") / F.lit(float(spec.m))
+        ).alias("saturation_rate"), F.col("compression_ratio").alias("memory_overhead"), F.col("min_count").alias("distribution_min"), F.col("max_count").alias("distribution_max"),
         F.col("mean").alias("distribution_mean"), F.col("stddev").alias("distribution_stddev"), (1 - fill).alias("zero_rate"), "fragmentation",
     )
 

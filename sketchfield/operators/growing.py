@@ -71,7 +71,8 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int |
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     parts = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")  # MOST_RANGES rows at most
+    # MOST_RANGES rows at most
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
 def slice_of(rank: Column, plan: list[Slice]) -> Column:
@@ -160,7 +161,9 @@ def matches(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> Dat
     at = _hashed(keys, "k", plan, "k").select("k", F.explode(F.concat(*(_slots(F.col("_h"), s) for s in plan))).alias("p"))
     need = at.groupBy("k", "p.slice", F.expr("p.pos div 64").alias("word")).agg(F.bit_or(F.expr(_BIT)).alias("need"))
     have = words.select(F.col("filter_id").cast("int").alias("slice"), "word", "bits")
-    found = need.join(have, ["slice", "word"], "left").groupBy("k", "slice").agg(F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"), F.lit(False))).alias("hit"))
+    found = need.join(have, ["slice", "word"], "left").groupBy("k", "slice").agg(
+        F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"), F.lit(False))).alias("hit")
+    )
     return found.where("hit").select(F.col("k").alias(key), "slice")
 
 
@@ -184,7 +187,10 @@ def contains(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out:
 def slice_statistics(words: DataFrame, plan: list[Slice]) -> DataFrame:
     """Per slice: set bits, fill, estimated rate and its share of the sum of rates."""
     spark = words.sparkSession
-    table = spark.createDataFrame([(str(s.number), s.number, s.capacity, s.rate, s.spec.bits, s.spec.k) for s in plan], "filter_id string, slice int, capacity long, rate double, m long, k int")
+    table = spark.createDataFrame(
+        [(str(s.number), s.number, s.capacity, s.rate, s.spec.bits, s.spec.k) for s in plan],
+        "filter_id string, slice int, capacity long, rate double, m long, k int",
+    )
     bits = words.groupBy("filter_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("set_bits"))
     out = table.join(bits, "filter_id", "left").withColumn("set_bits", F.coalesce("set_bits", F.lit(0).cast("long")))
     out = out.withColumn("fill_rate", F.col("set_bits") / F.col("m")).withColumn("estimated_fpr", F.pow("fill_rate", F.col("k").cast("double")))
@@ -195,12 +201,21 @@ def slice_statistics(words: DataFrame, plan: list[Slice]) -> DataFrame:
 def shard_statistics(words: DataFrame, plan: list[Slice]) -> DataFrame:
     """Per slice of shards: set bits, and the mean, least and largest rate of its shards."""
     spark = words.sparkSession
-    table = spark.createDataFrame([(str(s.number), s.number, s.spec.m, s.spec.k, _stride(s), g) for s in plan for g in range(s.spec.groups)], "filter_id string, slice int, m long, k int, stride long, shard long")
+    table = spark.createDataFrame(
+        [(str(s.number), s.number, s.spec.m, s.spec.k, _stride(s), g) for s in plan for g in range(s.spec.groups)],
+        "filter_id string, slice int, m long, k int, stride long, shard long",
+    )
     shard = words.join(F.broadcast(table.where("shard = 0").drop("shard")), "filter_id").withColumn("shard", F.expr("word div stride"))
     bits = shard.groupBy("filter_id", "shard").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
     own = table.join(bits, ["filter_id", "shard"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     rate = F.pow(F.col("n") / F.col("m"), F.col("k").cast("double"))
-    return own.groupBy("slice").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("set_bits"), F.avg(rate).alias("estimated_fpr"), F.min(rate).alias("least_fpr"), F.max(rate).alias("largest_fpr"))
+    return own.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("shards"),
+        F.sum("n").alias("set_bits"),
+        F.avg(rate).alias("estimated_fpr"),
+        F.min(rate).alias("least_fpr"),
+        F.max(rate).alias("largest_fpr"),
+    )
 
 
 def compound_fpr(stats: DataFrame) -> DataFrame:
@@ -211,8 +226,12 @@ def compound_fpr(stats: DataFrame) -> DataFrame:
 def growth_health(stats: DataFrame) -> DataFrame:
     """One row over the slices: compound and largest rate, aggregate fill, capacity."""
     return stats.agg(
-        F.count(F.lit(1)).alias("slices"), F.sum("capacity").alias("total_capacity"), F.sum("set_bits").alias("set_bits"), (F.sum("set_bits") / F.sum("m")).alias("aggregate_fill"),
-        (1 - F.exp(F.sum(F.log1p(-F.col("estimated_fpr"))))).alias("compound_fpr"), F.sum("estimated_fpr").alias("max_fpr"), F.max_by("fill_rate", "slice").alias("current_fill"),
+        F.count(F.lit(1)).alias("slices"), F.sum("capacity").alias("total_capacity"), F.sum("set_bits").alias("set_bits"), (
+            F.sum("set_bits") / F.sum("m")
+        ).alias("aggregate_fill"),
+        (
+            1 - F.exp(F.sum(F.log1p(-F.col("estimated_fpr"))))
+        ).alias("compound_fpr"), F.sum("estimated_fpr").alias("max_fpr"), F.max_by("fill_rate", "slice").alias("current_fill"),
     )
 
 
@@ -220,7 +239,17 @@ def traced(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> Data
     """(key, trace): for each distinct key the slices in order, with whether they match, hashes, bits and fill, and the bits tested until the first match."""
     fills = {r["slice"]: r["fill_rate"] for r in slice_statistics(words, plan).collect()}  # a row for each slice
     found = masks(df.select(key).distinct(), key, words, plan, "_mask")
-    steps = F.array(*(F.struct(F.lit(s.number).alias("slice"), (F.getbit("_mask", F.lit(s.number)) == 1).alias("matched"), F.lit(s.spec.k).alias("hashes"), F.lit(s.spec.m).alias("bits"), F.lit(float(fills[s.number])).alias("fill_rate")) for s in plan))
+    steps = F.array(
+        *(
+            F.struct(
+                F.lit(s.number).alias("slice"),
+                (F.getbit("_mask", F.lit(s.number)) == 1).alias("matched"),
+                F.lit(s.spec.k).alias("hashes"),
+                F.lit(s.spec.m).alias("bits"),
+                F.lit(float(fills[s.number])).alias("fill_rate"),
+            ) for s in plan
+        )
+    )
     return found.select(key, steps.alias("trace"))
 
 
@@ -235,7 +264,16 @@ def unique_count(df: DataFrame, key: str, plan: list[Slice], total: int | None =
     return cardinality.estimate(cardinality.merge(own)).select("estimate")
 
 
-def grow(plan: list[Slice], capacity: int, rate: float, growth: Growth = Growth(), ratio: float = 0.5, fill: float = 0.5, arrivals: int | None = None, max_slices: int = MAX_SLICES) -> list[Slice]:
+def grow(
+    plan: list[Slice],
+    capacity: int,
+    rate: float,
+    growth: Growth = Growth(),
+    ratio: float = 0.5,
+    fill: float = 0.5,
+    arrivals: int | None = None,
+    max_slices: int = MAX_SLICES,
+) -> list[Slice]:
     """The plan with one slice more, which takes arrivals from now on: after ``arrivals``, or where the last one is full."""
     if len(plan) >= max_slices:
         raise MaxFiltersExceeded(f"{max_slices} slices are open already")
@@ -267,12 +305,25 @@ def health(words: DataFrame, plan: list[Slice], arrivals: int, target: float, gr
     last = plan[-1]
     room = max(0, last.first + last.threshold - 1 - arrivals)
     return row.select(
-        "slices", "total_capacity", F.lit(arrivals).cast("long").alias("items"), F.lit(arrivals if unique is None else unique).cast("long").alias("unique_items"), "set_bits", "aggregate_fill", "current_fill",
-        "compound_fpr", "max_fpr", F.lit(target).alias("target_fpr"), (F.col("compound_fpr") / target).alias("fpr_ratio"), F.lit(room).cast("long").alias("room_before_growth"), F.lit(growth.kind).alias("growth"),
+        "slices", "total_capacity", F.lit(arrivals).cast("long").alias("items"), F.lit(
+            arrivals if unique is None else unique
+        ).cast("long").alias("unique_items"), "set_bits", "aggregate_fill", "current_fill",
+        "compound_fpr", "max_fpr", F.lit(target).alias("target_fpr"), (
+            F.col("compound_fpr") / target
+        ).alias("fpr_ratio"), F.lit(room).cast("long").alias("room_before_growth"), F.lit(growth.kind).alias("growth"),
     )
 
 
-def adaptive_build(df: DataFrame, key: str, order: Sequence[str], capacity: int, rate: float, ratio: float = 0.5, fill: float = 0.5, max_slices: int = 64) -> tuple[DataFrame, list[Slice]]:
+def adaptive_build(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    capacity: int,
+    rate: float,
+    ratio: float = 0.5,
+    fill: float = 0.5,
+    max_slices: int = 64,
+) -> tuple[DataFrame, list[Slice]]:
     """Slices whose rates tighten by how full the one before became: a job for each slice."""
     total = df.count()
     rows = ranked(df, order, "_rank", total)

@@ -141,7 +141,12 @@ def matching(keys: DataFrame, key: str, words: DataFrame, spec: Spec, by: Sequen
     ``words`` may have more columns that tell filters apart; name them in ``by``.
     """
     distinct = keys.select(F.col(key).alias("k")).where("k is not null").distinct()
-    at = positions(distinct, "k", spec, ["k"], distinct=True).select("k", "grp", F.expr("pos div 64").alias("word"), F.expr("shiftleft(1L, CAST(pos % 64 AS INT))").alias("bit"))
+    at = positions(distinct, "k", spec, ["k"], distinct=True).select(
+        "k",
+        "grp",
+        F.expr("pos div 64").alias("word"),
+        F.expr("shiftleft(1L, CAST(pos % 64 AS INT))").alias("bit"),
+    )
     need = at.groupBy("k", "grp", "word").agg(F.bit_or("bit").alias("need"))
     total = F.count(F.lit(1)).alias("n")
     have = need.join(words.select(*by, "grp", "word", "bits"), ["grp", "word"]).where(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"))
@@ -219,9 +224,21 @@ def compare(a: DataFrame, b: DataFrame, a_spec: Spec, b_spec: Spec) -> DataFrame
     both = a.select("grp", "word", F.col("bits").alias("x")).join(b.select("grp", "word", F.col("bits").alias("y")), ["grp", "word"], "full")
     x, y = F.coalesce("x", F.lit(0).cast("long")), F.coalesce("y", F.lit(0).cast("long"))
     n = lambda c: F.coalesce(F.sum(F.bit_count(c).cast("long")), F.lit(0).cast("long"))
-    row = both.agg(n(x.bitwiseOR(y)).alias("union_bits"), n(x.bitwiseAND(y)).alias("common_bits"), n(x.bitwiseXOR(y)).alias("hamming"), n(x).alias("a_bits"), n(y).alias("b_bits"))
+    row = both.agg(
+        n(x.bitwiseOR(y)).alias("union_bits"),
+        n(x.bitwiseAND(y)).alias("common_bits"),
+        n(x.bitwiseXOR(y)).alias("hamming"),
+        n(x).alias("a_bits"),
+        n(y).alias("b_bits"),
+    )
     c, u = F.col("common_bits"), F.col("union_bits")
-    return row.select("*", F.when(u == 0, 1.0).otherwise(c / u).alias("jaccard"), (c == F.col("a_bits")).alias("a_in_b"), (c == 0).alias("disjoint"), (F.col("hamming") == 0).alias("equal"))
+    return row.select(
+        "*",
+        F.when(u == 0, 1.0).otherwise(c / u).alias("jaccard"),
+        (c == F.col("a_bits")).alias("a_in_b"),
+        (c == 0).alias("disjoint"),
+        (F.col("hamming") == 0).alias("equal"),
+    )
 
 
 def set_range(words: DataFrame, m: int, start: int, stop: int, value: bool = True) -> DataFrame:
@@ -231,8 +248,17 @@ def set_range(words: DataFrame, m: int, start: int, stop: int, value: bool = Tru
     w = F.col("id")
     low, high = F.greatest(F.lit(start) - w * 64, F.lit(0)), F.least(F.lit(stop) - w * 64, F.lit(64))
     ones = lambda n: F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - n).cast("int")))
-    mask = words.sparkSession.range(start // 64, max(start // 64, -(-stop // 64))).where(high > low).select(F.lit("").alias("filter_id"), F.lit(0).cast("long").alias("grp"), w.alias("word"), ones(high).bitwiseXOR(ones(low)).alias("mask"))
-    both = words.join(mask, _WORD, "full").select(*_WORD, F.coalesce("bits", F.lit(0).cast("long")).alias("b"), F.coalesce("mask", F.lit(0).cast("long")).alias("k"))
+    mask = words.sparkSession.range(start // 64, max(start // 64, -(-stop // 64))).where(high > low).select(
+        F.lit("").alias("filter_id"),
+        F.lit(0).cast("long").alias("grp"),
+        w.alias("word"),
+        ones(high).bitwiseXOR(ones(low)).alias("mask"),
+    )
+    both = words.join(mask, _WORD, "full").select(
+        *_WORD,
+        F.coalesce("bits", F.lit(0).cast("long")).alias("b"),
+        F.coalesce("mask", F.lit(0).cast("long")).alias("k"),
+    )
     changed = F.col("b").bitwiseOR(F.col("k")) if value else F.col("b").bitwiseAND(F.bitwise_not(F.col("k")))
     return both.select(*_WORD, changed.alias("bits")).where("bits != 0")
 
@@ -300,13 +326,21 @@ def statistics(words: DataFrame, spec: Spec, by: Iterable[str] = ()) -> DataFram
     rows = words.groupBy(*by).agg(set_bits.alias("set_bits"))
     fill = F.col("set_bits") / F.lit(float(size))
     estimate = F.when(F.col("set_bits") == 0, F.lit(0).cast("long")).when(F.col("set_bits") < size, F.floor(-(size / k) * F.ln(1 - fill)).cast("long"))
-    return rows.select(*by, "set_bits", fill.alias("fill_rate"), F.pow(fill, F.lit(float(k))).alias("estimated_fpr"), estimate.alias("estimated_items"), (fill > 0.5).alias("saturated"))
+    return rows.select(
+        *by,
+        "set_bits",
+        fill.alias("fill_rate"),
+        F.pow(fill, F.lit(float(k))).alias("estimated_fpr"),
+        estimate.alias("estimated_items"),
+        (fill > 0.5).alias("saturated"),
+    )
 
 
 def imbalance(groups: DataFrame, level: float = 0.2) -> DataFrame:
     """``statistics`` by group with whether one is off the mean by more than a share of it."""
     mean = groups.agg(F.avg("set_bits").alias("_mean"))
-    return groups.crossJoin(F.broadcast(mean)).withColumn("imbalanced", F.abs(F.col("set_bits") - F.col("_mean")) > level * F.col("_mean")).drop("_mean")  # one row is broadcast
+    # one row is broadcast
+    return groups.crossJoin(F.broadcast(mean)).withColumn("imbalanced", F.abs(F.col("set_bits") - F.col("_mean")) > level * F.col("_mean")).drop("_mean")
 
 
 def stripes(words: DataFrame, spec: Spec, count: int = 256) -> DataFrame:
@@ -318,17 +352,30 @@ def health(words: DataFrame, spec: Spec, levels: tuple[float, float] = (0.5, 0.7
     """The statistics with Healthy, Degraded or Critical, by fill and by the rate against its target."""
     s = statistics(words, spec)
     ratio = F.col("estimated_fpr") / spec.target_fpr if spec.target_fpr else F.lit(1.0)
-    state = F.when((F.col("fill_rate") < levels[0]) & (ratio < 2), "Healthy").when((F.col("fill_rate") < levels[1]) & (ratio < 5), "Degraded").otherwise("Critical")
+    state = F.when((F.col("fill_rate") < levels[0]) & (ratio < 2), "Healthy").when(
+        (F.col("fill_rate") < levels[1]) & (ratio < 5),
+        "Degraded",
+    ).otherwise("Critical")
     return s.select("*", ratio.alias("fpr_ratio"), state.alias("state"))
 
 
 def group_health(words: DataFrame, spec: Spec, levels: tuple[float, float] = (0.7, 0.9)) -> DataFrame:
     """One row over a filter's groups: their mean and largest fill, the rate, a warning if it is over twice its target, and Healthy, Degraded or Critical."""
-    groups = words.sparkSession.range(spec.groups).withColumnRenamed("id", "grp").join(statistics(words, spec, ["grp"]).select("grp", "fill_rate"), "grp", "left")
+    groups = words.sparkSession.range(spec.groups).withColumnRenamed("id", "grp").join(
+        statistics(words, spec, ["grp"]).select("grp", "fill_rate"),
+        "grp",
+        "left",
+    )
     row = groups.agg(F.avg(F.coalesce("fill_rate", F.lit(0.0))).alias("mean_fill"), F.max(F.coalesce("fill_rate", F.lit(0.0))).alias("max_fill"))
     rate = F.pow("mean_fill", F.lit(float(spec.k)))
     state = F.when(F.col("max_fill") < levels[0], "Healthy").when(F.col("max_fill") < levels[1], "Degraded").otherwise("Critical")
-    return row.select("mean_fill", "max_fill", rate.alias("estimated_fpr"), (rate > 2 * spec.target_fpr if spec.target_fpr else F.lit(False)).alias("warning"), state.alias("state"))
+    return row.select(
+        "mean_fill",
+        "max_fill",
+        rate.alias("estimated_fpr"),
+        (rate > 2 * spec.target_fpr if spec.target_fpr else F.lit(False)).alias("warning"),
+        state.alias("state"),
+    )
 
 
 def item_estimates(words: DataFrame, spec: Spec, items: int) -> DataFrame:
@@ -336,4 +383,9 @@ def item_estimates(words: DataFrame, spec: Spec, items: int) -> DataFrame:
     by_bits, by_group = (1 - exp(-spec.k * items / spec.bits)) ** spec.k, (1 - exp(-items / spec.m)) ** spec.k
     s = statistics(words, spec)
     guess = F.when(F.col("fill_rate") < 0.01, F.lit(items).cast("long")).otherwise(F.col("estimated_items"))
-    return s.select(F.lit(by_bits).alias("fpr_by_items"), F.lit(by_group).alias("fpr_by_partition"), guess.alias("estimated_items"), (F.col("fill_rate") > 0.7).alias("should_resize"))
+    return s.select(
+        F.lit(by_bits).alias("fpr_by_items"),
+        F.lit(by_group).alias("fpr_by_partition"),
+        guess.alias("estimated_items"),
+        (F.col("fill_rate") > 0.7).alias("should_resize"),
+    )

@@ -21,10 +21,23 @@ def fp_tracker(labelled: DataFrame, expected: float) -> DataFrame:
     """Of rows (maybe, actual): counts, the share of false among positives and among absent keys, and the alert."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
     maybe, actual = F.col("maybe"), F.col("actual")
-    row = labelled.agg(F.count(F.lit(1)).alias("probes"), n(maybe).alias("positives"), n(maybe & ~actual).alias("false_positives"), n(~maybe & actual).alias("false_negatives"), n(~actual).alias("absent"))
+    row = labelled.agg(
+        F.count(F.lit(1)).alias("probes"),
+        n(maybe).alias("positives"),
+        n(maybe & ~actual).alias("false_positives"),
+        n(~maybe & actual).alias("false_negatives"),
+        n(~actual).alias("absent"),
+    )
     fdr = F.when(F.col("positives") == 0, 0.0).otherwise(F.col("false_positives") / F.col("positives"))
     fpr = F.when(F.col("absent") == 0, 0.0).otherwise(F.col("false_positives") / F.col("absent"))
-    return row.select("*", fdr.alias("discovery_rate"), fpr.alias("fpr"), ((fpr - expected) / expected * 100).alias("deviation_percent"), (F.col("probes") >= SAMPLES).alias("enough"), (fpr > 1.5 * expected).alias("alert"))
+    return row.select(
+        "*",
+        fdr.alias("discovery_rate"),
+        fpr.alias("fpr"),
+        ((fpr - expected) / expected * 100).alias("deviation_percent"),
+        (F.col("probes") >= SAMPLES).alias("enough"),
+        (fpr > 1.5 * expected).alias("alert"),
+    )
 
 
 def sliding_fpr(labelled: DataFrame, order: str, width: int, block: int = 100_000) -> DataFrame:
@@ -46,7 +59,13 @@ def latency(df: DataFrame, value: Column | str, accuracy: int = 10_000) -> DataF
     Sketches of bounded size are merged, so no task holds the values.
     """
     v = F.col(value) if isinstance(value, str) else value
-    return df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), *(F.percentile_approx(v, p, accuracy).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in PERCENTILES))
+    return df.agg(
+        F.count(v).alias("n"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.avg(v).alias("mean"),
+        *(F.percentile_approx(v, p, accuracy).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in PERCENTILES),
+    )
 
 
 def from_histogram(hist: DataFrame, buckets: int = 64, low: float = 1e-9, high: float = 60.0) -> DataFrame:

@@ -64,7 +64,15 @@ def _located(df: DataFrame, key: str, words: DataFrame, plan: TreePlan, start: t
     nodes = [math.prod(branching[:i]) for i in range(plan.depth + 1)]
     base = [sum(n * s for n, s in zip(nodes[:i], strides[:i])) for i in range(plan.depth + 2)]
     # a node's number in its level, from its path
-    number = F.aggregate(F.zip_with(F.split("filter_id", "/"), F.array(*(F.lit(b) for b in branching)), lambda x, b: F.struct(x.try_cast("long").alias("x"), b.cast("long").alias("b"))), F.lit(0).cast("long"), lambda n, x: F.when(x["x"].isNull(), n).otherwise(n * x["b"] + x["x"]))
+    number = F.aggregate(
+        F.zip_with(
+            F.split("filter_id", "/"),
+            F.array(*(F.lit(b) for b in branching)),
+            lambda x, b: F.struct(x.try_cast("long").alias("x"), b.cast("long").alias("b")),
+        ),
+        F.lit(0).cast("long"),
+        lambda n, x: F.when(x["x"].isNull(), n).otherwise(n * x["b"] + x["x"]),
+    )
     of_level = lambda values: F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col("level"))
     bits = df.sparkSession.sparkContext.broadcast(membership.bitmap(words, base[-1], of_level(base[:-1]) + number * of_level(strides) + F.col("word")))
     specs = [plan.spec(i) for i in range(plan.depth + 1)]
@@ -185,7 +193,12 @@ def resized(df: DataFrame, key: str, path: str, plan: TreePlan, capacity: int) -
 
 def health(stats: DataFrame) -> DataFrame:
     """One row over the levels: the fullest one, items, and Healthy, Degraded or Critical by the leaves' mean load."""
-    row = stats.agg(F.max("fill_rate").alias("max_fill"), F.max_by("level", "fill_rate").alias("fullest_level"), F.max("items").alias("items"), F.max_by("avg_load", "level").alias("leaf_load"))
+    row = stats.agg(
+        F.max("fill_rate").alias("max_fill"),
+        F.max_by("level", "fill_rate").alias("fullest_level"),
+        F.max("items").alias("items"),
+        F.max_by("avg_load", "level").alias("leaf_load"),
+    )
     state = F.when(F.col("leaf_load") > 0.9, "Critical").when(F.col("leaf_load") > 0.7, "Degraded").otherwise("Healthy")
     return row.select("*", state.alias("state"))
 
@@ -196,11 +209,18 @@ def invalid_nodes(words: DataFrame, plan: TreePlan) -> DataFrame:
     child = F.split("filter_id", "/")
     limit = F.get(F.array(*(F.lit(b) for b in plan.branching)), F.col("level") - 1)
     last = F.get(F.array(*(F.lit((plan.spec(i).m - 1) // 64).cast("long") for i in range(plan.depth + 1))), F.col("level"))
-    problem = F.when((F.col("level") < 0) | (F.col("level") > plan.depth) | (depth != F.col("level")), "level").when((F.col("level") > 0) & (F.element_at(child, -1).cast("int") >= limit), "node").when((F.col("word") < 0) | (F.col("word") > last), "word")
+    problem = F.when(
+        (F.col("level") < 0) | (F.col("level") > plan.depth) | (depth != F.col("level")),
+        "level",
+    ).when((F.col("level") > 0) & (F.element_at(child, -1).cast("int") >= limit), "node").when((F.col("word") < 0) | (F.col("word") > last), "word")
     bad = words.select("level", F.col("filter_id").alias("node"), problem.alias("problem")).where("problem is not null").distinct()
     own = words.where("bits != 0").select("level", F.col("filter_id").alias("node")).distinct()
     parent = own.where("level > 0").select("level", "node", F.regexp_replace("node", "/?[0-9]+$", "").alias("up"))
-    orphan = parent.join(own.select(F.col("node").alias("up"), (F.col("level") + 1).alias("level")), ["up", "level"], "left_anti").select("level", "node", F.lit("parent").alias("problem"))
+    orphan = parent.join(
+        own.select(F.col("node").alias("up"), (F.col("level") + 1).alias("level")),
+        ["up", "level"],
+        "left_anti",
+    ).select("level", "node", F.lit("parent").alias("problem"))
     return bad.union(orphan)
 
 
@@ -213,11 +233,27 @@ def validate(words: DataFrame, plan: TreePlan) -> None:
 
 def statistics(words: DataFrame, counted: DataFrame, plan: TreePlan) -> DataFrame:
     """Per level: nodes with items, items, set bits and fill, and the mean load of its nodes' capacity."""
-    sizes = words.sparkSession.createDataFrame([(i, plan.spec(i).m * len(plan.paths(i)), len(plan.paths(i)), plan.capacity * plan.leaves // max(1, len(plan.paths(i)))) for i in range(plan.depth + 1)], "level int, bits long, nodes long, capacity long")
+    sizes = words.sparkSession.createDataFrame(
+        [
+            (
+                i,
+                plan.spec(i).m * len(plan.paths(i)),
+                len(plan.paths(i)),
+                plan.capacity * plan.leaves // max(1, len(plan.paths(i))),
+            ) for i in range(plan.depth + 1)
+        ],
+        "level int, bits long, nodes long, capacity long",
+    )
     bits = words.groupBy("level").agg(F.sum(F.bit_count("bits").cast("long")).alias("set_bits"))
     items = counted.groupBy("level").agg(F.count(F.lit(1)).alias("used_nodes"), F.sum("items").alias("items"))
     out = sizes.join(bits, "level", "left").join(items, "level", "left")
-    return out.select("level", "nodes", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("used_nodes", "items", "set_bits")), (F.coalesce("set_bits", F.lit(0)) / F.col("bits")).alias("fill_rate"), (F.coalesce("items", F.lit(0)) / (F.col("nodes") * F.col("capacity"))).alias("avg_load"))
+    return out.select(
+        "level",
+        "nodes",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("used_nodes", "items", "set_bits")),
+        (F.coalesce("set_bits", F.lit(0)) / F.col("bits")).alias("fill_rate"),
+        (F.coalesce("items", F.lit(0)) / (F.col("nodes") * F.col("capacity"))).alias("avg_load"),
+    )
 
 
 def needs_resize(stats: DataFrame, level: float = 0.7) -> DataFrame:

@@ -226,7 +226,14 @@ class StandardBuilder:
 
     def metadata(self) -> dict[str, object]:
         s = self.build()
-        return {"expected_items": self.items, "target_fpr": self.rate, "bits": s.m, "hashes": s.k, "bits_per_item": s.m / self.items, "memory_bytes": s.memory_bytes}
+        return {
+            "expected_items": self.items,
+            "target_fpr": self.rate,
+            "bits": s.m,
+            "hashes": s.k,
+            "bits_per_item": s.m / self.items,
+            "memory_bytes": s.memory_bytes,
+        }
 
 
 @dataclass(frozen=True)

@@ -46,7 +46,16 @@ class Slice:
     first: int  # rank of its first arrival, from 1
 
 
-def slice_plan(capacity: int, rate: float, arrivals: int, growth: Growth = Growth(), ratio: float = 0.5, fill: float = 0.5, max_slices: int = MAX_SLICES, floor: bool = False) -> list[Slice]:
+def slice_plan(
+    capacity: int,
+    rate: float,
+    arrivals: int,
+    growth: Growth = Growth(),
+    ratio: float = 0.5,
+    fill: float = 0.5,
+    max_slices: int = MAX_SLICES,
+    floor: bool = False,
+) -> list[Slice]:
     """The slices that so many arrivals open. ``floor``: thresholds round down, as the concurrent form has them."""
     check_items(capacity)
     check_rate(rate)
@@ -69,7 +78,16 @@ def next_ratio(ratio: float, fill: float, least: float = 0.3, most: float = 0.9,
     return max(0.9 * ratio, least) if fill > 1.2 * threshold else min(1.1 * ratio, most) if fill < 0.8 * threshold else ratio
 
 
-def predict_fpr(capacity: int, rate: float, n: int, growth: Growth = Growth(), ratio: float = 0.5, fill: float = 0.5, items: int = 0, current: float = 0.0) -> float:
+def predict_fpr(
+    capacity: int,
+    rate: float,
+    n: int,
+    growth: Growth = Growth(),
+    ratio: float = 0.5,
+    fill: float = 0.5,
+    items: int = 0,
+    current: float = 0.0,
+) -> float:
     """The compound rate with the slices that n items open; the current one if a filter has so many items already."""
     if n <= items:
         return current

@@ -130,7 +130,9 @@ def std_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urgent(spark, sf_dir)[0].select("word", F.bit_count("bits").cast("long").alias("set_bits"))
 
 
-@query(f"WITH {_URGENT_SQL}, {_probe_sql('hit', _LINES_SQL, 'f')} SELECT l_returnflag, count(*) AS n_rows, sum(l_quantity) AS quantity FROM lineitem JOIN hit ON k = l_orderkey WHERE maybe GROUP BY 1")
+@query(
+    f"WITH {_URGENT_SQL}, {_probe_sql('hit', _LINES_SQL, 'f')} SELECT l_returnflag, count(*) AS n_rows, sum(l_quantity) AS quantity FROM lineitem JOIN hit ON k = l_orderkey WHERE maybe GROUP BY 1"
+)
 def std_contains_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = membership.semi_join(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity"), "l_orderkey", *_urgent(spark, sf_dir))
     return hit.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
@@ -151,7 +153,9 @@ def std_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = "SELECT c_name AS k, '' AS o FROM customer WHERE c_acctbal > 0"
 
 
-@query(f"WITH sp AS ({_std(f'SELECT count(k) FROM ({_NAMES})')}), {_filter_sql('f', _NAMES)}, {_probe_sql('hit', 'SELECT c_name AS k FROM customer', 'f')} SELECT c_custkey, maybe FROM customer JOIN hit ON k = c_name")
+@query(
+    f"WITH sp AS ({_std(f'SELECT count(k) FROM ({_NAMES})')}), {_filter_sql('f', _NAMES)}, {_probe_sql('hit', 'SELECT c_name AS k FROM customer', 'f')} SELECT c_custkey, maybe FROM customer JOIN hit ON k = c_name"
+)
 def std_contains_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = _t(spark, sf_dir, "customer")
     known = customer.where("c_acctbal > 0")
@@ -159,7 +163,9 @@ def std_contains_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.probe(customer, "c_name", membership.build(known, "c_name", spec), spec).select("c_custkey", "maybe")
 
 
-@query(f"WITH {_URGENT_SQL}, {_probe_sql('hit', 'SELECT o_orderkey AS k FROM orders', 'f')} SELECT o_custkey, bool_and(maybe) AS contains_all, bool_or(maybe) AS contains_any FROM orders JOIN hit ON k = o_orderkey GROUP BY 1")
+@query(
+    f"WITH {_URGENT_SQL}, {_probe_sql('hit', 'SELECT o_orderkey AS k FROM orders', 'f')} SELECT o_custkey, bool_and(maybe) AS contains_all, bool_or(maybe) AS contains_any FROM orders JOIN hit ON k = o_orderkey GROUP BY 1"
+)
 def contains_all_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     probed = membership.probe(_t(spark, sf_dir, "orders"), "o_orderkey", *_urgent(spark, sf_dir))
     return probed.groupBy("o_custkey").agg(F.bool_and("maybe").alias("contains_all"), F.bool_or("maybe").alias("contains_any"))
@@ -310,7 +316,12 @@ def _strategy(name: str) -> None:
 for _name in ("double", "enhanced", "triple"):
     _strategy(_name)
 
-LAYOUTS = {"partitioned": sizing.partitioned, "block": sizing.blocked, "rehash": sizing.rehashed, "sharded": lambda n, p, **more: sizing.sharded(n, p, 8, **more)}
+LAYOUTS = {
+    "partitioned": sizing.partitioned,
+    "block": sizing.blocked,
+    "rehash": sizing.rehashed,
+    "sharded": lambda n, p, **more: sizing.sharded(n, p, 8, **more),
+}
 
 
 def _layout(name: str) -> None:
@@ -369,10 +380,15 @@ SELECT shard, set_bits, abs(set_bits - avg(set_bits) OVER ()) > 0.02 * avg(set_b
 def shard_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
     spec = LAYOUTS["sharded"](_keys(part, "p_partkey"), 0.01)
-    return membership.imbalance(membership.statistics(membership.build(part, "p_partkey", spec), spec, ["grp"]), 0.02).select(F.col("grp").alias("shard"), "set_bits", "imbalanced")
+    return membership.imbalance(
+        membership.statistics(membership.build(part, "p_partkey", spec), spec, ["grp"]),
+        0.02,
+    ).select(F.col("grp").alias("shard"), "set_bits", "imbalanced")
 
 
-@query(f"WITH sp AS ({_std('SELECT count(*) FROM part')}), {_filter_sql('f', _ALL_PARTS)} SELECT pos * 256 // m AS stripe, count(*) AS set_bits FROM f, sp GROUP BY 1 ORDER BY set_bits DESC, stripe LIMIT 10")
+@query(
+    f"WITH sp AS ({_std('SELECT count(*) FROM part')}), {_filter_sql('f', _ALL_PARTS)} SELECT pos * 256 // m AS stripe, count(*) AS set_bits FROM f, sp GROUP BY 1 ORDER BY set_bits DESC, stripe LIMIT 10"
+)
 def striped_top_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the ten fullest of 256 stripes."""
     part = _t(spark, sf_dir, "part")
@@ -402,7 +418,9 @@ def counting_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _users(spark, sf_dir)[0]
 
 
-@query(f"WITH {_USERS_SQL}, v AS (SELECT unnest(range(16)) AS cnt), n AS (SELECT cnt, count(*) AS n FROM c GROUP BY 1) SELECT v.cnt, CASE WHEN v.cnt = 0 THEN (SELECT m FROM sp) - (SELECT count(*) FROM c) ELSE coalesce(n, 0) END AS counters FROM v LEFT JOIN n ON v.cnt = n.cnt")
+@query(
+    f"WITH {_USERS_SQL}, v AS (SELECT unnest(range(16)) AS cnt), n AS (SELECT cnt, count(*) AS n FROM c GROUP BY 1) SELECT v.cnt, CASE WHEN v.cnt = 0 THEN (SELECT m FROM sp) - (SELECT count(*) FROM c) ELSE coalesce(n, 0) END AS counters FROM v LEFT JOIN n ON v.cnt = n.cnt"
+)
 def counting_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.histogram(*_users(spark, sf_dir))
 
@@ -569,7 +587,9 @@ _BREAKDOWN_SQL = f"""{_SLICES_SQL}, {_WORDS_SQL}, b AS (SELECT slice, capacity,
 f AS (SELECT *, set_bits / m AS fill_rate, pow(set_bits / m, k) AS estimated_fpr FROM b)"""
 
 
-@query(f"WITH {_BREAKDOWN_SQL} SELECT slice, capacity, rate, m, k, set_bits, round(fill_rate, 9) AS fill_rate, round(estimated_fpr, 9) AS estimated_fpr, round(estimated_fpr / sum(estimated_fpr) OVER (), 6) AS share FROM f")
+@query(
+    f"WITH {_BREAKDOWN_SQL} SELECT slice, capacity, rate, m, k, set_bits, round(fill_rate, 9) AS fill_rate, round(estimated_fpr, 9) AS estimated_fpr, round(estimated_fpr / sum(estimated_fpr) OVER (), 6) AS share FROM f"
+)
 def scalable_fpr_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows, plan = _sliced(spark, sf_dir)
     stats = growing.slice_statistics(growing.build(rows, "k", plan), plan)
@@ -761,7 +781,11 @@ _NODES = (20, 4, 1)  # leaves below a node of each level
 
 
 def _tree_words_sql(name: str, where: str = "true") -> str:
-    levels = [f"SELECT {i} AS level, o AS node, pos FROM ({_at(f'SELECT c_custkey AS k, nodes[{i + 1}] AS o FROM n WHERE {where}', sizes=f'sp{i}')}) GROUP BY ALL" for i in range(3)]
+    levels = [
+        f"SELECT {i} AS level, o AS node, pos FROM ({_at(f'SELECT c_custkey AS k, nodes[{i + 1}] AS o FROM n WHERE {where}', sizes=f'sp{i}')}) GROUP BY ALL" for i in range(
+            3
+        )
+    ]
     return f"{name} AS ({' UNION ALL '.join(levels)})"
 
 
@@ -769,7 +793,11 @@ _TREE_SIZES = f"cap AS (SELECT greatest(1, ceil(count(*) / 16))::BIGINT AS leaf
 
 
 def _tree_sql() -> str:
-    hits = [f"SELECT p.k, f.node FROM ({_at('SELECT c_custkey AS k, 0 AS o FROM n', sizes=f'sp{i}')}) p JOIN (SELECT node, pos FROM w WHERE level = {i}) f USING (pos) GROUP BY p.k, f.node HAVING count(DISTINCT i) = (SELECT kk FROM sp{i})" for i in range(3)]
+    hits = [
+        f"SELECT p.k, f.node FROM ({_at('SELECT c_custkey AS k, 0 AS o FROM n', sizes=f'sp{i}')}) p JOIN (SELECT node, pos FROM w WHERE level = {i}) f USING (pos) GROUP BY p.k, f.node HAVING count(DISTINCT i) = (SELECT kk FROM sp{i})" for i in range(
+            3
+        )
+    ]
     return f"{_TREE_KEYS}, {_TREE_SIZES}, {_tree_words_sql('w')}, " + ", ".join(f"h{i} AS ({x})" for i, x in enumerate(hits))
 
 
@@ -835,7 +863,9 @@ def _tree_pair(how: str, keep: str) -> None:
         return words.groupBy("level", F.col("filter_id").alias("node")).agg(F.sum(F.bit_count("bits").cast("long")).alias("set_bits"))
 
     run.__name__ = f"tree_{how}"
-    query(f"WITH {_TREE_KEYS}, {_TREE_SIZES}, {_tree_words_sql('x', _SEGMENTS[0])}, {_tree_words_sql('y', _SEGMENTS[1])} SELECT level, node, count(*) AS set_bits FROM (SELECT * FROM x {keep} SELECT * FROM y) GROUP BY ALL")(run)
+    query(
+        f"WITH {_TREE_KEYS}, {_TREE_SIZES}, {_tree_words_sql('x', _SEGMENTS[0])}, {_tree_words_sql('y', _SEGMENTS[1])} SELECT level, node, count(*) AS set_bits FROM (SELECT * FROM x {keep} SELECT * FROM y) GROUP BY ALL"
+    )(run)
 
 
 _tree_pair("union", "UNION")
@@ -877,7 +907,11 @@ _LABELLED = f"WITH {_LOOSE_SQL}, {_probe_sql('hit', 'SELECT o_orderkey AS k FROM
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with what a loose filter of urgent ones says, and what is true."""
-    return membership.probe(_t(spark, sf_dir, "orders"), "o_orderkey", *_urgent(spark, sf_dir, 0.05)).withColumn("actual", F.col("o_orderpriority") == "1-URGENT")
+    return membership.probe(
+        _t(spark, sf_dir, "orders"),
+        "o_orderkey",
+        *_urgent(spark, sf_dir, 0.05),
+    ).withColumn("actual", F.col("o_orderpriority") == "1-URGENT")
 
 
 @query(f"""
@@ -889,12 +923,16 @@ def fp_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "discovery_rate", "fpr").withColumn("deviation_percent", F.round("deviation_percent", 6))
 
 
-@query(f"{_LABELLED} SELECT o_orderkey, round(avg(maybe::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS window_fpr FROM l WHERE NOT actual")
+@query(
+    f"{_LABELLED} SELECT o_orderkey, round(avg(maybe::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS window_fpr FROM l WHERE NOT actual"
+)
 def sliding_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sliding_fpr(_labelled(spark, sf_dir), "o_orderkey", 100).select("o_orderkey", F.round("window_fpr", 9).alias("window_fpr"))
 
 
-@query("SELECT count(value) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p99_9 FROM events")
+@query(
+    "SELECT count(value) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p99_9 FROM events"
+)
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.latency(_t(spark, sf_dir, "events"), "value", accuracy=1_000_000).withColumn("mean", F.round("mean", 6))
 
@@ -943,7 +981,9 @@ _PAIR = "length(CAST(user_id AS VARCHAR)) || ':' || user_id || length(CAST(hour(
 _CLICKS = f"SELECT {_PAIR} AS k, '' AS o FROM events WHERE event_type = 'click'"
 
 
-@query(f"WITH sp AS ({_std(f'SELECT count(k) FROM ({_CLICKS})', 0.005)}), {_filter_sql('f', _CLICKS)}, {_probe_sql('hit', f'SELECT {_PAIR} AS k FROM events', 'f')} SELECT event_id, maybe FROM (SELECT event_id, {_PAIR} AS k FROM events) JOIN hit USING (k)")
+@query(
+    f"WITH sp AS ({_std(f'SELECT count(k) FROM ({_CLICKS})', 0.005)}), {_filter_sql('f', _CLICKS)}, {_probe_sql('hit', f'SELECT {_PAIR} AS k FROM events', 'f')} SELECT event_id, maybe FROM (SELECT event_id, {_PAIR} AS k FROM events) JOIN hit USING (k)"
+)
 def rate_limit_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events fall in an hour of the day in which their user has clicked."""
     events = _t(spark, sf_dir, "events")

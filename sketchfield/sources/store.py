@@ -50,7 +50,12 @@ def to_bytes(words: DataFrame, spec: Spec, chunk: int = 1 << 17) -> DataFrame:
     rows = own.join(words.sparkSession.range(spec.groups).withColumnRenamed("id", "grp")).withColumn("word", F.explode(F.expr(f"sequence(0L, {stride - 1}L)")))
     digits = F.lpad(F.hex(F.coalesce("bits", F.lit(0).cast("long"))), 16, "0")
     little = F.concat(*(F.substring(digits, 15 - 2 * i, 2) for i in range(8)))
-    cells = rows.join(words.select("filter_id", "grp", "word", "bits"), ["filter_id", "grp", "word"], "left").select("filter_id", "grp", F.expr(f"word div {chunk}").alias("chunk"), F.struct("word", little.alias("v")).alias("x"))
+    cells = rows.join(words.select("filter_id", "grp", "word", "bits"), ["filter_id", "grp", "word"], "left").select(
+        "filter_id",
+        "grp",
+        F.expr(f"word div {chunk}").alias("chunk"),
+        F.struct("word", little.alias("v")).alias("x"),
+    )
     return cells.groupBy("filter_id", "grp", "chunk").agg(F.unhex(F.array_join(F.sort_array(F.collect_list("x")).getField("v"), "")).alias("bytes"))
 
 
@@ -61,7 +66,13 @@ def from_bytes(raw: DataFrame, spec: Spec, chunk: int = 1 << 17) -> DataFrame:
     if bad:
         raise InvalidFilterSize(f"{bad[0]['n']} bytes are not {spec.groups} groups of {spec.m} bits")
     last = F.expr(f"CASE WHEN word = {stride - 1} THEN {-1 if spec.m % 64 == 0 else (1 << (spec.m % 64)) - 1}L ELSE -1L END")
-    cells = raw.select("filter_id", "grp", "chunk", F.hex("bytes").alias("h")).select("filter_id", "grp", "chunk", "h", F.explode(F.expr("sequence(0, length(h) div 16 - 1)")).alias("i"))
+    cells = raw.select("filter_id", "grp", "chunk", F.hex("bytes").alias("h")).select(
+        "filter_id",
+        "grp",
+        "chunk",
+        "h",
+        F.explode(F.expr("sequence(0, length(h) div 16 - 1)")).alias("i"),
+    )
     hexes = F.concat(*(F.substring("h", F.col("i") * 16 + (15 - 2 * k), F.lit(2)) for k in range(8)))
     # conv gives the unsigned number; its 32-bit halves make the signed one
     number = F.shiftleft(F.conv(F.substring(hexes, 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(hexes, 9, 8), 16, 10).cast("long"))
@@ -145,7 +156,10 @@ def _load_meta(spark: SparkSession, path: str) -> dict:
 def to_json(words: DataFrame, spec: Spec) -> DataFrame:
     """A line of JSON for each filter: (filter_id, json). A filter's words must fit one row."""
     entries = F.sort_array(F.collect_list(F.struct("grp", "word", "bits")))
-    return words.groupBy("filter_id").agg(entries.alias("words")).select("filter_id", F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(json.dumps(asdict(spec))).alias("spec"), "words")).alias("json"))
+    return words.groupBy("filter_id").agg(entries.alias("words")).select(
+        "filter_id",
+        F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(json.dumps(asdict(spec))).alias("spec"), "words")).alias("json"),
+    )
 
 
 def from_json(lines: DataFrame) -> DataFrame:
