@@ -136,7 +136,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def runs(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str], chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``chars`` characters, one text at least."""
     start = size = 0
     for i, text in enumerate(texts):

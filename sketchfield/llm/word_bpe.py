@@ -28,18 +28,19 @@ import heapq
 import json
 import re
 import unicodedata
-from itertools import chain
+from collections.abc import Iterable
+from itertools import chain, filterfalse
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from ._common import map_arrow, record_batch, runs, texts_of, without_cycle_search
 
-_CHUNKS = 250_000  # cached chunks of one worker
-_WORDS_KEPT = 100_000
+_CHUNKS = 300_000  # cached chunks of one worker, words among them
 _NONE = 1 << 40
 _LONG = 200  # chunks beyond this length aren't cached
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the pattern below
@@ -142,7 +143,6 @@ class WordBpe:
                 self._match.add_word(s, i)
         self._match.make_automaton()
         self._chunks: dict[str, bytes] = {}
-        self._known: dict[str, bytes] = {}
         self._path = path
         self._library = None  # the tokenizers library's, once a text needs it
         self._seen: set[str] = set()  # characters outside ASCII texts, and those that the library has to see to
@@ -249,25 +249,30 @@ class WordBpe:
         """The ids of each word; a word is a non-empty string without white space, in lower case."""
         if not words:
             return []
-        raw = [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in words]
-        raw = [s[:-1] + chr(256 + ord(s[-1])) for s in raw]
+        # all words in one text of bytes, each word's last one marked
+        flat = np.frombuffer("\n".join([*words, ""]).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint16)
+        gaps = flat == 10
+        stop = np.flatnonzero(gaps)
+        start = np.concatenate([[0], stop[:-1] + 1])
+        flat[stop - 1] += 256
+        flat[stop] = ord(_GAP)
+        raw = flat.tobytes().decode("utf-16-le")
         self.proposed += len(words)
         if not self.sound:
             self.merged += len(words)
-            return self.exact(raw)
-        ends = np.cumsum([len(s) + 1 for s in raw])
-        found = np.fromiter(chain.from_iterable(self._match.iter_long(_GAP.join(raw))), np.int64)
+            return self.exact([raw[a:z] for a, z in zip(start.tolist(), stop.tolist())])
+        found = np.fromiter(chain.from_iterable(self._match.iter_long(raw)), np.int64)
         end, ids = found[::2], found[1::2]
-        word = np.searchsorted(ends, end, side="right")
+        word = np.cumsum(gaps, dtype=np.int32)[end]
         failing = np.zeros(len(words), bool)
         inner = word[1:] == word[:-1]
         pairs = ids[:-1][inner] * self.size + ids[1:][inner]
         distinct, back = np.unique(pairs, return_inverse=True)
         failing[word[1:][inner][~self._compatible(distinct // self.size, distinct % self.size)[back]]] = True
-        parts = _cut(ids, np.searchsorted(word, np.arange(len(words) + 1)))
-        self.merged += int(failing.sum())
-        wrong = np.flatnonzero(failing).tolist()
-        for i, own in zip(wrong, self.exact([raw[i] for i in wrong])):
+        parts = _cut(ids, np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]))
+        wrong = np.flatnonzero(failing)
+        self.merged += len(wrong)
+        for i, own in zip(wrong.tolist(), self.exact([raw[a:z] for a, z in zip(start[wrong].tolist(), stop[wrong].tolist())])):
             parts[i] = own
         return parts
 
@@ -299,17 +304,19 @@ class WordBpe:
         return words
 
     def _resolve(self, chunks: list[str]) -> None:
-        split = [self._words(c) for c in chunks]
-        known = self._known
-        if len(known) > _WORDS_KEPT:
-            known.clear()
-        words = list(set().union(*split) - known.keys())
-        known.update(zip(words, self.encode_words(words)))
-        for c, ws in zip(chunks, split):
-            self._chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
-        for w in words:
-            if len(w) > _LONG:
-                del known[w]
+        """Find the ids of chunks; words that they are made of are chunks as well."""
+        known, words, cut = self._chunks, set(), []
+        for c in chunks:
+            own = self._words(c)
+            if len(own) == 1:
+                words.add(c)
+            else:
+                cut.append((c, own))
+                words.update([w for w in own if w not in known])
+        new = list(words)
+        known.update(zip(new, self.encode_words(new)))
+        for c, own in cut:
+            known[c] = b"".join([known[w] for w in own])
 
     def _pieces_of(self, text: str) -> list[str | int]:
         """Chunks without white space, and the ids of special tokens that the text spells out."""
@@ -328,27 +335,70 @@ class WordBpe:
             out += [c for c in _SPACES.split(part) if c] if any(c in part for c in _NOT_SPACE) else part.split()
         return out
 
+    def _plain(self, text: str) -> str | None:
+        """The text normalised, if white space alone cuts it into chunks: it has no special token and no character that is seen to."""
+        if any(t in text for t in self.special):
+            return None
+        if text.isascii():
+            text = text.lower()
+        elif self._is_odd(text):
+            return None
+        else:
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return None if any(c in text for c in _NOT_SPACE) else text
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         with without_cycle_search():
-            return self._encode(texts)
+            plain = [self._plain(t) for t in texts]
+            easy = iter(self._numbered([t for t in plain if t is not None]))
+            rest = iter(self._joined([self._pieces_of(t) for t, p in zip(texts, plain) if p is None]))
+            return [next(rest) if p is None else next(easy) for p in plain]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces_of(t) for t in texts]
-        used = set().union(*split)
+    def _known(self, used: Iterable[str]) -> set[str]:
+        """See to it that chunks have their ids; returns those that are new."""
         if len(self._chunks) > _CHUNKS:  # what these texts use stays
-            self._chunks = {c: self._chunks[c] for c in used & self._chunks.keys()}
+            used = list(used)
+            self._chunks = {c: self._chunks[c] for c in self._chunks.keys() & set(used)}
         for i in self.special.values():
             self._chunks[i] = np.array([i], "<u4").tobytes()  # type: ignore[index]
-        missing = list(used - self._chunks.keys())
-        self._resolve(missing)
-        get = self._chunks.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
-        for c in missing:
+        new = set(filterfalse(self._chunks.__contains__, used))
+        self._resolve(list(new))
+        return new
+
+    def _forget(self, new: set[str]) -> None:
+        for c in new:
             if len(c) > _LONG:
                 del self._chunks[c]
+
+    def _joined(self, split: list[list[str | int]]) -> list[bytes]:
+        if not split:
+            return []
+        new = self._known(chain.from_iterable(split))  # type: ignore[arg-type]
+        get = self._chunks.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in split]  # type: ignore[arg-type]
+        self._forget(new)
         return out
 
+    def _numbered(self, texts: list[str]) -> list[bytes]:
+        """Normalised texts: Arrow cuts them and numbers the chunks, and each distinct one's ids are looked up once."""
+        if not texts:
+            return []
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = lists.values.dictionary_encode()
+        chunks, codes = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        new = self._known(chunks)
+        own = list(map(self._chunks.__getitem__, chunks))
+        self._forget(new)
+        size = np.fromiter(map(len, own), np.int32, len(own)) >> 2
+        ids, start = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size, dtype=np.int32) - size
+        each = size[codes]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat(start[codes] - upto[:-1].astype(np.int32), each)
+        at += np.arange(upto[-1], dtype=np.int32)
+        raw, ends = ids[at].tobytes(), (4 * upto[lists.offsets.to_numpy()]).tolist()
+        return [raw[a:z] for a, z in zip(ends, ends[1:])]
+
     def decode(self, ids: np.ndarray) -> str:
         """What the file's decoder (none) makes of ids: their pieces joined by spaces."""
         return " ".join([self.pieces[i] for i in ids.tolist()])
