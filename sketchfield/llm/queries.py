@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, near_dup, packing, preference_format, quality_fm, quality_rules, suffix_dedup, token_counts, warc, word_bpe
+from . import importance, media, near_dup, packing, preference_format, quality_fm, quality_rules, quotient_dedup, suffix_dedup, token_counts, vector_codes, warc, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents")).drop("media")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_fm,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_host_rules,
         op10_wav_fingerprints,
+        op11_importance_resampling,
+        op12_elkan_codes,
+        op13_quotient_dedup,
     )
 }
 
@@ -135,4 +150,71 @@ SELECT conv_id, any_value(n)::BIGINT AS prompt_turns, coalesce(string_agg(seg, '
 FROM y GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op4_preference_format": OP4_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_rules": OP9_SQL}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB has no CRC-32, so its table of 256 numbers and the sum over a word's bytes are made here.
+OP11_SQL = f"""
+WITH crc AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) AS r(i))),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+dw AS MATERIALIZED (SELECT doc_id, unnest(w) AS g FROM d),
+bw AS MATERIALIZED (SELECT unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS g FROM benchmark),
+g AS MATERIALIZED (
+  SELECT g, xor(list_reduce(range(length(x) // 2), lambda c, j: xor(c // 256, t[1 + (xor(c, ('0x' || substr(x, 2 * j + 1, 2))::BIGINT) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT g FROM dw UNION SELECT g FROM bw)), crc),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN g USING (g) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bw JOIN g USING (g) GROUP BY bucket),
+gain AS MATERIALIZED (
+  SELECT b AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) AS r(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+f AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM dw JOIN g USING (g) JOIN gain USING (bucket) GROUP BY doc_id),
+v AS (
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(CASE WHEN total % n < 0 THEN total // n - 1 ELSE total // n END, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM v),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS places FROM z WHERE n_features >= 20)
+SELECT z.doc_id, n_features, weight, score, CASE WHEN place <= places THEN place END AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of plain search, one after the other; integers are below 2^53, so doubles are exact."""
+    nearest = lambda r: f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p, unnest(list_slice(list_sort(list({{'d': d, 'e': e}})), 1, 1)) AS b FROM (
+    SELECT vec_id, p, e, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN c{r} AS c USING (p))
+  GROUP BY vec_id, p)"""
+    moved = lambda r: f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS v FROM (
+      SELECT p, b.e AS e, i, CAST(floor(sum(k) / count(*)) AS BIGINT) AS v FROM a{r} JOIN (SELECT vec_id, p, unnest(v) AS k, generate_subscripts(v, 1) AS i FROM x) USING (vec_id, p) GROUP BY ALL)
+    GROUP BY p, e) AS m USING (p, e))"""
+    return f"""
+WITH y AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda k: CAST(floor(4096 * k::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda k: k IS NULL OR NOT isfinite(k))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, v[1 + p * (len(v) // {parts}):(p + 1) * (len(v) // {parts})] AS v FROM y, range({parts}) AS r(p)),
+c0 AS MATERIALIZED (SELECT p, n - 1 AS e, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM y) USING (vec_id) WHERE n <= {entries}),
+{",".join(f"{nearest(r)},{moved(r)}" for r in range(rounds))},{nearest(rounds)},
+z AS (SELECT vec_id, string_agg(lower(lpad(to_hex(b.e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(k::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS k, generate_subscripts(v, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM z JOIN y USING (vec_id), h
+"""
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_LOWERED} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+SQL: dict[str, str] = {
+    "op4_preference_format": OP4_SQL,
+    "op7_warc_round_trip": OP7_SQL,
+    "op9_host_rules": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op12_elkan_codes": _op12_sql(),
+    "op13_quotient_dedup": OP13_SQL,
+}
