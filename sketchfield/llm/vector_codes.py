@@ -37,8 +37,8 @@ PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
 SCALE = 4096
-#: Magnitude of components; beyond it squared distances of long parts could leave 64 bits.
-LARGEST = 1 << 16
+#: Magnitude of components; up to it, squared distances of parts of 500 positions are below 2^63.
+LARGEST = 1 << 14
 _ROWS = 16_384  # vectors of one step
 
 _STATE = "vec_id long, label string, x binary, near binary, upper binary, lower binary, sums array<long>"
@@ -140,7 +140,7 @@ def _of_lists(column: pa.Array, parts: int) -> np.ndarray:
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
     if len(x) and np.abs(x).max() >= LARGEST:
         raise ValueError(f"components must be below {LARGEST} in magnitude")
-    return np.floor(x * SCALE).astype(np.int32).reshape(n, parts, -1)
+    return np.floor(x * SCALE).astype(np.int32).reshape(n, parts, min(lengths, default=0) // parts)
 
 
 def _of_binary(column: pa.Array, kind: type, *shape: int) -> np.ndarray:
