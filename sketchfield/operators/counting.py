@@ -1,12 +1,16 @@
 """Counting filters: counters for positions, so keys can be taken out again.
 
 A table of counters (pos, cnt) without zeros.  Repeated positions of a key count twice.  ``apply`` is the
-unchecked batch: the net count, floored at zero and capped at the counters' largest value.  Inserts and
-deletes one after the other, in an order without ties, are ``rejected``, ``delete_batch`` and ``first_failure``.
+unchecked batch: the net count, floored at zero and capped at the counters' largest value.  Operations one after
+the other are ``rejected`` (inserts), ``delete_batch`` and ``first_failure`` (verified deletes), and
+``ledger.replay`` (a log of inserts and unchecked deletes).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ from .scratch import checkpointed
 
 #: Largest counts of 4, 8 and 16-bit counters.
 SIZES = {4: 15, 8: 255, 16: 65535}
+#: Verified deletes that one task replays in order.
+TASK_DELETES = 500_000
 
 
 def counter_bits(max_count: int) -> int:
@@ -102,43 +108,115 @@ def first_failure(df: DataFrame, key: str, order: str, counters: DataFrame, spec
     return _nth_hits(at, counters, bits).agg((F.min("_n") - 1).cast("long").alias("deleted_before_failure"))
 
 
-def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8, rounds: int = 50) -> DataFrame:
+def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8, task: int = TASK_DELETES) -> DataFrame:
     """(order, key, deleted): verified deletes one after the other; one that fails changes nothing.
 
-    Which deletes succeed is enclosed from both sides: with all earlier ones that may succeed applied, a
-    delete that still finds its counters succeeds; with those only that surely succeed, one that does not
-    find them fails.  Each round decides the first open delete of every counter at least.
+    Deletes of one order value go by key.  ``deleted`` is never null:
+
+    1. Counters only fall, so once a key's delete fails its later ones do, and its j-th needs j times what one takes.
+       Of a key with any number of deletes, as many as a counter holds go on.
+    2. While more than ``task`` deletes are open, these are enclosed from both sides: with all earlier ones that may succeed applied, a
+       delete that still finds its counters succeeds; with those only that surely succeed, one that does not find them fails.
+    3. Up to ``task`` open ones are replayed in order by one task, which holds the counters that they ask for.  If enclosing
+       decides few, as on a long chain of deletes that hang on each other, the rest is replayed so, a task after the other.
     """
     rows = ranked(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order])), list(dict.fromkeys([order, key])), "_n")
-    most = SIZES[bits]
-    have = counters.select("pos", F.col("cnt").alias("_c"))
-    at = positions(rows, key, spec, ["_n"]).groupBy("_n", "pos").agg(F.count(F.lit(1)).alias("_w")).join(have, "pos", "left").withColumn(
-        "_c",
-        F.coalesce("_c", F.lit(0)),
-    )
-    # a counter of zero fails at once; one with more than all its decrements never does
-    total = at.groupBy("pos").agg(F.sum("_w").alias("_all"))
-    at = checkpointed(at.join(total, "pos"))
-    state = at.groupBy("_n").agg(
-        F.when(F.bool_and(F.col("_all") <= F.col("_c")), F.lit(True)).when(F.bool_or(F.col("_c") < F.col("_w")), F.lit(False)).alias("_ok")
-    )
-    state = checkpointed(state)
-    for _ in range(rounds):
-        if not state.where("_ok is null").limit(1).count():
-            break
-        now = at.join(state, "_n")
-        now = now.join(now.where("_ok is null").select("pos").distinct(), "pos", "left_semi")  # counters that an open delete asks for
-        earlier = W.partitionBy("pos").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
-        taken = lambda counted: F.least(F.coalesce(F.sum(F.when(counted, F.col("_w")).otherwise(0)).over(earlier), F.lit(0)), F.lit(most + 1))
-        now = now.withColumn("_high", taken(F.coalesce("_ok", F.lit(True)))).withColumn("_low", taken(F.coalesce("_ok", F.lit(False))))
-        found = now.groupBy("_n").agg(
-            F.first("_ok").alias("_ok"),
-            F.bool_and(F.col("_c") - F.col("_high") >= F.col("_w")).alias("_sure"),
-            F.bool_or(F.col("_c") - F.col("_low") < F.col("_w")).alias("_lost"),
-        )
-        new = found.where("_ok is null").select("_n", F.when(F.col("_sure"), True).when(F.col("_lost"), False).alias("_new"))
-        state = checkpointed(state.join(new, "_n", "left").select("_n", F.coalesce("_ok", "_new").alias("_ok")))
-    return rows.join(state, "_n").select(order, key, F.col("_ok").alias("deleted"))
+    rows = checkpointed(rows)
+    nth = F.row_number().over(W.partitionBy(key).orderBy("_n"))
+    few = rows.withColumn("_j", nth).where(f"_j <= {SIZES[bits]}")  # limited before the shuffle
+    asked = positions(few, key, spec, ["_n", "_j"]).groupBy("_n", "_j", "pos").agg(F.count(F.lit(1)).alias("_w"))
+    at = asked.join(counters.select("pos", F.col("cnt").alias("_c")), "pos", "left").withColumn("_c", F.coalesce("_c", F.lit(0).cast("long")))
+    state = _settled(at, task)
+    return rows.join(state, "_n", "left").select(order, key, F.coalesce("_ok", F.lit(False)).alias("deleted"))
+
+
+def _settled(at: DataFrame, task: int) -> DataFrame:
+    """(_n, _ok) of deletes (_n, _j, pos, _w, _c)."""
+    total = at.where("_c >= _j * _w").groupBy("pos").agg(F.sum("_w").alias("_all"))
+    at = checkpointed(at.join(total, "pos", "left"))
+    # a counter below what is asked fails a delete at once; one with enough for all never does
+    lost, sure = F.bool_or(F.col("_c") < F.col("_j") * F.col("_w")), F.bool_and(F.col("_all") <= F.col("_c"))
+    state = checkpointed(at.groupBy("_n").agg(F.when(lost, F.lit(False)).when(sure, F.lit(True)).alias("_ok")))
+    open_, before = state.where("_ok is null").count(), None
+    while open_ > task and (before is None or open_ < 0.8 * before):
+        state = _decided(state, _enclosed(at, state))
+        before, open_ = open_, state.where("_ok is null").count()
+    while open_:
+        rest = state.where("_ok is null").select("_n")
+        until = rest.orderBy("_n").limit(task).agg(F.max("_n")).first()[0] if open_ > task else None
+        state = _decided(state, _replayed(at, state, until))
+        open_ = max(0, open_ - task)
+    return state
+
+
+def _decided(state: DataFrame, new: DataFrame) -> DataFrame:
+    return checkpointed(state.join(new, "_n", "left").select("_n", F.coalesce("_ok", "_new").alias("_ok")))
+
+
+def _asked(at: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of counters that an open delete asks for, with what is known of the delete."""
+    now = at.join(state, "_n")
+    return now.join(now.where("_ok is null").select("pos").distinct(), "pos", "left_semi")
+
+
+def _left(counted: Column) -> Column:
+    """What a counter has left for a delete if the counted ones before it were applied."""
+    earlier = W.partitionBy("pos").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
+    return F.col("_c") - F.coalesce(F.sum(F.when(counted, F.col("_w")).otherwise(0)).over(earlier), F.lit(0))
+
+
+def _enclosed(at: DataFrame, state: DataFrame) -> DataFrame:
+    """(_n, _new) of open deletes that a round decides: the first one of every counter at least."""
+    now = _asked(at, state)
+    now = now.withColumn("_least", _left(F.coalesce("_ok", F.lit(True)))).withColumn("_most", _left(F.coalesce("_ok", F.lit(False))))
+    found = now.where("_ok is null").groupBy("_n").agg(F.bool_and(F.col("_least") >= F.col("_w")).alias("_sure"), F.bool_or(F.col("_most") < F.col("_w")).alias("_lost"))
+    return found.where("_sure or _lost").select("_n", F.col("_sure").alias("_new"))
+
+
+def _replayed(at: DataFrame, state: DataFrame, until: int | None) -> DataFrame:
+    """(_n, _new) of the open deletes up to a rank, replayed in order by one task."""
+    now = _asked(at, state).withColumn("_most", _left(F.coalesce("_ok", F.lit(False)))).where("_ok is null")
+    now = now if until is None else now.where(F.col("_n") <= until)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: dict[int, int] = {}  # what the open ones have taken so far
+        n, asked, done = None, [], []
+
+        def decide() -> None:
+            ok = all(most - gone.get(p, 0) >= w for p, w, most in asked)
+            if ok:
+                for p, w, _ in asked:
+                    gone[p] = gone.get(p, 0) + w
+            done.append((n, ok))
+
+        for batch in batches:
+            for m, *x in zip(*(c.to_pylist() for c in batch.columns)):
+                if m != n:
+                    if asked:
+                        decide()
+                    n, asked = m, []
+                asked.append(x)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["_n", "_new"])
+                done = []
+        if asked:
+            decide()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["_n", "_new"])
+
+    ordered = now.select(F.col("_n").cast("long"), F.col("pos").cast("long"), F.col("_w").cast("long"), F.col("_most").cast("long")).repartition(1).sortWithinPartitions("_n")
+    return ordered.mapInArrow(run, "_n long, _new boolean")
+
+
+def deleted_count(outcomes: DataFrame) -> DataFrame:
+    """One row of the outcomes of ``delete_batch``: deletes, those that succeeded, and those that did not."""
+    deleted = F.count(F.when(F.col("deleted"), 1))
+    return outcomes.agg(F.count(F.lit(1)).alias("deletes"), deleted.alias("deleted"), (F.count(F.lit(1)) - deleted).alias("failed"))
+
+
+def after_deletes(counters: DataFrame, outcomes: DataFrame, key: str, spec: Spec) -> DataFrame:
+    """Counters after the deletes that succeeded; none of them can fall below zero."""
+    gone = hits(outcomes.where("deleted"), key, spec).select("pos", (-F.col("hits")).alias("cnt"))
+    return counters.select("pos", "cnt").union(gone).groupBy("pos").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
 
 
 def can_remove(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> DataFrame:

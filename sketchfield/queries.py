@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import composite
-from .operators import cardinality, chains, counting, growing, membership, reports, trees
+from .operators import cardinality, chains, counting, growing, ledger, membership, reports, trees
 from .plans import sizing
 from .plans.slices import Growth, Slice, TreePlan, predict_fpr, sharded_plan, slice_plan
 from .plans.sizing import Spec
@@ -521,12 +521,76 @@ def counting_delete_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.first_failure(_again(spark, sf_dir), "o_orderkey", "n", *_net(spark, sf_dir))
 
 
-@query()
+#: Rounds of enclosing: with every earlier delete applied that may succeed, and with those only that surely do.
+_BATCH_SQL = f"""{_NET_SQL}, r AS (SELECT o_orderkey, n, row_number() OVER (ORDER BY n, o_orderkey) AS rank FROM ({_DELETED_AGAIN})),
+a AS MATERIALIZED (SELECT k AS rank, pos, count(*) AS w, any_value(coalesce(cnt, 0)) AS c FROM ({_at("SELECT rank AS k, o_orderkey AS o FROM r").replace(_h("k"), _h("o")).replace(_h("k", 2), _h("o", 2))}) LEFT JOIN net USING (pos) GROUP BY k, pos),
+s AS (
+  SELECT 0 AS round, rank, NULL::BOOLEAN AS ok FROM r
+  UNION ALL
+  SELECT round + 1, rank, coalesce(any_value(ok), CASE WHEN bool_and(c - may >= w) THEN true WHEN bool_or(c - did < w) THEN false END) FROM (
+    SELECT round, rank, pos, w, c, ok, coalesce(sum(CASE WHEN coalesce(ok, true) THEN w ELSE 0 END) OVER e, 0) AS may, coalesce(sum(CASE WHEN ok THEN w ELSE 0 END) OVER e, 0) AS did
+    FROM s JOIN a USING (rank) WINDOW e AS (PARTITION BY pos ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE (SELECT count(*) FILTER (ok IS NULL) FROM s) > 0 GROUP BY round, rank),
+z AS (SELECT n, o_orderkey, ok AS deleted FROM r JOIN s USING (rank) WHERE round = (SELECT max(round) FROM s))"""
+
+
+@query(f"WITH RECURSIVE {_BATCH_SQL} SELECT n, o_orderkey, deleted FROM z")
 def counting_delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the repeated deletes succeed, one after the other. Each depends on those before, which SQL can't tell on whole tables."""
+    """Which of the repeated deletes succeed, one after the other."""
     return counting.delete_batch(_again(spark, sf_dir), "o_orderkey", "n", *_net(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {_BATCH_SQL} SELECT count(*) AS deletes, count(*) FILTER (deleted) AS deleted, count(*) FILTER (NOT deleted) AS failed FROM z")
+def counting_delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.deleted_count(counting_delete_batch(spark, sf_dir))
+
+
+@query(f"""
+WITH RECURSIVE {_BATCH_SQL}, g AS (SELECT pos, sum(w) AS gone FROM z JOIN r USING (n, o_orderkey) JOIN a USING (rank) WHERE deleted GROUP BY pos)
+SELECT pos, (cnt - coalesce(gone, 0))::BIGINT AS cnt FROM net LEFT JOIN g USING (pos) WHERE cnt > coalesce(gone, 0)
+""")
+def counting_after_delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters that the deletes leave."""
+    counters, spec = _net(spark, sf_dir)
+    outcomes = counting.delete_batch(_again(spark, sf_dir), "o_orderkey", "n", counters, spec)
+    return counting.after_deletes(counters, outcomes, "o_orderkey", spec)
+
+
+_LOG_KEYS = "SELECT event_id AS k, user_id AS o FROM events WHERE user_id IS NOT NULL"
+_LOG_SQL = f"""sp AS ({_std('SELECT count(DISTINCT user_id) FROM events')}),
+op AS (SELECT event_id, user_id, CASE WHEN value > 20 THEN 1 ELSE -1 END AS d FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+a AS (SELECT k AS event_id, o AS user_id, pos, i, d FROM ({_at(_LOG_KEYS).replace(_h('k'), _h('o')).replace(_h('k', 2), _h('o', 2))}) JOIN op ON op.event_id = k),
+l AS (SELECT pos, list(event_id ORDER BY event_id, i) AS ids, list(d ORDER BY event_id, i) AS ds FROM a GROUP BY pos),
+v AS (SELECT pos, ids, ds, list_reduce(list_transform(ds, lambda d: [d]), lambda x, d: list_append(x, greatest(0, least(15, x[len(x)] + d[1]))), [0]) AS xs FROM l),
+u AS MATERIALIZED (SELECT pos, unnest(ids) AS event_id, unnest(ds) AS d, unnest(xs[:len(ds)]) AS before FROM v),
+h AS (SELECT pos, event_id, d, before, CASE WHEN d > 0 THEN before < 15 ELSE before > 0 END AS ok FROM u),
+o AS (SELECT event_id, any_value(d) AS delta, CASE WHEN any_value(d) > 0 THEN bool_or(ok) ELSE bool_and(ok) END AS counted FROM h GROUP BY event_id)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> ledger.Ledger:
+    """Events of a value above 20 put their user in, others take the user off."""
+    events = _t(spark, sf_dir, "events").where("value is not null").withColumn("d", F.when(F.col("value") > 20, 1).otherwise(-1))
+    return ledger.replay(events, "user_id", "event_id", "d", sizing.standard(_distinct(events, "user_id"), 0.01))
+
+
+@query(f"WITH {_LOG_SQL} SELECT pos, greatest(0, least(15, xs[len(xs)])) AS cnt, coalesce(lost, 0) AS overflow FROM v LEFT JOIN (SELECT pos, count(*) AS lost FROM h WHERE d > 0 AND NOT ok GROUP BY pos) USING (pos) WHERE xs[len(xs)] > 0 OR lost > 0")
+def counting_log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir).counters()
+
+
+@query(f"WITH {_LOG_SQL} SELECT o.event_id, user_id, delta::INT AS delta, counted FROM o JOIN op USING (event_id)")
+def counting_log_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir).operations()
+
+
+@query(f"""
+WITH {_LOG_SQL} SELECT count(*) AS operations, count(*) FILTER (delta > 0 AND counted) - count(*) FILTER (delta < 0 AND counted) AS items, count(*) FILTER (delta > 0 AND NOT counted) AS rejected_inserts,
+  count(*) FILTER (delta < 0 AND NOT counted) AS failed_deletes, (SELECT count(*) FROM h WHERE d > 0 AND NOT ok) AS overflow_events FROM o
+""")
+def counting_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir).totals()
+
+
 # growing --------------------------------------------------------------------------------------
 
 
