@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -132,8 +133,7 @@ def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec:
 
 def _settled(at: DataFrame, task: int) -> DataFrame:
     """(_n, _ok) of deletes (_n, _j, pos, _w, _c)."""
-    total = at.where("_c >= _j * _w").groupBy("pos").agg(F.sum("_w").alias("_all"))
-    at = checkpointed(at.join(total, "pos", "left"))
+    at = checkpointed(at.withColumn("_all", F.sum(F.when(F.expr("_c >= _j * _w"), F.col("_w"))).over(W.partitionBy("pos"))))
     # a counter below what is asked fails a delete at once; one with enough for all never does
     lost, sure = F.bool_or(F.col("_c") < F.col("_j") * F.col("_w")), F.bool_and(F.col("_all") <= F.col("_c"))
     state = checkpointed(at.groupBy("_n").agg(F.when(lost, F.lit(False)).when(sure, F.lit(True)).alias("_ok")))
@@ -180,28 +180,32 @@ def _replayed(at: DataFrame, state: DataFrame, until: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone: dict[int, int] = {}  # what the open ones have taken so far
-        n, asked, done = None, [], []
-
-        def decide() -> None:
-            ok = all(most - gone.get(p, 0) >= w for p, w, most in asked)
-            if ok:
-                for p, w, _ in asked:
-                    gone[p] = gone.get(p, 0) + w
-            done.append((n, ok))
+        taken, rest = gone.get, None
+
+        def decided(rows: list[np.ndarray]) -> pa.RecordBatch:
+            n, (pos, need, most) = rows[0], (x.tolist() for x in rows[1:])
+            first = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+            ok = []
+            for a, z in zip(first.tolist(), [*first[1:].tolist(), len(n)]):
+                for i in range(a, z):
+                    if most[i] - taken(pos[i], 0) < need[i]:
+                        ok.append(False)
+                        break
+                else:
+                    ok.append(True)
+                    for i in range(a, z):
+                        gone[pos[i]] = taken(pos[i], 0) + need[i]
+            return pa.RecordBatch.from_arrays([pa.array(n[first]), pa.array(ok)], names=["_n", "_new"])
 
         for batch in batches:
-            for m, *x in zip(*(c.to_pylist() for c in batch.columns)):
-                if m != n:
-                    if asked:
-                        decide()
-                    n, asked = m, []
-                asked.append(x)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["_n", "_new"])
-                done = []
-        if asked:
-            decide()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["_n", "_new"])
+            rows = [c.to_numpy() for c in batch.columns]
+            rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
+            end = int(np.searchsorted(rows[0], rows[0][-1]))  # the last delete may go on in the next batch
+            rest = [x[end:] for x in rows]
+            if end:
+                yield decided([x[:end] for x in rows])
+        if rest is not None:
+            yield decided(rest)
 
     ordered = now.select(F.col("_n").cast("long"), F.col("pos").cast("long"), F.col("_w").cast("long"), F.col("_most").cast("long")).repartition(1).sortWithinPartitions("_n")
     return ordered.mapInArrow(run, "_n long, _new boolean")
