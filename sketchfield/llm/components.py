@@ -9,16 +9,21 @@ one side only, so skewed ids can be split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import Scratch
 
 
+def checksum() -> Column:
+    """Of links (u, v) in any number and order."""
+    return F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0).cast("long"))
+
+
 def _round(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
     """The links, stored, with their number and checksum."""
     seen = Observation()
-    state = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0)).alias("sum")
+    state = F.count(F.lit(1)).alias("n"), checksum().alias("sum")
     table = scratch.stored(links.observe(seen, *state), "links")
     scratch.drop(keep=1)
     return table, (seen.get["n"], seen.get["sum"])

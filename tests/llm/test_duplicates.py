@@ -192,3 +192,12 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert out.schema == odd.schema and out.count() == odd.count()
     texts = {r["doc_id"]: r["text"] for r in out.where("doc_id is not null").collect()}
     assert texts[1] == texts[2] == "" and texts[3] is None and texts[-5] and texts[7] != texts[6]
+
+
+def test_checksum_of_very_many_links(spark):
+    """A sum of hashes would leave 64 bits."""
+    from sketchfield.llm.components import checksum
+
+    links = spark.range(1 << 25).selectExpr("id AS u", "id * 7 AS v")
+    assert links.agg(checksum()).first()[0] != links.where("u > 0").agg(checksum()).first()[0]
+    assert links.limit(0).agg(checksum()).first()[0] == 0
