@@ -132,18 +132,18 @@ def rejected_hosts(flags: DataFrame, host: str) -> DataFrame:
         F.count(F.lit(1)).alias("hosts"),
         *(x for r in RULES for x in (F.sum(r).alias(f"{r}_sum"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_squares"))),
     )
-    shrunk = by_host.crossJoin(F.broadcast(sums))  # the sums are one row
-    bad = F.lit(False)
-    for r in RULES:
-        p = F.col(f"{r}_sum") / F.col("docs")
-        noise = p * (1 - p)
-        between = F.col(f"{r}_squares") / F.col("docs") - p * p - noise * (F.col("hosts") - 1) / F.col("docs")
-        weight = F.when(between < noise, noise / between - 1).otherwise(F.lit(1.0))
-        mean = (F.col(r) + p * weight) / (F.col("n") + weight)
-        deviation = F.sqrt(mean * (1 - mean) / (F.col("n") + weight + 1))
-        limit = F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE), TIMES * p))
-        bad = bad | F.when(between > 0, mean - DEVIATIONS * deviation > limit).otherwise(F.lit(False))
-    return shrunk.where(bad).select("host")
+    rules = F.array(*(F.struct(F.col(r).alias("fails"), F.col(f"{r}_sum").alias("sum"), F.col(f"{r}_squares").alias("squares")) for r in RULES))
+    each = by_host.crossJoin(F.broadcast(sums)).select("host", "n", "docs", "hosts", F.inline(rules))  # the sums are one row
+    p, between, weight, mean = (F.col(c) for c in ("p", "between", "weight", "mean"))
+    noise = p * (1 - p)
+    each = each.withColumn("p", F.col("sum") / F.col("docs"))
+    each = each.withColumn("between", F.col("squares") / F.col("docs") - p * p - noise * (F.col("hosts") - 1) / F.col("docs"))
+    each = each.withColumn("weight", F.when(between < noise, noise / F.nullif(between, F.lit(0.0)) - 1).otherwise(F.lit(1.0)))
+    each = each.withColumn("mean", (F.col("fails") + p * weight) / (F.col("n") + weight))
+    deviation = F.sqrt(F.greatest(mean * (1 - mean), F.lit(0.0)) / (F.col("n") + weight + 1))
+    limit = F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE), TIMES * p))
+    bad = F.bool_or(F.when(between > 0, mean - DEVIATIONS * deviation > limit).otherwise(F.lit(False)))
+    return each.groupBy("host").agg(bad.alias("bad")).where("bad").select("host")
 
 
 def _in_rejected(df: DataFrame, host: str, bad: DataFrame, how: str) -> DataFrame:
