@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, record_batch, stored
+from ._common import apart, map_arrow, record_batch, stored
 
 ARCHIVE_BYTES = 4_000_000
 LEVEL = 6
@@ -113,7 +113,7 @@ def with_references(pages: DataFrame) -> DataFrame:
         "CAST(url AS STRING) AS url",
         "coalesce(CAST(html AS STRING), '') AS html",
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = base.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    first = base.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(apart(F.col("digest"), "string").alias("digest"), "first")
     return base.join(first, "digest", "left").select(
         "page_id",
         "url",
