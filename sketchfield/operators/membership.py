@@ -193,7 +193,12 @@ def _check(a: Spec, b: Spec) -> None:
 
 def union(a: DataFrame, b: DataFrame, a_spec: Spec, b_spec: Spec) -> DataFrame:
     _check(a_spec, b_spec)
-    return a.unionByName(b).groupBy(*_WORD).agg(F.bit_or("bits").alias("bits"))
+    return merged(a.unionByName(b))
+
+
+def merged(words: DataFrame) -> DataFrame:
+    """Words of the same filters from several tables, in one."""
+    return words.groupBy(*_WORD).agg(F.bit_or("bits").alias("bits"))
 
 
 def union_many(words: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from .operators import cardinality, chains, counting, growing, ledger, membershi
 from .plans import sizing
 from .plans.slices import Growth, Slice, TreePlan, predict_fpr, sharded_plan, slice_plan
 from .plans.sizing import Spec
+from .operators.scratch import shared_folder
 from .sources import store
+from .sources.growing_store import GrowingStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -647,6 +649,24 @@ def scalable_matches_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growing.matches(events, "k", growing.build(rows, "k", plan), plan).select("k").distinct()
 
 
+def _batched(spark: SparkSession, sf_dir: str) -> GrowingStore:
+    """A stored filter that four batches of arrivals, in their order, have filled; the second comes twice."""
+    events = _arrivals(spark, sf_dir)
+    cut = events.select(F.percentile_approx("ts", [0.25, 0.5, 0.75], 10_000).alias("t")).first()["t"]
+    bounds = [None, *cut, None]
+    batches = [events.where((F.lit(True) if a is None else F.col("ts") > a) & (F.lit(True) if z is None else F.col("ts") <= z)) for a, z in zip(bounds, bounds[1:])]
+    filter_ = GrowingStore.create(spark, shared_folder(spark, "growing"), 500, 0.01)
+    for number in (0, 1, 1, 2, 3):
+        filter_.insert(batches[number], "k", ["ts", "event_id"], number)
+    return filter_
+
+
+@query(f"WITH {_SLICES_SQL}, {_WORDS_SQL}, {_MATCHES_SQL} SELECT k, min(slice) AS slice, count(*) AS n_slices FROM hit GROUP BY k")
+def scalable_batches_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches, one after the other, leave the filter that all arrivals at once do."""
+    return _batched(spark, sf_dir).provenance(_arrivals(spark, sf_dir), "k").where("slice is not null")
+
+
 _BREAKDOWN_SQL = f"""{_SLICES_SQL}, {_WORDS_SQL}, b AS (SELECT slice, capacity, rate, m, kk AS k, coalesce(n, 0) AS set_bits FROM plan LEFT JOIN (SELECT slice, count(*) AS n FROM w GROUP BY 1) USING (slice)),
 f AS (SELECT *, set_bits / m AS fill_rate, pow(set_bits / m, k) AS estimated_fpr FROM b)"""
 
@@ -685,6 +705,11 @@ def concurrent_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growing.assigned(events, ["ts", "event_id"], slice_plan(333, 0.01, n, floor=True), rows=n).select("event_id", "slice")
 
 
+@query(f"WITH {_BREAKDOWN_SQL} SELECT slice, capacity, rate, m, k, set_bits, round(fill_rate, 9) AS fill_rate, round(estimated_fpr, 9) AS estimated_fpr, round(estimated_fpr / sum(estimated_fpr) OVER (), 6) AS share FROM f")
+def scalable_batches_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_batched(spark, sf_dir).statistics(), "fill_rate", "estimated_fpr").withColumn("share", F.round("share", 6))
+
+
 @query(f"""
 WITH {_SLICES_SQL}, {_WORDS_SQL}, {_MATCHES_SQL}, n AS (SELECT DISTINCT k FROM s)
 SELECT n.k, string_agg(CASE WHEN hit.k IS NULL THEN '0' ELSE '1' END, '' ORDER BY plan.slice) AS trace FROM n CROSS JOIN plan LEFT JOIN hit ON hit.k = n.k AND hit.slice = plan.slice GROUP BY n.k

@@ -1,4 +1,4 @@
-"""Filters that follow a stream: micro-batches are merged by OR into versioned tables, so replays do no harm."""
+"""Filters that follow a stream: micro-batches add tables of words to a versioned folder, so replays do no harm."""
 
 from __future__ import annotations
 
@@ -9,22 +9,40 @@ from pyspark.sql import functions as F
 
 from ..operators import membership
 from ..plans.sizing import Spec
+from ..sources.versions import Versions
 
 
 class FilterSink:
-    """``foreachBatch(sink.merge)``: version n is version n - 1 with batch n merged in."""
+    """``foreachBatch(sink.merge)``: each batch adds a table of its words and a manifest that names it.
 
-    def __init__(self, path: str, key: str, spec: Spec) -> None:
-        self.path, self.key, self.spec = path, key, spec
+    A batch that comes again changes nothing.  Tables are merged when there are ``most``; the tables before the last batch
+    stay, as a replay of it asks for them.
+    """
 
-    def words(self, spark: SparkSession, version: int) -> DataFrame:
-        return spark.read.schema(membership.WORDS).parquet(f"{self.path}/version={version}")
+    def __init__(self, path: str, key: str, spec: Spec, most: int = 16) -> None:
+        self.path, self.key, self.spec, self.most = path, key, spec, most
+
+    def words(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The filter after a batch: the last one, or the one before."""
+        return self._read(Versions(spark, self.path), batch_id + 1)
+
+    def _read(self, versions: Versions, before: int) -> DataFrame:
+        head = versions.manifest(before)
+        return membership.merged(versions.read(head["tables"]["words"] if head else [], membership.WORDS))
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        own = membership.build(batch, self.key, self.spec)
-        if batch_id:
-            own = membership.union(self.words(batch.sparkSession, batch_id - 1), own, self.spec, self.spec)
-        own.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        versions = Versions(batch.sparkSession, self.path)
+        head = versions.manifest() or {"batch": -1, "version": 0, "tables": {"words": []}}
+        if batch_id <= head["batch"]:
+            return
+        names = head["tables"]["words"]
+        full = len(names) >= self.most
+        if full:
+            names = [versions.write(self._read(versions, batch_id))]
+        names = [*names, versions.write(membership.build(batch, self.key, self.spec))]
+        versions.commit({"batch": batch_id, "tables": {"words": names}}, head["version"])
+        if full:
+            versions.vacuum()
 
 
 def windowed_words(events: DataFrame, key: str, ts: str, spec: Spec, width: str, late: str) -> DataFrame:
