@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import composite
-from .operators import cardinality, chains, counting, growing, ledger, membership, reports, trees
+from .operators import cardinality, chains, counting, growing, ledger, membership, packed, reports, trees
 from .plans import sizing
 from .plans.slices import Growth, Slice, TreePlan, predict_fpr, sharded_plan, slice_plan
 from .plans.sizing import Spec
@@ -824,6 +824,57 @@ def hll_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cardinality.builtin_estimate(_t(spark, sf_dir, "lineitem"), "l_partkey")
 
 
+@query(f"""
+WITH r AS (SELECT o AS l_suppkey, h % 16384 AS register, max(CASE WHEN h // 16384 = 0 THEN 47 ELSE 46 - length(ltrim(bin(h // 16384), '0')) + 1 END) AS rank FROM (SELECT {_h('l_partkey')} AS h, l_suppkey AS o FROM lineitem) GROUP BY ALL),
+s AS (SELECT l_suppkey, count(*) AS used, sum(pow(2.0, -rank)) AS s FROM r GROUP BY l_suppkey), e AS (SELECT l_suppkey, used, 16384.0 - used AS z, 0.7213 / (1 + 1.079 / 16384) * 16384 * 16384 / (s + 16384 - used) AS raw FROM s)
+SELECT l_suppkey::VARCHAR AS filter_id, used, floor(CASE WHEN used < 50 THEN used WHEN raw <= 2.5 * 16384 AND z > 0 THEN 16384 * ln(16384 / z) ELSE raw END)::BIGINT AS estimate FROM e
+""")
+def packed_unique_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About how many parts each supplier has delivered, by a packed sketch for each."""
+    return packed.estimates(packed.registers(_t(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey"))
+
+
+# packed filters -------------------------------------------------------------------------------
+
+_SPAN = 32  # order keys that stand together
+_SPANS_SQL = f"""sp AS ({_std('SELECT max(n) FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey // ' + str(_SPAN) + ')')}),
+{_filter_sql('f', f"SELECT DISTINCT l_partkey AS k, (l_orderkey // {_SPAN})::VARCHAR AS o FROM lineitem")},
+want AS (SELECT p_partkey AS k FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10),
+need AS ({_at("SELECT k, '' AS o FROM want")}), bits AS (SELECT count(*) AS n, k FROM (SELECT DISTINCT k, grp, pos FROM need) GROUP BY k),
+hit AS (SELECT f.o, k, count(*) AS n FROM (SELECT DISTINCT k, grp, pos FROM need) JOIN f USING (grp, pos) GROUP BY f.o, k),
+may AS (SELECT o, count(*) AS n_keys FROM hit JOIN bits USING (k, n) GROUP BY o)"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, Spec]:
+    """Lines with the span of their order, a filter of parts for each span, and the ten dearest parts."""
+    lines = _t(spark, sf_dir, "lineitem").withColumn("span", F.expr(f"CAST(l_orderkey div {_SPAN} AS STRING)"))
+    most = lines.groupBy("span").agg(F.countDistinct("l_partkey").alias("n")).agg(F.max("n")).first()[0] or 1
+    spec = sizing.standard(most, 0.01)
+    want = _t(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10)
+    return lines, packed.build(lines, "l_partkey", "span", spec), want, spec
+
+
+@query(f"WITH {_SPANS_SQL} SELECT o AS filter_id, n_keys FROM may")
+def packed_spans_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of orders that may have one of the ten dearest parts; all others are passed over."""
+    _, filters, want, spec = _spans(spark, sf_dir)
+    return packed.holding(filters, want, "p_partkey", spec)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10)")
+def packed_lines_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of these parts, looked for in the spans that may have some."""
+    lines, filters, want, spec = _spans(spark, sf_dir)
+    spans = packed.holding(filters, want, "p_partkey", spec).select(F.col("filter_id").alias("span"))
+    return lines.join(spans, "span", "left_semi").join(F.broadcast(want), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")  # ten rows
+
+
+@query(f"WITH {_SPANS_SQL}, b AS (SELECT o, count(*) AS bits FROM f GROUP BY o) SELECT o AS filter_id, bits AS set_bits, round(bits / m, 9) AS fill_rate, round(pow(bits / m, kk), 9) AS estimated_fpr FROM b, sp")
+def packed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, filters, _, spec = _spans(spark, sf_dir)
+    return _rounded(packed.statistics(filters, spec), "fill_rate", "estimated_fpr")
+
+
 # chains ---------------------------------------------------------------------------------------
 
 _CHAIN_SQL = f"""n AS (SELECT greatest(1, count(DISTINCT user_id) // 2) AS buckets FROM events),
