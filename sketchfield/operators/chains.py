@@ -31,6 +31,11 @@ def build(df: DataFrame, key: str, order: str, m: int, depth: int = DEPTH) -> Da
     )
 
 
+def elements(chains: DataFrame, key: str) -> DataFrame:
+    """(bucket, slot, key) of the stored keys; sort by bucket and slot for the order of the table."""
+    return chains.where("kept").select("bucket", "slot", key)
+
+
 def contains(df: DataFrame, key: str, chains: DataFrame, m: int, depth: int = DEPTH) -> DataFrame:
     """(key, stored, maybe) of distinct keys: stored, or in a full bucket."""
     keys = df.where(F.col(key).isNotNull()).select(key).distinct().select(key, _bucket(key, m))

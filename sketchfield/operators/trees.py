@@ -6,16 +6,17 @@ as filter_id.  Locating a key goes down level by level and looks only below node
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import IncompatibleFilters, InternalError
+from ..errors import IncompatibleFilters, InternalError, UnsupportedOperation
 from ..functions.hashing import place, rehash
 from ..plans.slices import TreePlan
 from . import membership
@@ -58,23 +59,33 @@ def _strides(plan: TreePlan) -> list[int]:
     return [-(-plan.spec(i).m // 64) for i in range(plan.depth + 1)]
 
 
-def _located(df: DataFrame, key: str, words: DataFrame, plan: TreePlan, start: tuple[int, ...], last: int) -> DataFrame:
-    """(key, node) of the nodes at level ``last`` below ``start`` that match with all between: a descent in one broadcast bitmap."""
-    strides, branching = _strides(plan), plan.branching
-    nodes = [math.prod(branching[:i]) for i in range(plan.depth + 1)]
-    base = [sum(n * s for n, s in zip(nodes[:i], strides[:i])) for i in range(plan.depth + 2)]
+def _bases(plan: TreePlan) -> list[int]:
+    """Where each level's words start in one bitmap of all nodes."""
+    strides, nodes = _strides(plan), [math.prod(plan.branching[:i]) for i in range(plan.depth + 1)]
+    return [sum(n * s for n, s in zip(nodes[:i], strides[:i])) for i in range(plan.depth + 2)]
+
+
+def _bitmap(words: DataFrame, plan: TreePlan) -> np.ndarray:
+    """All nodes, one after the other, level by level; the caller has checked the size."""
+    base = _bases(plan)
     # a node's number in its level, from its path
     number = F.aggregate(
         F.zip_with(
             F.split("filter_id", "/"),
-            F.array(*(F.lit(b) for b in branching)),
+            F.array(*(F.lit(b) for b in plan.branching)),
             lambda x, b: F.struct(x.try_cast("long").alias("x"), b.cast("long").alias("b")),
         ),
         F.lit(0).cast("long"),
         lambda n, x: F.when(x["x"].isNull(), n).otherwise(n * x["b"] + x["x"]),
     )
     of_level = lambda values: F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col("level"))
-    bits = df.sparkSession.sparkContext.broadcast(membership.bitmap(words, base[-1], of_level(base[:-1]) + number * of_level(strides) + F.col("word")))
+    return membership.bitmap(words, base[-1], of_level(base[:-1]) + number * of_level(_strides(plan)) + F.col("word"))
+
+
+def _located(df: DataFrame, key: str, words: DataFrame, plan: TreePlan, start: tuple[int, ...], last: int) -> DataFrame:
+    """(key, node) of the nodes at level ``last`` below ``start`` that match with all between: a descent in one broadcast bitmap."""
+    strides, branching, base = _strides(plan), plan.branching, _bases(plan)
+    bits = df.sparkSession.sparkContext.broadcast(_bitmap(words, plan))
     specs = [plan.spec(i) for i in range(plan.depth + 1)]
     first = 0
     for x, b in zip(start, branching):
@@ -113,6 +124,56 @@ def _small(plan: TreePlan) -> bool:
     return 8 * sum(s * math.prod(plan.branching[:i]) for i, s in enumerate(strides)) <= membership.BROADCAST_BYTES
 
 
+def register_locate(spark: SparkSession, name: str, words: DataFrame, plan: TreePlan) -> None:
+    """A table function for SQL: ``name(key, prefix)`` gives (path, pruned) for each leaf whose nodes all match.
+
+    Joined laterally, ``SELECT ... FROM t, LATERAL name(CAST(t.k AS STRING)) AS l``.  ``pruned`` counts the nodes that were tested and did not match, so that nothing
+    below them was looked at; a key without a leaf has one row with a null path.  Paths come in order, as the descent finds them.  With a ``prefix``,
+    such as '2', the search starts there.  Keys are texts of the portable profile; null has no row.
+    """
+    if not _small(plan):
+        raise UnsupportedOperation(f"a tree of more than {membership.BROADCAST_BYTES} bytes is located by joins only")
+    bits, base, strides, branching = spark.sparkContext.broadcast(_bitmap(words, plan)), _bases(plan), _strides(plan), plan.branching
+    sizes = [(plan.spec(i).m, plan.spec(i).k) for i in range(plan.depth + 1)]
+
+    class Locate:
+        def eval(self, key: str, prefix: str = "") -> Iterator[tuple[str | None, int]]:
+            if key is None:
+                return
+            digest = hashlib.md5(key.encode()).hexdigest()
+            h1, h2 = int(digest[:15], 16), int(digest[16:31], 16)
+            start = [int(x) for x in (prefix or "").split("/") if x]
+            number = 0
+            for x, b in zip(start, branching):
+                number = number * b + x
+
+            def matches(level: int, at: int) -> bool:
+                w, (m, k) = bits.value, sizes[level]
+                a, b = h1 % m, h2 % m
+                for i in range(k):
+                    p = (a + i * b + i * (i + 1) // 2) % m
+                    if not int(w[base[level] + at * strides[level] + (p >> 6)]) >> (p & 63) & 1:
+                        return False
+                return True
+
+            found, pruned = [], 0
+            open_ = [(number, start)] if matches(len(start), number) else []
+            while open_:
+                at, path = open_.pop()
+                if len(path) == len(branching):
+                    found.append("/".join(map(str, path)))
+                    continue
+                for child in reversed(range(branching[len(path)])):
+                    below = at * branching[len(path)] + child
+                    if matches(len(path) + 1, below):
+                        open_.append((below, [*path, child]))
+                    else:
+                        pruned += 1
+            yield from ((x, pruned) for x in found or [None])
+
+    spark.udtf.register(name, F.udtf(Locate, returnType="path string, pruned int"))
+
+
 def contains(df: DataFrame, key: str, words: DataFrame, plan: TreePlan) -> DataFrame:
     """The distinct keys that the root's filter may hold."""
     return (_located(df, key, words, plan, (), 0) if _small(plan) else _at(words, df, key, plan, 0)).select(key)
@@ -237,9 +298,9 @@ def statistics(words: DataFrame, counted: DataFrame, plan: TreePlan) -> DataFram
         [
             (
                 i,
-                plan.spec(i).m * len(plan.paths(i)),
-                len(plan.paths(i)),
-                plan.capacity * plan.leaves // max(1, len(plan.paths(i))),
+                plan.spec(i).m * math.prod(plan.branching[:i]),
+                math.prod(plan.branching[:i]),
+                plan.capacity * math.prod(plan.branching[i:]),
             ) for i in range(plan.depth + 1)
         ],
         "level int, bits long, nodes long, capacity long",

@@ -932,13 +932,13 @@ def _tree_words_sql(name: str, where: str = "true") -> str:
 _TREE_SIZES = f"cap AS (SELECT greatest(1, ceil(count(*) / 16))::BIGINT AS leaf FROM customer), " + ", ".join(f"sp{i} AS ({_std(f'SELECT leaf * {x} FROM cap')})" for i, x in enumerate(_NODES))
 
 
-def _tree_sql() -> str:
+def _tree_sql(where: str = "true") -> str:
     hits = [
         f"SELECT p.k, f.node FROM ({_at('SELECT c_custkey AS k, 0 AS o FROM n', sizes=f'sp{i}')}) p JOIN (SELECT node, pos FROM w WHERE level = {i}) f USING (pos) GROUP BY p.k, f.node HAVING count(DISTINCT i) = (SELECT kk FROM sp{i})" for i in range(
             3
         )
     ]
-    return f"{_TREE_KEYS}, {_TREE_SIZES}, {_tree_words_sql('w')}, " + ", ".join(f"h{i} AS ({x})" for i, x in enumerate(hits))
+    return f"{_TREE_KEYS}, {_TREE_SIZES}, {_tree_words_sql('w', where)}, " + ", ".join(f"h{i} AS ({x})" for i, x in enumerate(hits))
 
 
 _LOCATE = "SELECT h2.k AS c_custkey, h2.node FROM h2 JOIN h1 ON h1.k = h2.k AND h1.node = split_part(h2.node, '/', 1)"
@@ -966,6 +966,19 @@ def tree_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.locate(rows, "c_custkey", words, plan)
 
 
+@query(f"""
+WITH {_tree_sql("c_mktsegment = 'BUILDING'")}, l AS ({_LOCATE} JOIN h0 ON h0.k = h2.k),
+c AS (SELECT n.c_custkey, count(DISTINCT h1.node) AS n1, (SELECT count(*) FROM l WHERE l.c_custkey = n.c_custkey) AS n2 FROM n LEFT JOIN h0 ON h0.k = n.c_custkey LEFT JOIN h1 ON h1.k = h0.k GROUP BY n.c_custkey)
+SELECT c.c_custkey, l.node AS path, (CASE WHEN h0.k IS NULL THEN 0 ELSE {_BRANCHING[0]} + {_BRANCHING[1] - 1} * n1 - n2 END)::INT AS pruned FROM c LEFT JOIN l USING (c_custkey) LEFT JOIN h0 ON h0.k = c.c_custkey
+""")
+def tree_locate_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, looked for in a tree of some by a table function in SQL, with the nodes that it passed over."""
+    _, words, plan = _tree(spark, sf_dir, "c_mktsegment = 'BUILDING'")
+    trees.register_locate(spark, "sketch_locate", words, plan)
+    customers = _t(spark, sf_dir, "customer")
+    return spark.sql("SELECT c_custkey, l.path, l.pruned FROM {customers}, LATERAL sketch_locate(CAST(c_custkey AS STRING)) AS l", customers=customers)
+
+
 @query(f"WITH {_tree_sql()} {_LOCATE} WHERE h1.node = '2'")
 def tree_locate_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, words, plan = _tree(spark, sf_dir)
