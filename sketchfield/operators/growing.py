@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -16,12 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidParameters, MaxFiltersExceeded
 from ..functions.hashing import place
 from ..plans.sizing import standard
 from ..plans.slices import LEAST_RATE, MAX_SLICES, Growth, Slice, next_ratio, slice_plan
 from . import cardinality, membership
+from .scratch import drop_folder, shared_folder
 
 RANGE_ROWS = 500_000  # about so many rows are ranked in a task
 MOST_RANGES = 10_000
@@ -324,20 +327,32 @@ def adaptive_build(
     fill: float = 0.5,
     max_slices: int = 64,
 ) -> tuple[DataFrame, list[Slice]]:
-    """Slices whose rates tighten by how full the one before became: a job for each slice."""
-    total = df.count()
-    rows = ranked(df, order, "_rank", total)
-    plan, parts, first, p = [], [], 1, rate
+    """Slices whose rates tighten by how full the one before became; as many slices as the logarithm of the arrivals.
+
+    Which slice an arrival goes to depends on its rank alone, so arrivals are ranked once and stored by slice.  Each slice is
+    then built from its own part of that table, and its words are stored: a row is read twice, however many slices there are.
+    """
+    spark, total = df.sparkSession, df.count()
+    plan, first, p = [], 1, rate
     for i in range(max_slices):
         own = capacity * 2**i
         take = max(1, math.ceil(own * fill))
-        last = first + take - 1 if i + 1 < max_slices else total
-        spec = standard(own, p)
-        plan.append(Slice(i, own, p, spec, take, first))
-        parts.append(membership.build(rows.where(F.col("_rank").between(first, last)), key, spec).withColumn("filter_id", F.lit(str(i))))
+        plan.append(Slice(i, own, p, standard(own, p), take, first))  # rates follow
         first += take
         if first > total:
             break
-        ratio = next_ratio(ratio, threshold=fill, fill=membership.statistics(parts[-1], spec).first()["fill_rate"])
+    folder = shared_folder(spark, "adaptive")
+    rows = ranked(df, order, "_rank", total).where(F.col(key).isNotNull()).select(F.col(key), slice_of(F.col("_rank"), plan).alias("slice"))
+    rows.write.partitionBy("slice").parquet(f"{folder}/rows")
+    kind = T.StructType([*rows.select(key).schema.fields, T.StructField("slice", T.IntegerType())])
+    tables, done = [], []
+    for s in plan:
+        spec = standard(s.capacity, p)
+        done.append(replace(s, rate=p, spec=spec))
+        own = spark.read.schema(kind).parquet(f"{folder}/rows").where(F.col("slice") == s.number)
+        tables.append(f"{folder}/words/{s.number}")
+        membership.build(own, key, spec).withColumn("filter_id", F.lit(str(s.number))).write.parquet(tables[-1])
+        ratio = next_ratio(ratio, threshold=fill, fill=membership.statistics(spark.read.schema(membership.WORDS).parquet(tables[-1]), spec).first()["fill_rate"])
         p = max(LEAST_RATE, p * ratio)
-    return reduce(DataFrame.unionByName, parts), plan
+    drop_folder(spark, f"{folder}/rows")
+    return spark.read.schema(membership.WORDS).parquet(*tables), done

@@ -18,6 +18,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` as files in the folder that ``spark.checkpoint.dir`` names; only a local session gets one of its own."""
     spark = df.sparkSession

@@ -100,18 +100,20 @@ def _distinct(df: DataFrame, key: str) -> int:
 
 # sizing ---------------------------------------------------------------------------------------
 
-_GRID = [(n, p) for n in (100, 1_000, 10_000, 1_000_000) for p in (0.1, 0.01, 0.001, 0.0001)]
+_RATES = (0.1, 0.01, 0.001, 0.0001)
 
 
 @query(f"""
-WITH g(n, p) AS (VALUES {", ".join(f"({n}::BIGINT, {p}::DOUBLE)" for n, p in _GRID)}),
-b AS (SELECT n, p, greatest(8, ceil(-n * ln(p) / (ln(2.0) * ln(2.0))))::BIGINT AS bits FROM g),
+WITH g AS (SELECT o_orderpriority, count(*) AS n, unnest([{", ".join(f"{p}::DOUBLE" for p in _RATES)}]) AS p FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority),
+b AS (SELECT *, greatest(8, ceil(-n * ln(p) / (ln(2.0) * ln(2.0))))::BIGINT AS bits FROM g),
 h AS (SELECT *, least(32, greatest(1, floor(bits / n * ln(2.0) + 0.5)))::BIGINT AS hashes FROM b)
-SELECT n, p, bits, hashes, round(pow(1 - exp(-hashes * n / bits), hashes), 9) AS expected_fpr, round(-ln(p) / (ln(2.0) * ln(2.0)), 9) AS bits_per_item FROM h
+SELECT o_orderpriority, n, p, bits, hashes, round(pow(1 - exp(-hashes * n / bits), hashes), 9) AS expected_fpr, round(-ln(p) / (ln(2.0) * ln(2.0)), 9) AS bits_per_item FROM h
 """)
 def sizing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, p, m := sizing.optimal_bit_count(n, p), k := sizing.optimal_hash_count(m, n), round(sizing.expected_fp_rate(m, n, k), 9), round(sizing.bits_per_element(p), 9)) for n, p in _GRID]
-    return spark.createDataFrame(rows, "n long, p double, bits long, hashes long, expected_fpr double, bits_per_item double")
+    """Sizes of filters for the orders of each priority, at four rates."""
+    found = _t(spark, sf_dir, "orders").where("o_orderpriority is not null").groupBy("o_orderpriority").count().collect()  # a handful of priorities
+    rows = [(g, n, p, m := sizing.optimal_bit_count(n, p), k := sizing.optimal_hash_count(m, n), round(sizing.expected_fp_rate(m, n, k), 9), round(sizing.bits_per_element(p), 9)) for g, n in found for p in _RATES]
+    return spark.createDataFrame(rows, "o_orderpriority string, n long, p double, bits long, hashes long, expected_fpr double, bits_per_item double")
 
 
 # standard filters -----------------------------------------------------------------------------
@@ -523,6 +525,26 @@ def counting_delete_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.first_failure(_again(spark, sf_dir), "o_orderkey", "n", *_net(spark, sf_dir))
 
 
+@query(f"""
+WITH {_NET_SQL}, p AS ({_at("SELECT DISTINCT c_custkey AS k, '' AS o FROM customer")})
+SELECT k AS c_custkey, min(coalesce(cnt, 0)) > 0 AS can_remove FROM p LEFT JOIN net USING (pos) GROUP BY k
+""")
+def counting_can_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which customer numbers could be taken off the filter of open order numbers."""
+    return counting.can_remove(_t(spark, sf_dir, "customer"), "c_custkey", *_net(spark, sf_dir))
+
+
+@query(f"""
+WITH {_NET_SQL}, q AS ({_hits_sql("SELECT o_orderkey AS k, '' AS o FROM orders WHERE o_orderstatus = 'P'")})
+SELECT net.pos, net.cnt - coalesce(hits, 0) AS cnt FROM net LEFT JOIN q USING (pos) WHERE net.cnt > coalesce(hits, 0)
+""")
+def counting_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter of open orders without those in part delivered, all of which must be there."""
+    counters, spec = _net(spark, sf_dir)
+    partly = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return counting.remove(partly, "o_orderkey", "o_orderkey", counters, spec)
+
+
 #: Rounds of enclosing: with every earlier delete applied that may succeed, and with those only that surely do.
 _BATCH_SQL = f"""{_NET_SQL}, r AS (SELECT o_orderkey, n, row_number() OVER (ORDER BY n, o_orderkey) AS rank FROM ({_DELETED_AGAIN})),
 a AS MATERIALIZED (SELECT k AS rank, pos, count(*) AS w, any_value(coalesce(cnt, 0)) AS c FROM ({_at("SELECT rank AS k, o_orderkey AS o FROM r").replace(_h("k"), _h("o")).replace(_h("k", 2), _h("o", 2))}) LEFT JOIN net USING (pos) GROUP BY k, pos),
@@ -773,24 +795,66 @@ def sharded_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(growing.shard_statistics(growing.build(rows, "k", plan), plan), "estimated_fpr", "least_fpr", "largest_fpr")
 
 
+_MOST_ADAPTIVE = 20  # slices in the SQL, for 260 million events
+
+
+def _adaptive_sql() -> str:
+    """Slice after slice: the rate of each follows from how full the one before became."""
+    parts = [
+        "n AS (SELECT count(*) AS n FROM events)",
+        "r AS MATERIALIZED (SELECT user_id * 7919 + event_id % 50 AS k, row_number() OVER (ORDER BY ts, event_id) AS rank FROM events)",
+        "p0 AS (SELECT 0.01::DOUBLE AS p, 0.5::DOUBLE AS ratio)",
+    ]
+    first = 1
+    for i in range(_MOST_ADAPTIVE):
+        own, take = 500 * 2**i, 250 * 2**i
+        keys = f"SELECT k, '' AS o FROM r WHERE rank BETWEEN {first} AND {first + take - 1}"
+        parts.append(f"z{i} AS MATERIALIZED ({_std(str(own), f'(SELECT p FROM p{i})')})")
+        parts.append(f"w{i} AS MATERIALIZED (SELECT count(DISTINCT pos) AS bits FROM ({_at(keys, sizes=f'z{i}')}))")
+        parts.append(f"""p{i + 1} AS MATERIALIZED (SELECT greatest(1e-15, p * ratio2) AS p, ratio2 AS ratio FROM (
+  SELECT p, CASE WHEN bits / m > 1.2 * 0.5 THEN greatest(0.9 * ratio, 0.3) WHEN bits / m < 0.8 * 0.5 THEN least(1.1 * ratio, 0.9) ELSE ratio END AS ratio2 FROM p{i}, z{i}, w{i}))""")
+        first += take
+    rows, first = [], 1
+    for i in range(_MOST_ADAPTIVE):
+        rows.append(f"SELECT {i} AS slice, {500 * 2**i}::BIGINT AS capacity, round(p, 12) AS rate, m, kk AS k, bits AS set_bits FROM p{i}, z{i}, w{i}, n WHERE n.n >= {first}")
+        first += 250 * 2**i
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query(_adaptive_sql())
+def scalable_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices whose rates tighten by how full the one before became."""
+    words, plan = growing.adaptive_build(_arrivals(spark, sf_dir), "k", ["ts", "event_id"], 500, 0.01)
+    stats = growing.slice_statistics(words, plan)
+    return stats.select("slice", "capacity", F.round("rate", 12).alias("rate"), "m", F.col("k").cast("long").alias("k"), "set_bits")
+
+
 _GROWTHS = {"constant": Growth("constant"), "geometric": Growth(), "bounded": Growth("bounded", 2.0, 4_000)}
 
 
 @query(f"""
-SELECT g AS growth, i AS slice, CASE WHEN g = 'constant' THEN 500 WHEN g = 'bounded' AND i > 0 THEN least(500 * 2 ** i, 4000) ELSE 500 * 2 ** i END::BIGINT AS capacity, round(0.01 * 0.5 ** i, 12) AS rate
-FROM (SELECT unnest(['constant', 'geometric', 'bounded']) AS g), (SELECT unnest(range(8)) AS i)
+WITH n AS (SELECT greatest(1, count(*)) AS arrivals FROM events), c AS (
+  SELECT g AS growth, i::INT AS slice, CASE WHEN g = 'constant' THEN 500 WHEN g = 'bounded' AND i > 0 THEN least(500 * 2.0 ** i, 4000) ELSE 500 * 2.0 ** i END::HUGEINT AS capacity, round(greatest(1e-15, 0.01 * 0.5 ** i), 12) AS rate
+  FROM (SELECT unnest(['constant', 'geometric', 'bounded']) AS g), (SELECT unnest(range(64)) AS i)),
+f AS (SELECT *, 1 + coalesce(sum(ceil(capacity * 0.5)) OVER (PARTITION BY growth ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM c)
+SELECT growth, slice, capacity::BIGINT AS capacity, rate, first::BIGINT AS first FROM f, n WHERE first <= arrivals
 """)
 def growth_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(g, s.number, s.capacity, round(s.rate, 12)) for g, growth in _GROWTHS.items() for s in slice_plan(500, 0.01, 1 << 40, growth, max_slices=8)]
-    return spark.createDataFrame(rows, "growth string, slice int, capacity long, rate double")
+    """The slices that the events open, for each way of growing."""
+    n = max(1, _t(spark, sf_dir, "events").count())
+    rows = [(g, s.number, s.capacity, round(s.rate, 12), s.first) for g, growth in _GROWTHS.items() for s in slice_plan(500, 0.01, n, growth)]
+    return spark.createDataFrame(rows, "growth string, slice int, capacity long, rate double, first long")
 
 
 @query("""
-WITH t AS (SELECT i, greatest(1, floor(500 * 2 ** i * 0.5)) AS t FROM range(20) r(i)), c AS (SELECT i, coalesce(sum(t) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
-SELECT n, round(1 - exp(sum(ln(1 - 0.01 * 0.5 ** i))), 9) AS predicted_fpr FROM (SELECT unnest([100, 1000, 10000, 100000]) AS n) JOIN c ON before < n GROUP BY n
+WITH t AS (SELECT i, greatest(1, floor(500 * 2.0 ** i * 0.5)) AS t FROM range(40) r(i)), c AS (SELECT i, coalesce(sum(t) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+e AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT event_type, n, round(1 - exp(sum(ln(1 - 0.01 * 0.5 ** i))), 9) AS predicted_fpr FROM e JOIN c ON before < n GROUP BY event_type, n
 """)
 def scalable_predict_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, round(predict_fpr(500, 0.01, n), 9)) for n in (100, 1_000, 10_000, 100_000)], "n int, predicted_fpr double")
+    """The rate that a growing filter would have after the events of each type."""
+    found = _t(spark, sf_dir, "events").groupBy("event_type").count().collect()  # a handful of types
+    return spark.createDataFrame([(t, n, round(predict_fpr(500, 0.01, n), 9)) for t, n in found], "event_type string, n long, predicted_fpr double")
 
 
 # cardinality ----------------------------------------------------------------------------------
