@@ -7,7 +7,9 @@ multiplied, so nothing overflows for fewer than 2^57 bits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,16 +59,49 @@ def rehash(key: Column, i: int, profile: str = "portable", seed: int = 0) -> Col
     return PROFILES[profile](F.concat(key.cast("string"), F.lit(f"#{i}")), seed, 1)
 
 
-def indices(h: list[Column], m: int, k: int, strategy: str) -> list[Column]:
-    """k positions below m."""
-    h1, h2 = h[0] % m, h[1] % m
-    if strategy == "double":
-        return [(h1 + i * h2) % m for i in range(k)]
-    if strategy == "enhanced":
-        return [(h1 + i * h2 + i * (i + 1) // 2) % m for i in range(k)]
-    if strategy == "triple":
-        return [(h1 + i * h2 + i * i * (h[2] % m)) % m for i in range(k)]
-    raise InvalidParameters(f"unknown index strategy {strategy}")
+@dataclass(frozen=True)
+class Strategy:
+    """How k positions follow from so many hashes: ``position(h, i)`` of reduced hashes, before it is reduced itself.
+
+    It is applied to columns and to arrays of 64-bit numbers alike, so it has only sums, differences and products, below 2^63.
+    """
+
+    hashes: int
+    position: Callable[[list[Any], int], Any]
+
+
+#: Registered index strategies.
+STRATEGIES: dict[str, Strategy] = {
+    "double": Strategy(2, lambda h, i: h[0] + i * h[1]),
+    "enhanced": Strategy(2, lambda h, i: h[0] + i * h[1] + i * (i + 1) // 2),
+    "triple": Strategy(3, lambda h, i: h[0] + i * h[1] + i * i * h[2]),
+}
+
+
+def register_strategy(name: str, hashes: int, position: Callable[[list[Any], int], Any]) -> None:
+    """Add an index strategy of one's own, of two or three hashes."""
+    if not 2 <= hashes <= 3:
+        raise InvalidParameters("a strategy has two or three hashes")
+    STRATEGIES[name] = Strategy(hashes, position)
+
+
+def strategy_of(spec: Spec) -> Strategy:
+    """The strategy of a spec; the partitioned layout always has the double one."""
+    for name in (spec.strategy, "double"):
+        if name not in STRATEGIES:
+            raise InvalidParameters(f"unknown index strategy {name}")
+    return STRATEGIES["double" if spec.layout == "partitioned" else spec.strategy]
+
+
+def hash_count(spec: Spec) -> int:
+    """Hashes that a key has: one for each position of the rehash layout, else those of the strategy."""
+    return spec.k if spec.layout == "rehash" else strategy_of(spec).hashes
+
+
+def indices(h: list[Any], m: int, k: int, strategy: Strategy) -> Iterator[Any]:
+    """k positions below m, of columns or arrays."""
+    reduced = [x % m for x in h[: strategy.hashes]]
+    return (strategy.position(reduced, i) % m for i in range(k))
 
 
 def _div(a: Column, n: int) -> Column:
@@ -79,14 +114,14 @@ def place(spec: Spec) -> tuple[Callable[[Column], list[Column]], Callable[[list[
     zero = F.lit(0).cast("long")
     if spec.layout == "rehash":
         return (lambda key: [rehash(key, i, spec.profile, spec.seed) for i in range(spec.k)]), (lambda h: [(zero, x % spec.m) for x in h])
-    count = 3 if spec.strategy == "triple" else 2
+    count, how = hash_count(spec), strategy_of(spec)
     first = lambda key: hashes(key, spec.profile, spec.seed, count)
     if spec.layout == "standard":
-        return first, lambda h: [(zero, x) for x in indices(h, spec.m, spec.k, spec.strategy)]
+        return first, lambda h: [(zero, x) for x in indices(h, spec.m, spec.k, how)]
     if spec.layout == "partitioned":
-        return first, lambda h: [(F.lit(i).cast("long"), x) for i, x in enumerate(indices(h, spec.m, spec.k, "double"))]
+        return first, lambda h: [(F.lit(i).cast("long"), x) for i, x in enumerate(indices(h, spec.m, spec.k, how))]
     if spec.layout == "block":
         return first, lambda h: [(h[0] % spec.groups, (h[1] % 512 + i * (_div(h[1], 512) % 256 * 2 + 1)) % 512) for i in range(spec.k)]
     if spec.layout == "sharded":
-        return first, lambda h: [(h[0] % spec.groups, x) for x in indices([_div(h[0], spec.groups), *h[1:]], spec.m, spec.k, spec.strategy)]
+        return first, lambda h: [(h[0] % spec.groups, x) for x in indices([_div(h[0], spec.groups), *h[1:]], spec.m, spec.k, how)]
     raise InvalidParameters(f"unknown layout {spec.layout}")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import IncompatibleFilters, IndexOutOfBounds, InvalidRange
-from ..functions.hashing import place
+from ..functions.hashing import Strategy, hash_count, indices, place, strategy_of
 from ..plans.sizing import Spec
 
 #: Filters of up to so many bytes are broadcast for a probe; larger ones are joined.
@@ -39,7 +39,7 @@ def positions(df: DataFrame, key: Column | str, spec: Spec, by: Sequence[Column
     first, second = place(spec)
     keyed = df.select(*by, _key(key).alias("_key")).where("_key is not null")
     hashed = keyed.withColumn("_h", F.array(*first(F.col("_key"))))
-    at = second([F.col("_h")[i] for i in range(spec.k if spec.layout == "rehash" else 3 if spec.strategy == "triple" else 2)])
+    at = second([F.col("_h")[i] for i in range(hash_count(spec))])
     pairs = F.array(*(F.struct(g.cast("long").alias("grp"), p.cast("long").alias("pos")) for g, p in at))
     names = [c for c in hashed.columns if c not in ("_key", "_h")]
     return hashed.select(*names, F.explode(F.array_distinct(pairs) if distinct else pairs).alias("_p")).select(*names, "_p.grp", "_p.pos")
@@ -68,14 +68,14 @@ def _partial(df: DataFrame, key: Column | str, spec: Spec) -> DataFrame:
     """(grp, word, bits): what each task's keys set."""
     first, _ = place(spec)
     hashed = df.select(_key(key).alias("_key")).where("_key is not null").select(*(h.alias(f"h{i}") for i, h in enumerate(first(F.col("_key")))))
-    stride = -(-spec.m // 64)
+    stride, how = -(-spec.m // 64), strategy_of(spec)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = None
         for batch in batches:
             if on is None:
                 on = np.zeros(spec.groups * stride * 64, bool)
-            for g, pos in slots([c.to_numpy() for c in batch.columns], spec):
+            for g, pos in slots([c.to_numpy() for c in batch.columns], spec, how):
                 on[g * (stride * 64) + pos] = True
         if on is not None:
             words = np.packbits(on, bitorder="little").view(np.int64)
@@ -85,9 +85,12 @@ def _partial(df: DataFrame, key: Column | str, spec: Spec) -> DataFrame:
     return hashed.mapInArrow(run, "grp long, word long, bits long")
 
 
-def slots(h: list[np.ndarray], spec: Spec) -> Iterator[tuple[np.ndarray | int, np.ndarray]]:
-    """The k (group, position) pairs of keys with these hashes: ``hashing.place`` on arrays."""
-    m, k, strategy = spec.m, spec.k, "double" if spec.layout == "partitioned" else spec.strategy
+def slots(h: list[np.ndarray], spec: Spec, how: Strategy | None = None) -> Iterator[tuple[np.ndarray | int, np.ndarray]]:
+    """The k (group, position) pairs of keys with these hashes: ``hashing.place`` on arrays.
+
+    ``how`` is the spec's strategy, looked up by the driver if it may be one that only the driver has registered.
+    """
+    m, k = spec.m, spec.k
     if spec.layout == "rehash":
         yield from ((0, x % m) for x in h)
         return
@@ -96,11 +99,8 @@ def slots(h: list[np.ndarray], spec: Spec) -> Iterator[tuple[np.ndarray | int, n
         yield from ((g, (start + i * step) % 512) for i in range(k))
         return
     g, lead = (h[0] % spec.groups, h[0] // spec.groups) if spec.layout == "sharded" else (0, h[0])
-    h1, h2 = lead % m, h[1] % m
-    h3 = h[2] % m if strategy == "triple" else None
-    for i in range(k):
-        step = i * i * h3 if h3 is not None else i * (i + 1) // 2 if strategy == "enhanced" else 0
-        yield (i if spec.layout == "partitioned" else g), (h1 + i * h2 + step) % m
+    for i, at in enumerate(indices([lead, *h[1:]], m, k, how or strategy_of(spec))):
+        yield (i if spec.layout == "partitioned" else g), at
 
 
 def bitmap(words: DataFrame, size: int, at: Column | None = None) -> np.ndarray:
@@ -121,13 +121,13 @@ def probe(df: DataFrame, key: Column | str, words: DataFrame, spec: Spec, out: s
 def _probe_bitmap(df: DataFrame, key: Column | str, words: DataFrame, spec: Spec, out: str) -> DataFrame:
     stride = -(-spec.m // 64)
     bits = df.sparkSession.sparkContext.broadcast(bitmap(words, spec.groups * stride, F.col("grp") * stride + F.col("word")))
-    first, _ = place(spec)
+    first, how = place(spec)[0], strategy_of(spec)
 
     @F.pandas_udf("boolean")
     def test(*h: pd.Series) -> pd.Series:
         a = [x.to_numpy() for x in h]
         w, ok = bits.value, a[0] >= 0
-        for g, pos in slots(a, spec):
+        for g, pos in slots(a, spec, how):
             ok &= (w[g * stride + (pos >> 6)] >> (pos & 63)) & 1 == 1
         return pd.Series(ok)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidFilterSize, SerializationError, UnsupportedOperation
-from ..functions.hashing import place
+from ..functions.hashing import place, strategy_of
 from ..plans.sizing import Spec
 from . import cardinality, membership
 
@@ -44,10 +44,10 @@ class _Kind:
 
 
 def _filter_kind(spec: Spec) -> _Kind:
-    stride = 8 * -(-spec.m // 64)
+    stride, how = 8 * -(-spec.m // 64), strategy_of(spec)
 
     def cells(h: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for g, pos in membership.slots(h, spec):
+        for g, pos in membership.slots(h, spec, how):
             yield g * stride + (pos >> 3), np.left_shift(1, pos & 7).astype(np.uint8)
 
     def decode(data: bytes) -> np.ndarray:

@@ -100,3 +100,27 @@ def test_sketches_come_back(cells, dense):
     if dense:
         ranks[:5_000] = 9
     assert (packed.bytes_to_ranks(packed.ranks_to_bytes(ranks)) == ranks).all()
+
+
+def test_a_strategy_of_ones_own(spark):
+    """Registered by the driver only: tasks get it with their function."""
+    from sketchfield.errors import InvalidParameters
+    from sketchfield.functions import hashing
+
+    with pytest.raises(InvalidParameters):
+        membership.build(spark.range(1), "id", sizing.standard(100, 0.01, strategy="cubic"))
+    hashing.register_strategy("cubic", 3, lambda h, i: h[0] + i * h[1] + i * i * i * h[2])
+    try:
+        spec = sizing.standard(400, 0.01, strategy="cubic")
+        df = spark.range(400)
+        words = membership.build(df, "id", spec)
+        by_positions = membership.build(df, "id", spec, by=F.lit(""))
+        assert rows(words) == rows(by_positions) != rows(membership.build(df, "id", sizing.standard(400, 0.01)))
+        probes = spark.range(800)
+        for size in (membership.BROADCAST_BYTES, 0):
+            assert membership.probe(probes, "id", words, spec, broadcast_bytes=size).where("not maybe and id < 400").count() == 0
+        assert rows(packed.to_words(packed.build(df, "id", F.lit("x"), spec), spec).select("grp", "word", "bits")) == rows(words.select("grp", "word", "bits"))
+        with pytest.raises(InvalidParameters):
+            hashing.register_strategy("one", 1, lambda h, i: h[0] + i)
+    finally:
+        del hashing.STRATEGIES["cubic"]
