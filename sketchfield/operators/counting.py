@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import CapacityExceeded, CounterUnderflow, InvalidFilterSize, InvalidParameters
+from ..errors import CapacityExceeded, CounterUnderflow, IncompatibleFilters, InvalidFilterSize, InvalidParameters
 from ..plans.sizing import Spec
 from .growing import ranked
 from .membership import positions
@@ -36,6 +36,20 @@ def counter_bits(max_count: int) -> int:
     raise InvalidParameters(f"no counter holds {max_count}")
 
 
+def size_of(counters: DataFrame, bits: int | None = None, unknown: int = 16) -> int:
+    """The bits of a table's counters: those that it was built with, which go with its column, or ``bits``; ``unknown`` if neither tells."""
+    held = counters.schema["cnt"].metadata.get("bits")
+    if bits is not None and bits not in SIZES:
+        raise InvalidParameters(f"no counter has {bits} bits")
+    if held is not None and bits is not None and held != bits:
+        raise IncompatibleFilters(f"the counters have {held} bits, not {bits}")
+    return held or bits or unknown
+
+
+def _sized(cnt: Column, bits: int) -> Column:
+    return cnt.cast("long").alias("cnt", metadata={"bits": bits})
+
+
 def hits(df: DataFrame, key: Column | str, spec: Spec) -> DataFrame:
     return positions(df, key, spec).groupBy("pos").agg(F.count(F.lit(1)).alias("hits"))
 
@@ -45,17 +59,18 @@ def build(df: DataFrame, key: Column | str, spec: Spec, bits: int = 4) -> DataFr
     most = SIZES[bits]
     return hits(df, key, spec).select(
         "pos",
-        F.least("hits", F.lit(most)).cast("long").alias("cnt"),
+        _sized(F.least("hits", F.lit(most)), bits),
         F.greatest(F.col("hits") - most, F.lit(0)).cast("long").alias("overflow"),
     )
 
 
-def rejected(df: DataFrame, key: str, order: str, spec: Spec, bits: int = 4, counters: DataFrame | None = None) -> DataFrame:
+def rejected(df: DataFrame, key: str, order: str, spec: Spec, bits: int | None = None, counters: DataFrame | None = None) -> DataFrame:
     """(order, key) of inserts, in an order without ties, that come when all counters of their key are saturated.
 
     A counter that starts at c is saturated by the (most - c)-th hit.  A rejected insert changes nothing, as
     all its counters are saturated, so hits of all earlier inserts count.
     """
+    bits = bits or 4 if counters is None else size_of(counters, bits, 4)
     most = SIZES[bits]
     at = positions(df.where(F.col(order).isNotNull()), key, spec, [F.col(key).alias("_k"), F.col(order).alias("_n")])
     hit = at.withColumn("_i", F.row_number().over(W.partitionBy("pos").orderBy("_n"))).where(f"_i <= {most}")  # limited before the shuffle
@@ -75,12 +90,12 @@ def build_checked(df: DataFrame, key: str, order: str, spec: Spec, bits: int = 4
     return build(df, key, spec, bits)
 
 
-def apply(counters: DataFrame, df: DataFrame, key: Column | str, spec: Spec, bits: int = 4, delete: bool = False) -> DataFrame:
-    """Counters after a batch of inserts or deletes."""
-    sign = -1 if delete else 1
+def apply(counters: DataFrame, df: DataFrame, key: Column | str, spec: Spec, bits: int | None = None, delete: bool = False) -> DataFrame:
+    """Counters after a batch of inserts or deletes; of 4 bits if neither the table nor ``bits`` tells."""
+    sign, bits = -1 if delete else 1, size_of(counters, bits, 4)
     both = counters.select("pos", "cnt").union(hits(df, key, spec).select("pos", (F.col("hits") * sign).alias("cnt")))
-    net = F.greatest(F.least(F.sum("cnt"), F.lit(SIZES[bits])), F.lit(0)).cast("long")
-    return both.groupBy("pos").agg(net.alias("cnt")).where("cnt > 0")
+    net = F.greatest(F.least(F.sum("cnt"), F.lit(SIZES[bits])), F.lit(0))
+    return both.groupBy("pos").agg(net.alias("cnt")).where("cnt > 0").select("pos", _sized(F.col("cnt"), bits))
 
 
 def contains(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> DataFrame:
@@ -98,7 +113,7 @@ def _nth_hits(at: DataFrame, counters: DataFrame, bits: int) -> DataFrame:
     return numbered.join(counters.select("pos", "cnt"), "pos", "left").where(F.col("_i") == F.coalesce("cnt", F.lit(0)) + 1).select("pos", "_n")
 
 
-def first_failure(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8) -> DataFrame:
+def first_failure(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int | None = None) -> DataFrame:
     """One row: of deletes in an order, how many precede the first that fails; null if none does.
 
     All deletes before the first failure succeed, so a counter of c fails at its (c + 1)-th decrement.  A
@@ -106,10 +121,10 @@ def first_failure(df: DataFrame, key: str, order: str, counters: DataFrame, spec
     """
     numbered = ranked(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order])), list(dict.fromkeys([order, key])), "_n")
     at = positions(numbered, key, spec, ["_n"])
-    return _nth_hits(at, counters, bits).agg((F.min("_n") - 1).cast("long").alias("deleted_before_failure"))
+    return _nth_hits(at, counters, size_of(counters, bits)).agg((F.min("_n") - 1).cast("long").alias("deleted_before_failure"))
 
 
-def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8, task: int = TASK_DELETES) -> DataFrame:
+def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int | None = None, task: int = TASK_DELETES) -> DataFrame:
     """(order, key, deleted): verified deletes one after the other; one that fails changes nothing.
 
     Deletes of one order value go by key.  ``deleted`` is never null:
@@ -124,7 +139,7 @@ def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec:
     rows = ranked(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order])), list(dict.fromkeys([order, key])), "_n")
     rows = checkpointed(rows)
     nth = F.row_number().over(W.partitionBy(key).orderBy("_n"))
-    few = rows.withColumn("_j", nth).where(f"_j <= {SIZES[bits]}")  # limited before the shuffle
+    few = rows.withColumn("_j", nth).where(f"_j <= {SIZES[size_of(counters, bits)]}")  # limited before the shuffle
     asked = positions(few, key, spec, ["_n", "_j"]).groupBy("_n", "_j", "pos").agg(F.count(F.lit(1)).alias("_w"))
     at = asked.join(counters.select("pos", F.col("cnt").alias("_c")), "pos", "left").withColumn("_c", F.coalesce("_c", F.lit(0).cast("long")))
     state = _settled(at, task)
@@ -220,7 +235,8 @@ def deleted_count(outcomes: DataFrame) -> DataFrame:
 def after_deletes(counters: DataFrame, outcomes: DataFrame, key: str, spec: Spec) -> DataFrame:
     """Counters after the deletes that succeeded; none of them can fall below zero."""
     gone = hits(outcomes.where("deleted"), key, spec).select("pos", (-F.col("hits")).alias("cnt"))
-    return counters.select("pos", "cnt").union(gone).groupBy("pos").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+    left = counters.select("pos", "cnt").union(gone).groupBy("pos").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+    return left.select("pos", _sized(F.col("cnt"), size_of(counters)))
 
 
 def can_remove(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> DataFrame:
@@ -228,16 +244,16 @@ def can_remove(df: DataFrame, key: str, counters: DataFrame, spec: Spec) -> Data
     return contains(df, key, counters, spec).select(key, F.col("maybe").alias("can_remove"))
 
 
-def remove(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int = 8) -> DataFrame:
+def remove(df: DataFrame, key: str, order: str, counters: DataFrame, spec: Spec, bits: int | None = None) -> DataFrame:
     """Counters after deletes that must all succeed, one after the other."""
     if first_failure(df, key, order, counters, spec, bits).first()[0] is not None:
         raise CounterUnderflow("an item is not in the filter, or a counter would fall below zero")
-    return apply(counters, df, key, spec, bits, delete=True)
+    return apply(counters, df, key, spec, size_of(counters, bits), delete=True)
 
 
-def raw_counters(counters: DataFrame, spec: Spec, bits: int = 4, chunk: int = 1 << 20) -> DataFrame:
+def raw_counters(counters: DataFrame, spec: Spec, bits: int | None = None, chunk: int = 1 << 20) -> DataFrame:
     """(chunk, bytes): all counters in order, as bytes, or as little-endian pairs if they have 16 bits; a row for each ``chunk`` positions."""
-    width = 2 if bits == 16 else 1
+    width = 2 if size_of(counters, bits, 4) == 16 else 1
     digits = 2 * width
     value = F.lpad(F.hex(F.coalesce("cnt", F.lit(0).cast("long"))), digits, "0")
     if width == 2:
@@ -263,7 +279,7 @@ def from_raw(raw: DataFrame, spec: Spec, bits: int = 4, chunk: int = 1 << 20) ->
     value = F.concat(F.substring("v", 3, 2), F.substring("v", 1, 2)) if width == 2 else F.col("v")
     cnt = F.conv(value, 16, 10).cast("long")
     checked = F.when(cnt > SIZES[bits], F.raise_error(F.lit("a counter is beyond its size")).cast("long")).otherwise(cnt)
-    return cells.select((F.col("chunk") * chunk + F.col("i")).cast("long").alias("pos"), checked.alias("cnt")).where("cnt > 0")
+    return cells.select((F.col("chunk") * chunk + F.col("i")).cast("long").alias("pos"), _sized(checked, bits)).where("cnt > 0")
 
 
 def cleared(counters: DataFrame) -> DataFrame:
@@ -276,16 +292,17 @@ def equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg((F.count(F.when(F.coalesce("x", F.lit(0)) != F.coalesce("y", F.lit(0)), 1)) == 0).alias("equal"))
 
 
-def histogram(counters: DataFrame, spec: Spec, bits: int = 4) -> DataFrame:
+def histogram(counters: DataFrame, spec: Spec, bits: int | None = None) -> DataFrame:
     """(cnt, counters) for each value from 0 to the largest."""
     found = counters.groupBy("cnt").agg(F.count(F.lit(1)).alias("n"))
-    values = counters.sparkSession.range(SIZES[bits] + 1).withColumnRenamed("id", "cnt")
+    values = counters.sparkSession.range(SIZES[size_of(counters, bits, 4)] + 1).withColumnRenamed("id", "cnt")
     zeros = found.agg((F.lit(spec.m) - F.coalesce(F.sum("n"), F.lit(0))).alias("n")).select(F.lit(0).cast("long").alias("cnt"), "n")
     return values.join(found.union(zeros), "cnt", "left").select("cnt", F.coalesce("n", F.lit(0)).cast("long").alias("counters"))
 
 
-def distribution(counters: DataFrame, spec: Spec, bits: int = 4) -> DataFrame:
+def distribution(counters: DataFrame, spec: Spec, bits: int | None = None) -> DataFrame:
     """One row over all m counters, zeros among them."""
+    bits = size_of(counters, bits, 4)
     m, most = float(spec.m), SIZES[bits]
     row = counters.agg(*(F.coalesce(x, F.lit(0)).alias(n) for n, x in (("nonzero", F.count("cnt")), ("total", F.sum("cnt")), ("squares", F.sum(F.col("cnt") * F.col("cnt"))), ("max_count", F.max("cnt")), ("saturated", F.sum((F.col("cnt") >= int(0.9 * most)).cast("long"))), ("least", F.min("cnt")))))
     mean = F.col("total") / m
@@ -304,11 +321,12 @@ def distribution(counters: DataFrame, spec: Spec, bits: int = 4) -> DataFrame:
     )
 
 
-def health(counters: DataFrame, spec: Spec, items: int, overflows: int = 0, bits: int = 4) -> DataFrame:
+def health(counters: DataFrame, spec: Spec, items: int, overflows: int = 0, bits: int | None = None) -> DataFrame:
     """One row of eighteen fields; the four of the distribution have a column each.
 
     A filter of ``items`` items; a sum of overflows is not in the counters, so it is given.
     """
+    bits = size_of(counters, bits, 4)
     d = distribution(counters, spec, bits)
     fill = F.col("nonzero") / F.lit(float(spec.m))
     return d.select(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CounterOverflow, CounterUnderflow
 from ..plans.sizing import Spec
-from .counting import SIZES
+from .counting import SIZES, size_of
 from .growing import ranked
 from .membership import positions
 from .scratch import checkpointed
@@ -137,9 +137,9 @@ class Ledger:
         return per.crossJoin(F.broadcast(lost))  # one row each
 
 
-def replay(log: DataFrame, key: str, order: str, delta: str, spec: Spec, bits: int = 4, counters: DataFrame | None = None, chunk: int = CHUNK) -> Ledger:
+def replay(log: DataFrame, key: str, order: str, delta: str, spec: Spec, bits: int | None = None, counters: DataFrame | None = None, chunk: int = CHUNK) -> Ledger:
     """What each operation of a log (key, order, delta) found, from ``counters`` on or from none."""
-    most = SIZES[bits]
+    most = SIZES[bits or 4 if counters is None else size_of(counters, bits, 4)]
     own = log.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(delta).cast("long").alias("delta")).where("_key is not null and delta in (1, -1)")
     rows = own.count()
     numbered = ranked(own, ["_order", "_key", "delta"], "n", rows)
@@ -174,7 +174,7 @@ def replay(log: DataFrame, key: str, order: str, delta: str, spec: Spec, bits: i
     return Ledger(checkpointed(hits), order, key, most, started)
 
 
-def replay_checked(log: DataFrame, key: str, order: str, delta: str, spec: Spec, bits: int = 4, counters: DataFrame | None = None) -> Ledger:
+def replay_checked(log: DataFrame, key: str, order: str, delta: str, spec: Spec, bits: int | None = None, counters: DataFrame | None = None) -> Ledger:
     """``replay`` that raises if an insert finds all its counters full, or a delete one of its at zero."""
     found = replay(log, key, order, delta, spec, bits, counters)
     row = found.totals().first()

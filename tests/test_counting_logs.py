@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sketchfield.errors import CounterOverflow, CounterUnderflow
+from sketchfield.errors import CounterOverflow, CounterUnderflow, IncompatibleFilters
 from sketchfield.operators import counting, ledger, membership
 from sketchfield.plans import sizing
 
@@ -143,3 +143,22 @@ def test_a_chain_of_ten_thousand(spark, monkeypatch):
         got = counting.delete_batch(links, "key", "n", counters, spec, task=task)
         assert got.where("deleted is null").count() == 0
         assert got.where("deleted != (n % 2 = 0)").count() == 0
+
+
+def test_counters_know_their_size(spark):
+    """A table of 16-bit counters stays one, whatever is done to it without saying so again."""
+    spec = sizing.with_params(64, 1)
+    many = spark.range(1_000).selectExpr("'a' AS key", "id AS n")
+    made = counting.build(many, "key", spec, 16)
+    assert counting.size_of(made) == 16 and made.first()["cnt"] == 1_000
+    left = counting.apply(made, many.limit(300), "key", spec, delete=True)
+    assert left.first()["cnt"] == 700 and counting.size_of(left) == 16
+    got = counting.delete_batch(many, "key", "n", left, spec)
+    assert got.where("deleted").count() == 700 and counting.first_failure(many, "key", "n", left, spec).first()[0] == 700
+    assert counting.remove(many.limit(400), "key", "n", left, spec).first()["cnt"] == 300
+    assert counting.distribution(left, spec).first()["saturated"] == 0 and counting.histogram(left, spec).count() == 65_536
+    with pytest.raises(IncompatibleFilters):
+        counting.apply(made, many, "key", spec, 8)
+    # a table that doesn't tell is taken for the largest where deletes are counted
+    plain = spark.createDataFrame([tuple(r) for r in left.select("pos", "cnt").collect()], "pos long, cnt long")
+    assert counting.size_of(plain) == 16 and counting.delete_batch(many, "key", "n", plain, spec).where("deleted").count() == 700
