@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sketchfield.llm import importance, queries, quotient_dedup, vector_codes
+from sketchfield.llm import importance, quotient_dedup, vector_codes
 from sketchfield.llm._common import Scratch
 
 ODD = "vec_id long, embedding array<float>, label int, code string, error long, key string"
@@ -251,16 +251,3 @@ def test_copies_send_one_entry(spark):
     assert sum(sizes) == 4 * 51
     found = quotient_dedup.entries(quotient_dedup.merged_filters(parts, bits), bits)
     assert found.count() == 51 and found.agg({"n": "sum"}).first()[0] == 20_000 and found.agg({"n": "max"}).first()[0] == 6_667
-
-
-@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_elkan_codes", "op13_quotient_dedup"])
-def test_new_query_equals_sql(spark, data, name):
-    import duckdb
-
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    df = queries.QUERIES[name](spark, data)
-    result = con.execute(queries.SQL[name])
-    order = [[c[0] for c in result.description].index(c) for c in df.columns]
-    assert sorted(map(tuple, df.collect()), key=repr) == sorted((tuple(r[i] for i in order) for r in result.fetchall()), key=repr)

@@ -252,7 +252,7 @@ def test_conversations_without_a_reply_are_all_prompt(spark, data):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     result = con.execute(queries.SQL[name])
     columns = [c[0] for c in result.description]
