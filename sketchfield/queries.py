@@ -1218,3 +1218,92 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a crawl in the order of page_id still has to fetch: check, then insert, of every URL."""
     pages = _t(spark, sf_dir, "pages").select("page_id", "url")
     return membership.first_seen(pages, "url", "page_id", sizing.standard(_keys(pages, "url"), 0.05)).select("page_id")
+
+
+# stores and variants --------------------------------------------------------------------------
+
+
+@query(f"WITH {_URGENT_SQL} SELECT pos FROM f")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter that is saved and loaded, with its spec compared."""
+    words, spec = _urgent(spark, sf_dir)
+    path = shared_folder(spark, "filter")
+    store.save(words, spec, path)
+    return membership.set_positions(store.load(spark, path, spec)[0]).select("pos")
+
+
+@query(f"WITH {_USERS_SQL} SELECT pos, cnt FROM c")
+def counting_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counters, spec = _users(spark, sf_dir)
+    path = shared_folder(spark, "counters")
+    store.save_counting(counters, spec, 4, path)
+    return store.load_counting(spark, path)[0]
+
+
+@query(f"WITH {_BREAKDOWN_SQL} SELECT slice, set_bits FROM b")
+def scalable_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices that are saved and loaded with their plan."""
+    _, rows, plan = _sliced(spark, sf_dir)
+    path = shared_folder(spark, "slices")
+    store.save_growing(growing.build(rows, "k", plan), plan, path)
+    return growing.slice_statistics(*store.load_growing(spark, path)).select("slice", "set_bits")
+
+
+@query(f"WITH {_tree_sql()} SELECT level, node, count(*) AS set_bits FROM w GROUP BY level, node")
+def tree_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, words, plan = _tree(spark, sf_dir)
+    path = shared_folder(spark, "tree")
+    store.save_tree(words, plan, path)
+    back, _ = store.load_tree(spark, path)
+    return back.groupBy("level", F.col("filter_id").alias("node")).agg(F.sum(F.bit_count("bits").cast("long")).alias("set_bits"))
+
+
+@query(f"WITH {_CHAIN_SQL} SELECT bucket, slot, user_id FROM k WHERE kept")
+def chain_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.elements(_chains(spark, sf_dir)[1], "user_id")
+
+
+_SEEDED = "md5('7|' || CAST(k AS VARCHAR))"
+_SEEDED_AT = lambda keys: _at(keys).replace("md5(CAST(k AS VARCHAR))", _SEEDED)
+
+
+@query(f"""
+WITH sp AS ({_std(f'SELECT count(k) FROM ({_URGENT_KEYS})')}), f AS (SELECT DISTINCT pos FROM ({_SEEDED_AT(_URGENT_KEYS)})),
+p AS ({_SEEDED_AT("SELECT DISTINCT o_orderkey AS k, '' AS o FROM orders")})
+SELECT k AS o_orderkey, bool_and(f.pos IS NOT NULL) AS maybe FROM p LEFT JOIN f USING (pos) GROUP BY k
+""")
+def seeded_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter whose hashes have a seed of their own, probed with all orders."""
+    orders = _t(spark, sf_dir, "orders")
+    urgent = orders.where("o_orderpriority = '1-URGENT'")
+    spec = sizing.standard(_keys(urgent, "o_orderkey"), 0.01, seed=7)
+    return membership.probe(orders.select("o_orderkey"), "o_orderkey", membership.build(urgent, "o_orderkey", spec), spec)
+
+
+@query("""
+SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY l_orderkey
+""")
+def fast_prefiltered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of urgent orders: a filter of the fast profile goes before the join, which takes off what it passed in error."""
+    urgent = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    spec = sizing.standard(_keys(urgent, "o_orderkey"), 0.01, profile="fast")
+    lines = membership.semi_join(_t(spark, sf_dir, "lineitem"), "l_orderkey", membership.build(urgent, "o_orderkey", spec), spec)
+    return lines.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"WITH {_tree_sql()} SELECT count(*) / (any_value(cap.leaf) * 20) > 0.7 AS needs_resize FROM n, cap")
+def tree_needs_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, words, plan = _tree(spark, sf_dir)
+    return trees.needs_resize(trees.statistics(words, trees.counts(rows, "path", plan), plan))
+
+
+@query(f"""
+WITH {_tree_sql()}, cap2 AS (SELECT 2 * leaf AS leaf FROM cap), {", ".join(f"rs{i} AS ({_std(f'SELECT leaf * {x} FROM cap2')})" for i, x in enumerate(_NODES))},
+r AS ({" UNION ALL ".join(f"SELECT {i} AS level, o AS node, pos FROM ({_at(f'SELECT c_custkey AS k, nodes[{i + 1}] AS o FROM n', sizes=f'rs{i}')}) GROUP BY ALL" for i in range(3))})
+SELECT level, node, count(*) AS set_bits FROM r GROUP BY level, node
+""")
+def tree_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree for twice as many customers a leaf."""
+    rows, _, plan = _tree(spark, sf_dir)
+    words, _ = trees.resized(rows, "c_custkey", "path", plan, 2 * plan.capacity)
+    return words.groupBy("level", F.col("filter_id").alias("node")).agg(F.sum(F.bit_count("bits").cast("long")).alias("set_bits"))
