@@ -47,10 +47,13 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int |
 
     Ranges are cut at sampled values of all order columns, which are literals of the plan, so a repeated
     task deals rows alike.  Their number follows the number of rows; the sample is a fixed share for each.
-    A row finds its range in two steps, so a plan of n ranges makes about 2 sqrt(n) comparisons for it.
+    A row finds its range in two steps, so a plan of n ranges makes about 2 sqrt(n) comparisons for it.  Rows of more than
+    ``MOST_RANGES`` ranges are dealt by Spark's range partitioning and stored in order, with the same ranks.
     """
     rows = df.count() if rows is None else rows
-    ranges = min(MOST_RANGES, -(-rows // RANGE_ROWS))
+    ranges = -(-rows // RANGE_ROWS)
+    if ranges > MOST_RANGES:
+        return _ranked_in_table(df, order, name, ranges)
     key = _ordered(df, order)
     if ranges > 1:
         share = min(1.0, ranges * _SAMPLES / rows)
@@ -78,6 +81,18 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int |
     return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
+def _ranked_in_table(df: DataFrame, order: Sequence[str], name: str, ranges: int) -> DataFrame:
+    """Rows in order as a table in the shared folder, each with its partition and place there, and the rows before its partition."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "ranked")
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the lower bits count the rows of a partition
+    dealt.withColumn("_part", F.spark_partition_id()).withColumn("_in", place + 1).write.parquet(path)
+    parts = spark.read.parquet(path)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return parts.join(starts, "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
 def slice_of(rank: Column, plan: list[Slice]) -> Column:
     """The slice of an arrival; the last takes what is beyond the plan."""
     return reduce(lambda found, s: F.when(rank >= s.first, F.lit(s.number)).otherwise(found), plan, F.lit(0))
