@@ -1174,9 +1174,13 @@ def latency_from_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("p50", "p90", "p95", "p99", "p99_9")})
 
 
-@query()
+_GAUGES = " || chr(10) || ".join(f"'# TYPE filter_{c} gauge' || chr(10) || 'filter_{c} ' || {c}::VARCHAR" for c in ("set_bits", "fill_rate", "estimated_fpr", "estimated_items"))
+
+
+@query(f"WITH {_URGENT_SQL}, s AS ({_stats_sql('f')}) SELECT {_GAUGES} AS text FROM s")
 def stats_as_prometheus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.to_prometheus(membership.statistics(*_urgent(spark, sf_dir)).drop("saturated"), "filter")
+    row = _rounded(membership.statistics(*_urgent(spark, sf_dir)), "fill_rate", "estimated_fpr")
+    return reports.to_prometheus(row.drop("saturated"), "filter")
 
 
 @query(f"WITH {_LOTS_SQL} SELECT o AS filter_id, pos FROM f")
