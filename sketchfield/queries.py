@@ -18,6 +18,7 @@ from .plans.sizing import Spec
 from .operators.scratch import shared_folder
 from .sources import store
 from .sources.growing_store import GrowingStore
+from .streaming import counting_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1311,3 +1312,51 @@ def tree_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, plan = _tree(spark, sf_dir)
     words, _ = trees.resized(rows, "c_custkey", "path", plan, 2 * plan.capacity)
     return words.groupBy("level", F.col("filter_id").alias("node")).agg(F.sum(F.bit_count("bits").cast("long")).alias("set_bits"))
+
+
+# streams --------------------------------------------------------------------------------------
+
+_STREAM_SQL = f"""sp AS ({_SIZES["block"]('SELECT count(DISTINCT user_id) FROM events')}),
+op AS (SELECT event_id, ts, CASE WHEN value > 20 THEN 1 ELSE -1 END AS d FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+a AS ({_at(_LOG_KEYS, "block").replace(_h('k'), _h('o')).replace(_h('k', 2), _h('o', 2))}),
+e AS (SELECT k AS event_id, any_value(grp) AS grp, any_value(ts) AS ts, list_prepend(any_value(d)::BIGINT, list(pos ORDER BY i)) AS x FROM a JOIN op ON op.event_id = k GROUP BY k),
+l AS (SELECT grp, list(event_id ORDER BY ts, event_id) AS ids, list(x ORDER BY ts, event_id) AS xs FROM e GROUP BY grp),
+r AS MATERIALIZED (SELECT grp, ids, list_reduce(xs, lambda s, x: list_append(
+  list_concat(list_transform(s[1:512], lambda c, i: CASE
+    WHEN NOT list_contains(x[2:], i - 1) THEN c WHEN x[1] > 0 THEN least(255, c + 1)
+    WHEN list_min(list_transform(x[2:], lambda p: s[p + 1])) > 0 THEN c - 1 ELSE c END), s[513:]),
+  CASE WHEN x[1] > 0 THEN 100 * (list_min(list_transform(x[2:], lambda p: s[p + 1])) < 255)::BIGINT + len(list_filter(x[2:], lambda p: s[p + 1] >= 255))
+    ELSE 100 * (list_min(list_transform(x[2:], lambda p: s[p + 1])) > 0)::BIGINT END), list_transform(range(512), lambda i: 0::BIGINT)) AS s FROM l)"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The log of events as a stream that a counting filter in the state store follows to its end: its outcomes, and its checkpoint."""
+    spec = sizing.blocked(_distinct(_t(spark, sf_dir, "events"), "user_id"), 0.01)
+    folder, before = shared_folder(spark, "stream"), spark.conf.get(counting_state.PROVIDER, None)
+    spark.conf.set(counting_state.PROVIDER, counting_state.ROCKSDB)
+    try:
+        events = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.[p]arquet")  # a pattern, as the table may be one file
+        log = events.where("value is not null").withColumn("d", F.when(F.col("value") > 20, 1).otherwise(-1))
+        out = counting_state.operations(log, "user_id", "event_id", "ts", "d", spec)
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(counting_state.PROVIDER)
+        else:
+            spark.conf.set(counting_state.PROVIDER, before)
+    return spark.read.schema("n long, ts timestamp, delta int, ok boolean, overflow int").parquet(f"{folder}/out"), f"{folder}/checkpoint"
+
+
+@query(f"""
+WITH {_STREAM_SQL}, o AS (SELECT unnest(ids) AS n, unnest(s[513:]) AS c FROM r)
+SELECT n, d::INT AS delta, c >= 100 AS ok, (c % 100)::INT AS overflow FROM o JOIN op ON op.event_id = n
+""")
+def counting_stream_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts and verified deletes of a stream, one after the other, and whether each succeeded."""
+    return _streamed(spark, sf_dir)[0].drop("ts")
+
+
+@query(f"WITH {_STREAM_SQL}, c AS (SELECT grp, unnest(s[:512]) AS cnt, unnest(range(512)) AS pos FROM r) SELECT grp, pos::INT AS pos, cnt FROM c WHERE cnt > 0")
+def counting_stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters that the stream leaves in the state store."""
+    return counting_state.counters(spark, _streamed(spark, sf_dir)[1])

@@ -148,8 +148,8 @@ def operations(
     if log.sparkSession.conf.get(PROVIDER, None) != ROCKSDB:
         raise UnsupportedOperation(f"set {PROVIDER} to {ROCKSDB}")
     first, second = place(spec)
-    own = log.withWatermark(ts, late).select(F.col(key).alias("_key"), F.col(order).cast("long").alias("n"), F.col(ts).cast("timestamp").alias("ts"), F.col(delta).cast("int").alias("delta"))
-    own = own.where("_key is not null and ts is not null and delta in (1, -1)").withColumn("_h", F.array(*first(F.col("_key"))))
+    own = log.select(F.col(key).alias("_key"), F.col(order).cast("long").alias("n"), F.col(ts).cast("timestamp").alias("ts"), F.col(delta).cast("int").alias("delta"))
+    own = own.withWatermark("ts", late).where("_key is not null and ts is not null and delta in (1, -1)").withColumn("_h", F.array(*first(F.col("_key"))))
     at = second([F.col("_h")[0], F.col("_h")[1]])
     rows = own.select("n", "ts", "delta", F.unix_millis("ts").alias("ms"), F.xxhash64(F.col("_key").cast("string")).alias("item"), at[0][0].cast("long").alias("grp"), F.array(*(p.cast("int") for _, p in at)).alias("at"))
     processor = _Counting(spec.k, SIZES[bits], ttl_ms)
