@@ -8,26 +8,29 @@ then inside each range, so no task sorts the whole input.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidParameters, MaxFiltersExceeded
-from ..functions.hashing import place
+from ..functions.hashing import Strategy, place, strategy_of
 from ..plans.sizing import standard
 from ..plans.slices import LEAST_RATE, MAX_SLICES, Growth, Slice, next_ratio, slice_plan
 from . import cardinality, membership
-from .scratch import drop_folder, shared_folder
+from .scratch import checkpointed, drop_folder, shared_folder
 
-RANGE_ROWS = 500_000  # about so many rows are ranked in a task
-MOST_RANGES = 10_000
+RANGE_ROWS = 100_000  # about so many rows are ranked in a task
+MOST_RANGES = 4  # that are cut by literals
+_BLOCK = 22  # bits of a position in a block of a slice
 _SAMPLES = 40  # for each range
 
 
@@ -45,10 +48,9 @@ def _literal(row: object, kind: str) -> Column:
 def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int | None = None) -> DataFrame:
     """``df`` with each row's rank, from 1, in a total order of the columns, nulls first.
 
-    Ranges are cut at sampled values of all order columns, which are literals of the plan, so a repeated
-    task deals rows alike.  Their number follows the number of rows; the sample is a fixed share for each.
-    A row finds its range in two steps, so a plan of n ranges makes about 2 sqrt(n) comparisons for it.  Rows of more than
-    ``MOST_RANGES`` ranges are dealt by Spark's range partitioning and stored in order, with the same ranks.
+    Rows of more than ``MOST_RANGES`` ranges are dealt by Spark's range partitioning and stored in order, so that no row is compared
+    with more cuts than a binary search takes.  Fewer ranges are cut at sampled values of all order columns, which are literals
+    of the plan, so a repeated task deals rows alike; both give the same ranks.
     """
     rows = df.count() if rows is None else rows
     ranges = -(-rows // RANGE_ROWS)
@@ -76,6 +78,8 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int |
     parts = df.withColumn("_part", part.cast("int"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if groups:  # a range is a task, whatever the number of shuffle partitions
+        parts = parts.repartitionById(len(cuts) + 1, "_part")
     parts = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     # MOST_RANGES rows at most
     return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
@@ -106,49 +110,109 @@ def assigned(df: DataFrame, order: Sequence[str], plan: list[Slice], strict: boo
     return out.withColumn("slice", slice_of(F.col("_rank"), plan)).drop("_rank")
 
 
-def _slots(hashes: Column, s: Slice) -> Column:
-    """The positions of a key in a slice, shard after shard, with the slice: an array of structs."""
-    _, second = place(s.spec)
-    wide = 64 * _stride(s)
-    return F.array(*(F.struct(F.lit(s.number).alias("slice"), (g * wide + p).cast("long").alias("pos")) for g, p in second([hashes[0], hashes[1]])))
-
-
 def _stride(s: Slice) -> int:
     """Words of a shard."""
     return -(-s.spec.m // 64)
 
 
 def _hashed(df: DataFrame, key: str, plan: list[Slice], *more: str) -> DataFrame:
+    """The columns ``more`` and the hashes, of rows with a key."""
     first, _ = place(plan[0].spec)
-    return df.where(F.col(key).isNotNull()).select(*more, F.array(*first(F.col(key))).alias("_h"))
+    return df.where(F.col(key).isNotNull()).select(*more, *(h.alias(f"_h{i}") for i, h in enumerate(first(F.col(key)))))
 
 
-_BIT = "shiftleft(1L, CAST(p.pos % 64 AS INT))"
+def _slots(h: list[np.ndarray], s: Slice, how: Strategy) -> Iterator[np.ndarray]:
+    """The k positions of keys with these hashes in a slice, shard after shard."""
+    wide = 64 * _stride(s)
+    return (g * wide + pos for g, pos in membership.slots(h, s.spec, how))
+
+
+def _packed(number: int, at: np.ndarray, wide: int) -> pa.RecordBatch:
+    """(slice, block, at): distinct positions by block, as places there of four bytes each."""
+    at = np.sort(at)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    block = at >> wide
+    start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    ends = np.append(start, len(at)).astype("<i4") * 4
+    places = (at & ((1 << wide) - 1)).astype("<u4")
+    packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(places)])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), number, np.int32)), pa.array(block[start]), packed], names=["slice", "block", "at"])
 
 
 def build(df: DataFrame, key: str, plan: list[Slice]) -> DataFrame:
-    """Words of all slices, slice as filter_id, of rows that have a slice: one pass over the rows."""
-    own = reduce(lambda found, s: F.when(F.col("slice") == s.number, _slots(F.col("_h"), s)).otherwise(found), plan[1:], _slots(F.col("_h"), plan[0]))
-    at = _hashed(df, key, plan, "slice").select(F.explode(own).alias("p"))
-    words = at.groupBy(F.col("p.slice").cast("string").alias("filter_id"), F.expr("p.pos div 64").alias("word")).agg(F.bit_or(F.expr(_BIT)).alias("bits"))
-    return words.select("filter_id", F.lit(0).cast("long").alias("grp"), "word", "bits")
+    """Words of all slices, slice as filter_id, of rows that have a slice: one pass over the rows.
+
+    A task packs the positions of a batch of rows by blocks of 4 million bits, and blocks are set one after the other, in as many
+    tasks as the slices' bits need: what a task holds depends neither on the rows nor on the size of a slice.
+    """
+    how, wide = [strategy_of(s.spec) for s in plan], _BLOCK
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, h = batch.column(0).to_numpy(), [c.to_numpy() for c in batch.columns[1:]]
+            for s, strategy in zip(plan, how):
+                own = np.flatnonzero(number == s.number)
+                if len(own):
+                    yield _packed(s.number, np.concatenate(list(_slots([x[own] for x in h], s, strategy))), wide)
+
+    def words(on: np.ndarray, number: int, block: int) -> pa.RecordBatch:
+        bits = np.packbits(on, bitorder="little").view("<i8")
+        at = np.flatnonzero(bits)
+        columns = [pa.array([str(number)] * len(at)), pa.array(np.zeros(len(at), np.int64)), pa.array(at + (block << wide - 6)), pa.array(bits[at])]
+        return pa.RecordBatch.from_arrays(columns, names=["filter_id", "grp", "word", "bits"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, on = None, np.zeros(1 << wide, bool)
+        for batch in batches:
+            for *own, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if last is not None and last != own:
+                    yield words(on, *last)
+                    on[:] = False
+                last = own
+                on[np.frombuffer(at.as_buffer(), "<u4")] = True
+        if last is not None:
+            yield words(on, *last)
+
+    parts = _hashed(df, key, plan, "slice").mapInArrow(pack, "slice int, block long, at binary")
+    tasks = sum(-(-64 * s.spec.groups * _stride(s) >> wide) for s in plan)
+    return parts.repartition(max(1, -(-tasks // 4)), "slice", "block").sortWithinPartitions("slice", "block").mapInArrow(put, membership.WORDS)
+
+
+def _split(plan: list[Slice], most: int) -> tuple[list[Slice], list[Slice]]:
+    """The smallest slices whose words are at most so many bytes together, and the others."""
+    small, room = set(), most
+    for s in sorted(plan, key=lambda s: s.spec.groups * _stride(s)):
+        room -= 8 * s.spec.groups * _stride(s)
+        if room < 0:
+            break
+        small.add(s.number)
+    return [s for s in plan if s.number in small], [s for s in plan if s.number not in small]
 
 
-def masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "mask") -> DataFrame:
+def masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "mask", broadcast_bytes: int | None = None) -> DataFrame:
     """``df`` with a number whose bit i says that the key may be in slice i; null keys are in none.
 
-    All slices are one broadcast bitmap if they are small, as the plan tells; else they are joined.
+    The smallest slices are one broadcast bitmap of at most ``broadcast_bytes`` (``membership.BROADCAST_BYTES`` by default), as
+    the plan tells; only larger ones are joined.  Of slices that grow geometrically these are the last few.
     """
     if max(s.number for s in plan) >= MAX_SLICES:
         raise MaxFiltersExceeded(f"a plan has at most {MAX_SLICES} slices")
+    small, large = _split(plan, membership.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+    if large:
+        words = checkpointed(words)  # read more than once
+    found = _masks_bitmap(df, key, words, small, out) if small else df.withColumn(out, F.lit(0).cast("long"))
+    if not large:
+        return found
+    own = _joined(df, key, words, large).groupBy(F.col("k").alias("_k")).agg(F.bit_or(F.expr("shiftleft(1L, slice)")).alias("_more"))
+    return found.join(own, found[key] == own["_k"], "left").withColumn(out, F.col(out).bitwiseOR(F.coalesce("_more", F.lit(0).cast("long")))).drop("_k", "_more")
+
+
+def _masks_bitmap(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str) -> DataFrame:
     stride = [s.spec.groups * _stride(s) for s in plan]
-    if 8 * sum(stride) > membership.BROADCAST_BYTES:
-        bit = F.expr("shiftleft(1L, slice)")
-        own = matches(df, key, words, plan).groupBy(F.col(key).alias("_k")).agg(F.bit_or(bit).alias(out))
-        return df.join(own, df[key] == own["_k"], "left").drop("_k").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
     start = np.concatenate([[0], np.cumsum(stride)]).tolist()
     base = F.get(F.array(*(F.lit(x).cast("long") for x in _by_number(plan, start))), F.col("filter_id").cast("int"))
-    bits = df.sparkSession.sparkContext.broadcast(membership.bitmap(words, start[-1], base + F.col("word")))
+    own = words.where(F.col("filter_id").isin([str(s.number) for s in plan]))
+    bits = df.sparkSession.sparkContext.broadcast(membership.bitmap(own, start[-1], base + F.col("word")))
     first, _ = place(plan[0].spec)
 
     @F.pandas_udf("long")
@@ -173,16 +237,51 @@ def _by_number(plan: list[Slice], start: list[int]) -> list[int]:
     return out
 
 
-def matches(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
-    """(key, slice) for each slice that a distinct key may be in: one lookup of all slices' words."""
+def _joined(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
+    """(k, slice) for each slice that a distinct key may be in, by joins with words.
+
+    A key's first position in a slice is looked up alone: only where it is set, which it is for every key of the slice
+    and for as many others as the slice is full, the rest follow.
+    """
     keys = df.select(F.col(key).alias("k")).where("k is not null").distinct()
-    at = _hashed(keys, "k", plan, "k").select("k", F.explode(F.concat(*(_slots(F.col("_h"), s) for s in plan))).alias("p"))
-    need = at.groupBy("k", "p.slice", F.expr("p.pos div 64").alias("word")).agg(F.bit_or(F.expr(_BIT)).alias("need"))
-    have = words.select(F.col("filter_id").cast("int").alias("slice"), "word", "bits")
-    found = need.join(have, ["slice", "word"], "left").groupBy("k", "slice").agg(
-        F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"), F.lit(False))).alias("hit")
-    )
-    return found.where("hit").select(F.col("k").alias(key), "slice")
+    have = words.select(F.col("filter_id").cast("int").alias("slice"), "word", "bits").where(F.col("slice").isin([s.number for s in plan]))
+    hashed = _hashed(keys, "k", plan, "k")
+    first = _needed(hashed, plan, hashed.columns[1:], lead=True).join(have, ["slice", "word"])
+    open_ = first.where(F.col("bits").bitwiseAND(F.col("need")) == F.col("need")).select("k", *hashed.columns[1:], "slice")
+    rest = _needed(open_, plan).join(have, ["slice", "word"], "left")
+    hit = F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"), F.lit(False)))
+    return rest.groupBy("k", "slice").agg(hit.alias("hit")).where("hit").select("k", "slice")
+
+
+def _needed(keys: DataFrame, plan: list[Slice], more: Sequence[str] = (), lead: bool = False) -> DataFrame:
+    """(k, slice, word, need): the bits of keys (k, hashes) in all slices, or in their own ``slice``.
+
+    ``lead``: the first position only, with the columns ``more``.
+    """
+    how = [strategy_of(s.spec) for s in plan]
+    own, count = "slice" in keys.columns, sum(c.startswith("_h") for c in keys.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [c.to_numpy() for c in batch.columns[1 : 1 + count]]
+            for s, strategy in zip(plan, how):
+                rows = np.flatnonzero(batch.column("slice").to_numpy() == s.number) if own else np.arange(batch.num_rows)
+                if not len(rows):
+                    continue
+                slots = _slots([x[rows] for x in h], s, strategy)
+                for pos in islice(slots, 1) if lead else slots:
+                    columns = [batch.column(c).take(pa.array(rows)) for c in ("k", *more)]
+                    word, need = pa.array(pos >> 6), pa.array(np.left_shift(np.int64(1), pos & 63))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), s.number, np.int32)), word, need], names=["k", *more, "slice", "word", "need"])
+
+    kind = T.StructType([f for f in keys.schema.fields if f.name in ("k", *more)])
+    return keys.mapInArrow(run, kind.add("slice", T.IntegerType()).add("word", T.LongType()).add("need", T.LongType()))
+
+
+def matches(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], broadcast_bytes: int | None = None) -> DataFrame:
+    """(key, slice) for each slice that a distinct key may be in: ``masks`` as rows."""
+    found = masks(df.select(key).where(F.col(key).isNotNull()).distinct(), key, words, plan, "_mask", broadcast_bytes)
+    return found.select(key, F.explode(_bits(F.col("_mask"), plan)).alias("slice"))
 
 
 def _bits(mask: Column, plan: list[Slice]) -> Column:

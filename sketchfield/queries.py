@@ -667,9 +667,10 @@ def scalable_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SLICES_SQL}, {_WORDS_SQL}, {_MATCHES_SQL} SELECT DISTINCT k FROM hit")
 def scalable_matches_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lookup by joins, as for slices that are too large to broadcast."""
+    """The lookup by joins, as for slices that are too large to broadcast: of the last slices, which have three quarters of all bits."""
     events, rows, plan = _sliced(spark, sf_dir)
-    return growing.matches(events, "k", growing.build(rows, "k", plan), plan).select("k").distinct()
+    most = min(membership.BROADCAST_BYTES, sum(s.spec.memory_bytes for s in plan) // 4)
+    return growing.matches(events, "k", growing.build(rows, "k", plan), plan, most).select("k").distinct()
 
 
 def _batched(spark: SparkSession, sf_dir: str) -> GrowingStore:
