@@ -1,9 +1,9 @@
 """Sketches as one binary value for each group: filters and HyperLogLog registers that a table of groups carries.
 
-Building is a grouped aggregation without a row for each position: a task holds an array for each group that it has
-seen, of up to ``HELD_BYTES`` together, and hands them on as packed values; equal groups are then merged by OR, or by the
+Building is a grouped aggregation without a row for each position: a task turns rows of up to ``HELD_BYTES`` at once, with what
+they set, into the cells of their groups, however many groups these are; cells of equal groups are then merged by OR, or by the
 largest rank, over rows sorted by group, so a task holds one group at a time, however many values it has.  Groups may have any number
-of rows; one with a third of all makes a value for each task.
+of rows; one with a third of all makes its cells once for each of these parts.
 
 A filter's bytes are those of ``store.to_bytes``: bit p of group g is bit p % 8 of byte g * stride + p // 8.  A sketch of
 registers is sparse (register and rank in four bytes each, in order) up to ``SPARSE`` registers and dense (a byte each) beyond.
@@ -30,6 +30,9 @@ SPARSE = 4_096
 #: Keys that are looked up in a table of filters at once.
 MOST_KEYS = 100_000
 _SCHEMA = "filter_id string, packed binary"
+_CELL = np.dtype([("at", "<u4"), ("value", "u1")])
+_MOST_CELLS = 4_096  # of a group in a row, so that batches of rows stay small
+_OUT_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -87,58 +90,114 @@ def _register_cells(h: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
 _REGISTERS = _Kind(cardinality.REGISTERS, np.maximum, _register_cells, ranks_to_bytes, bytes_to_ranks)
 
 
-def _rows(held: dict[str | None, np.ndarray], kind: _Kind) -> Iterator[pa.RecordBatch]:
-    ids = list(held)
-    for a in range(0, len(ids), 256):
-        some = ids[a : a + 256]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([kind.encode(held[i]) for i in some], pa.binary())], names=["filter_id", "packed"])
-
-
-def _partial(df: DataFrame, by: Column | str, hashes: Sequence[Column], kind: _Kind) -> DataFrame:
-    """(filter_id, packed): what each task's rows make."""
+def _batch(ids: list[str | None], values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), values], names=["filter_id", "packed"])
+
+
+def _rows(values: Iterator[tuple[str | None, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Packed values in batches of up to about ``_OUT_BYTES``."""
+    ids: list[str | None] = []
+    held: list[bytes] = []
+    size = 0
+    for name, data in values:
+        ids.append(name)
+        held.append(data)
+        size += len(data)
+        if size >= _OUT_BYTES or len(ids) >= 10_000:
+            yield _batch(ids, pa.array(held, pa.binary()))
+            ids, held, size = [], [], 0
+    if ids:
+        yield _batch(ids, pa.array(held, pa.binary()))
+
+
+def _cells(rows: list[pa.RecordBatch], kind: _Kind) -> Iterator[pa.RecordBatch]:
+    """(filter_id, packed): the cells that rows of groups and hashes set, by group, in rows of up to ``_MOST_CELLS``."""
+    table = pa.Table.from_batches(rows)
+    coded = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    code, names = coded.indices.to_numpy().astype(np.int64) * kind.size, coded.dictionary.to_pylist()
+    found = [(code + at, np.broadcast_to(value, len(code))) for at, value in kind.cells([c.to_numpy() for c in table.columns[1:]])]
+    at, value = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at)
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    group, cell = np.divmod(at[first], kind.size)
+    own = np.empty(len(first), _CELL)
+    own["at"], own["value"] = cell, kind.put.reduceat(value[order], first)
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    start = np.union1d(start, np.arange(0, len(group), _MOST_CELLS))
+    ends = (np.append(start, len(group)) * _CELL.itemsize).astype("<i4")
+    packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+    yield _batch([names[g] for g in group[start].tolist()], packed)
+
+
+def _partial(df: DataFrame, by: Column | str, hashes: Sequence[Column], kind: _Kind, per_row: int) -> DataFrame:
+    """(filter_id, packed): the cells of groups that a task's rows set, at most ``HELD_BYTES`` of rows and cells at once."""
     own = df.select((F.col(by) if isinstance(by, str) else by).cast("string").alias("_by"), *(h.alias(f"h{i}") for i, h in enumerate(hashes))).where("h0 is not null")
+    most = max(1, HELD_BYTES // (48 * per_row))  # indices, their order, values and copies of these
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, np.ndarray] = {}
+        rows: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column(0).dictionary_encode(null_encoding="encode")
-            code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            h = [c.to_numpy() for c in batch.columns[1:]]
-            order = np.argsort(code, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
-                name = names[code[part[0]]]
-                into = held.get(name)
-                if into is None:
-                    if held and (len(held) + 1) * kind.size > HELD_BYTES:
-                        yield from _rows(held, kind)
-                        held = {}
-                    into = held[name] = np.zeros(kind.size, np.uint8)
-                for at, value in kind.cells([x[part] for x in h]):
-                    kind.put.at(into, at, value)
-        yield from _rows(held, kind)
+            for a in range(0, batch.num_rows, most):
+                part = batch.slice(a, most)
+                if n and n + part.num_rows > most:
+                    yield from _cells(rows, kind)
+                    rows, n = [], 0
+                rows.append(part)
+                n += part.num_rows
+        if n:
+            yield from _cells(rows, kind)
 
     return own.mapInArrow(run, _SCHEMA)
 
 
-def _merged(values: DataFrame, kind: _Kind) -> DataFrame:
-    """One value for each filter_id."""
+def _gathered(parts: DataFrame, kind: _Kind) -> DataFrame:
+    """One packed value for each filter_id of ``_partial``, a group at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
+        last: tuple[str | None] | None = None
+        sum_ = np.zeros(kind.size, np.uint8)
+        for batch in batches:
+            names, data = batch.column(0).to_pylist(), batch.column(1)
+            ends = np.frombuffer(data.buffers()[1], "<i4", len(data) + 1, 4 * data.offset)
+            cells = np.frombuffer(data.buffers()[2], _CELL, (ends[-1] - ends[0]) // _CELL.itemsize, ends[0])
+            at, value, ends = cells["at"].astype(np.int64), cells["value"], ((ends - ends[0]) // _CELL.itemsize).tolist()
+            i = 0
+            while i < len(names):
+                j = i + 1
+                while j < len(names) and names[j] == names[i]:
+                    j += 1
+                if last is not None and last[0] != names[i]:
+                    yield last[0], kind.encode(sum_)
+                    sum_[:] = 0
+                last = (names[i],)
+                kind.put.at(sum_, at[ends[i] : ends[j]], value[ends[i] : ends[j]])
+                i = j
+        if last is not None:
+            yield last[0], kind.encode(sum_)
+
+    return parts.repartition("filter_id").sortWithinPartitions("filter_id").mapInArrow(lambda batches: _rows(values(b for b in batches if b.num_rows)), _SCHEMA)
+
+
+def _merged(packed: DataFrame, kind: _Kind) -> DataFrame:
+    """One value for each filter_id of packed values."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
         last: tuple[str | None] | None = None
         sum_ = np.zeros(kind.size, np.uint8)
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if last is not None and last[0] != name:
-                    yield from _rows({last[0]: sum_}, kind)
-                    sum_ = np.zeros(kind.size, np.uint8)
+                    yield last[0], kind.encode(sum_)
+                    sum_[:] = 0
                 last = (name,)
                 kind.put(sum_, kind.decode(data.as_py()), out=sum_)
         if last is not None:
-            yield from _rows({last[0]: sum_}, kind)
+            yield last[0], kind.encode(sum_)
 
-    return values.select("filter_id", "packed").where("packed is not null").repartition("filter_id").sortWithinPartitions("filter_id").mapInArrow(run, _SCHEMA)
+    own = packed.select("filter_id", "packed").where("packed is not null").repartition("filter_id").sortWithinPartitions("filter_id")
+    return own.mapInArrow(lambda batches: _rows(values(batches)), _SCHEMA)
 
 
 def build(df: DataFrame, key: Column | str, by: Column | str, spec: Spec) -> DataFrame:
@@ -146,7 +205,7 @@ def build(df: DataFrame, key: Column | str, by: Column | str, spec: Spec) -> Dat
     first, _ = place(spec)
     key = F.col(key) if isinstance(key, str) else key
     kind = _filter_kind(spec)
-    return _merged(_partial(df.where(key.isNotNull()), by, first(key), kind), kind)
+    return _gathered(_partial(df.where(key.isNotNull()), by, first(key), kind, spec.k), kind)
 
 
 def union(filters: DataFrame, spec: Spec) -> DataFrame:
@@ -209,7 +268,7 @@ def holding(filters: DataFrame, keys: DataFrame, key: str, spec: Spec) -> DataFr
 
 def registers(df: DataFrame, key: str, by: Column | str) -> DataFrame:
     """(filter_id, packed): a sketch of the distinct keys for each value of ``by``, with the registers of ``cardinality``."""
-    return _merged(_partial(df, by, [cardinality.hashed(F.col(key))], _REGISTERS), _REGISTERS)
+    return _gathered(_partial(df, by, [cardinality.hashed(F.col(key))], _REGISTERS, 1), _REGISTERS)
 
 
 def merged_registers(sketches: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,3 +125,11 @@ def test_a_strategy_of_ones_own(spark):
             hashing.register_strategy("one", 1, lambda h, i: h[0] + i)
     finally:
         del hashing.STRATEGIES["cubic"]
+
+
+def test_many_small_groups_go_in_few_batches_and_few_bytes():
+    """A row of a group takes bytes for what it sets, not an array of the sketch's size, and values go out together."""
+    rows = [pa.RecordBatch.from_arrays([pa.array([str(i % 2_000) for i in range(3_000)]), pa.array(np.arange(3_000, dtype=np.int64) << 20)], names=["_by", "h0"])]
+    (cells,) = packed._cells(rows, packed._REGISTERS)
+    assert cells.num_rows == 2_000 and cells.column(1).nbytes < 40_000
+    assert [b.num_rows for b in packed._rows((str(i), b"x") for i in range(3_000))] == [3_000]
