@@ -26,6 +26,8 @@ from .scratch import checkpointed
 SIZES = {4: 15, 8: 255, 16: 65535}
 #: Verified deletes that one task replays in order.
 TASK_DELETES = 500_000
+#: Counters of a filter for each task that adds up positions.
+TASK_COUNTERS = 2_000_000
 
 
 def counter_bits(max_count: int) -> int:
@@ -51,7 +53,12 @@ def _sized(cnt: Column, bits: int) -> Column:
 
 
 def hits(df: DataFrame, key: Column | str, spec: Spec) -> DataFrame:
-    return positions(df, key, spec).groupBy("pos").agg(F.count(F.lit(1)).alias("hits"))
+    """(pos, hits).  For a large filter, keys are counted first, and positions go to as many tasks as its counters need."""
+    tasks = -(-spec.m // TASK_COUNTERS)
+    if tasks == 1:
+        return positions(df, key, spec).groupBy("pos").agg(F.count(F.lit(1)).alias("hits"))
+    keys = df.select((F.col(key) if isinstance(key, str) else key).alias("_k")).where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_times"))
+    return positions(keys, "_k", spec, ["_times"]).repartition(tasks, "pos").groupBy("pos").agg(F.sum("_times").alias("hits"))
 
 
 def build(df: DataFrame, key: Column | str, spec: Spec, bits: int = 4) -> DataFrame:
