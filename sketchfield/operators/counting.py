@@ -9,6 +9,7 @@ the other are ``rejected`` (inserts), ``delete_batch`` and ``first_failure`` (ve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,29 +138,59 @@ def delete_batch(df: DataFrame, key: str, order: str, counters: DataFrame, spec:
     Deletes of one order value go by key.  ``deleted`` is never null:
 
     1. Counters only fall, so once a key's delete fails its later ones do, and its j-th needs j times what one takes.
-       Of a key with any number of deletes, as many as a counter holds go on.
+       Of a key with any number of deletes, as many as its counters hold may succeed.  A counter that holds enough for all that may
+       succeed fails none of them, so only deletes that ask for another one, a contested one, are open; these alone get a rank.
     2. While more than ``task`` deletes are open, these are enclosed from both sides: with all earlier ones that may succeed applied, a
        delete that still finds its counters succeeds; with those only that surely succeed, one that does not find them fails.
     3. Up to ``task`` open ones are replayed in order by one task, which holds the counters that they ask for.  If enclosing
        decides few, as on a long chain of deletes that hang on each other, the rest is replayed so, a task after the other.
     """
-    rows = ranked(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order])), list(dict.fromkeys([order, key])), "_n")
-    rows = checkpointed(rows)
-    nth = F.row_number().over(W.partitionBy(key).orderBy("_n"))
-    few = rows.withColumn("_j", nth).where(f"_j <= {SIZES[size_of(counters, bits)]}")  # limited before the shuffle
-    asked = positions(few, key, spec, ["_n", "_j"]).groupBy("_n", "_j", "pos").agg(F.count(F.lit(1)).alias("_w"))
-    at = asked.join(counters.select("pos", F.col("cnt").alias("_c")), "pos", "left").withColumn("_c", F.coalesce("_c", F.lit(0).cast("long")))
-    state = _settled(at, task)
-    return rows.join(state, "_n", "left").select(order, key, F.coalesce("_ok", F.lit(False)).alias("deleted"))
+    each, limit = W.partitionBy(key).orderBy(order), SIZES[size_of(counters, bits)]
+    own = df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order]))
+    few = own.withColumn("_j", F.row_number().over(each)).where(f"_j <= {limit}")  # limited before the shuffle
+    rows = checkpointed(few.withColumn("_last", F.lead(F.lit(1)).over(each).isNull()))
+    most, contested = _contested(rows.where("_last"), key, counters, spec)
+    some = contested.select(F.col("_k").alias(key), "_may").distinct()
+    open_ = checkpointed(rows.join(some, key).where("_j <= _may").select(*own.columns, "_j"))
+    if count := open_.count():
+        open_ = checkpointed(ranked(open_, list(dict.fromkeys([order, key, "_j"])), "_n", count).select("_n", F.col(key).alias("_k")))
+        state = _settled(open_.join(contested, "_k").select("_n", "pos", "_w", "_c"), task)
+        got = open_.join(state, "_n").groupBy("_k").agg(F.count(F.when(F.col("_ok"), 1)).alias("_got"))
+        most = most.join(got, "_k", "left").select("_k", F.coalesce("_got", "_may").alias("_may"))
+    out = rows.join(most.withColumnRenamed("_k", key), key).select(order, key, (F.col("_j") <= F.col("_may")).alias("deleted"))
+    full = rows.where(f"_j = {limit}").select(key)
+    return out if full.isEmpty() else out.union(_beyond(own, rows, full, key, order).select(order, key, F.lit(False)))
+
+
+def _beyond(own: DataFrame, rows: DataFrame, full: DataFrame, key: str, order: str) -> DataFrame:
+    """The deletes of ``own`` that are not in ``rows``, of keys with as many there as a counter holds."""
+    names, million = own.columns, 1_000_000
+    each = reduce(DataFrame.union, (t.join(full, key, "left_semi").select(*names, F.lit(sign).alias("_d")) for t, sign in ((own, 1), (rows, -1))))
+    more = each.groupBy(*names).agg(F.sum("_d").alias("_d")).where("_d > 0")
+    # equal deletes again as a row each, a million at a time
+    chunks = more.select(*names, "_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_d"), F.lit(million).cast("long"))).alias("_at"))
+    return chunks.select(*names, F.explode(F.sequence("_at", F.least("_d", F.col("_at") + (million - 1)))).alias("_i")).select(*names)
+
+
+def _contested(lasts: DataFrame, key: str, counters: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """Of each key's last delete, the _j-th: how many may succeed (_k, _may), and the counters (_k, _may, pos, _w, _c) that don't hold all that may."""
+    at = positions(lasts, key, spec, [F.col(key).alias("_k"), F.col("_j").alias("_asks")]).select("pos", "_k", "_asks")
+    at = at.join(counters.select("pos", F.col("cnt").cast("int").alias("_c")), "pos", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    at = at.withColumn("_w", F.count(F.lit(1)).over(W.partitionBy("pos", "_k")).cast("int"))  # a key that has a position twice has two rows
+    at = at.withColumn("_may", F.least("_asks", F.expr("int(_c div _w)")))
+    wanted = F.sum("_may").over(W.partitionBy("pos"))
+    at = checkpointed(at.select("_k", "pos", "_w", "_c", "_may", (wanted > F.col("_c")).alias("_short")))
+    most = checkpointed(at.groupBy("_k").agg(F.min("_may").alias("_may")))
+    # other counters may give a key less than this one would
+    some = at.where("_short").drop("_may", "_short").join(most.where("_may > 0"), "_k").withColumn("_wanted", wanted)
+    return most, checkpointed(some.where("_wanted > _c").drop("_wanted").distinct())
 
 
 def _settled(at: DataFrame, task: int) -> DataFrame:
-    """(_n, _ok) of deletes (_n, _j, pos, _w, _c)."""
-    at = checkpointed(at.withColumn("_all", F.sum(F.when(F.expr("_c >= _j * _w"), F.col("_w"))).over(W.partitionBy("pos"))))
-    # a counter below what is asked fails a delete at once; one with enough for all never does
-    lost, sure = F.bool_or(F.col("_c") < F.col("_j") * F.col("_w")), F.bool_and(F.col("_all") <= F.col("_c"))
-    state = checkpointed(at.groupBy("_n").agg(F.when(lost, F.lit(False)).when(sure, F.lit(True)).alias("_ok")))
-    open_, before = state.where("_ok is null").count(), None
+    """(_n, _ok) of open deletes (_n, pos, _w, _c)."""
+    at = checkpointed(at)
+    state = checkpointed(at.select("_n", F.lit(None).cast("boolean").alias("_ok")).distinct())
+    open_, before = state.count(), None
     while open_ > task and (before is None or open_ < 0.8 * before):
         state = _decided(state, _enclosed(at, state))
         before, open_ = open_, state.where("_ok is null").count()
