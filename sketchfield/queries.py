@@ -15,7 +15,7 @@ from .operators import cardinality, chains, counting, growing, ledger, membershi
 from .plans import sizing
 from .plans.slices import Growth, Slice, TreePlan, predict_fpr, sharded_plan, slice_plan
 from .plans.sizing import Spec
-from .operators.scratch import shared_folder
+from .operators.scratch import checkpointed, shared_folder
 from .sources import store
 from .sources.growing_store import GrowingStore
 from .streaming import counting_state
@@ -577,6 +577,7 @@ SELECT pos, (cnt - coalesce(gone, 0))::BIGINT AS cnt FROM net LEFT JOIN g USING
 def counting_after_delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters that the deletes leave."""
     counters, spec = _net(spark, sf_dir)
+    counters = checkpointed(counters)  # read before the deletes and after
     outcomes = counting.delete_batch(_again(spark, sf_dir), "o_orderkey", "n", counters, spec)
     return counting.after_deletes(counters, outcomes, "o_orderkey", spec)
 

@@ -6,7 +6,9 @@ from collections import Counter
 
 import pytest
 
+from sketchfield import queries
 from sketchfield.operators import counting, membership
+from sketchfield.operators.scratch import shared_folder
 from sketchfield.plans import sizing
 
 
@@ -56,3 +58,13 @@ def test_deletes_beyond_what_a_counter_holds_stay(spark):
     assert out.select("k", "n").exceptAll(deletes).count() == 0 and out.count() == 300
     won = out.where("deleted and k = 7").collect()
     assert [r["n"] for r in won] == [None, None]
+
+
+def test_counters_around_deletes_are_built_once(spark):
+    """What is left after the deletes comes of stored counters, not of the orders again; and they still know their size."""
+    orders = spark.range(60).selectExpr("id AS o_orderkey", "CASE WHEN id % 2 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus")
+    folder = shared_folder(spark, "tables")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    left = queries.counting_after_delete_batch(spark, folder)
+    assert "orders.parquet" not in left._jdf.queryExecution().toString()
+    assert counting.size_of(left) == 8 and left.where("cnt > 0").count() == left.count()
