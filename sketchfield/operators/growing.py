@@ -16,6 +16,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,11 +27,12 @@ from ..functions.hashing import Strategy, place, strategy_of
 from ..plans.sizing import standard
 from ..plans.slices import LEAST_RATE, MAX_SLICES, Growth, Slice, next_ratio, slice_plan
 from . import cardinality, membership
-from .scratch import checkpointed, drop_folder, shared_folder
+from .scratch import drop_folder, shared_folder, stored
 
 RANGE_ROWS = 100_000  # about so many rows are ranked in a task
 MOST_RANGES = 4  # that are cut by literals
 _BLOCK = 22  # bits of a position in a block of a slice
+_LEAD = 2  # positions of a key that are looked up first
 _SAMPLES = 40  # for each range
 
 
@@ -94,7 +96,8 @@ def _ranked_in_table(df: DataFrame, order: Sequence[str], name: str, ranges: int
     parts = spark.read.parquet(path)
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return parts.join(starts, "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    # a row for each range
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
 def slice_of(rank: Column, plan: list[Slice]) -> Column:
@@ -198,15 +201,25 @@ def masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str
     if max(s.number for s in plan) >= MAX_SLICES:
         raise MaxFiltersExceeded(f"a plan has at most {MAX_SLICES} slices")
     small, large = _split(plan, membership.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
-    if large:
-        words = checkpointed(words)  # read more than once
-    found = _masks_bitmap(df, key, words, small, out) if small else df.withColumn(out, F.lit(0).cast("long"))
     if not large:
-        return found
-    own = _joined(df, key, words, large).groupBy(F.col("k").alias("_k")).agg(F.bit_or(F.expr("shiftleft(1L, slice)")).alias("_more"))
+        return _masks_bitmap(df, key, words, small, out)
+    words = stored(words, shared_folder(words.sparkSession, "slices"))  # read more than once
+    found = _masks_bitmap(df, key, words, small, out) if small else df.withColumn(out, F.lit(0).cast("long"))
+    own = _joined(df, key, words, large).withColumnRenamed("k", "_k")
     return found.join(own, found[key] == own["_k"], "left").withColumn(out, F.col(out).bitwiseOR(F.coalesce("_more", F.lit(0).cast("long")))).drop("_k", "_more")
 
 
+def _key_masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str, broadcast_bytes: int | None = None) -> DataFrame:
+    """(key, out): ``masks`` of the distinct keys, null among them, without a join of these keys with themselves."""
+    small, large = _split(plan, membership.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+    if not large or max(s.number for s in plan) >= MAX_SLICES:
+        return masks(df.select(key).distinct(), key, words, plan, out, broadcast_bytes)
+    words = stored(words, shared_folder(words.sparkSession, "slices"))  # read more than once
+    own = _joined(df, key, words, large).withColumnRenamed("k", key)
+    found = _masks_bitmap(own, key, words, small, out) if small else own.withColumn(out, F.lit(0).cast("long"))
+    return found.select(key, F.col(out).bitwiseOR(F.col("_more")).alias(out))
+
+
 def _masks_bitmap(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str) -> DataFrame:
     stride = [s.spec.groups * _stride(s) for s in plan]
     start = np.concatenate([[0], np.cumsum(stride)]).tolist()
@@ -238,49 +251,148 @@ def _by_number(plan: list[Slice], start: list[int]) -> list[int]:
 
 
 def _joined(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
-    """(k, slice) for each slice that a distinct key may be in, by joins with words.
+    """(k, _more): each distinct key, null among them, with a mask of the slices that it may be in.
 
-    A key's first position in a slice is looked up alone: only where it is set, which it is for every key of the slice
-    and for as many others as the slice is full, the rest follow.
+    Keys are stored as bundles of some thousands with their hashes and masks, in which all slices are open first.  A bundle asks
+    each block of a slice in one row for all places that it needs there, and only the numbers of keys that miss one come back.  The first
+    ``_LEAD`` positions close a slice for nearly all keys that it doesn't hold, and the others are looked up for the rest.
     """
-    keys = df.select(F.col(key).alias("k")).where("k is not null").distinct()
-    have = words.select(F.col("filter_id").cast("int").alias("slice"), "word", "bits").where(F.col("slice").isin([s.number for s in plan]))
-    hashed = _hashed(keys, "k", plan, "k")
-    first = _needed(hashed, plan, hashed.columns[1:], lead=True).join(have, ["slice", "word"])
-    open_ = first.where(F.col("bits").bitwiseAND(F.col("need")) == F.col("need")).select("k", *hashed.columns[1:], "slice")
-    rest = _needed(open_, plan).join(have, ["slice", "word"], "left")
-    hit = F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"), F.lit(False)))
-    return rest.groupBy("k", "slice").agg(hit.alias("hit")).where("hit").select("k", "slice")
+    first, _ = place(plan[0].spec)
+    keys = df.select(F.col(key).alias("k")).distinct()
+    hashed = keys.select("k", *(F.coalesce(h, F.lit(-1).cast("long")).alias(f"_h{i}") for i, h in enumerate(first(F.col("k")))))
+    folder = shared_folder(df.sparkSession, "lookup")
+    state = stored(_bundled(hashed, plan), f"{folder}/first")
+    blocks = sum(-(-64 * s.spec.groups * _stride(s) >> _BLOCK) for s in plan)
+    have = _word_blocks(words.where(F.col("filter_id").isin([str(s.number) for s in plan])))
+    for lo, hi in ((0, _LEAD), (_LEAD, None)):
+        both = _asked(state, plan, lo, hi).union(have).repartition(max(1, -(-blocks // 4)), "slice", "block")
+        lost = _missed(both.sortWithinPartitions("slice", "block", "bundle"))
+        left = state.join(lost.groupBy("bundle").agg(F.collect_list(F.struct("slice", "rows")).alias("lost")), "bundle", "left")
+        state = _closed(left, state)
+        if hi:
+            state = stored(state, f"{folder}/open")  # read twice
+            drop_folder(df.sparkSession, f"{folder}/first")
+    return state.select(F.explode(F.arrays_zip("k", "mask")).alias("_x")).select("_x.k", F.col("_x.mask").alias("_more"))
+
+
+def _bundled(hashed: DataFrame, plan: list[Slice]) -> DataFrame:
+    """(bundle, k, mask, hashes): up to 16,384 keys in a row, which has an array of each column."""
+    every = int(np.bitwise_or.reduce([np.left_shift(np.int64(1), np.int64(s.number)) for s in plan]))
+    names = hashed.columns[1:]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33  # type: ignore[union-attr]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 14):
+                batch = whole.slice(at, 1 << 14)
+                mask = pa.array(np.where(batch.column(1).to_numpy() >= 0, np.int64(every), np.int64(0)))
+                ends = pa.array([0, batch.num_rows], pa.int32())
+                columns = [pa.ListArray.from_arrays(ends, c) for c in (batch.column(0), mask, *batch.columns[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *columns], names=["bundle", "k", "mask", *names])
+                number += 1
 
-def _needed(keys: DataFrame, plan: list[Slice], more: Sequence[str] = (), lead: bool = False) -> DataFrame:
-    """(k, slice, word, need): the bits of keys (k, hashes) in all slices, or in their own ``slice``.
+    kind = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("k", T.ArrayType(hashed.schema["k"].dataType))])
+    for name in ("mask", *names):
+        kind = kind.add(name, T.ArrayType(T.LongType()))
+    return hashed.mapInArrow(run, kind)
 
-    ``lead``: the first position only, with the columns ``more``.
-    """
-    how = [strategy_of(s.spec) for s in plan]
-    own, count = "slice" in keys.columns, sum(c.startswith("_h") for c in keys.columns)
+
+_ASKED = "slice int, block long, bundle long, at binary, value binary"
+
+
+def _cut(number: int, bundle: int, block: np.ndarray, at: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """A row for each block, with the places there, of four bytes each, and what belongs to them."""
+    order = np.argsort(block.astype(np.min_scalar_type(int(block.max()))), kind="stable")
+    block = block[order]
+    start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    ends = np.append(start, len(block))
+    packed = [pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * x.itemsize).astype("<i4")), pa.py_buffer(x[order])]) for x in (at.astype("<u4"), value)]
+    columns = [pa.array(np.full(len(start), number, np.int32)), pa.array(block[start]), pa.array(np.full(len(start), bundle, np.int64)), *packed]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "block", "bundle", "at", "value"])
+
+
+def _asked(state: DataFrame, plan: list[Slice], lo: int, hi: int | None) -> DataFrame:
+    """``_ASKED`` of bundles: the positions from ``lo`` to ``hi`` of keys in slices that are open, with the keys' numbers."""
+    how, wide = [strategy_of(s.spec) for s in plan], _BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = [c.to_numpy() for c in batch.columns[1 : 1 + count]]
-            for s, strategy in zip(plan, how):
-                rows = np.flatnonzero(batch.column("slice").to_numpy() == s.number) if own else np.arange(batch.num_rows)
-                if not len(rows):
+            for i, bundle in enumerate(batch.column("bundle").to_pylist()):
+                mask, *h = (batch.column(c)[i].values.to_numpy() for c in batch.schema.names[2:])
+                for s, strategy in zip(plan, how):
+                    rows = np.flatnonzero(mask >> s.number & 1)
+                    slots = list(islice(_slots([x[rows] for x in h], s, strategy), lo, hi)) if len(rows) else []
+                    if slots:
+                        at = np.concatenate(slots)
+                        yield _cut(s.number, bundle, at >> wide, at & ((1 << wide) - 1), np.tile(rows.astype("<u2"), len(slots)))
+
+    return state.mapInArrow(run, _ASKED)
+
+
+def _word_blocks(words: DataFrame) -> DataFrame:
+    """``_ASKED`` of words: their places and bits, as a bundle of -1, which comes first in a block."""
+    wide = _BLOCK - 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, word, bits = (c.to_numpy() for c in batch.columns)
+            for n in np.unique(number).tolist():
+                own = number == n
+                yield _cut(n, -1, word[own] >> wide, word[own] & ((1 << wide) - 1), bits[own].astype("<i8"))
+
+    return words.select(F.col("filter_id").cast("int"), "word", "bits").mapInArrow(run, _ASKED)
+
+
+def _missed(both: DataFrame) -> DataFrame:
+    """(bundle, slice, rows): the numbers of keys that ask for a bit that isn't set; of rows that are ordered by slice, block and bundle."""
+    wide = _BLOCK - 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, on = None, np.zeros(1 << wide, np.int64)
+        for batch in batches:
+            found: list[tuple[int, int, bytes]] = []
+            number, block, bundle = (c.to_pylist() for c in batch.columns[:3])
+            for *own, who, at, value in zip(number, block, bundle, batch.column("at"), batch.column("value")):
+                if own != last:
+                    last = own
+                    on[:] = 0
+                place_ = np.frombuffer(at.as_buffer(), "<u4")
+                if who < 0:
+                    on[place_] |= np.frombuffer(value.as_buffer(), "<i8")
                     continue
-                slots = _slots([x[rows] for x in h], s, strategy)
-                for pos in islice(slots, 1) if lead else slots:
-                    columns = [batch.column(c).take(pa.array(rows)) for c in ("k", *more)]
-                    word, need = pa.array(pos >> 6), pa.array(np.left_shift(np.int64(1), pos & 63))
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), s.number, np.int32)), word, need], names=["k", *more, "slice", "word", "need"])
+                rows = np.frombuffer(value.as_buffer(), "<u2")[on[place_ >> 6] >> (place_ & 63) & 1 == 0]
+                if len(rows):
+                    found.append((who, own[0], rows.tobytes()))
+            if found:
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bundle", "slice", "rows"])
+
+    return both.mapInArrow(run, "bundle long, slice int, rows binary")
+
+
+def _closed(left: DataFrame, state: DataFrame) -> DataFrame:
+    """Bundles with the slices closed that keys have ``lost``."""
+    names = state.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks_ = []
+            for mask, lost in zip(batch.column("mask"), batch.column("lost")):
+                own = mask.values.to_numpy().copy()
+                if lost.is_valid:
+                    for n, rows in zip(lost.values.field("slice").to_pylist(), lost.values.field("rows")):
+                        own[np.frombuffer(rows.as_buffer(), "<u2")] &= ~np.left_shift(np.int64(1), np.int64(n))
+                masks_.append(own)
+            ends = pa.array(np.cumsum([0, *map(len, masks_)]), pa.int32())
+            new = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(masks_) if masks_ else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([new if c == "mask" else batch.column(c) for c in names], names=names)
 
-    kind = T.StructType([f for f in keys.schema.fields if f.name in ("k", *more)])
-    return keys.mapInArrow(run, kind.add("slice", T.IntegerType()).add("word", T.LongType()).add("need", T.LongType()))
+    return left.mapInArrow(run, state.schema)
 
 
 def matches(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], broadcast_bytes: int | None = None) -> DataFrame:
     """(key, slice) for each slice that a distinct key may be in: ``masks`` as rows."""
-    found = masks(df.select(key).where(F.col(key).isNotNull()).distinct(), key, words, plan, "_mask", broadcast_bytes)
+    found = _key_masks(df.where(F.col(key).isNotNull()), key, words, plan, "_mask", broadcast_bytes)
     return found.select(key, F.explode(_bits(F.col("_mask"), plan)).alias("slice"))
 
 
@@ -291,7 +403,7 @@ def _bits(mask: Column, plan: list[Slice]) -> Column:
 
 def provenance(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], newest_first: bool = False) -> DataFrame:
     """(key, slice): the first slice, or the last, that each distinct key may be in; null if none."""
-    found = masks(df.select(key).distinct(), key, words, plan, "_mask")
+    found = _key_masks(df, key, words, plan, "_mask")
     own = _bits(F.col("_mask"), plan)
     return found.select(key, (F.array_max(own) if newest_first else F.array_min(own)).alias("slice"), F.bit_count("_mask").cast("long").alias("n_slices"))
 
@@ -354,8 +466,9 @@ def growth_health(stats: DataFrame) -> DataFrame:
 
 def traced(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
     """(key, trace): for each distinct key the slices in order, with whether they match, hashes, bits and fill, and the bits tested until the first match."""
+    words = stored(words, shared_folder(words.sparkSession, "slices"))  # read more than once
     fills = {r["slice"]: r["fill_rate"] for r in slice_statistics(words, plan).collect()}  # a row for each slice
-    found = masks(df.select(key).distinct(), key, words, plan, "_mask")
+    found = _key_masks(df, key, words, plan, "_mask")
     steps = F.array(
         *(
             F.struct(

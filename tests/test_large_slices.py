@@ -45,3 +45,36 @@ def test_rows_of_many_ranges_are_compared_with_few_cuts(spark, monkeypatch):
     ranks = growing.ranked(spark.range(2_000), ["id"])
     assert "lambda" not in ranks._jdf.queryExecution().toString()
     assert ranks.where("rank != id + 1").count() == 0
+
+
+def test_a_lookup_asks_a_block_in_one_row(spark, grown, monkeypatch):
+    """Keys of any type, null among them; rows that are shuffled don't grow with a key's positions, but with bundles and blocks."""
+    words, plan = grown
+    for kind in ("bigint", "string", "timestamp"):
+        probes = spark.range(700, 1_200).select(F.when(F.col("id") % 90 != 0, F.col("id")).cast(kind).alias("id"))
+        own = words if kind != "timestamp" else growing.build(growing.assigned(spark.range(800), ["id"], plan).withColumn("id", F.col("id").cast(kind)), "id", plan)
+        want = {r["id"]: r["m"] for r in growing.masks(probes, "id", own, plan, "m").collect()}
+        monkeypatch.setattr(growing.membership, "BROADCAST_BYTES", 0)
+        for block in (8, 22):
+            monkeypatch.setattr(growing, "_BLOCK", block)
+            assert {r["k"]: r["_more"] for r in growing._joined(probes, "id", own, plan).collect()} == want
+            found = growing.provenance(probes, "id", own, plan).collect()
+            assert {r["id"]: r["n_slices"] for r in found} == {k: m.bit_count() for k, m in want.items()} and len(found) == len(want)
+        monkeypatch.undo()
+    asked, real = [], growing._missed
+    monkeypatch.setattr(growing, "_missed", lambda both: asked.append(both.where("bundle >= 0").count()) or real(both))
+    growing._joined(spark.range(600, 1_600).coalesce(1), "id", words, plan).collect()
+    assert 0 < max(asked) <= 4 * len(plan)  # a block for each slice, of at most as many bundles as tasks
+
+
+def test_traced_builds_slices_once(spark, grown):
+    words, plan = grown
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    growing.traced(spark.range(100), "id", words.mapInArrow(watched, words.schema), plan).collect()
+    assert seen.value == words.count()
