@@ -1,8 +1,8 @@
 """Filters that grow in slices, by order of arrival.
 
-Which slice an arrival goes to depends only on its rank, so a batch is assigned by comparing ranks
-with the slices' first ranks.  Ranks are counted in two levels, in ranges of the order columns and
-then inside each range, so no task sorts the whole input.
+Which slice an arrival goes to depends only on its rank, so a batch is assigned by comparing rows
+with the slices' first arrivals.  Where ranks themselves are wanted, they are counted in two levels, in ranges of
+the order columns and then inside each range, so no task sorts the whole input.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ from .scratch import drop_folder, shared_folder, stored
 RANGE_ROWS = 100_000  # about so many rows are ranked in a task
 MOST_RANGES = 4  # that are cut by literals
 _BLOCK = 22  # bits of a position in a block of a slice
+_PACK_ROWS = 1 << 17  # rows, or keys, whose positions a task packs together
 _LEAD = 2  # positions of a key that are looked up first
 _SAMPLES = 40  # for each range
+_SAMPLED = 40_000  # rows that a round of the search for first arrivals takes, and how many rounds it has
+_ROUNDS = 8
 
 
 def _ordered(df: DataFrame, order: Sequence[str]) -> Column:
@@ -105,12 +108,86 @@ def slice_of(rank: Column, plan: list[Slice]) -> Column:
     return reduce(lambda found, s: F.when(rank >= s.first, F.lit(s.number)).otherwise(found), plan, F.lit(0))
 
 
-def assigned(df: DataFrame, order: Sequence[str], plan: list[Slice], strict: bool = False, rows: int | None = None) -> DataFrame:
-    """``df`` with its slice. ``strict``: more arrivals than the plan holds are an error."""
-    out = ranked(df, order, "_rank", rows)
-    if strict and out.where(F.col("_rank") >= plan[-1].first + plan[-1].threshold).limit(1).count():
+def assigned(df: DataFrame, order: Sequence[str], plan: list[Slice], strict: bool = False, rows: int | None = None, before: int = 0) -> DataFrame:
+    """``df`` with its slice, of arrivals after so many ``before``. ``strict``: more arrivals than the plan holds are an error.
+
+    Beyond ``MOST_RANGES`` ranges only the first arrivals of slices are looked for, and rows are compared with them: no row moves.
+    """
+    rows = df.count() if rows is None else rows
+    if strict and before + rows >= plan[-1].first + plan[-1].threshold:
         raise MaxFiltersExceeded("more arrivals than the slices hold")
-    return out.withColumn("slice", slice_of(F.col("_rank"), plan)).drop("_rank")
+    opened = [s for s in plan if 1 < s.first - before <= rows]
+    if rows > MOST_RANGES * RANGE_ROWS:
+        firsts = _first_values(df, order, [s.first - before for s in opened], rows)
+        if firsts is not None:
+            open_before = [0, *(s.number for s in plan if s.first - before <= 1)][-1]
+            numbers = F.array(F.lit(open_before), *(F.lit(s.number) for s in opened))
+            return _parted(df.withColumn("_k", _ordered(df, order)), firsts).withColumn("slice", F.get(numbers, F.col("_p"))).drop("_k", "_p")
+    out = ranked(df, order, "_rank", rows)
+    return out.withColumn("slice", slice_of(F.col("_rank") + F.lit(before), plan)).drop("_rank")
+
+
+def _parted(keys: DataFrame, cuts: list[Column]) -> DataFrame:
+    """``keys`` with the number of the rising cuts, literals of the plan, that are at most ``_k``, as ``_p``: a comparison for each halving."""
+    out, step = keys.withColumn("_p", F.lit(0)), 1 << len(cuts).bit_length()
+    while step > 1:
+        step //= 2
+        beyond = F.get(F.array(*cuts), F.col("_p") + (step - 1)) <= F.col("_k")  # null past the last cut
+        out = out.withColumn("_p", F.when(beyond, F.col("_p") + step).otherwise(F.col("_p")))
+    return out
+
+
+def _first_values(df: DataFrame, order: Sequence[str], firsts: list[int], rows: int) -> list[Column] | None:
+    """The order columns' values at these ranks as literals; None if a row before has the same value, so that ranks cut ties.
+
+    Around each rank, a range between two sampled values is counted and sampled again until it has at most ``RANGE_ROWS`` rows.
+    Only the rows of these ranges are sorted, a range in a task.
+    """
+    if not firsts:
+        return []
+    keys = df.select(_ordered(df, order).alias("_k"))
+    kind = keys.schema["_k"].dataType.simpleString()
+    ranks = sorted({r for first in firsts for r in (first - 1, first)})
+    cuts: list[object] = []
+    counts = {0: rows}
+    for _ in range(_ROUNDS):
+        start = np.cumsum([0, *(counts.get(p, 0) for p in range(len(cuts) + 1))]).tolist()
+        at = {r: int(np.searchsorted(start, r)) - 1 for r in ranks}
+        parted = _parted(keys, [_literal(c, kind) for c in cuts]).where(F.col("_p").isin(sorted(set(at.values()))))
+        wide = {p for p in at.values() if counts[p] > RANGE_ROWS}
+        if not wide:
+            break
+        share = min(1.0, _SAMPLED / sum(counts[p] for p in wide))
+        chosen = parted.where(F.col("_p").isin(sorted(wide)) & (F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < int(share * (1 << 30))))
+        values: dict[int, list[object]] = {}
+        for r in chosen.orderBy("_k").collect():  # about _SAMPLED rows
+            values.setdefault(r["_p"], []).append(r["_k"])
+        new: list[object] = []
+        for p in sorted(set(at.values())):
+            own, near = values.get(p, []), set()
+            for r in (r for r in ranks if at[r] == p and p in wide):
+                share_ = (r - start[p]) / counts[p]
+                off = 4 * math.sqrt(len(own) * share_ * (1 - share_)) + 4
+                near |= {math.floor(share_ * len(own) - off), math.ceil(share_ * len(own) + off)}
+            for c in [*cuts[max(0, p - 1) : p], *(own[i] for i in sorted(near) if 0 <= i < len(own)), *cuts[p : p + 1]]:
+                if not new or not _same(new[-1], c):
+                    new.append(c)
+        if len(new) == len(cuts) and all(map(_same, new, cuts)):  # rows of one value
+            return None
+        cuts = new
+        counts = {r["_p"]: r["count"] for r in _parted(keys, [_literal(c, kind) for c in cuts]).groupBy("_p").count().collect()}  # a few for each slice
+    else:
+        return None
+    ranked_in = parted.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy("_k")))
+    wanted = [(F.col("_p") == at[r]) & (F.col("_n") == r - start[at[r]]) for r in ranks]
+    got = {start[r["_p"]] + r["_n"]: r["_k"] for r in ranked_in.where(reduce(Column.__or__, wanted, F.lit(False))).collect()}  # two for each slice
+    if any(_same(got[first - 1], got[first]) for first in firsts):
+        return None
+    return [_literal(got[first], kind) for first in firsts]
+
+
+def _same(a: object, b: object) -> bool:
+    return a == b or repr(a) == repr(b)  # a NaN is the same as another
 
 
 def _stride(s: Slice) -> int:
@@ -130,28 +207,56 @@ def _slots(h: list[np.ndarray], s: Slice, how: Strategy) -> Iterator[np.ndarray]
     return (g * wide + pos for g, pos in membership.slots(h, s.spec, how))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``_PACK_ROWS``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _PACK_ROWS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _thin(at: np.ndarray) -> bytes:
+    """Rising numbers below 2^32: their gaps, compressed, the bytes of one weight together; the denser they are, the fewer bytes."""
+    gaps = np.diff(at, prepend=0).astype("<u4")
+    return len(at).to_bytes(4, "little") + pa.compress(gaps.view("u1").reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _full(thin: bytes) -> np.ndarray:
+    n = int.from_bytes(thin[:4], "little")
+    gaps = np.frombuffer(pa.decompress(thin[4:], 4 * n, "zstd", asbytes=True), "u1").reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(gaps.T).view("<u4")[:, 0], dtype=np.int64)
+
+
+def _by_block(at: np.ndarray, wide: int) -> Iterator[tuple[int, slice]]:
+    """Each block that sorted positions fall in, with where they are."""
+    block = at >> wide
+    start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(at) else []
+    for i, z in zip(start, [*start[1:], len(at)]):
+        yield int(block[i]), slice(i, z)
+
+
 def _packed(number: int, at: np.ndarray, wide: int) -> pa.RecordBatch:
-    """(slice, block, at): distinct positions by block, as places there of four bytes each."""
+    """(slice, block, at): distinct positions by block, as thinned places there."""
     at = np.sort(at)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    block = at >> wide
-    start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    ends = np.append(start, len(at)).astype("<i4") * 4
-    places = (at & ((1 << wide) - 1)).astype("<u4")
-    packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(places)])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), number, np.int32)), pa.array(block[start]), packed], names=["slice", "block", "at"])
+    rows = [(number, block, _thin(at[own] & ((1 << wide) - 1))) for block, own in _by_block(at, wide)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["slice", "block", "at"])
 
 
 def build(df: DataFrame, key: str, plan: list[Slice]) -> DataFrame:
     """Words of all slices, slice as filter_id, of rows that have a slice: one pass over the rows.
 
-    A task packs the positions of a batch of rows by blocks of 4 million bits, and blocks are set one after the other, in as many
+    A task packs the positions of ``_PACK_ROWS`` rows by blocks of 4 million bits, and blocks are set one after the other, in as many
     tasks as the slices' bits need: what a task holds depends neither on the rows nor on the size of a slice.
     """
     how, wide = [strategy_of(s.spec) for s in plan], _BLOCK
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             number, h = batch.column(0).to_numpy(), [c.to_numpy() for c in batch.columns[1:]]
             for s, strategy in zip(plan, how):
                 own = np.flatnonzero(number == s.number)
@@ -167,12 +272,12 @@ def build(df: DataFrame, key: str, plan: list[Slice]) -> DataFrame:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, on = None, np.zeros(1 << wide, bool)
         for batch in batches:
-            for *own, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for *own, at in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is not None and last != own:
                     yield words(on, *last)
                     on[:] = False
                 last = own
-                on[np.frombuffer(at.as_buffer(), "<u4")] = True
+                on[_full(at)] = True
         if last is not None:
             yield words(on, *last)
 
@@ -192,39 +297,41 @@ def _split(plan: list[Slice], most: int) -> tuple[list[Slice], list[Slice]]:
     return [s for s in plan if s.number in small], [s for s in plan if s.number not in small]
 
 
-def masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "mask", broadcast_bytes: int | None = None) -> DataFrame:
+def masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "mask", broadcast_bytes: int | None = None, parts: bool = False) -> DataFrame:
     """``df`` with a number whose bit i says that the key may be in slice i; null keys are in none.
 
     The smallest slices are one broadcast bitmap of at most ``broadcast_bytes`` (``membership.BROADCAST_BYTES`` by default), as
-    the plan tells; only larger ones are joined.  Of slices that grow geometrically these are the last few.
+    the plan tells; only larger ones are joined.  Of slices that grow geometrically these are the last few.  ``parts``: the words
+    are read from stored tables that may share some, and only those of the smallest slices are merged.
     """
     if max(s.number for s in plan) >= MAX_SLICES:
         raise MaxFiltersExceeded(f"a plan has at most {MAX_SLICES} slices")
     small, large = _split(plan, membership.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
     if not large:
-        return _masks_bitmap(df, key, words, small, out)
-    words = stored(words, shared_folder(words.sparkSession, "slices"))  # read more than once
-    found = _masks_bitmap(df, key, words, small, out) if small else df.withColumn(out, F.lit(0).cast("long"))
+        return _masks_bitmap(df, key, words, small, out, parts)
+    words = words if parts else stored(words, shared_folder(words.sparkSession, "slices"))  # read more than once
+    found = _masks_bitmap(df, key, words, small, out, parts) if small else df.withColumn(out, F.lit(0).cast("long"))
     own = _joined(df, key, words, large).withColumnRenamed("k", "_k")
     return found.join(own, found[key] == own["_k"], "left").withColumn(out, F.col(out).bitwiseOR(F.coalesce("_more", F.lit(0).cast("long")))).drop("_k", "_more")
 
 
-def _key_masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str, broadcast_bytes: int | None = None) -> DataFrame:
+def _key_masks(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str, broadcast_bytes: int | None = None, parts: bool = False) -> DataFrame:
     """(key, out): ``masks`` of the distinct keys, null among them, without a join of these keys with themselves."""
     small, large = _split(plan, membership.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
     if not large or max(s.number for s in plan) >= MAX_SLICES:
-        return masks(df.select(key).distinct(), key, words, plan, out, broadcast_bytes)
-    words = stored(words, shared_folder(words.sparkSession, "slices"))  # read more than once
+        return masks(df.select(key).distinct(), key, words, plan, out, broadcast_bytes, parts)
+    words = words if parts else stored(words, shared_folder(words.sparkSession, "slices"))  # read more than once
     own = _joined(df, key, words, large).withColumnRenamed("k", key)
-    found = _masks_bitmap(own, key, words, small, out) if small else own.withColumn(out, F.lit(0).cast("long"))
+    found = _masks_bitmap(own, key, words, small, out, parts) if small else own.withColumn(out, F.lit(0).cast("long"))
     return found.select(key, F.col(out).bitwiseOR(F.col("_more")).alias(out))
 
 
-def _masks_bitmap(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str) -> DataFrame:
+def _masks_bitmap(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str, parts: bool = False) -> DataFrame:
     stride = [s.spec.groups * _stride(s) for s in plan]
     start = np.concatenate([[0], np.cumsum(stride)]).tolist()
     base = F.get(F.array(*(F.lit(x).cast("long") for x in _by_number(plan, start))), F.col("filter_id").cast("int"))
     own = words.where(F.col("filter_id").isin([str(s.number) for s in plan]))
+    own = membership.merged(own) if parts else own
     bits = df.sparkSession.sparkContext.broadcast(membership.bitmap(own, start[-1], base + F.col("word")))
     first, _ = place(plan[0].spec)
 
@@ -253,78 +360,81 @@ def _by_number(plan: list[Slice], start: list[int]) -> list[int]:
 def _joined(df: DataFrame, key: str, words: DataFrame, plan: list[Slice]) -> DataFrame:
     """(k, _more): each distinct key, null among them, with a mask of the slices that it may be in.
 
-    Keys are stored as bundles of some thousands with their hashes and masks, in which all slices are open first.  A bundle asks
-    each block of a slice in one row for all places that it needs there, and only the numbers of keys that miss one come back.  The first
-    ``_LEAD`` positions close a slice for nearly all keys that it doesn't hold, and the others are looked up for the rest.
+    Keys are stored as bundles of ``_PACK_ROWS``, in which all slices are open first.  A bundle asks each block of a slice in one row
+    for all places that it needs there, sorted and thinned, and gets a bit for each back, whether it misses; which key asked for which
+    place is found by hashing the bundle's keys again.  The first ``_LEAD`` positions close a slice for nearly all keys that it doesn't
+    hold, and the others are looked up for the rest.
     """
-    first, _ = place(plan[0].spec)
     keys = df.select(F.col(key).alias("k")).distinct()
-    hashed = keys.select("k", *(F.coalesce(h, F.lit(-1).cast("long")).alias(f"_h{i}") for i, h in enumerate(first(F.col("k")))))
     folder = shared_folder(df.sparkSession, "lookup")
-    state = stored(_bundled(hashed, plan), f"{folder}/first")
+    every = sum(1 << s.number for s in plan)
+    state = stored(_bundled(keys), f"{folder}/first")
+    state = state.withColumn("mask", F.transform("k", lambda x: F.when(x.isNull(), F.lit(0)).otherwise(F.lit(every - (every >> 63 << 64))).cast("long")))
     blocks = sum(-(-64 * s.spec.groups * _stride(s) >> _BLOCK) for s in plan)
     have = _word_blocks(words.where(F.col("filter_id").isin([str(s.number) for s in plan])))
     for lo, hi in ((0, _LEAD), (_LEAD, None)):
-        both = _asked(state, plan, lo, hi).union(have).repartition(max(1, -(-blocks // 4)), "slice", "block")
-        lost = _missed(both.sortWithinPartitions("slice", "block", "bundle"))
-        left = state.join(lost.groupBy("bundle").agg(F.collect_list(F.struct("slice", "rows")).alias("lost")), "bundle", "left")
-        state = _closed(left, state)
+        both = _asked(_rehashed(state, plan), plan, lo, hi).union(have).repartition(max(1, -(-blocks // 4)), "slice", "block")
+        misses = _missed(both.sortWithinPartitions("slice", "block", "bundle"))
+        told = misses.groupBy("bundle").agg(F.collect_list(F.struct("slice", "block", "missed")).alias("told"))
+        state = _closed(_rehashed(state.join(told, "bundle", "left"), plan), state, plan, lo, hi)
         if hi:
             state = stored(state, f"{folder}/open")  # read twice
             drop_folder(df.sparkSession, f"{folder}/first")
     return state.select(F.explode(F.arrays_zip("k", "mask")).alias("_x")).select("_x.k", F.col("_x.mask").alias("_more"))
 
 
-def _bundled(hashed: DataFrame, plan: list[Slice]) -> DataFrame:
-    """(bundle, k, mask, hashes): up to 16,384 keys in a row, which has an array of each column."""
-    every = int(np.bitwise_or.reduce([np.left_shift(np.int64(1), np.int64(s.number)) for s in plan]))
-    names = hashed.columns[1:]
+def _bundled(keys: DataFrame) -> DataFrame:
+    """(bundle, k): about ``_PACK_ROWS`` keys in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33  # type: ignore[union-attr]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1 << 14):
-                batch = whole.slice(at, 1 << 14)
-                mask = pa.array(np.where(batch.column(1).to_numpy() >= 0, np.int64(every), np.int64(0)))
-                ends = pa.array([0, batch.num_rows], pa.int32())
-                columns = [pa.ListArray.from_arrays(ends, c) for c in (batch.column(0), mask, *batch.columns[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *columns], names=["bundle", "k", "mask", *names])
+        for batch in _gathered(batches):
+            if batch.num_rows:
+                k = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), k], names=["bundle", "k"])
                 number += 1
 
-    kind = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("k", T.ArrayType(hashed.schema["k"].dataType))])
-    for name in ("mask", *names):
-        kind = kind.add(name, T.ArrayType(T.LongType()))
-    return hashed.mapInArrow(run, kind)
+    kind = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("k", T.ArrayType(keys.schema["k"].dataType))])
+    return keys.mapInArrow(run, kind)
+
+
+def _rehashed(state: DataFrame, plan: list[Slice]) -> DataFrame:
+    """Bundles with an array of each hash of their keys, -1 for null."""
+    first, _ = place(plan[0].spec)
+
+    def hashed(i: int) -> Column:
+        return F.transform("k", lambda x: F.coalesce(first(x)[i], F.lit(-1).cast("long")))
+
+    return state.select("*", *(hashed(i).alias(f"_h{i}") for i in range(len(first(F.lit(None))))))
+
+
+def _wanted(mask: np.ndarray, h: list[np.ndarray], s: Slice, how: Strategy, lo: int, hi: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The positions from ``lo`` to ``hi`` of keys for which a slice is open, one after the other, and these keys' numbers."""
+    rows = np.flatnonzero(mask >> s.number & 1)
+    slots = list(islice(_slots([x[rows] for x in h], s, how), lo, hi)) if len(rows) else []
+    return (np.concatenate(slots), np.tile(rows, len(slots))) if slots else (np.zeros(0, np.int64), rows)
 
 
 _ASKED = "slice int, block long, bundle long, at binary, value binary"
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
 
-def _cut(number: int, bundle: int, block: np.ndarray, at: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """A row for each block, with the places there, of four bytes each, and what belongs to them."""
-    order = np.argsort(block.astype(np.min_scalar_type(int(block.max()))), kind="stable")
-    block = block[order]
-    start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    ends = np.append(start, len(block))
-    packed = [pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * x.itemsize).astype("<i4")), pa.py_buffer(x[order])]) for x in (at.astype("<u4"), value)]
-    columns = [pa.array(np.full(len(start), number, np.int32)), pa.array(block[start]), pa.array(np.full(len(start), bundle, np.int64)), *packed]
-    return pa.RecordBatch.from_arrays(columns, names=["slice", "block", "bundle", "at", "value"])
+def _cells(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=["slice", "block", "bundle", "at", "value"])
 
 
 def _asked(state: DataFrame, plan: list[Slice], lo: int, hi: int | None) -> DataFrame:
-    """``_ASKED`` of bundles: the positions from ``lo`` to ``hi`` of keys in slices that are open, with the keys' numbers."""
+    """``_ASKED`` of bundles: the sorted positions from ``lo`` to ``hi`` of keys in slices that are open, by block."""
     how, wide = [strategy_of(s.spec) for s in plan], _BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, bundle in enumerate(batch.column("bundle").to_pylist()):
-                mask, *h = (batch.column(c)[i].values.to_numpy() for c in batch.schema.names[2:])
+                mask, *h = (batch.column(c)[i].values.to_numpy() for c in ["mask", *(n for n in batch.schema.names if n.startswith("_h"))])
                 for s, strategy in zip(plan, how):
-                    rows = np.flatnonzero(mask >> s.number & 1)
-                    slots = list(islice(_slots([x[rows] for x in h], s, strategy), lo, hi)) if len(rows) else []
-                    if slots:
-                        at = np.concatenate(slots)
-                        yield _cut(s.number, bundle, at >> wide, at & ((1 << wide) - 1), np.tile(rows.astype("<u2"), len(slots)))
+                    at = np.sort(_wanted(mask, h, s, strategy, lo, hi)[0])
+                    if len(at):
+                        yield _cells([(s.number, block, bundle, _thin(at[own] & ((1 << wide) - 1)), b"") for block, own in _by_block(at, wide)])
 
     return state.mapInArrow(run, _ASKED)
 
@@ -334,54 +444,57 @@ def _word_blocks(words: DataFrame) -> DataFrame:
     wide = _BLOCK - 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             number, word, bits = (c.to_numpy() for c in batch.columns)
             for n in np.unique(number).tolist():
-                own = number == n
-                yield _cut(n, -1, word[own] >> wide, word[own] & ((1 << wide) - 1), bits[own].astype("<i8"))
+                own = np.flatnonzero(number == n)
+                own = own[np.argsort(word[own], kind="stable")]
+                at, value = word[own], bits[own].astype("<i8")
+                yield _cells([(n, block, -1, _thin(at[x] & ((1 << wide) - 1)), value[x].tobytes()) for block, x in _by_block(at, wide)])
 
     return words.select(F.col("filter_id").cast("int"), "word", "bits").mapInArrow(run, _ASKED)
 
 
 def _missed(both: DataFrame) -> DataFrame:
-    """(bundle, slice, rows): the numbers of keys that ask for a bit that isn't set; of rows that are ordered by slice, block and bundle."""
+    """(bundle, slice, block, missed): a bit for each place that a bundle asks for, set if the block's bit isn't; of rows that are ordered by slice, block and bundle."""
     wide = _BLOCK - 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, on = None, np.zeros(1 << wide, np.int64)
         for batch in batches:
-            found: list[tuple[int, int, bytes]] = []
-            number, block, bundle = (c.to_pylist() for c in batch.columns[:3])
-            for *own, who, at, value in zip(number, block, bundle, batch.column("at"), batch.column("value")):
+            found: list[tuple[int, int, int, bytes]] = []
+            for *own, who, at, value in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != last:
                     last = own
                     on[:] = 0
-                place_ = np.frombuffer(at.as_buffer(), "<u4")
+                place_ = _full(at)
                 if who < 0:
-                    on[place_] |= np.frombuffer(value.as_buffer(), "<i8")
-                    continue
-                rows = np.frombuffer(value.as_buffer(), "<u2")[on[place_ >> 6] >> (place_ & 63) & 1 == 0]
-                if len(rows):
-                    found.append((who, own[0], rows.tobytes()))
+                    np.bitwise_or.at(on, place_, np.frombuffer(value, "<i8"))
+                else:
+                    found.append((who, *own, np.packbits(on[place_ >> 6] >> (place_ & 63) & 1 == 0).tobytes()))
             if found:
-                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["bundle", "slice", "rows"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bundle", "slice", "block", "missed"])
 
-    return both.mapInArrow(run, "bundle long, slice int, rows binary")
+    return both.mapInArrow(run, "bundle long, slice int, block long, missed binary")
 
 
-def _closed(left: DataFrame, state: DataFrame) -> DataFrame:
-    """Bundles with the slices closed that keys have ``lost``."""
-    names = state.columns
+def _closed(left: DataFrame, state: DataFrame, plan: list[Slice], lo: int, hi: int | None) -> DataFrame:
+    """Bundles with the slices closed of which keys miss a position from ``lo`` to ``hi``, as they are ``told``."""
+    names, how, wide = state.columns, [strategy_of(s.spec) for s in plan], _BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             masks_ = []
-            for mask, lost in zip(batch.column("mask"), batch.column("lost")):
-                own = mask.values.to_numpy().copy()
-                if lost.is_valid:
-                    for n, rows in zip(lost.values.field("slice").to_pylist(), lost.values.field("rows")):
-                        own[np.frombuffer(rows.as_buffer(), "<u2")] &= ~np.left_shift(np.int64(1), np.int64(n))
+            for i in range(batch.num_rows):
+                mask, *h = (batch.column(c)[i].values.to_numpy() for c in ["mask", *(n for n in batch.schema.names if n.startswith("_h"))])
+                own, told = mask.copy(), {(x["slice"], x["block"]): x["missed"] for x in batch.column("told")[i].as_py() or []}
+                for s, strategy in zip(plan, how):
+                    at, rows = _wanted(mask, h, s, strategy, lo, hi)
+                    order = np.argsort(at)
+                    for block, x in _by_block(at[order], wide):
+                        lost = np.unpackbits(np.frombuffer(told[s.number, block], "u1"), count=x.stop - x.start) == 1
+                        own[rows[order[x][lost]]] &= ~np.left_shift(np.int64(1), np.int64(s.number))
                 masks_.append(own)
             ends = pa.array(np.cumsum([0, *map(len, masks_)]), pa.int32())
             new = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(masks_) if masks_ else np.zeros(0, np.int64)))
@@ -401,16 +514,16 @@ def _bits(mask: Column, plan: list[Slice]) -> Column:
     return F.filter(F.array(*(F.when(F.getbit(mask, F.lit(s.number)) == 1, F.lit(s.number)) for s in plan)), lambda x: x.isNotNull())
 
 
-def provenance(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], newest_first: bool = False) -> DataFrame:
-    """(key, slice): the first slice, or the last, that each distinct key may be in; null if none."""
-    found = _key_masks(df, key, words, plan, "_mask")
+def provenance(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], newest_first: bool = False, parts: bool = False) -> DataFrame:
+    """(key, slice): the first slice, or the last, that each distinct key may be in; null if none. ``parts``: see ``masks``."""
+    found = _key_masks(df, key, words, plan, "_mask", parts=parts)
     own = _bits(F.col("_mask"), plan)
     return found.select(key, (F.array_max(own) if newest_first else F.array_min(own)).alias("slice"), F.bit_count("_mask").cast("long").alias("n_slices"))
 
 
-def contains(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "maybe") -> DataFrame:
-    """``df`` with whether the key may be in any slice."""
-    return masks(df, key, words, plan, "_mask").withColumn(out, F.col("_mask") != 0).drop("_mask")
+def contains(df: DataFrame, key: str, words: DataFrame, plan: list[Slice], out: str = "maybe", parts: bool = False) -> DataFrame:
+    """``df`` with whether the key may be in any slice. ``parts``: see ``masks``."""
+    return masks(df, key, words, plan, "_mask", parts=parts).withColumn(out, F.col("_mask") != 0).drop("_mask")
 
 
 def slice_statistics(words: DataFrame, plan: list[Slice]) -> DataFrame:
