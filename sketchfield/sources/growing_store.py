@@ -101,8 +101,7 @@ class GrowingStore:
             self._commit(batch=number)
             return True
         plan = self._opened(self.plan, self.items + n)
-        rank = F.col("_rank") + F.lit(self.items)
-        rows = growing.ranked(own, order, "_rank", n).withColumn("slice", growing.slice_of(rank, plan)).drop("_rank")
+        rows = growing.assigned(own, order, plan, rows=n, before=self.items)
         full = len(self._head["tables"]["words"]) >= MOST_TABLES
         tables = self._merged() if full else {**self._head["tables"]}
         tables["words"] = [*tables["words"], self._versions.write(growing.build(rows, key, plan))]
@@ -121,7 +120,11 @@ class GrowingStore:
 
     def words(self) -> DataFrame:
         """The words of all slices, slice as filter_id."""
-        return membership.merged(self._versions.read(self._head["tables"]["words"], membership.WORDS))
+        return membership.merged(self._parts())
+
+    def _parts(self) -> DataFrame:
+        """The words of all tables, which a lookup reads as they are, until a later version drops them."""
+        return self._versions.read(self._head["tables"]["words"], membership.WORDS)
 
     def compact(self) -> None:
         """Merge the tables into one now, and drop what only older versions have."""
@@ -132,10 +135,10 @@ class GrowingStore:
         return self._versions.read(self._head["tables"]["registers"], _REGISTERS)
 
     def contains(self, df: DataFrame, key: str, out: str = "maybe") -> DataFrame:
-        return growing.contains(df, key, self.words(), self.plan, out)
+        return growing.contains(df, key, self._parts(), self.plan, out, parts=True)
 
     def provenance(self, df: DataFrame, key: str, newest_first: bool = False) -> DataFrame:
-        return growing.provenance(df, key, self.words(), self.plan, newest_first)
+        return growing.provenance(df, key, self._parts(), self.plan, newest_first, parts=True)
 
     def statistics(self) -> DataFrame:
         return growing.slice_statistics(self.words(), self.plan)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sketchfield.operators import growing
 from sketchfield.plans.slices import slice_plan
+from sketchfield.sources.growing_store import GrowingStore
 
 
 @pytest.fixture
@@ -78,3 +80,25 @@ def test_traced_builds_slices_once(spark, grown):
 
     growing.traced(spark.range(100), "id", words.mapInArrow(watched, words.schema), plan).collect()
     assert seen.value == words.count()
+
+
+def test_places_are_packed_by_their_gaps():
+    rng = np.random.default_rng(3)
+    for top, most in ((1 << 32, 5), (1 << 22, 2.5)):
+        at = np.sort(rng.integers(0, top, 20_000))
+        assert (growing._full(growing._thin(at)) == at).all() and len(growing._thin(at)) < most * len(at)
+    assert not len(growing._full(growing._thin(at[:0])))
+
+
+def test_a_store_looks_up_its_tables_as_they_are(spark, tmp_path, monkeypatch):
+    """Words of large slices that batches share are neither merged nor stored again."""
+    filter_ = GrowingStore.create(spark, f"{tmp_path}/f", 40, 0.05)
+    for i in range(0, 800, 160):
+        filter_.insert(spark.range(i, i + 160), "id", ["id"])
+    probes = spark.range(600, 1_600)
+    want = sorted(map(tuple, growing.provenance(probes, "id", filter_.words(), filter_.plan).collect()), key=repr)
+    merged, real = [], growing.membership.merged
+    monkeypatch.setattr(growing.membership, "merged", lambda words: merged.append(sorted({r[0] for r in words.select("filter_id").collect()})) or real(words))
+    monkeypatch.setattr(growing.membership, "BROADCAST_BYTES", 8 * sum(growing._stride(s) for s in filter_.plan[:2]))
+    assert sorted(map(tuple, filter_.provenance(probes, "id").collect()), key=repr) == want
+    assert merged == [["0", "1"]]
