@@ -121,20 +121,17 @@ def assigned(df: DataFrame, order: Sequence[str], plan: list[Slice], strict: boo
         firsts = _first_values(df, order, [s.first - before for s in opened], rows)
         if firsts is not None:
             open_before = [0, *(s.number for s in plan if s.first - before <= 1)][-1]
-            numbers = F.array(F.lit(open_before), *(F.lit(s.number) for s in opened))
-            return _parted(df.withColumn("_k", _ordered(df, order)), firsts).withColumn("slice", F.get(numbers, F.col("_p"))).drop("_k", "_p")
+            return df.withColumn("slice", _dealt(_ordered(df, order), firsts, [open_before, *(s.number for s in opened)]))
     out = ranked(df, order, "_rank", rows)
     return out.withColumn("slice", slice_of(F.col("_rank") + F.lit(before), plan)).drop("_rank")
 
 
-def _parted(keys: DataFrame, cuts: list[Column]) -> DataFrame:
-    """``keys`` with the number of the rising cuts, literals of the plan, that are at most ``_k``, as ``_p``: a comparison for each halving."""
-    out, step = keys.withColumn("_p", F.lit(0)), 1 << len(cuts).bit_length()
-    while step > 1:
-        step //= 2
-        beyond = F.get(F.array(*cuts), F.col("_p") + (step - 1)) <= F.col("_k")  # null past the last cut
-        out = out.withColumn("_p", F.when(beyond, F.col("_p") + step).otherwise(F.col("_p")))
-    return out
+def _dealt(key: Column, cuts: list[Column], numbers: Sequence[int]) -> Column:
+    """The number of the range that a key is in, from rising first values of all but the first range: a binary search in which each value is named once."""
+    if not cuts:
+        return F.lit(numbers[0])
+    mid = len(cuts) // 2
+    return F.when(cuts[mid] <= key, _dealt(key, cuts[mid + 1 :], numbers[mid + 1 :])).otherwise(_dealt(key, cuts[:mid], numbers[: mid + 1]))
 
 
 def _first_values(df: DataFrame, order: Sequence[str], firsts: list[int], rows: int) -> list[Column] | None:
@@ -153,7 +150,8 @@ def _first_values(df: DataFrame, order: Sequence[str], firsts: list[int], rows:
     for _ in range(_ROUNDS):
         start = np.cumsum([0, *(counts.get(p, 0) for p in range(len(cuts) + 1))]).tolist()
         at = {r: int(np.searchsorted(start, r)) - 1 for r in ranks}
-        parted = _parted(keys, [_literal(c, kind) for c in cuts]).where(F.col("_p").isin(sorted(set(at.values()))))
+        parted = keys.select("_k", _dealt(F.col("_k"), [_literal(c, kind) for c in cuts], range(len(cuts) + 1)).alias("_p"))
+        parted = parted.where(F.col("_p").isin(sorted(set(at.values()))))
         wide = {p for p in at.values() if counts[p] > RANGE_ROWS}
         if not wide:
             break
@@ -175,7 +173,8 @@ def _first_values(df: DataFrame, order: Sequence[str], firsts: list[int], rows:
         if len(new) == len(cuts) and all(map(_same, new, cuts)):  # rows of one value
             return None
         cuts = new
-        counts = {r["_p"]: r["count"] for r in _parted(keys, [_literal(c, kind) for c in cuts]).groupBy("_p").count().collect()}  # a few for each slice
+        own_part = _dealt(F.col("_k"), [_literal(c, kind) for c in cuts], range(len(cuts) + 1))
+        counts = {r["_p"]: r["count"] for r in keys.groupBy(own_part.alias("_p")).count().collect()}  # a few for each slice
     else:
         return None
     ranked_in = parted.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy("_k")))
